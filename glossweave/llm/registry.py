@@ -9,13 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import op3_bpe
 from .fertility import op6_fertility_rules
 from .jaccard_join import OP2_SQL, op2_jaccard_join
+from .substring_dedup import OP4_SQL, op4_substring_dedup
 from .token_counts import op10_token_counts
 from .warc import OP7_SQL, op7_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_jaccard_join, op3_bpe, op6_fertility_rules, op7_warc, op10_token_counts)}
+    return {f.__name__: f for f in (op2_jaccard_join, op3_bpe, op4_substring_dedup, op6_fertility_rules, op7_warc, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_jaccard_join": OP2_SQL, "op7_warc": OP7_SQL}
+    return {"op2_jaccard_join": OP2_SQL, "op4_substring_dedup": OP4_SQL, "op7_warc": OP7_SQL}
