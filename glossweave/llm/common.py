@@ -9,7 +9,6 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,21 +74,78 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class WordHashes:
-    """xxh3 of words, remembered up to MEMO words."""
+_BASE = 0x9E3779B97F4A7C15
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: A fixed random number for each byte.
+_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x2545F4914F6CDD1D))
+#: Bytes hashed at a time; longer only for a word that is longer.
+_BLOCK = 1 << 20
 
-    def __init__(self) -> None:
-        self.memo: dict[bytes, int] = {}
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        memo = self.memo
-        if new := set(words).difference(memo):
-            if len(memo) + len(new) > MEMO:
-                memo.clear()
-                new = set(words)
-            for w in new:
-                memo[w] = xxhash.xxh3_64_intdigest(w)
-        return np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
+class _Powers:
+    """Powers of an odd base and of its inverse modulo 2**64, as far as they were needed."""
+
+    up = down = np.ones(1, np.uint64)
+
+    @classmethod
+    def to(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if n >= len(cls.up):
+            n = max(n + 1, 2 * len(cls.up))
+            make = lambda base: np.concatenate((np.ones(1, np.uint64), np.cumprod(np.full(n, base, np.uint64), dtype=np.uint64)))
+            with np.errstate(over="ignore"):
+                cls.up, cls.down = make(_BASE), make(pow(_BASE, -1, 1 << 64))
+        return cls.up, cls.down
+
+
+class RunHash:
+    """Hashes of any runs of a sequence of uint64, from one pass of prefix sums."""
+
+    def __init__(self, values: np.ndarray) -> None:
+        up, _ = _Powers.to(len(values))
+        with np.errstate(over="ignore"):
+            self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(values * up[: len(values)], dtype=np.uint64)))
+
+    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        _, down = _Powers.to(len(self.sums))
+        with np.errstate(over="ignore"):
+            return mix((self.sums[end] - self.sums[start]) * down[start] + (end - start).astype(np.uint64))
+
+
+class Words:
+    """The words [^\\x20\\x09-\\x0D]+ of several texts: 64-bit hashes in one array, found without making strings.
+
+    Words of text i are hashes[at[i]:at[i + 1]]; begin and end are their places in `data`, the joined texts.
+    """
+
+    def __init__(self, texts: list[bytes | None], lower: bool = False) -> None:
+        sizes = np.array([len(t) if t else 0 for t in texts], np.int64)
+        data = b"\n".join(t or b"" for t in texts) + b"\n"
+        if lower:
+            data = data.lower()  # bytes: A-Z only
+        self.data = data
+        buf = np.frombuffer(data, np.uint8)
+        gap = _SPACE[buf]
+        edge = np.flatnonzero(gap[1:] != gap[:-1]) + 1
+        if len(buf) and not gap[0]:
+            edge = np.concatenate(([0], edge))
+        self.begin, self.end = edge[0::2], edge[1::2]
+        self.place = np.concatenate(([0], np.cumsum(sizes + 1)))
+        self.at = np.searchsorted(self.begin, self.place)
+        self.hashes = np.empty(len(self.begin), np.uint64)
+        w = 0
+        while w < len(self.begin):
+            lo = int(self.begin[w])
+            to = max(w + 1, int(np.searchsorted(self.end, lo + _BLOCK, side="right")))
+            hi = int(self.end[to - 1])
+            self.hashes[w:to] = RunHash(_BYTE[buf[lo:hi]]).of(self.begin[w:to] - lo, self.end[w:to] - lo)
+            w = to
+
+    def of(self, i: int) -> np.ndarray:
+        return self.hashes[self.at[i] : self.at[i + 1]]
+
+    def __len__(self) -> int:
+        return len(self.at) - 1
 
 
 def windows(hashes: np.ndarray, width: int) -> np.ndarray:
@@ -101,16 +157,12 @@ def windows(hashes: np.ndarray, width: int) -> np.ndarray:
     out = np.full(n - width + 1, width, np.uint64)
     with np.errstate(over="ignore"):
         for k in range(width):
-            out = (out ^ hashes[k : n - width + 1 + k]) * np.uint64(0x9FB21C651E98DF25)
+            out ^= hashes[k : n - width + 1 + k]
+            out *= np.uint64(0x9FB21C651E98DF25)
             out ^= out >> np.uint64(35)
     return mix(out)
 
 
-def texts_of(column: pa.Array) -> Iterator[bytes | None]:
-    """A string column as UTF-8 bytes, without decoding."""
-    return (x.as_buffer().to_pybytes() if x.is_valid else None for x in column.cast(pa.large_binary()))
-
-
 def raw(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.large_binary()).to_pylist()
 

@@ -24,11 +24,12 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, by_bytes, components, mix, raw, stash, table, tuned, unstash, windows
+from .common import Words, by_bytes, components, mix, raw, stash, table, tuned, windows
 
 WIDTH = 5
 #: A similarity of NUM / DEN or more links.
@@ -51,14 +52,20 @@ def bands(most: int) -> list[tuple[int, int, int, int]]:
         high = max(low + 1, int(np.ceil(low * GROWTH)))
         a = high - 1
         d = difference(a, a * DEN // NUM)
-        out.append((low, high, d, int(np.ceil(1.33 * (d + 1))) + 3 * int(np.ceil(np.sqrt(d + 1)))))
+        out.append((low, high, d, int(np.ceil(1.25 * (d + 1) + 1.5 * np.sqrt(d + 1)))))
         low = high
     return out
 
 
-def shingle_set(words: list[bytes], hashes: WordHashes) -> np.ndarray:
-    """Sorted distinct hashes of a document's shingles."""
-    return np.unique(windows(hashes.of(words), WIDTH))
+def shingle_sets(texts: list[bytes | None]) -> list[np.ndarray]:
+    """For each text the sorted distinct hashes of its shingles; words are in lower case as far as A-Z go."""
+    words = Words(texts, lower=True)
+    runs = windows(words.hashes, WIDTH) if len(words.hashes) >= WIDTH else words.hashes
+    out = []
+    for a, b in zip(words.at[:-1].tolist(), words.at[1:].tolist(), strict=True):
+        x = np.sort(runs[a : b - WIDTH + 1]) if b - a >= WIDTH else windows(words.hashes[a:b], WIDTH)
+        out.append(x[np.concatenate(([True], x[1:] != x[:-1]))] if len(x) else x)
+    return out
 
 
 def dense_sketch(members: np.ndarray) -> bytes:
@@ -66,14 +73,15 @@ def dense_sketch(members: np.ndarray) -> bytes:
 
 
 def block_keys(sets: list[np.ndarray], all_bands: list[tuple[int, int, int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(key, set's position, band, room) of each non-empty block; room: non-empty blocks of the set in that band less d.
+    """(key, set's position, shift) of each non-empty block, and room[shift, position]: non-empty blocks less d.
 
-    A set belongs to the band of its size, and to the band before where it can be the larger partner.
+    Shift 0 is the band of a set's size; 1 the band before, where the set can be the larger partner of one of its sets.
     """
-    keys, owners, of_band, rooms = [], [], [], []
+    keys, owners, shifts = [], [], []
     sizes = np.array([len(s) for s in sets], np.int64)
     lows = np.array([b[0] for b in all_bands])
     own = np.searchsorted(lows, sizes, side="right") - 1
+    room = np.full((2, len(sets)), 1 << 20, np.int64)
     for shift in (0, 1):
         at = own - shift
         take = [i for i in np.flatnonzero((sizes > 0) & (at >= 0)) if all_bands[at[i]][2] and (not shift or sizes[i] <= (all_bands[at[i]][1] - 1) * DEN // NUM)]
@@ -83,109 +91,97 @@ def block_keys(sets: list[np.ndarray], all_bands: list[tuple[int, int, int, int]
         owner = np.repeat(np.arange(len(take)), sizes[take])
         band = at[take]
         blocks = np.array([all_bands[b][3] for b in band], _U)
-        d = np.array([all_bands[b][2] for b in band])
         spread = mix(members ^ _U(0xA5A5A5A5A5A5A5A5))
-        place = (spread >> _U(20)) % blocks[owner]
-        code = (owner.astype(_U) << _U(40)) | place
-        order = np.argsort(code, kind="stable")
+        code = (owner.astype(_U) << _U(40)) | ((spread >> _U(20)) % blocks[owner])
+        order = np.argsort(code)
         code = code[order]
         start = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1])))
         parity = np.bitwise_xor.reduceat(spread[order], start)
         who = (code[start] >> _U(40)).astype(np.int64)
-        room = np.bincount(who, minlength=len(take)) - d
         salt = mix((band[who].astype(_U) << _U(32)) | (code[start] & _U(0xFFFFFFFF)))
         keys.append(mix(parity ^ salt))
         owners.append(np.array(take)[who])
-        of_band.append(band[who])
-        rooms.append(room[who])
-        for j in np.flatnonzero(room <= 0):  # too few blocks: each shingle by itself
+        left = np.bincount(who, minlength=len(take)) - np.array([all_bands[b][2] for b in band])
+        for j in np.flatnonzero(left <= 0):  # too few blocks: each shingle by itself
             s = sets[take[j]]
             keys.append(mix(s ^ mix(np.full(1, 0x51DE << 16 | int(band[j]), _U))))
             owners.append(np.full(len(s), take[j]))
-            of_band.append(np.full(len(s), band[j]))
-            rooms.append(np.full(len(s), 1 << 20))
+            left[j] = len(s) - all_bands[band[j]][2]
+        room[shift, take] = left
+        shifts += [np.full(len(k), shift) for k in keys[len(shifts) :]]
     if not keys:
         z = np.zeros(0, np.int64)
-        return z.astype(_U), z, z, z
-    return tuple(np.concatenate(x) for x in (keys, owners, of_band, rooms))
-
-
-def words_lower(text: bytes | None) -> list[bytes]:
-    """Words between \\x20 and \\x09-\\x0D, with A-Z in lower case."""
-    return text.lower().split() if text else []
+        return z.astype(_U), z, z, room
+    return np.concatenate(keys), np.concatenate(owners), np.concatenate(shifts), room
 
 
-_PACK = np.dtype([("key", "<u4"), ("node", "<i8"), ("n", "<u4"), ("band", "u1"), ("room", "<i4")])
-_SHAPE = "doc_id {}, n long, fp binary, node long, sketch binary, bucket int, blob binary"
+#: A key's low bits; a set's number, of which the last bit tells the shift.
+_PACK = np.dtype([("key", "<u4"), ("node", "<i8")])
+_ROW = ("n", "fp", "node", "sketch", "room0", "room1")
+_KINDS = {"n": "long", "fp": "binary", "node": "long", "sketch": "binary", "room0": "long", "room1": "long"}
+_ARROW = {"long": pa.int64(), "binary": pa.binary()}
 
 
 def _sketches(docs: DataFrame, buckets: int) -> DataFrame:
-    """Rows of two kinds: each document's size, fingerprint and dense sketch; packed keys by bucket."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    arrow = pa.schema([("n", pa.int64()), ("fp", pa.binary()), ("node", pa.int64()), ("sketch", pa.binary()), ("bucket", pa.int32()), ("blob", pa.binary())])
+    """Rows of two kinds, each with the bucket to send it to: a document's size, fingerprint and dense sketch; packed keys."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for batch in by_bytes(batches, "text", 8 << 20):
-            sets = [shingle_set(words_lower(t), hashes) for t in raw(batch["text"])]
+        for batch in by_bytes(batches, "text"):
+            sets = shingle_sets(raw(batch["text"]))
             prints = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-            node = np.array([int.from_bytes(p[:8], "little", signed=True) if p else 0 for p in prints], np.int64)
+            # the last bit is for the shift
+            node = np.array([int.from_bytes(p[:8], "little", signed=True) & ~1 if p else 0 for p in prints], np.int64)
             n = np.array([len(s) for s in sets], np.int64)
-            m = len(sets)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n), pa.array(prints, pa.binary()), pa.array(node), pa.array([dense_sketch(s) if len(s) else None for s in sets], pa.binary()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], ["doc_id", *arrow.names])
-            _, first = np.unique(node, return_index=True)  # equal sets of a batch send their keys once
+            _, first, which = np.unique(node, return_index=True, return_inverse=True)  # equal sets of a batch send their keys once
             some = [sets[i] for i in first]
-            key, owner, band, room = block_keys(some, bands(max(map(len, some), default=0)))
-            bucket = (key >> _U(32)) % _U(buckets)
-            order = np.argsort(bucket, kind="stable")
-            packed = np.empty(len(key), _PACK)
-            packed["key"], packed["node"], packed["n"], packed["band"], packed["room"] = (key & _U(0xFFFFFFFF)), node[first][owner], n[first][owner], band, room
-            packed, bucket = packed[order], bucket[order].astype(np.int64)
-            here, start = np.unique(bucket, return_index=True)
-            # by column, so that the shuffle's compression finds repeats
-            blobs = [b"".join(np.ascontiguousarray(part[c]).tobytes() for c in _PACK.names) for part in np.split(packed, start[1:])] if len(here) else []
+            key, owner, shift, room = block_keys(some, bands(max(map(len, some), default=0)))
+            m = len(sets)
+            cols = [pa.array(n), pa.array(prints, pa.binary()), pa.array(node), pa.array([dense_sketch(s) if len(s) else None for s in sets], pa.binary()), pa.array(room[0][which]), pa.array(room[1][which])]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], *cols, pa.array(((node.view(_U) >> _U(1)) % _U(buckets)).astype(np.int32)), pa.nulls(m, pa.binary())], ["doc_id", *_ROW, "bucket", "blob"])
+            bucket = ((key >> _U(32)) % _U(buckets)).astype(np.int32)
+            order = np.argsort(bucket)
+            low, who = key[order].astype("<u4"), (node[first][owner] | shift)[order].astype("<i8")
+            here, start = np.unique(bucket[order], return_index=True)
+            blobs = [low[a:b].tobytes() + who[a:b].tobytes() for a, b in zip(start.tolist(), [*start[1:].tolist(), len(low)], strict=True)]
             m = len(here)
-            yield pa.RecordBatch.from_arrays([pa.nulls(m, batch["doc_id"].type), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.array(here, pa.int32()), pa.array(blobs, pa.binary())], ["doc_id", *arrow.names])
+            yield pa.RecordBatch.from_arrays([pa.nulls(m, batch["doc_id"].type), *(pa.nulls(m, _ARROW[_KINDS[c]]) for c in _ROW), pa.array(here, pa.int32()), pa.array(blobs, pa.binary())], ["doc_id", *_ROW, "bucket", "blob"])
 
-    return docs.mapInArrow(run, _SHAPE.format(kind))
-
-
-def _unpack(blob: bytes) -> np.ndarray:
-    n = len(blob) // _PACK.itemsize
-    out, at = np.empty(n, _PACK), 0
-    for c in _PACK.names:
-        t = _PACK[c]
-        out[c] = np.frombuffer(blob, t, n, at)
-        at += n * t.itemsize
-    return out
+    shape = ", ".join(f"{c} {_KINDS[c]}" for c in _ROW)
+    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {shape}, bucket int, blob binary")
 
 
 def _members(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each key with two or more sets, every member with the key's least member and the number of members."""
-    held: dict[int, list[np.ndarray]] = {}
+    """Document rows as they are; of each key with two or more sets every member, with the key's least and number of members."""
+    held: dict[int, list[bytes]] = {}
+    kind = pa.int64()
     for batch in batches:
-        for b, blob in zip(batch["bucket"].to_pylist(), batch["blob"].to_pylist(), strict=True):
-            held.setdefault(b, []).append(_unpack(blob))
+        kind = batch["doc_id"].type
+        is_row = pa.compute.is_null(batch["blob"])
+        rows = batch.filter(is_row)
+        m = rows.num_rows
+        if m:
+            yield pa.RecordBatch.from_arrays([rows["doc_id"], *(rows[c] for c in _ROW), *(pa.nulls(m, pa.int64()) for _ in range(4))], ["doc_id", *_ROW, "g", "shift", "centre", "size"])
+        keys = batch.filter(pa.compute.invert(is_row))
+        for b, blob in zip(keys["bucket"].to_pylist(), keys["blob"].to_pylist(), strict=True):
+            held.setdefault(b, []).append(blob)
     for b in sorted(held):
-        x = np.concatenate(held.pop(b))
-        x = x[np.lexsort((x["node"], x["band"], x["key"]))]
-        fresh = np.ones(len(x), bool)
-        same = lambda c: x[c][1:] == x[c][:-1]
-        fresh[1:] = ~(same("key") & same("band") & same("node"))
-        x = x[fresh]
-        edge = np.ones(len(x), bool)
-        edge[1:] = ~(same("key") & same("band"))
-        start = np.flatnonzero(edge)
-        count = np.diff(np.append(start, len(x)))
-        many = np.repeat(count > 1, count)
-        group = np.repeat(x["key"][start].astype(np.int64) | (np.int64(b) << 32), count)
-        centre, centre_n = np.repeat(x["node"][start], count), np.repeat(x["n"][start], count)
-        for lo in range(0, len(x), 100_000):
-            s = slice(lo, lo + 100_000)
-            k = many[s]
-            if k.any():
-                cols = (group, x["band"], x["node"], x["n"], x["room"], centre, centre_n, np.repeat(count, count))
-                yield pa.RecordBatch.from_arrays([pa.array(c[s][k].astype(np.int64)) for c in cols], ["g", "band", "node", "n", "room", "centre", "centre_n", "size"])
+        blobs = held.pop(b)
+        cut = [len(x) // _PACK.itemsize for x in blobs]
+        key = np.concatenate([np.frombuffer(x, "<u4", n) for x, n in zip(blobs, cut, strict=True)])
+        node = np.concatenate([np.frombuffer(x, "<i8", n, 4 * n) for x, n in zip(blobs, cut, strict=True)])
+        order = np.lexsort((node, key))
+        key, node = key[order], node[order]
+        fresh = np.ones(len(key), bool)
+        fresh[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
+        key, node = key[fresh], node[fresh]
+        start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        count = np.diff(np.append(start, len(key)))
+        size, centre = np.repeat(count, count), np.repeat(node[start] & ~1, count)
+        many = np.flatnonzero(size > 1)
+        for lo in range(0, len(many), 100_000):
+            i = many[lo : lo + 100_000]
+            cols = {"node": node[i] & ~1, "g": key[i].astype(np.int64) | (np.int64(b) << 32), "shift": node[i] & 1, "centre": centre[i], "size": size[i]}
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(i), kind), *(pa.array(cols[c]) if c in cols else pa.nulls(len(i), _ARROW[_KINDS[c]]) for c in _ROW), *(pa.array(cols[c]) for c in ("g", "shift", "centre", "size"))], ["doc_id", *_ROW, "g", "shift", "centre", "size"])
 
 
 def _fits(a: str, b: str):
@@ -214,27 +210,25 @@ def _near_sketches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def _similar(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes, memo = WordHashes(), {}
-
-    def members(fp: bytes, text: bytes | None) -> np.ndarray | None:
-        if (got := memo.get(fp)) is None:
-            got = shingle_set(words_lower(text), hashes)
-            if xxhash.xxh3_128_digest(got.tobytes()) != fp:
-                return None  # another row with this id
-            if len(memo) > 300:
-                memo.clear()
-            memo[fp] = got
-        return got
-
+    memo: dict[bytes, np.ndarray | None] = {}
     for batch in by_bytes(batches, "text_a"):
+        prints = batch["fp_a"].to_pylist(), batch["fp_b"].to_pylist()
+        texts = {}
+        for side, c in zip(prints, ("text_a", "text_b"), strict=True):
+            for fp, t in zip(side, raw(batch[c]), strict=True):
+                if fp not in memo:
+                    texts[fp, t] = None
+        if len(memo) > 500:
+            keep = set(prints[0]) | set(prints[1])
+            memo = {k: v for k, v in memo.items() if k in keep}
+        for (fp, _), s in zip(texts, shingle_sets([t for _, t in texts]), strict=True):
+            if xxhash.xxh3_128_digest(s.tobytes()) == fp:  # else another row with this id
+                memo[fp] = s
         ok = []
-        for fa, fb, ta, tb in zip(*(batch[c].to_pylist() for c in ("fp_a", "fp_b")), raw(batch["text_a"]), raw(batch["text_b"]), strict=True):
-            a, b = members(fa, ta), members(fb, tb)
-            if a is None or b is None:
-                ok.append(False)
-                continue
-            i = len(np.intersect1d(a, b, assume_unique=True))
-            ok.append(DEN * i >= NUM * (len(a) + len(b) - i))
+        for fa, fb in zip(*prints, strict=True):
+            a, b = memo.get(fa), memo.get(fb)
+            i = len(np.intersect1d(a, b, assume_unique=True)) if a is not None and b is not None else -1
+            ok.append(i >= 0 and DEN * i >= NUM * (len(a) + len(b) - i))
         got = batch.filter(pa.array(ok, pa.bool_()))
         yield pa.RecordBatch.from_arrays([got["u"], got["v"]], ["u", "v"])
 
@@ -250,34 +244,39 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     """(key, n_shingles, component_id, class_id) of each row; class_id is the least id with the same shingle set."""
     spark = tuned(docs.sparkSession)
     src = docs.select(docs[key].alias("doc_id"), docs[text].cast("string").alias("text"))
-    made = stash(_sketches(src, buckets := buckets_for(src)))
-    rows = made.where("bucket IS NULL").select("doc_id", "n", "fp", "node", "sketch")
-    ids = rows.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("id"))
-    classes = stash(rows.where("n > 0 AND doc_id IS NOT NULL").join(ids.withColumnRenamed("fp", "fp2"), F.expr("fp = fp2 AND doc_id = id")).select("node", "id", "n", "fp", "sketch").dropDuplicates(["fp"]))
-    members = stash(made.where("bucket IS NOT NULL").select("bucket", "blob").repartition(buckets, "bucket").mapInArrow(_members, "g long, band long, node long, n long, room long, centre long, centre_n long, size long"))
-    tried = stash(members.where("node != centre").where(_fits("n", "centre_n")).select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct())
-    edges = stash(_verified(tried, classes, src))
-    roots = stash(components(edges).join(classes.select(F.col("id").alias("node"), F.col("node").alias("code")), "node").select(F.col("code").alias("node"), "root"))
-
-    # pairs across components, at keys whose members are not all in one
+    kind = src.schema["doc_id"].dataType.simpleString()
+    shape = ", ".join(f"{c} {_KINDS[c]}" for c in _ROW)
+    buckets = buckets_for(src)
+    found = stash(_sketches(src, buckets).repartition(buckets, "bucket").mapInArrow(_members, f"doc_id {kind}, {shape}, g long, shift long, centre long, size long"))
+    rows = found.where("g IS NULL").select("doc_id", *_ROW)
+    members = found.where("g IS NOT NULL").select("g", "node", "shift", "centre", "size")
+    classes = stash(rows.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("id"), *(F.first(c).alias(c) for c in _ROW if c != "fp")))
+    named = classes.where("id IS NOT NULL")
+    tried = stash(members.where("node != centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct())
+    edges = stash(_verified(tried, named, src))
+    roots = stash(components(edges).join(named.select(F.col("id").alias("node"), F.col("node").alias("code")), "node").select(F.col("code").alias("node"), "root"))
+
+    # pairs across components, at keys of three or more whose members are not all in one
+    of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+    apart = tried.join(of("a"), "a", "left").join(of("b"), "b", "left").where("NOT coalesce(root_a = root_b, false)").select(F.col("a").alias("centre"), F.col("b").alias("node"))
+    wide = members.where("size > 2")
+    mixed = wide.where("node != centre").join(apart, ["centre", "node"], "left_semi").select("g").distinct()
+    hot = members.where(f"size > {HOT}").groupBy("node", "shift").agg(F.count("*").alias("hot")).join(named.select("node", "room0", "room1"), "node")
+    needs = hot.where("hot >= CASE WHEN shift = 0 THEN room0 ELSE room1 END").select("node", "shift")
+    left = wide.join(mixed, "g", "left_semi").select("g", "node", "shift", "size")
+    left = left.where(f"size <= {HOT}").unionByName(left.where(f"size > {HOT}").join(needs, ["node", "shift"], "left_semi"))
     part = F.coalesce(F.concat(F.lit("r"), F.col("root").cast("string")), F.concat(F.lit("n"), F.col("node").cast("string")))
-    named = members.join(roots, "node", "left").withColumn("part", part).drop("root")
-    centres = roots.select(F.col("node").alias("centre"), F.concat(F.lit("r"), F.col("root").cast("string")).alias("centre_part"))
-    mixed = named.join(centres, "centre", "left").where("node != centre AND NOT coalesce(part = centre_part, false)").select("g", "band").distinct()
-    hot = members.where(f"size > {HOT}").groupBy("node", "band").agg(F.count("*").alias("hot"))
-    left = stash(named.join(mixed, ["g", "band"], "left_semi").join(hot, ["node", "band"], "left").where(f"size <= {HOT} OR hot >= room").select("g", "band", "node", "n", "part"))
-    largest = left.groupBy("g", "band", "part").agg(F.count("*").alias("m")).groupBy("g", "band").agg(F.max(F.struct("m", "part")).alias("most")).select("g", "band", F.col("most.part").alias("most"))
-    left = left.join(largest, ["g", "band"])
+    left = stash(left.join(roots, "node", "left").select("g", "node", part.alias("part")).distinct())
+    largest = left.groupBy("g", "part").agg(F.count("*").alias("m")).groupBy("g").agg(F.max(F.struct("m", "part")).alias("most")).select("g", F.col("most.part").alias("most"))
+    left = left.join(largest, "g")
     x, y = left.where("part != most").alias("x"), left.alias("y")  # the largest component's members don't meet each other
-    across = x.join(y, F.expr("x.g = y.g AND x.band = y.band AND x.part != y.part AND (y.part = y.most OR x.node < y.node)"))
-    across = across.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"), F.col("x.n").alias("n_a"), F.col("y.n").alias("n_b")).where(_fits("n_a", "n_b")).select("a", "b").distinct()
-    across = across.join(tried, ["a", "b"], "left_anti")
-    more = stash(_verified(across, classes, src))
+    across = x.join(y, F.expr("x.g = y.g AND x.part != y.part AND (y.part = y.most OR x.node < y.node)"))
+    across = across.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    more = stash(_verified(across, named, src))
     final = components(edges.union(more))
-    out = rows.select("doc_id", F.col("n").alias("n_shingles"), "fp")
-    least = ids.join(final.withColumnRenamed("node", "id"), "id", "left").select("fp", F.col("id").alias("class_id"), F.coalesce("root", "id").alias("component_id"))
-    out = out.join(least, "fp", "left").select(F.col("doc_id").alias(key), "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id"))
-    return out
+    least = classes.select("fp", "id").join(final.withColumnRenamed("node", "id"), "id", "left").select("fp", F.col("id").alias("class_id"), F.coalesce("root", "id").alias("component_id"))
+    out = rows.select("doc_id", F.col("n").alias("n_shingles"), "fp").join(least, "fp", "left")
+    return out.select(F.col("doc_id").alias(key), "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id"))
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

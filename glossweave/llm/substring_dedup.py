@@ -9,7 +9,7 @@ start of each of its windows. A shard is bounded; its automaton lives in one tas
 2. Anchors that occur once are done. Where all segments of an anchor are equal, each of its windows repeats.
 3. Of other anchors one copy of each different segment is fetched. Their suffix automaton, with the number of starts of
    each of its strings, is streamed with each segment: where at least 35 matched words have two or more starts, they go.
-   Anchors with more than WIDE different segments are split by window instead, and counted.
+   Anchors with more than WIDE different segments are split by window instead, and starts of each window counted.
 4. Spans found are merged by document and removed.
 
 A null text has no words. Rows that are equal, ids included, each count as a start of their own.
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, by_bytes, mix, raw, stash, table, tuned, unstash, windows
+from .common import RunHash, Words, by_bytes, raw, stash, table, tuned, unstash, windows
 
 WINDOW = 35
 GRAM = 8
@@ -34,34 +34,9 @@ GRAM = 8
 WIDE = 1000
 _U = np.uint64
 _POS = _U(26)  # bits of a word's position in its document
-_BASE = 0x9E3779B97F4A7C15
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of _BASE and of its inverse modulo 2**64."""
-    with np.errstate(over="ignore"):
-        up = np.cumprod(np.concatenate(([_U(1)], np.full(n, _U(_BASE)))), dtype=_U)
-        down = np.cumprod(np.concatenate(([_U(1)], np.full(n, _U(pow(_BASE, -1, 1 << 64))))), dtype=_U)
-    return up, down
-
-
-class SegmentHash:
-    """Hashes of any runs of a document's words from one pass of prefix sums."""
-
-    up, down = _powers(1 << 10)
-
-    def __init__(self, hashes: np.ndarray) -> None:
-        if len(hashes) >= len(SegmentHash.up):
-            SegmentHash.up, SegmentHash.down = _powers(2 * len(hashes))
-        with np.errstate(over="ignore"):
-            self.sums = np.concatenate(([_U(0)], np.cumsum(hashes * self.up[: len(hashes)], dtype=_U)))
-
-    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            return mix((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(_U))
-
-
 def anchors(hashes: np.ndarray, width: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash, first window, last window) of each anchor of a document: the windows that have it as their least-hashed run of words."""
     n = len(hashes)
@@ -175,11 +150,11 @@ def _receive(blob: bytes) -> np.ndarray:
 
 def _anchors_of(buckets: int, width: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for batch in by_bytes(batches, "text", 8 << 20):
+        for batch in by_bytes(batches, "text"):
             parts: dict[str, list[np.ndarray]] = {c: [] for c in _PACK.names}
-            for rid, text in zip(batch["rid"].to_numpy(), raw(batch["text"]), strict=True):
-                h = hashes.of(text.split()) if text else np.zeros(0, _U)
+            words = Words(raw(batch["text"]))
+            for i, rid in enumerate(batch["rid"].to_numpy()):
+                h = words.of(i)
                 key, first, last = anchors(h, width)
                 if len(key):
                     # "more" has 16 bits: longer runs of windows, as in a text of one word, are sent in pieces
@@ -189,7 +164,7 @@ def _anchors_of(buckets: int, width: int):
                         key, first, last = np.repeat(key, n), np.repeat(first, n) + 60_000 * piece, np.repeat(last, n)
                         last = np.minimum(last, first + 59_999)
                     parts["key"].append(key)
-                    parts["seg"].append(SegmentHash(h).of(first, last + width))
+                    parts["seg"].append(RunHash(h).of(first, last + width))
                     parts["rid"].append(np.full(len(key), rid))
                     parts["first"].append(first)
                     parts["more"].append(last - first)
@@ -220,7 +195,9 @@ def _repeated(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         segs = np.bincount(of_key, weights=new_seg).astype(np.int64)[of_key]
         times = np.bincount(of_seg)[of_seg]
         kind = np.where(segs == 1, 0, np.where(segs > WIDE, 3, np.where(new_seg, 1, 2)))
-        keep = np.flatnonzero(starts > 1)
+        # equal rows have equal places: one asks for windows, and the question finds each of the rows
+        fresh = new_seg | np.concatenate(([True], (x["rid"][1:] != x["rid"][:-1]) | (x["first"][1:] != x["first"][:-1])))
+        keep = np.flatnonzero((starts > 1) & (fresh | (kind != 3)))
         for lo in range(0, len(keep), 100_000):
             i = keep[lo : lo + 100_000]
             cols = (kind[i], x["key"][i].view(np.int64), x["seg"][i].view(np.int64), x["rid"][i], x["first"][i].astype(np.int64), x["first"][i].astype(np.int64) + x["more"][i], times[i])
@@ -228,28 +205,84 @@ def _repeated(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _fetch(width: int):
-    """Segments as word hashes (kind 1), or window by window (kind 3), from texts and what is asked of them."""
+    """Segments as word hashes, from texts and what is asked of them."""
+    kinds = pa.schema([("key", pa.int64()), ("seg", pa.int64()), ("times", pa.int64()), ("words", pa.binary())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        names = ["key", "seg", "rid", "first", "times", "words"]
-        kinds = pa.schema([("key", pa.int64()), ("seg", pa.int64()), ("rid", pa.int64()), ("first", pa.int64()), ("times", pa.int64()), ("words", pa.binary())])
         for batch in by_bytes(batches, "text"):
+            texts = Words(raw(batch["text"]))
             rows: list[tuple] = []
-            for rid, text, asks in zip(batch["rid"].to_pylist(), raw(batch["text"]), batch["asks"].to_pylist(), strict=True):
-                h = hashes.of(text.split())
-                low = h.astype("<u8")
-                for a in asks:
-                    if a["kind"] == 1:
-                        rows.append((a["key"], a["seg"], rid, a["first"], a["times"], low[a["first"] : a["last"] + width].tobytes()))
-                    else:
-                        at = np.arange(a["first"], a["last"] + 1)
-                        rows.extend((a["key"], s, rid, f, 1, None) for s, f in zip(SegmentHash(h[a["first"] : a["last"] + width]).of(at - a["first"], at - a["first"] + width).view(np.int64).tolist(), at.tolist(), strict=True))
-                if len(rows) > 5000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
-                    rows = []
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+            for i, asks in enumerate(batch["asks"].to_pylist()):
+                low = texts.of(i).astype("<u8")
+                rows.extend((a["key"], a["seg"], a["times"], low[a["first"] : a["last"] + width].tobytes()) for a in asks)
+            for lo in range(0, len(rows), 5000):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows[lo : lo + 5000], strict=True), kinds, strict=True)], kinds.names)
+
+    return run
+
+
+_COUNT = np.dtype([("key", "<i8"), ("seg", "<u8"), ("times", "<u4")])
+
+
+def _window_hashes(texts: Words, i: int, asks: list[dict], width: int) -> list[np.ndarray]:
+    run = RunHash(texts.of(i)) if asks else None
+    out = []
+    for a in asks:
+        at = np.arange(a["first"], a["last"] + 1)
+        out.append(run.of(at, at + width))
+    return out
+
+
+def _split(width: int, buckets: int):
+    """The windows of wide anchors' segments, packed by bucket with the number of their starts in the batch."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_bytes(batches, "text"):
+            texts = Words(raw(batch["text"]))
+            parts = [np.zeros(0, _COUNT)]
+            for i, asks in enumerate(batch["asks"].to_pylist()):
+                for a, h in zip(asks, _window_hashes(texts, i, asks, width), strict=True):
+                    x = np.empty(len(h), _COUNT)
+                    x["key"], x["seg"], x["times"] = a["key"], h, 1
+                    parts.append(x)
+            x = np.concatenate(parts)
+            bucket = ((x["seg"] >> _U(24)) % _U(buckets)).astype(np.int32)
+            x = x[order := np.argsort(bucket)]
+            here, start = np.unique(bucket[order], return_index=True)
+            if len(here):
+                yield pa.RecordBatch.from_arrays([pa.array(here), pa.array([p.tobytes() for p in np.split(x, start[1:])], pa.binary())], ["bucket", "blob"])
+
+    return run
+
+
+def _starts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The windows with two or more starts, each once."""
+    held: dict[int, list[np.ndarray]] = {}
+    for batch in batches:
+        for b, blob in zip(batch["bucket"].to_pylist(), batch["blob"].to_pylist(), strict=True):
+            held.setdefault(b, []).append(np.frombuffer(blob, _COUNT))
+    for b in sorted(held):
+        x = np.concatenate(held.pop(b))
+        x = x[np.lexsort((x["seg"], x["key"]))]
+        start = np.flatnonzero(np.concatenate(([True], (x["key"][1:] != x["key"][:-1]) | (x["seg"][1:] != x["seg"][:-1]))))
+        got = x[start[np.add.reduceat(x["times"].astype(np.int64), start) > 1]]
+        yield pa.RecordBatch.from_arrays([pa.array(got["key"]), pa.array(got["seg"].view(np.int64))], ["key", "seg"])
+
+
+def _wide_spans(width: int):
+    """(rid, first, last) of runs of windows of wide anchors that repeat."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_bytes(batches, "text"):
+            texts = Words(raw(batch["text"]))
+            out = []
+            for i, (rid, asks) in enumerate(zip(batch["rid"].to_pylist(), batch["asks"].to_pylist(), strict=True)):
+                for a, h in zip(asks, _window_hashes(texts, i, asks, width), strict=True):
+                    hit = np.isin(h.view(np.int64), np.array(a["segs"], np.int64))
+                    edge = np.flatnonzero(np.diff(np.concatenate(([False], hit, [False])).astype(np.int8)))
+                    out.extend((rid, a["first"] + p, a["first"] + q - 1) for p, q in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
+            cols = list(zip(*out, strict=True)) or [[], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["rid", "first", "last"])
 
     return run
 
@@ -287,7 +320,8 @@ def _automata(width: int):
                     if len(out) > 5000:
                         yield batch_of(out)
                         out = []
-                group.append((s, t, w))
+                if not group or group[-1][0] != s:  # equal rows fetch a segment more than once
+                    group.append((s, t, w))
         flush()
         if out:
             yield batch_of(out)
@@ -342,23 +376,18 @@ def substring_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", wi
     sent = src.select("rid", "text").mapInArrow(_anchors_of(buckets, width), "bucket int, blob binary")
     found = stash(sent.repartition(buckets, "bucket").mapInArrow(_repeated, ", ".join(f"{c} long" for c in _FOUND)))
 
-    asks = found.where("kind IN (1, 3)").groupBy("rid").agg(F.collect_list(F.struct("kind", "key", "seg", "first", "last", "times")).alias("asks"))
-    once = src.select("rid", "text").join(asks, "rid").mapInArrow(_fetch(width), "key long, seg long, rid long, first long, times long, words binary")
-    got = stash(once.dropDuplicates(["key", "seg", "rid", "first"]))
-    segments = got.where("words IS NOT NULL").select("key", "seg", "times", "words").repartition(buckets, "key").sortWithinPartitions("key", "seg")
-    inner = segments.mapInArrow(_automata(width), "key long, seg long, a long, b long")
-    copies = found.where("kind IN (1, 2)")
-    spans = copies.join(inner, ["key", "seg"]).select("rid", (F.col("first") + F.col("a")).alias("first"), (F.col("first") + F.col("b")).alias("last"))
-    split = found.where("kind = 3")
-    single = got.where("words IS NULL").select("key", "seg", "rid", "first")
-    # a row can be there more than once: its copies are starts of their own
-    copies_of = split.groupBy("key", "rid", "first").agg(F.count("*").alias("rows")).groupBy("rid").agg(F.max("rows").alias("rows"))
-    single = single.join(copies_of, "rid")
-    often = single.groupBy("key", "seg").agg(F.sum("rows").alias("starts")).where("starts > 1")
-    windows_ = single.join(often, ["key", "seg"], "left_semi").select("rid", "first", F.col("first").alias("last"))
-    spans = found.where("kind = 0").select("rid", "first", "last").unionByName(spans).unionByName(windows_)
+    texts = src.select("rid", "text")
+    asked = lambda rows, *more: rows.groupBy("rid").agg(F.collect_list(F.struct("key", "first", "last", *more)).alias("asks"))
+    got = texts.join(asked(found.where("kind = 1"), "seg", "times"), "rid").mapInArrow(_fetch(width), "key long, seg long, times long, words binary")
+    inner = got.repartition(buckets, "key").sortWithinPartitions("key", "seg").mapInArrow(_automata(width), "key long, seg long, a long, b long")
+    spans = found.where("kind IN (1, 2)").join(inner, ["key", "seg"]).select("rid", (F.col("first") + F.col("a")).alias("first"), (F.col("first") + F.col("b")).alias("last"))
+    wide = found.where("kind = 3").select("rid", "key", "first", "last")
+    split = texts.join(asked(wide), "rid").mapInArrow(_split(width, buckets), "bucket int, blob binary")
+    often = split.repartition(buckets, "bucket").mapInArrow(_starts, "key long, seg long").groupBy("key").agg(F.collect_set("seg").alias("segs"))
+    again = texts.join(asked(wide.join(often, "key"), "segs"), "rid").mapInArrow(_wide_spans(width), "rid long, first long, last long")
+    spans = found.where("kind = 0").select("rid", "first", "last").unionByName(spans).unionByName(again)
     per_doc = stash(spans.groupBy("rid").agg(F.collect_set(F.struct("first", "last")).alias("spans")))
-    unstash(got, found)
+    unstash(found)
     kinds = {f.name: f.dataType.simpleString() for f in src.schema.fields}
     keys = [key, *(c for c in carry if c not in (key, "text"))]
     joined = src.join(per_doc, "rid", "left").select(*keys, "text", "spans")
