@@ -9,9 +9,9 @@ A null text has no words; a text without words has measures of 0 and fails the b
 from __future__ import annotations
 
 import math
-import re
 import unicodedata
 from collections.abc import Iterable, Iterator
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -19,7 +19,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import by_bytes, table, tuned
+from .common import Words, by_bytes, raw, table, tuned, windows
 from .token_counts import MODEL, PieceMemo
 
 
@@ -49,40 +49,44 @@ BANDS = {
 }
 MIN_WORDS = 50
 MAX_REPEAT_PCT = 50
-_SPACE = {c: None for c in (0x20, *range(0x09, 0x0E))}
-_SYMBOLS = re.compile(r"[#*$%&|<>]")
+_SYMBOL = np.zeros(256, np.int64)
+_SYMBOL[list(b"#*$%&|<>")] = 1
+#: Bytes that begin a code point that is no white space.
+_STARTS = np.ones(256, np.int64)
+_STARTS[[0x20, *range(0x09, 0x0E), *range(0x80, 0xC0)]] = 0
 _COLUMNS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def base_counts(text: str | None) -> tuple[int, int, int, int, int]:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of one text."""
-    if not text:
-        return 0, 0, 0, 0, 0
-    words = text.encode().split()  # bytes split at exactly \x20 and \x09-\x0D
-    chars = len(text.translate(_SPACE))
-    seen: set[str] = set()
-    dup = 0
-    for line in text.split("\n"):
-        if line in seen:
-            dup += 1
-        elif line.encode().split(None, 1):
-            seen.add(line)
-    n = repeat = len(words)
-    if n < 3:
-        repeat = 0
-    else:
-        number: dict[bytes, int] = {}
-        ids = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, n)
-        k = len(number)
-        # pairs get dense numbers, so that a triple's key stays below the number of pairs times that of words
-        _, pair = np.unique(ids[:-1] * k + ids[1:], return_inverse=True)
-        _, at, count = np.unique(pair[:-1] * k + ids[2:], return_inverse=True, return_counts=True)
-        often = count[at] > 1
-        covered = np.zeros(n, bool)
-        for d in range(3):
-            covered[d : d + n - 2] |= often
-        repeat = int(covered.sum())
-    return n, chars, len(_SYMBOLS.findall(text)), dup, repeat
+def base_counts(texts: list[bytes | None]) -> np.ndarray:
+    """For each UTF-8 text n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
+    words = Words(texts)
+    buf = np.frombuffer(words.data, np.uint8)
+    upto = lambda table: np.concatenate(([0], np.cumsum(table[buf])))[words.place]
+    out = np.zeros((len(texts), 5), np.int64)
+    out[:, 0] = np.diff(words.at)
+    out[:, 1], out[:, 2] = np.diff(upto(_STARTS)), np.diff(upto(_SYMBOL))
+    runs = windows(words.hashes, 3) if len(words.hashes) >= 3 else words.hashes
+    for i, text in enumerate(texts):
+        if text and b"\n" in text:
+            seen: set[bytes] = set()
+            for line in text.split(b"\n"):
+                if line in seen:
+                    out[i, 3] += 1
+                elif line and not line.isspace():  # of bytes: \\x20 and \\x09-\\x0D alone
+                    seen.add(line)
+        a, b = int(words.at[i]), int(words.at[i + 1])
+        if b - a >= 4:
+            x = runs[a : b - 2]
+            order = np.argsort(x)
+            same = x[order][1:] == x[order][:-1]
+            if same.any():
+                often = np.zeros(b - a - 2, bool)
+                often[order[1:][same]] = often[order[:-1][same]] = True
+                covered = np.zeros(b - a, bool)
+                for d in range(3):
+                    covered[d : d + b - a - 2] |= often
+                out[i, 4] = covered.sum()
+    return out
 
 
 def script(text: str) -> str:
@@ -135,9 +139,8 @@ def quality_rules(docs: DataFrame, path: str, bands: dict[str, Band] = BANDS, te
             texts = batch["text"].to_pylist()
             langs = batch["lang"].to_pylist() if known else [None] * len(texts)
             out: list[tuple] = []
-            for t, name, cuts in zip(texts, langs, memo.of(texts), strict=True):
-                base = base_counts(t)
-                ids = np.fromiter((i for c in cuts for i in c), np.int64)
+            for t, name, cuts, base in zip(texts, langs, memo.of(texts), base_counts(raw(batch["text"])).tolist(), strict=True):
+                ids = np.array(list(chain.from_iterable(cuts)), np.int64)
                 ids = ids[ids != feed]  # line ends are layout, not byte fallback
                 m = fertility(ids, base[1], is_byte)
                 band = bands.get(name) or bands.get(script(t or "")) or bands["*"]
