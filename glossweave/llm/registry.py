@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op3_bpe
+from .decontaminate import op1_decontaminate
 from .fertility import op6_fertility_rules
 from .jaccard_join import OP2_SQL, op2_jaccard_join
 from .substring_dedup import OP4_SQL, op4_substring_dedup
@@ -15,7 +16,7 @@ from .warc import OP7_SQL, op7_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_jaccard_join, op3_bpe, op4_substring_dedup, op6_fertility_rules, op7_warc, op10_token_counts)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_jaccard_join, op3_bpe, op4_substring_dedup, op6_fertility_rules, op7_warc, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
