@@ -7,11 +7,12 @@ in which two sketches differ are then never more than members in which the sets
 1. Per band of sizes the sketch has k > d places (blocks), d the largest difference of a pair of that band. At least one
    non-empty block of a document with more than d of them is the same in each partner (pigeonhole): blocks are the join
    keys. A document with fewer also sends each shingle by itself. Keys travel packed by bucket, a few bytes each.
-2. A second, dense sketch of 2,048 bits bounds the difference of a candidate pair from below before texts are fetched.
+2. A second, dense sketch of about four bits a shingle bounds the difference of a candidate pair from below before texts are fetched.
 
 What passes is verified on the texts. Sets that are equal form one class beforehand. To not emit all pairs of a group
-of near copies, each key first proposes only pairs with its least member; once those are verified, keys whose members are
-then in different components propose the pairs across components. Keys with more than HOT members do so for documents
+of near copies, each key first proposes only pairs with its least member. Keys whose members are then in different
+components propose a spanning forest of the nearest across components by their sketches; once that is verified, all pairs
+across what are still different components whose sketches allow a link. Keys with more than HOT members do so for documents
 alone that need them: a document whose other non-empty blocks still exceed d meets each partner at one of these.
 
 Rows without words link with nothing; rows that share an id count as one document in links. A null id is never an id of
@@ -35,7 +36,7 @@ WIDTH = 5
 #: A similarity of NUM / DEN or more links.
 NUM, DEN = 8, 10
 GROWTH = 1.6
-BITS = 2048
+LEAST_BITS, MOST_BITS = 256, 1 << 16
 HOT = 32
 _U = np.uint64
 
@@ -69,7 +70,21 @@ def shingle_sets(texts: list[bytes | None]) -> list[np.ndarray]:
 
 
 def dense_sketch(members: np.ndarray) -> bytes:
-    return np.packbits((np.bincount((members % _U(BITS)).astype(np.int64), minlength=BITS) & 1).astype(np.uint8)).tobytes()
+    """Parities of the members by hash, in about four bits a member: a power of two of bits, so that a longer sketch folds to a shorter."""
+    bits = int(min(MOST_BITS, max(LEAST_BITS, 1 << int(4 * len(members) - 1).bit_length())))
+    return np.packbits((np.bincount((members % _U(bits)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def folded(sketches: list[bytes]) -> np.ndarray:
+    """Sketches as rows of 64-bit words, all folded to the length of the shortest."""
+    least = min(map(len, sketches))
+    out = np.empty((len(sketches), least // 8), _U)
+    for i, s in enumerate(sketches):
+        x = np.frombuffer(s, _U)
+        while len(x) > least // 8:
+            x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+        out[i] = x
+    return out
 
 
 def block_keys(sets: list[np.ndarray], all_bands: list[tuple[int, int, int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -201,12 +216,71 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFram
 
 def _near_sketches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        if batch.num_rows:
-            x, y = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in ("sketch_a", "sketch_b"))
-            apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
-            ok = apart * (DEN + NUM) <= (batch["n_a"].to_numpy() + batch["n_b"].to_numpy()) * (DEN - NUM)
-            got = batch.filter(pa.array(ok))
-            yield pa.RecordBatch.from_arrays([got["id_a"], got["id_b"], got["fp_a"], got["fp_b"]], ["u", "v", "fp_a", "fp_b"])
+        ok = []
+        for a, b, m in zip(batch["sketch_a"].to_pylist(), batch["sketch_b"].to_pylist(), (batch["n_a"].to_numpy() + batch["n_b"].to_numpy()).tolist(), strict=True):
+            x = folded([a, b])
+            ok.append(int(np.bitwise_count(x[0] ^ x[1]).sum()) * (DEN + NUM) <= m * (DEN - NUM))
+        got = batch.filter(pa.array(ok, pa.bool_()))
+        yield pa.RecordBatch.from_arrays([got["id_a"], got["id_b"], got["fp_a"], got["fp_b"]], ["u", "v", "fp_a", "fp_b"])
+
+
+def _across(node: list[int], n: list[int], part: list[str], sketches: list[bytes], forest: bool) -> list[tuple[int, int]]:
+    """Pairs of one key's members in different components whose sketches allow a link: all, or a spanning forest of the nearest."""
+    x, size = folded(sketches), np.array(n, np.int64)
+    code: dict[str, int] = {}
+    own = np.array([code.setdefault(p, len(code)) for p in part])
+    m, words = x.shape
+    step = max(1, (2 << 20) // (m * words))
+    found = []
+    for lo in range(0, m, step):
+        apart = np.bitwise_count(x[lo : lo + step, None] ^ x[None]).sum(axis=2, dtype=np.int64)
+        a, b = size[lo : lo + step, None], size[None]
+        ok = (apart * (DEN + NUM) <= (a + b) * (DEN - NUM)) & (np.minimum(a, b) * DEN >= np.maximum(a, b) * NUM) & (own[lo : lo + step, None] != own[None])
+        ok &= np.arange(lo, min(lo + step, m))[:, None] < np.arange(m)[None]
+        i, j = np.nonzero(ok)
+        found.append(np.stack([apart[i, j], i + lo, j], axis=1))
+    pairs = np.concatenate(found)
+    if forest and len(pairs):
+        pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
+        top = list(range(len(code)))
+
+        def root(k: int) -> int:
+            while top[k] != k:
+                top[k] = top[top[k]]
+                k = top[k]
+            return k
+
+        kept, open_ = [], len(code) - 1
+        for k, (i, j) in enumerate(zip(own[pairs[:, 1]].tolist(), own[pairs[:, 2]].tolist(), strict=True)):
+            i, j = root(i), root(j)
+            if i != j:
+                top[i] = j
+                kept.append(k)
+                open_ -= 1
+                if not open_:
+                    break
+        pairs = pairs[kept]
+    return [(min(node[i], node[j]), max(node[i], node[j])) for _, i, j in pairs.tolist()]
+
+
+def _propose(forest: bool):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, group, out = None, ([], [], [], []), set()
+        for batch in batches:
+            for g, *row in zip(*(batch[c].to_pylist() for c in ("g", "node", "n", "part", "sketch")), strict=True):
+                if g != now:
+                    if len(group[0]) > 1:
+                        out.update(_across(*group, forest))
+                    now, group = g, ([], [], [], [])
+                for c, v in zip(group, row, strict=True):
+                    c.append(v)
+        if len(group[0]) > 1:
+            out.update(_across(*group, forest))
+        pairs = np.array(sorted(out), np.int64).reshape(-1, 2)
+        for lo in range(0, len(pairs), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[lo : lo + 50_000, 0]), pa.array(pairs[lo : lo + 50_000, 1])], ["a", "b"])
+
+    return run
 
 
 def _similar(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,28 +326,41 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     members = found.where("g IS NOT NULL").select("g", "node", "shift", "centre", "size")
     classes = stash(rows.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("id"), *(F.first(c).alias(c) for c in _ROW if c != "fp")))
     named = classes.where("id IS NOT NULL")
-    tried = stash(members.where("node != centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct())
+    tried = stash(members.where("node != centre").select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b")).distinct())
     edges = stash(_verified(tried, named, src))
     roots = stash(components(edges).join(named.select(F.col("id").alias("node"), F.col("node").alias("code")), "node").select(F.col("code").alias("node"), "root"))
 
     # pairs across components, at keys of three or more whose members are not all in one
     of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
-    apart = tried.join(of("a"), "a", "left").join(of("b"), "b", "left").where("NOT coalesce(root_a = root_b, false)").select(F.col("a").alias("centre"), F.col("b").alias("node"))
+    apart = tried.join(of("a"), "a", "left").join(of("b"), "b", "left").where("NOT coalesce(root_a = root_b, false)").select("a", "b")
     wide = members.where("size > 2")
-    mixed = wide.where("node != centre").join(apart, ["centre", "node"], "left_semi").select("g").distinct()
+    mixed = wide.where("node != centre").select("g", F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b")).join(apart, ["a", "b"], "left_semi").select("g").distinct()
     hot = members.where(f"size > {HOT}").groupBy("node", "shift").agg(F.count("*").alias("hot")).join(named.select("node", "room0", "room1"), "node")
     needs = hot.where("hot >= CASE WHEN shift = 0 THEN room0 ELSE room1 END").select("node", "shift")
     left = wide.join(mixed, "g", "left_semi").select("g", "node", "shift", "size")
     left = left.where(f"size <= {HOT}").unionByName(left.where(f"size > {HOT}").join(needs, ["node", "shift"], "left_semi"))
-    part = F.coalesce(F.concat(F.lit("r"), F.col("root").cast("string")), F.concat(F.lit("n"), F.col("node").cast("string")))
-    left = stash(left.join(roots, "node", "left").select("g", "node", part.alias("part")).distinct())
-    largest = left.groupBy("g", "part").agg(F.count("*").alias("m")).groupBy("g").agg(F.max(F.struct("m", "part")).alias("most")).select("g", F.col("most.part").alias("most"))
-    left = left.join(largest, "g")
-    x, y = left.where("part != most").alias("x"), left.alias("y")  # the largest component's members don't meet each other
-    across = x.join(y, F.expr("x.g = y.g AND x.part != y.part AND (y.part = y.most OR x.node < y.node)"))
-    across = across.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    more = stash(_verified(across, named, src))
-    final = components(edges.union(more))
+    left = stash(left.select("g", "node"))
+
+    def proposals(roots: DataFrame, forest: bool) -> DataFrame:
+        part = F.coalesce(F.concat(F.lit("r"), F.col("root").cast("string")), F.concat(F.lit("n"), F.col("node").cast("string")))
+        rows = left.join(roots, "node", "left").select("g", "node", part.alias("part"))
+        # keys with the same members propose the same pairs: one of them does
+        keys = rows.groupBy("g").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"), F.min("part").alias("p"), F.max("part").alias("q")).where("p != q")
+        keys = keys.groupBy("m", "x", "y").agg(F.min("g").alias("g")).select("g")
+        rows = rows.join(keys, "g", "left_semi").join(named.select("node", "n", "sketch"), "node")
+        return rows.repartition(buckets, "g").sortWithinPartitions("g").mapInArrow(_propose(forest), "a long, b long").distinct()
+
+    def roots_of(edges: DataFrame) -> DataFrame:
+        return stash(components(edges).join(named.select(F.col("id").alias("node"), F.col("node").alias("code")), "node").select(F.col("code").alias("node"), "root", F.col("node").alias("id")))
+
+    near = stash(proposals(roots, True).join(tried, ["a", "b"], "left_anti"))
+    edges = edges.union(stash(_verified(near, named, src)))
+    roots = roots_of(edges)
+    rest = proposals(roots, False).join(tried, ["a", "b"], "left_anti").join(near, ["a", "b"], "left_anti")
+    more = stash(_verified(rest, named, src))
+    if more.limit(1).count():
+        roots = roots_of(edges.union(more))
+    final = roots.select(F.col("id").alias("node"), "root")
     least = classes.select("fp", "id").join(final.withColumnRenamed("node", "id"), "id", "left").select("fp", F.col("id").alias("class_id"), F.coalesce("root", "id").alias("component_id"))
     out = rows.select("doc_id", F.col("n").alias("n_shingles"), "fp").join(least, "fp", "left")
     return out.select(F.col("doc_id").alias(key), "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id"))
