@@ -206,7 +206,8 @@ def train(docs: DataFrame, target: DataFrame, text: str = "text", key: str = "do
             x = x[x["all"] > 1]
             yield rows(2, x["code"], x["all"], x["target"])
 
-    trusted = target.select(target[key].alias("id")).where("id IS NOT NULL").distinct().withColumn("good", F.lit(True))
+    # by shuffle at every size: ids of labelled documents grow with the corpus
+    trusted = target.select(target[key].alias("id")).where("id IS NOT NULL").distinct().withColumn("good", F.lit(True)).hint("merge")
     flagged = src.join(trusted, "id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
     made = stash(flagged.mapInArrow(pairs_of, "bucket int, blob binary").repartition(n, "bucket").mapInArrow(add_pairs, "kind int, code long, all long, target long"))
     words = made.where("kind < 2").groupBy("kind", "code").agg(F.sum("all").alias("all"), F.sum("target").alias("target")).toArrow()
