@@ -19,7 +19,7 @@ class Rows:
 
     def __init__(self, at: np.ndarray, col: np.ndarray, width: int, dense: np.ndarray) -> None:
         self.at, self.col, self.width, self.dense = at, col, width, dense
-        self.row = np.repeat(np.arange(len(at) - 1), np.diff(at))
+        self.row = np.repeat(np.arange(len(at) - 1, dtype=np.int32), np.diff(at))
 
     def take(self, which: np.ndarray) -> Rows:
         keep = np.isin(self.row, which)

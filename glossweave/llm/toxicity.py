@@ -24,10 +24,10 @@ from pyspark.sql import functions as F
 from .common import MEMO, by_bytes, table, tuned
 from .linear import Rows, logistic, logit, sigmoid
 
-SAMPLE = 12_000
+SAMPLE = 8_000
 FOLDS = 4
 #: Places for hashed words, and as many for hashed beginnings of words.
-PLACES = 1 << 20
+PLACES = 1 << 18
 #: Features a model has at most: those that tell most about the label.
 WIDTH = 4096
 #: Clean text stays far below; log-odds of rare terms are held down by the ridge penalty, so that a half would miss some.
@@ -77,7 +77,7 @@ class Chain:
 
 def _informative(at: np.ndarray, col: np.ndarray, y: np.ndarray, most: int) -> np.ndarray:
     """The features whose presence tells most about y (by a signed-root likelihood ratio), sorted."""
-    row = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    row = np.repeat(np.arange(len(at) - 1, dtype=np.int32), np.diff(at))
     n1 = np.bincount(col, weights=y[row], minlength=2 * PLACES)
     n = np.bincount(col, minlength=2 * PLACES)
     seen = np.flatnonzero(n >= 3)
@@ -89,7 +89,7 @@ def _informative(at: np.ndarray, col: np.ndarray, y: np.ndarray, most: int) -> n
 
 def _derived(at: np.ndarray, col: np.ndarray, toxic: np.ndarray) -> tuple[list[str], np.ndarray]:
     """Categories from one flag."""
-    row = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    row = np.repeat(np.arange(len(at) - 1, dtype=np.int32), np.diff(at))
     n1 = np.bincount(col, weights=toxic[row], minlength=2 * PLACES)
     n = np.bincount(col, minlength=2 * PLACES)
     telling = (n >= 3) & (n1 >= 0.95 * n)
@@ -101,7 +101,10 @@ def _derived(at: np.ndarray, col: np.ndarray, toxic: np.ndarray) -> tuple[list[s
 def fit(features: list[np.ndarray], labels: np.ndarray, names: list[str], fold: np.ndarray) -> Chain:
     """A chain from rows of features and a 0/1 column for each category; one column alone is divided into three."""
     at = np.concatenate(([0], np.cumsum([len(f) for f in features]))).astype(np.int64)
-    col = np.concatenate([*features, np.zeros(0, np.int32)]).astype(np.int64)
+    col = np.concatenate([*features, np.zeros(0, np.int32)])
+    common = np.bincount(col, minlength=2 * PLACES)[col] >= 3  # rarer ones are used nowhere below
+    at = np.concatenate(([0], np.cumsum(common)))[at]
+    col = col[common]
     if len(names) == 1 and len(labels):
         names, labels = _derived(at, col, labels[:, 0].astype(float))
     n = len(features)
@@ -116,7 +119,7 @@ def fit(features: list[np.ndarray], labels: np.ndarray, names: list[str], fold:
             continue
 
         def model(rows: np.ndarray, use: np.ndarray, y: np.ndarray = y, odds: np.ndarray = odds) -> tuple[Rows, np.ndarray]:
-            place = np.full(2 * PLACES, -1, np.int64)
+            place = np.full(2 * PLACES, -1, np.int32)
             place[use] = np.arange(len(use))
             kept = place[col] >= 0
             sizes = np.diff(np.concatenate(([0], np.cumsum(kept)))[at])
@@ -129,7 +132,7 @@ def fit(features: list[np.ndarray], labels: np.ndarray, names: list[str], fold:
             rows = every[fold != f]
             if len(rows) and 0 < y[rows].sum() < len(rows):
                 sub = np.concatenate(([0], np.cumsum(np.diff(at)[rows])))
-                use = _informative(sub, col[np.isin(np.repeat(every, np.diff(at)), rows)], y[rows], WIDTH)
+                use = _informative(sub, col[np.isin(np.repeat(every.astype(np.int32), np.diff(at)), rows)], y[rows], WIDTH)
                 x, w = model(rows, use)
                 held[fold == f] = x.dot(w)[fold == f]
             else:
