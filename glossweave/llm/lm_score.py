@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, by_bytes, raw, stash, table, tuned, unstash
+from .common import Words, by_bytes, mix, raw, stash, table, tuned, unstash
 
 WORDS = 65_000
 PAIRS = 300_000
@@ -183,13 +183,13 @@ def train(docs: DataFrame, target: DataFrame, text: str = "text", key: str = "do
             now = numbered(own, words.hashes)
             code = previous(now, words, k) * k + now
             good = np.repeat(batch["good"].to_numpy(zero_copy_only=False), np.diff(words.at))
-            for c in (code, k * k + now):  # pairs; single words after all pairs
+            for c in (code, k * k + now, k * k + k + code // k):  # pairs; then words; then words as the first of a pair
                 found, where, times = np.unique(c, return_inverse=True, return_counts=True)
                 x = np.empty(len(found), _PAIR)
                 x["code"], x["all"], x["target"] = found, times, np.bincount(where, weights=good, minlength=len(found))
                 yield x
 
-        return _gather(batches, count, lambda c: (c // k) % n)
+        return _gather(batches, count, lambda c: mix(c) % _U(n))
 
     def add_pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """kind 0: a word's counts; 1: its counts as the first of a pair; 2: a pair's."""
@@ -198,19 +198,18 @@ def train(docs: DataFrame, target: DataFrame, text: str = "text", key: str = "do
             return pa.RecordBatch.from_arrays([pa.array(np.full(len(code), kind, np.int32)), *(pa.array(c.astype(np.int64)) for c in (code, *counts))], ["kind", "code", "all", "target"])
 
         for _, x in _received(batches, _PAIR):
-            single = x["code"] >= k * k
-            yield rows(0, x["code"][single] - np.uint32(k * k), x["all"][single], x["target"][single])
-            x = x[~single]
-            some, where = np.unique(x["code"] // k, return_inverse=True)
-            yield rows(1, some, *(np.bincount(where, weights=x[c], minlength=len(some)) for c in ("all", "target")))
-            x = x[x["all"] > 1]
-            yield rows(2, x["code"], x["all"], x["target"])
+            kind = np.minimum(np.maximum(x["code"].astype(np.int64) - (k * k - k), 0) // k, 2)  # 0: pair, 1: word, 2: first word
+            for which, low in ((1, k * k), (2, k * k + k)):
+                y = x[kind == which]
+                yield rows(which - 1, y["code"].astype(np.int64) - low, y["all"], y["target"])
+            y = x[(kind == 0) & (x["all"] > 1)]
+            yield rows(2, y["code"], y["all"], y["target"])
 
     # by shuffle at every size: ids of labelled documents grow with the corpus
     trusted = target.select(target[key].alias("id")).where("id IS NOT NULL").distinct().withColumn("good", F.lit(True)).hint("merge")
     flagged = src.join(trusted, "id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
     made = stash(flagged.mapInArrow(pairs_of, "bucket int, blob binary").repartition(n, "bucket").mapInArrow(add_pairs, "kind int, code long, all long, target long"))
-    words = made.where("kind < 2").groupBy("kind", "code").agg(F.sum("all").alias("all"), F.sum("target").alias("target")).toArrow()
+    words = made.where("kind < 2").select("kind", "code", "all", "target").toArrow()
     counts = np.zeros((2, k, 2))
     for kind, code, *two in zip(*(words[c].to_numpy() for c in ("kind", "code", "all", "target")), strict=True):
         counts[kind, code] = two
