@@ -167,7 +167,7 @@ def raw(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.large_binary()).to_pylist()
 
 
-def by_bytes(batches: Iterable[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def by_bytes(batches: Iterable[pa.RecordBatch], column: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows, cut so that the texts of a batch hold about so many bytes; a longer text is alone."""
     for batch in batches:
         sizes = np.array([len(x) if x else 0 for x in raw(batch[column])], np.int64)

@@ -178,30 +178,33 @@ def _anchors_of(buckets: int, width: int):
 _FOUND = ["kind", "key", "seg", "rid", "first", "last", "times"]
 
 
-def _repeated(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of anchors with two or more starts: kind 0, windows known to repeat; 1, a segment to fetch for the automaton (a copy
-    of each); 2, another copy of such a segment; 3, a segment of an anchor that is to be split by window."""
-    held: dict[int, list[np.ndarray]] = {}
-    for batch in batches:
-        for b, blob in zip(batch["bucket"].to_pylist(), batch["blob"].to_pylist(), strict=True):
-            held.setdefault(b, []).append(_receive(blob))
-    for b in sorted(held):
-        x = np.concatenate(held.pop(b))
-        x = x[np.lexsort((x["first"], x["rid"], x["seg"], x["key"]))]
-        new_key = np.concatenate(([True], x["key"][1:] != x["key"][:-1]))
-        new_seg = new_key | np.concatenate(([True], x["seg"][1:] != x["seg"][:-1]))
-        of_key, of_seg = np.cumsum(new_key) - 1, np.cumsum(new_seg) - 1
-        starts = np.bincount(of_key)[of_key]
-        segs = np.bincount(of_key, weights=new_seg).astype(np.int64)[of_key]
-        times = np.bincount(of_seg)[of_seg]
-        kind = np.where(segs == 1, 0, np.where(segs > WIDE, 3, np.where(new_seg, 1, 2)))
-        # equal rows have equal places: one asks for windows, and the question finds each of the rows
-        fresh = new_seg | np.concatenate(([True], (x["rid"][1:] != x["rid"][:-1]) | (x["first"][1:] != x["first"][:-1])))
-        keep = np.flatnonzero((starts > 1) & (fresh | (kind != 3)))
-        for lo in range(0, len(keep), 100_000):
-            i = keep[lo : lo + 100_000]
-            cols = (kind[i], x["key"][i].view(np.int64), x["seg"][i].view(np.int64), x["rid"][i], x["first"][i].astype(np.int64), x["first"][i].astype(np.int64) + x["more"][i], times[i])
-            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols], _FOUND)
+def _repeated(wide: int):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of anchors with two or more starts: kind 0, windows known to repeat; 1, a segment to fetch for the automaton (a copy
+        of each); 2, another copy of such a segment; 3, a segment of an anchor that is to be split by window."""
+        held: dict[int, list[np.ndarray]] = {}
+        for batch in batches:
+            for b, blob in zip(batch["bucket"].to_pylist(), batch["blob"].to_pylist(), strict=True):
+                held.setdefault(b, []).append(_receive(blob))
+        for b in sorted(held):
+            x = np.concatenate(held.pop(b))
+            x = x[np.lexsort((x["first"], x["rid"], x["seg"], x["key"]))]
+            new_key = np.concatenate(([True], x["key"][1:] != x["key"][:-1]))
+            new_seg = new_key | np.concatenate(([True], x["seg"][1:] != x["seg"][:-1]))
+            of_key, of_seg = np.cumsum(new_key) - 1, np.cumsum(new_seg) - 1
+            starts = np.bincount(of_key)[of_key]
+            segs = np.bincount(of_key, weights=new_seg).astype(np.int64)[of_key]
+            times = np.bincount(of_seg)[of_seg]
+            kind = np.where(segs == 1, 0, np.where(segs > wide, 3, np.where(new_seg, 1, 2)))
+            # equal rows have equal places: one asks for windows, and the question finds each of the rows
+            fresh = new_seg | np.concatenate(([True], (x["rid"][1:] != x["rid"][:-1]) | (x["first"][1:] != x["first"][:-1])))
+            keep = np.flatnonzero((starts > 1) & (fresh | (kind != 3)))
+            for lo in range(0, len(keep), 100_000):
+                i = keep[lo : lo + 100_000]
+                cols = (kind[i], x["key"][i].view(np.int64), x["seg"][i].view(np.int64), x["rid"][i], x["first"][i].astype(np.int64), x["first"][i].astype(np.int64) + x["more"][i], times[i])
+                yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols], _FOUND)
+
+    return run
 
 
 def _fetch(width: int):
@@ -374,7 +377,7 @@ def substring_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", wi
     each = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
     buckets = n * max(1, each // (16 << 20))
     sent = src.select("rid", "text").mapInArrow(_anchors_of(buckets, width), "bucket int, blob binary")
-    found = stash(sent.repartition(buckets, "bucket").mapInArrow(_repeated, ", ".join(f"{c} long" for c in _FOUND)))
+    found = stash(sent.repartition(buckets, "bucket").mapInArrow(_repeated(WIDE), ", ".join(f"{c} long" for c in _FOUND)))
 
     texts = src.select("rid", "text")
     asked = lambda rows, *more: rows.groupBy("rid").agg(F.collect_list(F.struct("key", "first", "last", *more)).alias("asks"))
