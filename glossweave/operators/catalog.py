@@ -57,3 +57,29 @@ def crawl(seeds: DataFrame, edges: DataFrame, documents: Column, max_depth: int
         found = open_now.join(edges, open_now["url"] == edges["src"]).select(F.col("dst").alias("url")).distinct().join(seen.select("url"), "url", "left_anti")
         found.withColumn("depth", F.lit(depth + 1)).withColumn("is_document", documents).write.parquet(f"{base}/{depth + 1}")
     return spark.read.parquet(*(f"{base}/{d}" for d in range(max_depth + 1)))
+
+
+def rename_to_oldest(folders: DataFrame, new: DataFrame) -> DataFrame:
+    """(folder, new_folder): a work's folder takes the name of the oldest new file where that is strictly older than its oldest file.
+
+    folders (folder, oldest_year), new (folder, year, name). The job fails where the name is taken by another folder.
+    """
+    first = new.groupBy("folder").agg(F.min("year").alias("year"), F.min_by("name", F.struct("year", "name")).alias("name"))
+    moved = folders.join(first, "folder").where("year < oldest_year").select("folder", F.col("name").alias("new_folder"))
+    taken = folders.select(F.col("folder").alias("new_folder"), F.lit(True).alias("taken"))
+    checked = moved.join(taken, "new_folder", "left")
+    return checked.where(F.when(F.col("taken"), F.raise_error(F.concat(F.lit("folder exists: "), F.col("new_folder"))).cast("boolean")).otherwise(F.lit(True))).select("folder", "new_folder")
+
+
+def batches(rows: DataFrame, by: str, order: list[str], size: int) -> DataFrame:
+    """Rows numbered into batches of so many within each key."""
+    w = Window.partitionBy(by).orderBy(*order)
+    return rows.withColumn("batch", F.floor((F.row_number().over(w) - 1) / size).cast("int"))
+
+
+def sections(chunks: DataFrame, labels: DataFrame, by: str = "doc_id") -> DataFrame:
+    """The text of each labelled section: its chunks in order, a blank line between. The job fails if a document's labels don't match its chunks."""
+    n = chunks.groupBy(by).agg(F.count("*").alias("n")).join(labels.groupBy(by).agg(F.count("*").alias("m")), by, "left")
+    bad = F.when(F.coalesce("m", F.lit(0)) != F.col("n"), F.raise_error(F.concat(F.lit("labels don't match chunks of "), F.col(by).cast("string"))).cast("boolean")).otherwise(F.lit(True))
+    both = chunks.join(n.where(bad).select(by), by).join(labels, [by, "chunk_index"])
+    return both.groupBy(by, "section").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "chunk"))), lambda x: x["chunk"]), "\n\n").alias("text"))

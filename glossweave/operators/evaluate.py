@@ -36,3 +36,17 @@ def separation(scored: DataFrame, by: str) -> DataFrame:
     right = F.count_if((pos >= 0.5) | (neg < 0.5))
     out = scored.groupBy(by).agg(F.min(pos).alias("positive_min"), F.max(neg).alias("negative_max"), right.alias("right"), F.count("score").alias("n"), F.count_if(F.col("score").isNull()).alias("missing"))
     return out.select(by, "positive_min", "negative_max", (F.col("positive_min") > F.col("negative_max")).alias("cleanly_separated"), _ratio(F.col("right"), F.col("n")).alias("accuracy"), "missing")
+
+
+def markdown(title: str, metrics: dict) -> str:
+    """A report of metrics: floats with four places, nested ones indented below their name."""
+
+    def lines(items: dict, depth: int):
+        for k, v in items.items():
+            if isinstance(v, dict):
+                yield f"{'  ' * depth}- {k}:"
+                yield from lines(v, depth + 1)
+            else:
+                yield f"{'  ' * depth}- {k}: {v:.4f}" if isinstance(v, float) else f"{'  ' * depth}- {k}: {v}"
+
+    return "\n".join([f"## {title}", "", *lines(metrics, 0), ""])

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scores, tags, text
 from ..operators import adapters, align, catalog, contrib, evaluate, sense, serve
-from ..sources import corpus_files, pages
+from ..sources import catalogue, corpus_files, pages
 from . import views
 from .views import SQL as V
 from .views import table, with_
@@ -605,6 +605,51 @@ def crawl_frontier(s, d):
     return catalog.crawl(s.createDataFrame([(1,)], "url long"), e, F.col("url") % 10 == 7, max_pages=100_000, shared=base)
 
 
+# --- structured catalogues ---------------------------------------------------------------------------------------------------
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_brand WHEN 1 THEN p_brand END AS name, CASE WHEN p_partkey % 2 = 0 THEN 'Model ' || p_size END AS draft_name, CASE WHEN p_partkey % 2 = 0 THEN 2024 END::INT AS draft_year FROM part""")
+def catalogue_names(s, d):
+    k = F.col("p_partkey")
+    text_ = F.when(k % 3 == 0, F.concat(F.lit("Old work. Edited by "), F.col("p_brand"), F.lit(", London: Press, 1900"))).when(k % 3 == 1, F.concat(F.col("p_brand"), F.lit(", translator. Boston: Press"))).otherwise("nobody")
+    label = F.when(k % 2 == 0, F.concat(F.lit("Work AI draft (Model "), F.col("p_size").cast("string"), F.lit(", 2024)"))).otherwise("Work (Someone, 1999)")
+    return table(s, d, "part").select("p_partkey", catalogue.role_name(text_).alias("name"), catalogue.draft_provenance(label, text_).alias("draft")).select("p_partkey", "name", F.col("draft.name").alias("draft_name"), F.col("draft.year").alias("draft_year"))
+
+
+def _escaped(c):
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        c = F.replace(c, F.lit(a), F.lit(b))
+    return c
+
+
+@query(r"""SELECT doc_id, array_to_string(list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> ''), chr(10)) AS text, 'T ' || doc_id AS translator, 1900 + (doc_id % 100)::INT AS year FROM documents""")
+def tei_documents(s, d):
+    """Documents wrapped as editions, and read back."""
+    lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.concat(F.lit("<l>"), _escaped(x), F.lit("<note>no</note></l>")))
+    head = F.concat(F.lit("<TEI xmlns='http://x'><teiHeader><titleStmt><editor role='translator'>T "), F.col("doc_id").cast("string"), F.lit("</editor></titleStmt><sourceDesc><biblStruct><monogr><imprint><date>c. "), (1900 + F.col("doc_id") % 100).cast("string"), F.lit("</date></imprint></monogr></biblStruct></sourceDesc></teiHeader><text><body>"))
+    xml = F.concat(head, F.array_join(lines, ""), F.lit("</body></text></TEI>"))
+    x = table(s, d, "documents").select("doc_id", pages.tei_text(xml).alias("t"), catalogue.tei_header(xml).alias("h"))
+    return x.select("doc_id", F.array_join("t", "\n").alias("text"), F.col("h.translator").alias("translator"), catalogue.header_year(F.col("h.date")).alias("year"))
+
+
+@query("""SELECT p_partkey, 'urn:' || p_partkey AS urn, 'translation' AS role, 'ell' AS lang, p_name AS title FROM part UNION ALL SELECT p_partkey, 'urn:e', 'edition', 'deu', p_name FROM part WHERE p_partkey % 2 = 0""")
+def catalogue_entries(s, d):
+    k = F.col("p_partkey")
+    xml = F.concat(F.lit("<work xmlns='http://c' xml:lang='gre'><title xml:lang='lat'>x</title><title xml:lang='eng'>"), _escaped(F.col("p_name")), F.lit("</title>"), F.when(k % 2 == 0, "<edition urn='urn:e' xml:lang='ger'/>").otherwise("<edition/>"), F.lit("<translation urn='urn:"), k.cast("string"), F.lit("'><label>l</label></translation></work>"))
+    return table(s, d, "part").select("p_partkey", F.explode(catalogue.catalogue_entries(xml)).alias("e")).select("p_partkey", "e.urn", "e.role", "e.lang", "e.title")
+
+
+@query("SELECT event_id, user_id, ((row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) // 15)::INT AS batch FROM events")
+def batch_numbering(s, d):
+    return catalog.batches(table(s, d, "events").select("event_id", "user_id"), "user_id", ["event_id"], 15)
+
+
+@query(f"""WITH {V['units']} SELECT doc_id, CASE WHEN unit_index % 2 = 0 THEN 'verse' ELSE 'prose' END AS section, array_to_string(list(unit_text ORDER BY unit_index), chr(10) || chr(10)) AS text FROM units GROUP BY ALL""")
+def split_sections(s, d):
+    u = views.units(s, d).select("doc_id", F.col("unit_index").alias("chunk_index"), F.col("unit_text").alias("chunk"))
+    return catalog.sections(u, u.select("doc_id", "chunk_index", F.when(F.col("chunk_index") % 2 == 0, "verse").otherwise("prose").alias("section")))
+
+
 # --- tags, confidences, senses ------------------------------------------------------------------------------------------------
 
 

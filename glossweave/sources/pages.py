@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from html.entities import html5
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 from xml.etree import ElementTree
@@ -88,30 +89,77 @@ TEI_BLOCKS = ("l", "p", "head", "ab", "item", "speaker")
 TEI_SKIP = ("note", "milestone", "pb", "cb", "gap", "del", "figure")
 
 
-def tei_lines(xml: str | None) -> list[str]:
-    """A line for each innermost block, white space collapsed; what follows a skipped element stays."""
+def parse_xml(xml: str | None) -> ElementTree.Element | None:
+    """The root; named entities that XML lacks stand for their characters. None for what is no XML."""
+    named = re.sub(r"&(?!(?:amp|lt|gt|quot|apos);)(\w+;)", lambda m: html5.get(m[1], m[0]), xml or "")
+    try:
+        return ElementTree.fromstring(named)
+    except ElementTree.ParseError:
+        return None
 
-    def name(e) -> str:
-        return e.tag.rsplit("}", 1)[-1] if isinstance(e.tag, str) else ""
 
-    def text(e) -> str:
-        inner = "" if name(e) in TEI_SKIP else (e.text or "") + "".join(text(c) + (c.tail or "") for c in e)
-        return inner
+def local(e: ElementTree.Element) -> str:
+    return e.tag.rsplit("}", 1)[-1] if isinstance(e.tag, str) else ""
 
-    def has_block(e) -> bool:
-        return any(name(c) in TEI_BLOCKS or has_block(c) for c in e)
 
-    try:
-        root = ElementTree.fromstring(re.sub(r"&(?!amp;|lt;|gt;|quot;|apos;|#)(\w+);", " ", xml or ""))
-    except ElementTree.ParseError:
+def tei_lines(xml: str | None) -> list[str]:
+    """A line for each block of the body, blocks within blocks too, white space collapsed; what follows a skipped element stays."""
+
+    def text(e: ElementTree.Element) -> str:
+        return (e.text or "") + "".join(("" if local(c) in TEI_SKIP else text(c)) + (c.tail or "") for c in e)
+
+    root = parse_xml(xml)
+    body = None if root is None else next((e for e in root.iter() if local(e) == "body"), None)
+    if body is None:
         return []
-    out = []
-    for e in root.iter():
-        if name(e) in TEI_BLOCKS and not has_block(e) and (line := " ".join(text(e).split())):
-            out.append(line)
-    return out
+    lines = (" ".join(text(e).split()) for e in body.iter() if local(e) in TEI_BLOCKS)
+    return [x for x in lines if x]
 
 
 @F.pandas_udf(ArrayType(StringType()))
 def tei_text(xml: pd.Series) -> pd.Series:
     return xml.map(tei_lines)
+
+
+class _Marked(HTMLParser):
+    """Download links by class, and the cells of one table by id."""
+
+    def __init__(self, table: str) -> None:
+        super().__init__(convert_charrefs=True)
+        self.table, self.depth, self.cell, self.formats, self.rows = table, 0, None, [], []
+
+    def handle_starttag(self, tag, attrs):
+        a = dict(attrs)
+        if tag == "a" and a.get("href") and {"featured-format-link", "other-format-link"} & set((a.get("class") or "").split()):
+            if (a.get("type") or "").split(";")[0].strip().lower() in ("text/plain", "application/pdf"):
+                self.formats.append(a["href"])
+        if tag == "table" and (self.depth or a.get("id") == self.table):
+            self.depth += 1
+        elif self.depth and tag == "tr":
+            self.rows.append({})
+        elif self.depth and tag in ("th", "td") and self.rows and tag not in self.rows[-1]:
+            self.cell = tag
+            self.rows[-1][tag] = []
+
+    def handle_endtag(self, tag):
+        if tag == "table" and self.depth:
+            self.depth -= 1
+        elif tag == self.cell:
+            self.cell = None
+
+    def handle_data(self, data):
+        if self.depth and self.cell and data.strip():
+            self.rows[-1][self.cell].append(" ".join(data.split()))
+
+
+#: Rows of a library record that say who and what.
+RECORD_LABELS = ("Author", "Editor", "Translator", "Title", "Language", "Subject")
+
+
+def library_record(base: str, html: str | None, table: str = "bibrec") -> tuple[list[str], str | None]:
+    """(text and PDF download links, `label: value` hints of the record table; None without one)."""
+    p = _Marked(table)
+    p.feed(html or "")
+    p.close()
+    hints = [f"{' '.join(r['th'])}: {' '.join(r['td'])}" for r in p.rows if " ".join(r.get("th", ())) in RECORD_LABELS and "td" in r]
+    return [urljoin(base, h) for h in p.formats], "; ".join(hints) or None

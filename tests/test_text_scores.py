@@ -89,7 +89,7 @@ def test_pages(spark):
     html = "<nav><a href='/n'>n</a></nav><p>See <a href='a.txt'>A</a> now</p><p><a href='#x'>x</a><a href='a.txt'>again</a></p><script>x</script>"
     assert pages.links("http://h/", html) == [("http://h/a.txt", "A", "See A now")]
     assert one(spark, pages.visible_text(F.col("t")), t="<p>A &amp; b</p><style>x</style><!-- c -->d") == "A & b\nd"
-    assert pages.tei_lines("<t><l>a <note>no</note>b</l><p>c\n d</p></t>") == ["a b", "c d"]
+    assert pages.tei_lines("<t><body><l>a <note>no</note>b</l><p>c\n d</p></body></t>") == ["a b", "c d"]
     assert pages.tei_lines("<broken") == []
 
 
