@@ -187,18 +187,18 @@ def cosine_topk(s, d):
 
 
 def _hits(s, d):
-    """The 100 nearest sides of each passage query; a side's stand-in vector is that of its index modulo 500."""
-    v = _vectors(s, d).where("vec_id < 500")
-    rows = views.sides(s, d).select("row_index", "side", F.pmod(F.col("row_index") * 2 + F.col("side"), F.lit(500)).alias("vec_id"))
-    q = _passages(s).select("query_id", "side", F.col("query_id").cast("long").alias("qv"))
-    q = q.join(F.broadcast(v.select(F.col("vec_id").alias("qv"), F.col("embedding").alias("query_vector"))), "qv")
-    near = serve.nearest(q, v.select("vec_id", "embedding"), 500).drop("rank")
-    x = near.join(F.broadcast(q.select("query_id", "side")), "query_id").join(rows, ["vec_id", "side"])
-    return serve.top_k(x.select("query_id", "row_index", "side", F.col("similarity").alias("ip")).withColumn("ip", F.round("ip", 9)), scores.P.candidates, "ip", "row_index").drop("rank")
-
-
-_SEARCH = f"""v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id < 500),
-near AS (SELECT query_id, row_index, s.side, round(list_inner_product(q.e, v.e), 9) AS ip FROM passages p JOIN v q ON q.vec_id = p.query_id JOIN sides s ON s.side = p.side JOIN v ON v.vec_id = (s.row_index * 2 + s.side) % 500),
+    """The 100 nearest sides of each passage query; a side's stand-in vector is that of its index modulo the number of vectors."""
+    v = _vectors(s, d).select("vec_id", "embedding")
+    rows = views.sides(s, d).select("row_index", "side", F.pmod(F.col("row_index") * 2 + F.col("side"), F.lit(v.count())).alias("vec_id")).join(v, "vec_id")
+    q = _passages(s).select("query_id", "side", F.col("query_id").cast("long").alias("vec_id"))
+    q = F.broadcast(q).join(v, "vec_id").withColumnRenamed("embedding", "query_vector")
+    k = scores.P.candidates
+    near = [serve.nearest(q.where(F.col("side") == x), rows.where(F.col("side") == x).select("row_index", "side", "embedding"), k).drop("rank") for x in (0, 1)]
+    return serve.top_k(near[0].unionByName(near[1]).withColumn("ip", F.round("similarity", 9)).drop("similarity"), k, "ip", "row_index").drop("rank")
+
+
+_SEARCH = f"""v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+near AS (SELECT query_id, row_index, s.side, round(list_inner_product(q.e, v.e), 9) AS ip FROM passages p JOIN v q ON q.vec_id = p.query_id JOIN sides s ON s.side = p.side JOIN v ON v.vec_id = (s.row_index * 2 + s.side) % (SELECT count(*) FROM embeddings)),
 hits AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY ip DESC, row_index) AS r FROM near) WHERE r <= 100),
 h AS (SELECT hits.query_id, hits.row_index, hits.side, p.year, s.year AS hit_year, ip, {_DICE.format(_GRAMS.format('p.query'), _GRAMS.format("coalesce(s.text, '')"))} AS ng, coalesce(bm25, 0.0) AS bm
   FROM hits JOIN passages p USING (query_id) JOIN sides s ON s.row_index = hits.row_index AND s.side = hits.side LEFT JOIN bm ON bm.query_id = hits.query_id AND bm.row_index = hits.row_index AND bm.side = hits.side
