@@ -362,10 +362,6 @@ def _editions(s, d):
     return u.where("doc_id % 2 = 0").select("work", "unit_index", "unit_text"), u.where("doc_id % 2 = 1").select("work", "unit_index", "unit_text")
 
 
-def _banded(s, d):
-    return align.band_join(*_editions(s, d), "work")
-
-
 _BAND = V["units"] + f""",
 ea AS (SELECT doc_id // 2 AS work, unit_index AS i, unit_text AS ta FROM units WHERE doc_id % 2 = 0), eb AS (SELECT doc_id // 2 AS work, unit_index AS j, unit_text AS tb FROM units WHERE doc_id % 2 = 1),
 sizes AS (SELECT work, n_a, n_b, greatest(20, round_even(0.1 * greatest(n_a, n_b), 0))::INT AS size FROM (SELECT work, count(*)::INT AS n_a FROM ea GROUP BY ALL) JOIN (SELECT work, count(*)::INT AS n_b FROM eb GROUP BY ALL) USING (work)),
@@ -382,11 +378,11 @@ mutual AS (SELECT ta.work, ta.i, ta.j, ta.score FROM ta JOIN tb ON ta.work = tb.
 
 @query(f"WITH {_BAND} SELECT work, i, j, in_a, in_b FROM banded")
 def band_join(s, d):
-    return _banded(s, d).select("work", "i", "j", "in_a", "in_b")
+    return align.band_join(*_editions(s, d), "work").select("work", "i", "j", "in_a", "in_b")
 
 
 def _scored(s, d):
-    return align.lexical_scores(_banded(s, d))
+    return align.lexical_scores(*_editions(s, d), "work")
 
 
 @query(f"WITH {_TOP} SELECT work, i, j, round(score, 6) AS score FROM ta")
