@@ -29,7 +29,7 @@ _U = np.uint64
 _WORD = np.dtype([("code", "<u8"), ("all", "<u4")])
 _PAIR = np.dtype([("code", "<u4"), ("all", "<u4"), ("target", "<u4")])
 #: Entries a task gathers before it sends them.
-_HOLD = 1 << 21
+_HOLD = 1 << 20
 
 
 def _pack(x: np.ndarray) -> bytes:
