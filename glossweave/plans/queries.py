@@ -497,7 +497,7 @@ def chunk_pack(s, d):
     return x.select("doc_id", "chunk_index", F.length("chunk").alias("n_chars"), F.sha2("chunk", 256).alias("sha"))
 
 
-@query(V["units"].join(["WITH ", ""]) + """ SELECT doc_id, unit_index // 4 AS chunk_index, count(*) AS n_units, sum(count(*)) OVER (PARTITION BY doc_id ORDER BY unit_index // 4)::BIGINT AS upto FROM units GROUP BY doc_id, unit_index // 4""")
+@query(V["units"].join(["WITH ", ""]) + """ SELECT doc_id, (unit_index // 4)::BIGINT AS chunk_index, count(*) AS n_units, sum(count(*)) OVER (PARTITION BY doc_id ORDER BY unit_index // 4)::BIGINT AS upto FROM units GROUP BY doc_id, unit_index // 4""")
 def chunk_unit_counts(s, d):
     c = views.units(s, d).groupBy("doc_id", F.floor(F.col("unit_index") / 4).alias("chunk_index")).agg(F.count("*").alias("n_units"))
     return c.withColumn("upto", F.sum("n_units").over(Window.partitionBy("doc_id").orderBy("chunk_index")))
