@@ -157,7 +157,7 @@ def _sketches(docs: DataFrame, buckets: int) -> DataFrame:
             order = np.argsort(bucket)
             low, who = key[order].astype("<u4"), (node[first][owner] | shift)[order].astype("<i8")
             here, start = np.unique(bucket[order], return_index=True)
-            blobs = [low[a:b].tobytes() + who[a:b].tobytes() for a, b in zip(start.tolist(), [*start[1:].tolist(), len(low)], strict=True)]
+            blobs = [low[a:b].tobytes() + who[a:b].tobytes() for a, b in zip(start.tolist(), [*start[1:].tolist(), len(low)][: len(here)], strict=True)]
             m = len(here)
             yield pa.RecordBatch.from_arrays([pa.nulls(m, batch["doc_id"].type), *(pa.nulls(m, _ARROW[_KINDS[c]]) for c in _ROW), pa.array(here, pa.int32()), pa.array(blobs, pa.binary())], ["doc_id", *_ROW, "bucket", "blob"])
 
