@@ -5,7 +5,8 @@ While training, those are out-of-fold predictions, so that a later model learns
 the presence of words and of their first letters (4 to 6), hashed.
 
 A label table with one flag gives three categories, derived on the training rows: `term` (toxic, with a word that is found in toxic
-texts almost alone), `dense` (toxic, with three or more of them) and `toxic` itself; with more flags, each is a category.
+texts almost alone), `dense` (toxic, with three or more of them) and `toxic` itself; with more flags, each is a category. The threshold
+of the last category is the one with the fewest errors out of fold.
 Models are fitted on at most SAMPLE labelled rows, those of least id hash. Null and empty texts have no features: their score is the
 models' constant, and they are never rejected. Labels are no features. An empty or one-sided label table rejects nothing.
 """
@@ -30,8 +31,8 @@ FOLDS = 4
 PLACES = 1 << 18
 #: Features a model has at most: those that tell most about the label.
 WIDTH = 4096
-#: Clean text stays far below; log-odds of rare terms are held down by the ridge penalty, so that a half would miss some.
-THRESHOLD = 0.2
+#: Where training can't tell a threshold.
+THRESHOLD = 0.5
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -59,8 +60,24 @@ class Features:
         return np.unique(np.array(out, np.int32))
 
 
+def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
+    """The probability that divides out-of-fold predictions with the fewest errors: the middle of the widest such gap (in log-odds)."""
+    order = np.argsort(p, kind="stable")
+    z, y = logit(p[order]), y[order]
+    # a threshold before place i rejects i and what follows
+    errors = np.concatenate(([0], np.cumsum(y))) + (len(y) - y.sum()) - np.concatenate(([0], np.cumsum(1 - y)))
+    low, high = np.concatenate((z[:1], z)), np.concatenate((z, z[-1:]))
+    ok = np.flatnonzero((errors == errors.min()) & (high > low))
+    if not len(ok):
+        return THRESHOLD
+    i = ok[np.argmax(high[ok] - low[ok])]
+    return float(sigmoid((low[i] + high[i]) / 2))
+
+
 class Chain:
-    """Categories in order, each with weights by feature place, weights of earlier log-odds, and a constant."""
+    """Categories in order, each with weights by feature place, weights of earlier log-odds, and a constant; the last one's threshold."""
+
+    threshold = THRESHOLD
 
     def __init__(self, names: list[str], weights: list[dict[int, float]], earlier: list[np.ndarray], constant: list[float]) -> None:
         self.names, self.earlier, self.constant = names, earlier, constant
@@ -143,7 +160,11 @@ def fit(features: list[np.ndarray], labels: np.ndarray, names: list[str], fold:
         earlier.append(w[len(use) : -1] / 14)
         constant.append(float(w[-1]))
         odds = np.concatenate((odds, np.clip(held, -14, 14)[:, None]), axis=1)
-    return Chain(names, weights, earlier, constant)
+    chain = Chain(names, weights, earlier, constant)
+    last = labels[:, -1].astype(float) if n else np.zeros(0)
+    if 0 < last.sum() < n:
+        chain.threshold = best_threshold(sigmoid(odds[:, -1]), last)
+    return chain
 
 
 def train(docs: DataFrame, labels: DataFrame, categories: list[str], text: str = "text", key: str = "doc_id", sample: int = SAMPLE) -> Chain:
@@ -166,9 +187,10 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], text: str =
     return fit(x, y, categories, got["h"].to_numpy() % FOLDS)
 
 
-def score(docs: DataFrame, chain: Chain, text: str = "text", key: str = "doc_id", carry: tuple[str, ...] = (), threshold: float = THRESHOLD) -> DataFrame:
-    """(key, carried columns, p_<category>..., rejected): rejected where the last category's probability reaches the threshold."""
+def score(docs: DataFrame, chain: Chain, text: str = "text", key: str = "doc_id", carry: tuple[str, ...] = (), threshold: float | None = None) -> DataFrame:
+    """(key, carried columns, p_<category>..., rejected): rejected where the last category's probability reaches the threshold, by default the chain's."""
     spark = tuned(docs.sparkSession)
+    threshold = chain.threshold if threshold is None else threshold
     taken = {key, "text_", *(f"p_{c}" for c in chain.names), "rejected"}
     if clash := [c for c in carry if c in taken and c != key]:
         raise ValueError(f"carried columns {clash} clash with result columns")
