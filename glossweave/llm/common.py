@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -62,6 +63,15 @@ def unstash(*dfs: DataFrame) -> None:
             p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def release_memory() -> None:
+    """Give freed memory back to the system: the driver goes on for long after a model is fitted."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # no glibc
+        pass
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser on uint64, so that every bit of the result depends on every bit of x."""
     x = x.astype(np.uint64, copy=True)

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MEMO, by_bytes, table, tuned
+from .common import MEMO, by_bytes, release_memory, table, tuned
 from .linear import Rows, logistic, logit, sigmoid
 
 SAMPLE = 8_000
@@ -169,7 +169,7 @@ def fit(features: list[np.ndarray], labels: np.ndarray, names: list[str], fold:
 
 def train(docs: DataFrame, labels: DataFrame, categories: list[str], text: str = "text", key: str = "doc_id", sample: int = SAMPLE) -> Chain:
     """A chain from the labelled rows with the least hash of their id, `sample` of them at most."""
-    spark = tuned(docs.sparkSession)
+    tuned(docs.sparkSession)
     flags = labels.select(labels[key].alias("id"), *(labels[c].cast("int").alias(f"c{i}") for i, c in enumerate(categories))).where(" AND ".join(f"c{i} IS NOT NULL" for i in range(len(categories))) + " AND id IS NOT NULL").groupBy("id").agg(*(F.max(f"c{i}").alias(f"c{i}") for i in range(len(categories))))
     few = flags.withColumn("h", F.xxhash64("id")).orderBy("h", "id").limit(sample)
     rows = docs.select(docs[key].alias("id"), docs[text].cast("string").alias("text")).join(F.broadcast(few), "id")
@@ -183,8 +183,12 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], text: str =
     got = rows.mapInArrow(run, "h long, features binary, " + ", ".join(f"c{i} int" for i in range(wide))).toArrow().sort_by("h")
     x = [np.frombuffer(b, np.int32) for b in got["features"].to_pylist()]
     y = np.stack([got[f"c{i}"].to_numpy() for i in range(wide)], axis=1) if len(x) else np.zeros((0, wide))
-    del spark
-    return fit(x, y, categories, got["h"].to_numpy() % FOLDS)
+    fold = got["h"].to_numpy() % FOLDS
+    del got
+    chain = fit(x, y, categories, fold)
+    del x
+    release_memory()
+    return chain
 
 
 def score(docs: DataFrame, chain: Chain, text: str = "text", key: str = "doc_id", carry: tuple[str, ...] = (), threshold: float | None = None) -> DataFrame:
