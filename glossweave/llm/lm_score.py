@@ -1,239 +1,223 @@
 """Cross-entropy difference scores (Moore and Lewis 2010) from two matched n-gram models.
 
 The background model counts all documents, the target model those that are trusted (labelled good and not toxic). Both are
-interpolated bigram models with one vocabulary and one set of bigrams, so that their losses differ by their counts alone. Every count
-is over the whole corpus: words are counted first; then pairs, packed by bucket so that a row of the shuffle holds thousands.
+interpolated bigram models with one vocabulary and one set of bigrams, so that their losses differ by their counts alone. Every word
+and every pair of the corpus is counted, whatever its size; nothing is broadcast. A pair the whole corpus has once is not kept as a
+pair: its share of the context goes to single words.
 
-The models that go to every task are bounded: the WORDS most frequent words (others are one unknown word) and the PAIRS most
-frequent pairs; a smallest count is found such that no more reach it. The share of a context's pairs that were left out goes to
-single words. score = target loss - background loss, in nats a token; less is nearer to the target. Texts without words (null and
-empty) have n_tokens 0 and losses and score 0. Rows without an id are background only.
+Documents are dealt by id to chunks of about CHUNK bytes. A chunk sends its distinct pairs with their counts to buckets of the pairs'
+hashes; a bucket adds them up and answers each chunk with the totals, in the order asked. With these the chunk knows which of its pairs
+are the corpus's only ones, and does the same for its words: counts, counts as a context, and pairs of that context seen once. Then it
+has all that its documents' losses need. Texts and answers meet by chunk; the chunk's texts are dealt once and read three times.
+
+score = target loss - background loss, in nats a token; less is nearer to the target. Texts without words (null and empty) have
+n_tokens 0 and losses and score 0. Rows without an id are background only.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, by_bytes, mix, raw, stash, table, tuned, unstash
+from .common import Words, mix, raw, table, tuned
 
-WORDS = 65_000
-PAIRS = 300_000
 MIX = 0.6
 SMOOTH = 0.5
+#: Bytes of text a chunk and a bucket stand for; more text makes more of them.
+CHUNK, BUCKET = 6 << 20, 24 << 20
 _U = np.uint64
-_WORD = np.dtype([("code", "<u8"), ("all", "<u4")])
-_PAIR = np.dtype([("code", "<u4"), ("all", "<u4"), ("target", "<u4")])
-#: Entries a task gathers before it sends them.
-_HOLD = 1 << 20
+#: Stands before a text's first word.
+_BEGIN = _U(0x5851F42D4C957F2D)
 
 
-def _pack(x: np.ndarray) -> bytes:
-    return b"".join(np.ascontiguousarray(x[c]).tobytes() for c in x.dtype.names)
+@dataclass(frozen=True)
+class Model:
+    """Both models, by what they are counted from; score() counts and answers in one plan."""
 
+    docs: DataFrame
+    target: DataFrame
+    text: str
+    key: str
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Numbers in as few bytes as the largest needs, the first byte of all, then the second: zeros and sorted tops compress."""
+    width = next(w for w in (1, 2, 4, 8) if w == 8 or not len(x) or int(x.max()) < 1 << 8 * w)
+    return bytes([width]) + np.ascontiguousarray(x.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T).tobytes()
 
-def _unpack(blob: bytes, kind: np.dtype) -> np.ndarray:
-    n, at = len(blob) // kind.itemsize, 0
-    out = np.empty(n, kind)
-    for c in kind.names:
-        out[c] = np.frombuffer(blob, kind[c], n, at)
-        at += n * kind[c].itemsize
-    return out
 
+def _pack(columns: Iterable[np.ndarray]) -> bytes:
+    return b"".join(map(_planes, columns))
 
-def _summed(parts: list[np.ndarray]) -> np.ndarray:
-    """Entries with one code added up, in order of code."""
-    x = np.concatenate(parts)
-    x = x[np.argsort(x["code"], kind="stable")]
-    start = np.flatnonzero(np.concatenate(([True], x["code"][1:] != x["code"][:-1]))) if len(x) else np.zeros(0, np.int64)
-    out = np.empty(len(start), x.dtype)
-    out["code"] = x["code"][start]
-    for c in x.dtype.names[1:]:
-        out[c] = np.minimum(np.add.reduceat(x[c].astype(np.int64), start), 0xFFFFFFFF) if len(start) else 0
+
+def _unpack(blob: bytes, n: int) -> list[np.ndarray]:
+    out, at = [], 0
+    while at < len(blob):
+        width = blob[at]
+        x = np.frombuffer(blob, np.uint8, n * width, at + 1).reshape(width, n)
+        out.append(np.ascontiguousarray(x.T).view(f"<u{width}").ravel().astype(_U))
+        at += 1 + n * width
     return out
 
 
-def _blobs(x: np.ndarray, bucket: np.ndarray) -> pa.RecordBatch:
-    order = np.argsort(bucket, kind="stable")
-    here, start = np.unique(bucket[order], return_index=True)
-    return pa.RecordBatch.from_arrays([pa.array(here.astype(np.int32)), pa.array([_pack(p) for p in np.split(x[order], start[1:])] if len(here) else [], pa.binary())], ["bucket", "blob"])
+_ASK = "bucket int, chunk int, n long, blob binary"
 
 
-def _gather(batches: Iterable[pa.RecordBatch], count, bucket) -> Iterator[pa.RecordBatch]:
-    held, n = [], 0
-    for batch in by_bytes(batches, "text"):
-        for part in count(batch):
-            held.append(part)
-            n += len(part)
-        if n > _HOLD:
-            held = [_summed(held)]
-            n = len(held[0])
-            if n > _HOLD // 2:
-                yield _blobs(held[0], bucket(held[0]["code"]))
-                held, n = [], 0
-    if held:
-        x = _summed(held)
-        yield _blobs(x, bucket(x["code"]))
+def _asks(chunk: int, n: int, code: np.ndarray, counts: list[np.ndarray]) -> pa.RecordBatch:
+    """A row for each bucket, in order; code is sorted, and buckets are its ranges."""
+    top = (code >> _U(40)) * _U(n) >> _U(24)
+    at = np.searchsorted(top, np.arange(n + 1).astype(_U))
+    blobs = [_pack([code[a:b], *(c[a:b] for c in counts)]) for a, b in zip(at, at[1:])]
+    return pa.RecordBatch.from_arrays([pa.array(np.arange(n, dtype=np.int32)), pa.array(np.full(n, chunk, np.int32)), pa.array(np.diff(at).astype(np.int64)), pa.array(blobs, pa.binary())], ["bucket", "chunk", "n", "blob"])
 
 
-def _received(batches: Iterable[pa.RecordBatch], kind: np.dtype) -> Iterator[tuple[int, np.ndarray]]:
-    held: dict[int, list[bytes]] = {}
+def _answers(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Totals over all chunks, to each chunk for what it asked. `head`: the bucket's words that occur, and the sums of its first two counts."""
+    held: dict[int, list[tuple[int, int, bytes]]] = {}
     for batch in batches:
-        for b, blob in zip(batch["bucket"].to_pylist(), batch["blob"].to_pylist(), strict=True):
-            held.setdefault(b, []).append(blob)
+        for b, *rest in zip(*(batch[c].to_pylist() for c in ("bucket", "chunk", "n", "blob")), strict=True):
+            held.setdefault(b, []).append(tuple(rest))
     for b in sorted(held):
-        yield b, _summed([_unpack(x, kind) for x in held.pop(b)])
+        asked = held.pop(b)
+        parts = [_unpack(blob, n) for _, n, blob in asked]
+        columns = []
+        for k in range(len(parts[0])):
+            columns.append(np.concatenate([p[k] for p in parts]))
+            for p in parts:
+                p[k] = None
+        found, where = np.unique(columns[0], return_inverse=True)
+        totals = [np.bincount(where, weights=c, minlength=len(found)).astype(_U) for c in columns[1:]]
+        del columns
+        head = [int((totals[0] > 0).sum()), int(totals[0].sum()), int(totals[1].sum())]
+        at = 0
+        for chunk, n, _ in asked:
+            mine = where[at : at + n]
+            at += n
+            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([chunk], pa.int32()), pa.array([n], pa.int64()), pa.array([_pack(t[mine] for t in totals)], pa.binary()), pa.array([head], pa.list_(pa.int64()))], ["bucket", "chunk", "n", "blob", "head"])
+
+
+def _told(answers: list[dict]) -> tuple[list[np.ndarray], np.ndarray]:
+    """The totals in order of the chunk's sorted codes, and the sum of the heads."""
+    answers = sorted(answers, key=lambda a: a["bucket"])
+    parts = [_unpack(a["blob"], a["n"]) for a in answers]
+    return [np.concatenate(x).astype(np.float64) for x in zip(*parts, strict=True)], np.sum([a["head"] for a in answers], axis=0)
+
+
+class _Chunk:
+    """A chunk's documents as words and pairs, the same each time whatever the order of its rows."""
+
+    def __init__(self, docs: pa.Array, good: pa.Scalar | None) -> None:
+        self.ids, self.asked = docs.field("id"), docs.field("ask")
+        self.words = words = Words(raw(docs.field("text")), lower=True)
+        self.now = words.hashes
+        self.before = np.concatenate(([_BEGIN], self.now[:-1])) if len(self.now) else self.now
+        self.before[words.at[:-1][np.diff(words.at) > 0]] = _BEGIN
+        with np.errstate(over="ignore"):
+            pair = mix(self.before * _U(0x9FB21C651E98DF25) + self.now)
+        self.pairs, self.pair = np.unique(pair, return_inverse=True)
+        counted = docs.field("counted").to_numpy(zero_copy_only=False)
+        trusted = counted & pc.is_in(self.ids, value_set=good.values).to_numpy(zero_copy_only=False) if good is not None and good.is_valid else np.zeros(len(self.ids), bool)
+        self.weights = [np.repeat(x.astype(np.float64), np.diff(words.at)) for x in (counted, trusted)]
+
+    def number_words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        codes, where = np.unique(np.concatenate((self.now, self.before)), return_inverse=True)
+        return codes, where[: len(self.now)], where[len(self.now) :]
+
+
+def _chunks(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, _Chunk, dict[str, list[dict]]]]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            row = batch.slice(i, 1)
+            good = row["good"][0] if "good" in row.schema.names else None
+            yield row["chunk"][0].as_py(), _Chunk(row["docs"][0].values, good), {c: row[c][0].as_py() for c in ("pairs", "words") if c in row.schema.names}
 
 
-def _at_least(counts: DataFrame, most: int) -> int:
-    """The least count that at most so many rows reach."""
-    steps = sorted(((r["n"], r["rows"]) for r in counts.groupBy(F.col("all").alias("n")).agg(F.count("*").alias("rows")).collect()), reverse=True)
-    least, total = (steps[0][0] + 1 if steps else 1), 0
-    for n, rows in steps:
-        total += rows
-        if total > most:
-            break
-        least = n
-    return least
+def _ask_pairs(n: int) -> Callable:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk, x, _ in _chunks(batches):
+            yield _asks(chunk, n, x.pairs, [np.bincount(x.pair, weights=w, minlength=len(x.pairs)).astype(_U) for w in x.weights])
 
+    return run
 
-class Model:
-    """Both models: arrays over word numbers and over kept pairs."""
-
-    def __init__(self, words: np.ndarray, single: np.ndarray, context: np.ndarray, pairs: np.ndarray, counts: np.ndarray) -> None:
-        """words: sorted hashes; single, context: counts by word number and model; pairs: sorted codes; counts by pair and model."""
-        self.words, self.pairs = words, pairs
-        k = len(words) + 2
-        self.k = k
-        total = single.sum(axis=0)
-        self.single = (single + SMOOTH) / (total + SMOOTH * k)
-        before = (pairs // k).astype(np.int64)
+
+def _ask_words(n: int) -> Callable:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk, x, told in _chunks(batches):
+            once = (_told(told["pairs"])[0][0] == 1)[x.pair]
+            codes, now, before = x.number_words()
+            counts = [np.bincount(at, weights=w * s, minlength=len(codes)).astype(_U) for at, s in ((now, 1), (before, 1), (before, once)) for w in x.weights]
+            yield _asks(chunk, n, codes, counts)
+
+    return run
+
+
+def _losses(x: _Chunk, told: dict[str, list[dict]]) -> tuple[np.ndarray, np.ndarray]:
+    """(tokens, summed losses by model) for each text."""
+    pair, _ = _told(told["pairs"])
+    word, (types, *total) = _told(told["words"])
+    _, now, before = x.number_words()
+    size = types + 2
+    sums = np.zeros((len(x.now) + 1, 2))
+    for m in range(2):
+        single, context, once = (word[2 * k + m] for k in range(3))
         safe = np.maximum(context, 1)
-        self.given = MIX * counts / safe[before]
-        kept = np.stack([np.bincount(before, weights=self.given[:, m], minlength=k) for m in range(2)], axis=1) if len(pairs) else np.zeros((k, 2))
-        self.rest = 1 - kept
-
-    def numbers(self, words: Words) -> np.ndarray:
-        return numbered(self.words, words.hashes)
-
-    def losses(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
-        """(tokens, summed losses by model) for each text."""
-        now = self.numbers(words)
-        last = previous(now, words, self.k)
-        code = last * self.k + now
-        p = self.rest[last] * self.single[now]
-        if len(self.pairs):
-            at = np.minimum(np.searchsorted(self.pairs, code), len(self.pairs) - 1)
-            hit = np.flatnonzero(self.pairs[at] == code)
-            p[hit] += self.given[at[hit]]
-        sums = np.concatenate((np.zeros((1, 2)), np.cumsum(-np.log(p), axis=0)))
-        return np.diff(words.at), sums[words.at[1:]] - sums[words.at[:-1]]
-
-
-def numbered(known: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """Word numbers; len(known) for unknown words."""
-    if not len(known):
-        return np.zeros(len(hashes), np.int64)
-    at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-    return np.where(known[at] == hashes, at, len(known)).astype(np.int64)
-
-
-def previous(now: np.ndarray, words: Words, k: int) -> np.ndarray:
-    """The number before each word; k - 1 at a text's beginning."""
-    last = np.concatenate(([k - 1], now[:-1])) if len(now) else now
-    begin = words.at[:-1][np.diff(words.at) > 0]
-    last[begin] = k - 1
-    return last
+        p = (1 - MIX * (context - once) / safe)[before] * ((single + SMOOTH) / (total[m] + SMOOTH * size))[now]
+        p += np.where(pair[0] > 1, MIX * pair[m], 0)[x.pair] / safe[before]
+        np.cumsum(-np.log(p), out=sums[1:, m])
+    at = x.words.at
+    return np.diff(at), sums[at[1:]] - sums[at[:-1]]
 
 
 def train(docs: DataFrame, target: DataFrame, text: str = "text", key: str = "doc_id") -> Model:
     """Models of all documents and of those whose id is in target."""
-    spark = tuned(docs.sparkSession)
-    n = max(32, 4 * docs.rdd.getNumPartitions())
-    src = docs.select(docs[key].alias("id"), docs[text].cast("string").alias("text"))
-
-    def words_of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def count(batch):
-            code, times = np.unique(Words(raw(batch["text"]), lower=True).hashes, return_counts=True)
-            x = np.empty(len(code), _WORD)
-            x["code"], x["all"] = code, times
-            yield x
-
-        return _gather(batches, count, lambda c: (c >> _U(20)) % _U(n))
-
-    def add_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, x in _received(batches, _WORD):
-            yield pa.RecordBatch.from_arrays([pa.array(x["code"].view(np.int64)), pa.array(x["all"].astype(np.int64))], ["code", "all"])
-
-    counted = stash(src.select("text").mapInArrow(words_of, "bucket int, blob binary").repartition(n, "bucket").mapInArrow(add_words, "code long, all long"))
-    known = np.sort(counted.where(F.col("all") >= _at_least(counted, WORDS)).select("code").toArrow()["code"].to_numpy().view(_U))
-    unstash(counted)
-    k = len(known) + 2
-    sent = spark.sparkContext.broadcast(known)
-
-    def pairs_of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = sent.value
-
-        def count(batch):
-            words = Words(raw(batch["text"]), lower=True)
-            now = numbered(own, words.hashes)
-            code = previous(now, words, k) * k + now
-            good = np.repeat(batch["good"].to_numpy(zero_copy_only=False), np.diff(words.at))
-            for c in (code, k * k + now, k * k + k + code // k):  # pairs; then words; then words as the first of a pair
-                found, where, times = np.unique(c, return_inverse=True, return_counts=True)
-                x = np.empty(len(found), _PAIR)
-                x["code"], x["all"], x["target"] = found, times, np.bincount(where, weights=good, minlength=len(found))
-                yield x
-
-        return _gather(batches, count, lambda c: mix(c) % _U(n))
-
-    def add_pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """kind 0: a word's counts; 1: its counts as the first of a pair; 2: a pair's."""
-
-        def rows(kind: int, code: np.ndarray, *counts: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(code), kind, np.int32)), *(pa.array(c.astype(np.int64)) for c in (code, *counts))], ["kind", "code", "all", "target"])
-
-        for _, x in _received(batches, _PAIR):
-            kind = np.minimum(np.maximum(x["code"].astype(np.int64) - (k * k - k), 0) // k, 2)  # 0: pair, 1: word, 2: first word
-            for which, low in ((1, k * k), (2, k * k + k)):
-                y = x[kind == which]
-                yield rows(which - 1, y["code"].astype(np.int64) - low, y["all"], y["target"])
-            y = x[(kind == 0) & (x["all"] > 1)]
-            yield rows(2, y["code"], y["all"], y["target"])
-
-    # by shuffle at every size: ids of labelled documents grow with the corpus
-    trusted = target.select(target[key].alias("id")).where("id IS NOT NULL").distinct().withColumn("good", F.lit(True)).hint("merge")
-    flagged = src.join(trusted, "id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
-    made = stash(flagged.mapInArrow(pairs_of, "bucket int, blob binary").repartition(n, "bucket").mapInArrow(add_pairs, "kind int, code long, all long, target long"))
-    words = made.where("kind < 2").select("kind", "code", "all", "target").toArrow()
-    counts = np.zeros((2, k, 2))
-    for kind, code, *two in zip(*(words[c].to_numpy() for c in ("kind", "code", "all", "target")), strict=True):
-        counts[kind, code] = two
-    pairs = made.where("kind = 2")
-    kept = pairs.where(F.col("all") >= _at_least(pairs, PAIRS)).select("code", "all", "target").toArrow()
-    unstash(made)
-    order = np.argsort(kept["code"].to_numpy())
-    return Model(known, counts[0], counts[1], kept["code"].to_numpy()[order], np.stack([kept["all"].to_numpy()[order], kept["target"].to_numpy()[order]], axis=1))
+    return Model(docs, target, text, key)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, n_tokens, target_loss, background_loss, score) of each row; losses are means over its tokens."""
-    spark = tuned(docs.sparkSession)
-    src = docs.select(docs[key].alias(key), docs[text].cast("string").alias("text"))
-    sent = spark.sparkContext.broadcast(model)
+    tuned(docs.sparkSession).conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(CHUNK // 2))  # a chunk is one row
+    kind = docs.schema[key].dataType
+
+    def rows(d: DataFrame, text: str, key: str, counted: bool, ask: bool) -> DataFrame:
+        return d.select(d[key].cast(kind).alias("id"), d[text].cast("string").alias("text"), F.lit(counted).alias("counted"), F.lit(ask).alias("ask"))
+
+    if (text, key) == (model.text, model.key) and docs.sameSemantics(model.docs):
+        src = rows(docs, text, key, True, True)
+    else:
+        src = rows(model.docs, model.text, model.key, True, False).union(rows(docs, text, key, False, True))
+    size = src.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    chunks, n = max(4, size // CHUNK), max(32, size // BUCKET)
+
+    def chunk(by: Column) -> Column:
+        # never null, so that inner joins add no filter and Spark deals the texts once
+        return F.coalesce(F.pmod(by, F.lit(chunks)).cast("int"), F.lit(0)).alias("chunk")
+
+    by_id = F.when(F.col("id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("id"))
+    texts = src.select(chunk(by_id), F.struct("id", "text", "counted", "ask").alias("d")).groupBy("chunk").agg(F.collect_list("d").alias("docs")).hint("merge")
+    good = model.target.select(model.target[model.key].cast(kind).alias("id")).where("id IS NOT NULL").distinct()
+    good = good.select(chunk(F.xxhash64("id")), "id").groupBy("chunk").agg(F.collect_list("id").alias("good")).hint("merge")
+
+    def answered(asked: DataFrame, ask: Callable, name: str) -> DataFrame:
+        told = asked.mapInArrow(ask, _ASK).repartition(n, "bucket").mapInArrow(_answers, "bucket int, chunk int, n long, blob binary, head array<long>")
+        return told.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "n", "blob", "head")).alias(name)).hint("merge")
+
+    pairs = answered(texts.join(good, "chunk", "left"), _ask_pairs(n), "pairs")
+    words = answered(texts.join(good, "chunk", "left").join(pairs, "chunk"), _ask_words(n), "words")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = sent.value
-        for batch in by_bytes(batches, "text"):
-            n, loss = own.losses(Words(raw(batch["text"]), lower=True))
-            mean = loss / np.maximum(n, 1)[:, None]
-            yield pa.RecordBatch.from_arrays([batch[key], pa.array(n.astype(np.int64)), pa.array(mean[:, 1]), pa.array(mean[:, 0]), pa.array(mean[:, 1] - mean[:, 0])], [key, "n_tokens", "target_loss", "background_loss", "score"])
+        for _, x, told in _chunks(batches):
+            tokens, loss = _losses(x, told)
+            mean = loss / np.maximum(tokens, 1)[:, None]
+            made = pa.RecordBatch.from_arrays([x.ids, pa.array(tokens.astype(np.int64)), pa.array(mean[:, 1]), pa.array(mean[:, 0]), pa.array(mean[:, 1] - mean[:, 0])], [key, "n_tokens", "target_loss", "background_loss", "score"])
+            yield made.filter(x.asked)
 
-    return src.mapInArrow(run, f"`{key}` {src.schema[key].dataType.simpleString()}, n_tokens long, target_loss double, background_loss double, score double")
+    return texts.join(pairs, "chunk").join(words, "chunk").mapInArrow(run, f"`{key}` {kind.simpleString()}, n_tokens long, target_loss double, background_loss double, score double")
 
 
 def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

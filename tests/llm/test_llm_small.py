@@ -353,3 +353,29 @@ def test_words_match_plain_python():
             assert seen.setdefault(x, h) == h
     assert len(set(seen.values())) == len(seen)
     assert F is not None
+
+
+def test_lm_score_keeps_all_words_and_pairs(spark):
+    """More words and more repeated pairs than fixed model sizes of 65,000 and 300,000 would hold; documents that were not counted."""
+    import math
+
+    words = [f"v{i}" for i in range(70_000)]
+    texts = [" ".join(words[i] for i in (random.Random(s).sample(range(70_000), 70_000))) for s in range(5)]
+    rows = [(s * 2 + k, t) for s, t in enumerate(texts) for k in range(2)]
+    d = spark.createDataFrame([*rows, (50, "rare pair"), (51, "rare pair")], "doc_id long, text string")
+    model = lm_score.train(d, spark.createDataFrame([(50,)], "doc_id long"))
+    got = {r["doc_id"]: r for r in lm_score.score(d, model).collect()}
+    assert len(got) == len(rows) + 2
+    total, size = 700_004, 70_004
+    begin = 0.4 * 2.5 / (total + 0.5 * size) + 0.6 * 2 / 12
+    pair = 0.4 * 2.5 / (total + 0.5 * size) + 0.6
+    assert got[50]["background_loss"] == pytest.approx(-(math.log(begin) + math.log(pair)) / 2, abs=1e-9)
+    first, single = 0.4 * 10.5 / (total + 0.5 * size), 0.4 * 10.5 / (total + 0.5 * size)
+    near = got[0]["background_loss"] * 70_000
+    # each pair of the shuffled texts occurs in both copies of its text; a pair shared between texts is rare
+    assert near == pytest.approx(-(math.log(first + 0.6 * 2 / 12) + 69_999 * math.log(single + 0.6 * 2 / 10)), rel=1e-3)
+    other = spark.createDataFrame([(7, "rare pair"), (8, "never seen"), (9, None)], "doc_id long, text string")
+    new = {r["doc_id"]: r for r in lm_score.score(other, model).collect()}
+    assert set(new) == {7, 8, 9} and new[9]["n_tokens"] == 0
+    assert new[7]["background_loss"] == pytest.approx(got[50]["background_loss"], abs=1e-9)
+    assert new[8]["background_loss"] == pytest.approx(-(math.log(0.4 * 0.5 / (total + 0.5 * size)) + math.log(0.5 / (total + 0.5 * size))) / 2, abs=1e-9)
