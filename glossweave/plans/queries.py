@@ -449,6 +449,22 @@ def verify_verbatim(s, d):
     return align.verbatim(docs.select("doc_id", "item_id").join(F.broadcast(b), "item_id"), docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "doc_id", "part").select("doc_id", "item_id", "part")
 
 
+@query(r"""WITH t AS (SELECT doc_id, lower(trim(regexp_replace(coalesce(text, ''), '[\s]+', ' ', 'g'))) AS whole FROM documents), b AS (SELECT item_id, text AS part, lower(trim(regexp_replace(text, '[\s]+', ' ', 'g'))) AS item FROM benchmark)
+SELECT doc_id, item_id, part FROM t JOIN b ON contains(whole, item)""")
+def verify_verbatim_whole(s, d):
+    """Every benchmark item, whole, against every document. Words inside an item stand whole in a document that holds it, so both meet by equality
+    at the run of up to eight words after the item's first; an item of under three words has none and meets every document."""
+    docs = table(s, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    items = table(s, d, "benchmark").where("text IS NOT NULL").select("item_id", F.col("text").alias("part"), F.split(text.collapse(F.col("text")), " ").alias("w")).withColumn("width", F.least(F.lit(8), F.size("w") - 2))
+    run = lambda i: F.xxhash64(F.array_join(F.slice("w", i, F.col("width")), " "))
+    keys = items.where("width > 0").select("item_id", "part", "width", run(F.lit(2)).alias("run"))
+    w = docs.select("doc_id", F.split(text.collapse(F.col("text")), " ").alias("w")).join(F.broadcast(keys.select("width").distinct()), F.size("w") >= F.col("width") + 2)
+    runs = w.select("doc_id", "width", F.explode(F.transform(F.sequence(F.lit(2), F.size("w") - F.col("width")), run)).alias("run")).distinct()
+    met = runs.join(keys, ["width", "run"]).select("doc_id", "item_id", "part")
+    short = docs.select("doc_id").crossJoin(F.broadcast(items.where("width <= 0").select("item_id", "part")))
+    return align.verbatim(met.union(short), docs, "doc_id", "part").select("doc_id", "item_id", "part")
+
+
 @query(with_("pairs") + " SELECT row_index, 'a-' || source_year || '_b-1999_' || lpad((row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::VARCHAR, 5, '0') AS pair_id FROM pairs")
 def finalize_ids(s, d):
     p = views.pairs(s, d)
