@@ -317,9 +317,10 @@ def pair_reverse_fallback(s, d):
 # --- contributions -------------------------------------------------------------------------------------------------
 
 
-def _contributions(s, d):
-    """Contributions made of documents: ids decide what is broken about them."""
-    w = F.slice(F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda x: x != ""), 1, 4)
+def _contributions(s, d, first=None):
+    """Contributions made of documents, of all words or the first few: ids decide what is broken about them."""
+    w = F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda x: x != "")
+    w = w if first is None else F.slice(w, 1, first)
     i = F.col("doc_id")
     token = lambda x: F.struct(x.alias("surface"), F.array().cast("array<string>").alias("alt"), F.when(i % 5 == 0, "name").otherwise("word").alias("class"), F.startswith(x, F.lit("E")).alias("gap"))
     return table(s, d, "documents").select(
@@ -343,14 +344,39 @@ rows AS (SELECT CASE WHEN i % 13 <> 0 THEN lang END AS iso_code, form, (1000 + i
   CASE WHEN i % 5 = 0 AND len(w) > 0 THEN 'PER' ELSE 'O' END AS ner, CASE WHEN i % 5 = 0 AND len(w) > 0 THEN 'name:' || form END AS sense_id FROM f WHERE form <> '')"""
 
 
-@query(f"WITH {_ROWS} SELECT iso_code, form, form AS lemma, sense_id, attestation_year, source, doc_type, ner FROM rows")
+_ROWS_WHOLE = _ROWS.replace("[1:4]", "")
+_ROW = "iso_code, form, form AS lemma, sense_id, attestation_year, source, doc_type, ner"
+_RANGES = "iso_code, min(attestation_year) AS year_from, max(attestation_year) AS year_to, count(*) AS n_rows"
+
+
+def _contribution_rows(s, d, first=None):
+    return contrib.relational_rows(_contributions(s, d, first)).select("iso_code", "form", "lemma", "sense_id", "attestation_year", "source", "doc_type", "ner")
+
+
+def _ranges(s, d, first=None):
+    return contrib.relational_rows(_contributions(s, d, first)).groupBy("iso_code").agg(F.min("attestation_year").alias("year_from"), F.max("attestation_year").alias("year_to"), F.count("*").alias("n_rows"))
+
+
+@query(f"WITH {_ROWS} SELECT {_ROW} FROM rows")
 def contribution_rows(s, d):
-    return contrib.relational_rows(_contributions(s, d)).select("iso_code", "form", "lemma", "sense_id", "attestation_year", "source", "doc_type", "ner")
+    """Of the first four words; contribution_rows_whole takes all."""
+    return _contribution_rows(s, d, 4)
+
+
+@query(f"WITH {_ROWS_WHOLE} SELECT {_ROW} FROM rows")
+def contribution_rows_whole(s, d):
+    return _contribution_rows(s, d)
 
 
-@query(f"WITH {_ROWS} SELECT iso_code, min(attestation_year) AS year_from, max(attestation_year) AS year_to, count(*) AS n_rows FROM rows GROUP BY ALL")
+@query(f"WITH {_ROWS} SELECT {_RANGES} FROM rows GROUP BY ALL")
 def relational_partition_ranges(s, d):
-    return contrib.relational_rows(_contributions(s, d)).groupBy("iso_code").agg(F.min("attestation_year").alias("year_from"), F.max("attestation_year").alias("year_to"), F.count("*").alias("n_rows"))
+    """Of the first four words; relational_partition_ranges_whole takes all."""
+    return _ranges(s, d, 4)
+
+
+@query(f"WITH {_ROWS_WHOLE} SELECT {_RANGES} FROM rows GROUP BY ALL")
+def relational_partition_ranges_whole(s, d):
+    return _ranges(s, d)
 
 
 # --- alignment ---------------------------------------------------------------------------------------------------------

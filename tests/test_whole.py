@@ -18,3 +18,14 @@ def test_verbatim_all_items_whole(spark, tmp_path):
     flat = lambda t: " ".join((t or "").lower().split())
     assert got == {(i, k) for i, t in docs for k, p in items if p and flat(p) in flat(t)}
     assert {(1, 55), (3, 0), (6, 71)} <= got and (2, 0) not in got
+
+
+def test_contributions_of_all_words(spark, tmp_path):
+    text = "Eins zwei drei vier fünf Ende sechs"
+    docs = [(1, text, "de", "s"), (2, "Ea Eb Ec Ed five", "de", "s"), (3, "x", "de", "s")]
+    d = saved(spark, tmp_path, documents=(docs, "doc_id long, text string, lang string, source string"))
+    got = {r["attestation_year"]: r["form"] for r in q.contribution_rows_whole(spark, d).collect()}
+    assert got == {1001: "zwei drei vier fünf sechs", 1002: "five"}
+    assert [tuple(r) for r in q.relational_partition_ranges_whole(spark, d).collect()] == [("de", 1001, 1002, 2)]
+    origins = q._contributions(spark, d).where("doc_id = 1").selectExpr("size(origin.tokens) AS n").first()
+    assert origins["n"] == 7
