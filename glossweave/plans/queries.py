@@ -84,7 +84,16 @@ def dice_pairs(s, d):
 
 @query(with_("tokens") + " SELECT a.row_index, a.token_index, levenshtein(lower(a.token), lower(b.token))::INT AS distance FROM tokens a JOIN tokens b USING (row_index, token_index) WHERE a.side = 0 AND b.side = 1 AND regexp_full_match(a.token, '[A-Za-z]+') AND regexp_full_match(b.token, '[A-Za-z]+')")
 def edit_distance_pairs(s, d):
-    t = views.tokens(s, d).where(F.col("token").rlike("^[A-Za-z]+$"))
+    return _edit_distances(views.tokens(s, d).where(F.col("token").rlike("^[A-Za-z]+$")))
+
+
+@query()
+def edit_distance_pairs_whole(s, d):
+    """Over all tokens, in characters; SQL's edit distance counts bytes."""
+    return _edit_distances(views.tokens(s, d))
+
+
+def _edit_distances(t):
     b = t.where("side = 1").select("row_index", "token_index", F.col("token").alias("other"))
     return t.where("side = 0").join(b, ["row_index", "token_index"]).select("row_index", "token_index", text.edit_distance(F.col("token"), F.col("other")).alias("distance"))
 
@@ -117,10 +126,10 @@ def lookup_candidates(s, d):
     return serve.lookup_candidates(_asked(s), views.gram_postings(views.tokens(s, d))).withColumn("dice", r6("dice"))
 
 
-def _refined(s, d):
+def _refined(s, d, whole=False):
     words = views.tokens(s, d)
-    # SQL's edit distance counts bytes: ASCII tokens alone
-    return serve.lookup_refined(serve.lookup_candidates(_asked(s), views.gram_postings(words)), words.where(F.col("token").rlike("^[A-Za-z]+$")))
+    # SQL's edit distance counts bytes: ASCII tokens alone where there is SQL
+    return serve.lookup_refined(serve.lookup_candidates(_asked(s), views.gram_postings(words)), words if whole else words.where(F.col("token").rlike("^[A-Za-z]+$")))
 
 
 @query(with_("postings", "queries") + ",\n" + _CAND + ",\n" + _REFINED + " SELECT query_id, row_index, side, token_index, token, distance::INT AS distance FROM refined")
@@ -128,6 +137,11 @@ def lookup_refined(s, d):
     return _refined(s, d).select("query_id", "row_index", "side", "token_index", "token", "distance")
 
 
+@query()
+def lookup_refined_whole(s, d):
+    return _refined(s, d, True).select("query_id", "row_index", "side", "token_index", "token", "distance")
+
+
 _LOOKUP = _CAND + ",\n" + _REFINED + """,
 m AS (SELECT query_id, row_index, side, list(DISTINCT token_index ORDER BY token_index) AS matched FROM refined GROUP BY ALL),
 l AS (SELECT query_id, row_index, side, matched, CASE side WHEN 0 THEN target_tokens ELSE source_tokens END AS other, list_filter(links, lambda x: list_contains(matched, x.idx))[1] AS link FROM m JOIN linked USING (row_index))"""
@@ -138,11 +152,21 @@ def lookup_batch(s, d):
     return serve.lookup(_refined(s, d), views.linked(s, d)).withColumn("matched", F.array_join("matched", ",")).drop("tag_rank")
 
 
+@query()
+def lookup_batch_whole(s, d):
+    return serve.lookup(_refined(s, d, True), views.linked(s, d)).withColumn("matched", F.array_join("matched", ",")).drop("tag_rank")
+
+
 @query(with_("postings", "linked", "queries") + ",\n" + _LOOKUP + """ SELECT query_id, row_index, side, CASE WHEN link.upos IS NULL THEN 1 WHEN link.upos <> 'NOUN' THEN 2 ELSE 0 END + CASE WHEN link.ner IS NULL THEN 1 WHEN link.ner <> 'PER' THEN 2 ELSE 0 END AS tag_rank FROM l""")
 def lookup_tag_ranked(s, d):
     return serve.lookup(_refined(s, d), views.linked(s, d), upos="NOUN", ner="PER").select("query_id", "row_index", "side", "tag_rank")
 
 
+@query()
+def lookup_tag_ranked_whole(s, d):
+    return serve.lookup(_refined(s, d, True), views.linked(s, d), upos="NOUN", ner="PER").select("query_id", "row_index", "side", "tag_rank")
+
+
 #: Passage queries: id, text, side, year, window (null: none).
 PASSAGES = [(1, "the of and there", 0, 1500, 400), (2, "eaux que la de", 0, 1200, None), (3, "ando que ción", 1, 1990, 50), (4, "und der ist", 1, None, None), (5, "thand with the ention", 0, 1800, 300)]
 
@@ -258,7 +282,16 @@ _CONF = "((row_index * 7919) % 1000) / 1000.0"
 @query(with_("postings", "linked", "queries") + ",\n" + _LOOKUP + f""", h AS (SELECT query_id, row_index, other[link.idx + 1] AS span, {_CONF} AS confidence FROM l), b AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY confidence DESC, row_index) AS r FROM h WHERE span IS NOT NULL)
 SELECT query_id, row_index, span, confidence FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY r) AS q FROM b WHERE r <= 5 AND confidence >= 0.75) WHERE q = 1""")
 def fallback_native(s, d):
-    hits = serve.lookup(_refined(s, d), views.linked(s, d)).select("query_id", "row_index", "span", ((F.col("row_index") * 7919) % 1000 / 1000.0).alias("confidence"))
+    return _native(s, d, False)
+
+
+@query()
+def fallback_native_whole(s, d):
+    return _native(s, d, True)
+
+
+def _native(s, d, whole):
+    hits = serve.lookup(_refined(s, d, whole), views.linked(s, d)).select("query_id", "row_index", "span", ((F.col("row_index") * 7919) % 1000 / 1000.0).alias("confidence"))
     return serve.fallback_native(hits)
 
 
@@ -711,9 +744,10 @@ def _tokens_to_tag(s, d):
 
 
 def _tag_replies(s, d):
+    """Replies in upper case, but for tokens that it turns into others: 'ß' becomes 'SS'."""
     t = _tokens_to_tag(s, d)
     p = F.col("position")
-    return t.select("seq", "position", F.when(p % 7 == 0, "?").otherwise(F.upper("token")).alias("token"), F.when(p % 3 == 0, "noun").when(p % 3 == 1, "bad").otherwise("VERB").alias("upos"), F.when(p % 5 == 0, "PER").otherwise("O").alias("ner"), F.lower("token").alias("lemma"))
+    return t.select("seq", "position", F.when(p % 7 == 0, "?").when(F.length(F.upper("token")) == F.length("token"), F.upper("token")).otherwise(F.col("token")).alias("token"), F.when(p % 3 == 0, "noun").when(p % 3 == 1, "bad").otherwise("VERB").alias("upos"), F.when(p % 5 == 0, "PER").otherwise("O").alias("ner"), F.lower("token").alias("lemma"))
 
 
 _FUNCTION_WORDS = [("a", 1500, "the", "DET"), ("a", 1500, "of", "ADP"), ("b", 1500, "and", "CCONJ"), ("b", 1500, "la", "DET")]
@@ -725,15 +759,32 @@ SELECT seq, position, token, CASE WHEN u = 'X' THEN coalesce(reg.upos, 'X') ELSE
 
 @query(_TAGGED)
 def classify_resolve(s, d):
-    ascii_ = F.col("token").rlike("^[A-Za-z]+$")
+    return _resolved(s, _tokens_to_tag(s, d).where(F.col("token").rlike("^[A-Za-z]+$")), d)
+
+
+@query(_TAGGED.replace(" WHERE regexp_full_match(token, '[A-Za-z]+')", ""))
+def classify_resolve_whole(s, d):
+    return _resolved(s, _tokens_to_tag(s, d), d)
+
+
+def _resolved(s, tokens, d):
     reg = s.createDataFrame(_FUNCTION_WORDS, "lang string, year int, form string, upos string")
-    return adapters.resolve_tags(_tokens_to_tag(s, d).where(ascii_), _tag_replies(s, d), reg).select("seq", "position", "token", "upos", "ner", "lemma")
+    return adapters.resolve_tags(tokens, _tag_replies(s, d), reg).select("seq", "position", "token", "upos", "ner", "lemma")
 
 
 @query("WITH " + _TAGGED.split("WITH RECURSIVE ", 1)[1].replace("SELECT seq, position, token,", "SELECT lang, form, upos FROM (SELECT u.lang, lower(token) AS form, seq, position,", 1).replace("AS upos, ner, CASE WHEN same THEN lower(token) END AS lemma", "AS upos", 1) + ") WHERE upos IN ('DET', 'ADP', 'CCONJ') GROUP BY ALL")
 def registry_fill(s, d):
     """Function words found, to be added to the registry: one row a form, the last tag wins."""
-    t = classify_resolve(s, d).withColumn("lang", F.when(F.col("seq") % 2 == 0, "a").otherwise("b")).where(F.col("upos").isin(tags.CLOSED))
+    return _filled(classify_resolve(s, d))
+
+
+@query()
+def registry_fill_whole(s, d):
+    return _filled(classify_resolve_whole(s, d))
+
+
+def _filled(t):
+    t = t.withColumn("lang", F.when(F.col("seq") % 2 == 0, "a").otherwise("b")).where(F.col("upos").isin(tags.CLOSED))
     return t.groupBy("lang", F.lower("token").alias("form")).agg(F.max_by("upos", F.struct("seq", "position")).alias("upos")).select("lang", "form", "upos")
 
 

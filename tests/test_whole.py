@@ -29,3 +29,26 @@ def test_contributions_of_all_words(spark, tmp_path):
     assert [tuple(r) for r in q.relational_partition_ranges_whole(spark, d).collect()] == [("de", 1001, 1002, 2)]
     origins = q._contributions(spark, d).where("doc_id = 1").selectExpr("size(origin.tokens) AS n").first()
     assert origins["n"] == 7
+
+
+def levenshtein(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def test_all_tokens_refined_compared_and_tagged(spark, tmp_path):
+    talk = [(1, 0, "user", "the tión größe, tion 12"), (1, 1, "assistant", "ande ändé grösse. Ande 13")]
+    d = saved(spark, tmp_path, conversations=(talk, "conv_id long, turn long, role string, text string"))
+    a, b = ["the", "tión", "größe", ",", "tion", "12"], ["ande", "ändé", "grösse", ".", "Ande", "13"]
+    got = {r["token_index"]: r["distance"] for r in q.edit_distance_pairs_whole(spark, d).collect()}
+    assert got == {i: levenshtein(x.lower(), y.lower()) for i, (x, y) in enumerate(zip(a, b, strict=True))}
+    found = {(r["query_id"], r["token"]): r["distance"] for r in q.lookup_refined_whole(spark, d).collect()}
+    assert found[2, "tión"] == 1 and found[2, "tion"] == 0
+    matched = {r["query_id"]: r["matched"] for r in q.lookup_batch_whole(spark, d).collect()}
+    assert matched[2] == "1,4"
+    assert sorted(r["token"] for r in q.classify_resolve_whole(spark, d).collect()) == sorted(a + b)
