@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
 import os
 import tempfile
@@ -13,8 +14,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows an Arrow batch holds at most; bounds a worker's memory when texts are long.
-BATCH_ROWS = 1000
+#: Rows and bytes an Arrow batch holds at most; they bound a worker's memory. A longer row is alone.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+#: Partitions that buckets are dealt to at most. Where there are more buckets, a partition streams its buckets one after the other.
+MOST_PARTITIONS = 32_768
 #: Entries a worker's memo of words holds before it starts anew.
 MEMO = 400_000
 _SHIFT = np.uint64(31)
@@ -27,6 +30,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def tuned(spark: SparkSession) -> SparkSession:
     """Small Arrow batches, and this package on the workers' path."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     paths = spark.sparkContext.environment.get("PYTHONPATH", "")
     if root not in paths.split(os.pathsep):
@@ -34,16 +38,29 @@ def tuned(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def no_clash(kept: Iterable[str], made: Iterable[str]) -> None:
+    """Raise ValueError where a kept column has the name of another or of a result column, whatever the case of its letters."""
+    kept = [c.lower() for c in kept]
+    made = {c.lower() for c in made}
+    if bad := sorted({c for c in kept if c in made or kept.count(c) > 1}):
+        raise ValueError(f"columns {bad} clash with result columns or each other")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir. Only where that is unset, as in tests, a temporary folder serves."""
+    """A new folder below spark.checkpoint.dir. Where that is unset, a temporary folder serves in local mode; a cluster must name one."""
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not base:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="glossweave-")
         sc.setCheckpointDir(base)
     return f"{base.rstrip('/')}/glossweave-{uuid.uuid4().hex}"
 
 
+_STASHED: dict[str, SparkSession] = {}
+
+
 def stash(df: DataFrame) -> DataFrame:
     """The rows written once to the shared folder and read back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
@@ -51,16 +68,44 @@ def stash(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._glossweave_path = path
+    if not _STASHED:
+        atexit.register(clear_stashes)
+    _STASHED[path] = spark
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    _STASHED.pop(path, None)
+
+
 def unstash(*dfs: DataFrame) -> None:
     """Delete stashed rows that no later plan reads."""
     for df in dfs:
         if path := getattr(df, "_glossweave_path", None):
-            jvm = df.sparkSession._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(df.sparkSession, path)
+
+
+def clear_stashes() -> None:
+    """Delete what results still read: call it when they are written. The end of the driver's Python does, where Spark still runs."""
+    for path, spark in list(_STASHED.items()):
+        try:
+            _delete(spark, path)
+        except Exception:  # noqa: BLE001  Spark has stopped: its folder outlives it
+            _STASHED.pop(path, None)
+
+
+def dealt(rows: DataFrame, buckets: int, *order: str) -> DataFrame:
+    """Rows with a column `bucket` dealt by it: the rows of a bucket are in one partition, one after the other."""
+    return rows.repartition(min(buckets, MOST_PARTITIONS), "bucket").sortWithinPartitions("bucket", *order)
+
+
+def buckets_for(docs: DataFrame, stored: int, least: int = 32) -> int:
+    """So many buckets that each stands for about so many bytes of stored input, from the number of input partitions."""
+    spark = docs.sparkSession
+    each = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    return max(least, docs.rdd.getNumPartitions() * max(1, each // stored))
 
 
 def release_memory() -> None:
@@ -219,4 +264,6 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError("components did not settle")
     roots = now.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node")
-    return roots.union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct().join(now.select(F.col("u").alias("node")).distinct(), "node", "left_anti"))
+    out = stash(roots.union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct().join(now.select(F.col("u").alias("node")).distinct(), "node", "left_anti")))
+    unstash(now)
+    return out

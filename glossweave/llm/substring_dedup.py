@@ -5,14 +5,18 @@ corpus. Each 35-word window is therefore routed by its anchor, the least-hashed
 anchors, so that the shard of an anchor's segments (the words that the windows with that anchor cover) holds every
 start of each of its windows. A shard is bounded; its automaton lives in one task and meets only the segments that can match it.
 
-1. One pass over the texts finds anchors; what is sent is the anchor's hash, its windows and a hash of the segment.
-2. Anchors that occur once are done. Where all segments of an anchor are equal, each of its windows repeats.
-3. Of other anchors one copy of each different segment is fetched. Their suffix automaton, with the number of starts of
+1. One pass over the texts finds anchors; what is sent is the anchor's hash, its windows and a hash of the segment. A segment with
+   two starts needs no comparison, as all of its windows repeat. Of equal segments in a group of texts one is sent, so that no anchor,
+   however common, brings more to its task than a few starts a group.
+2. Of anchors with other segments, a copy of each segment is fetched. Their suffix automaton, with the number of starts of
    each of its strings, is streamed with each segment: where at least 35 matched words have two or more starts, they go.
-   Anchors with more than WIDE different segments are split by window instead, and starts of each window counted.
-4. Spans found are merged by document and removed.
+   Anchors with more than WIDE different segments (the edges of a very common passage) are split by window instead, and
+   starts of each window counted, by 128 bits of hashes.
+3. Spans found are merged by document and removed.
 
-A null text has no words. Rows that are equal, ids included, each count as a start of their own.
+Results are the same by either way. README tells which share of the windows is decided where.
+
+A null text has no words; a text of under 35 words loses none. Rows that are equal, ids included, each count as a start of their own.
 """
 
 from __future__ import annotations
@@ -26,12 +30,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import RunHash, Words, by_bytes, raw, stash, table, tuned, unstash, windows
+from .common import RunHash, Words, buckets_for, by_bytes, dealt, no_clash, raw, stash, table, tuned, unstash, windows
 
 WINDOW = 35
 GRAM = 8
 #: Different segments an automaton takes at most: about 50,000 words.
 WIDE = 1000
+#: Bytes of text that a task looks at together before it sends, and different segments of one anchor that such a group sends to the anchor's bucket.
+GROUP, LOCAL = 16 << 20, 64
+#: Bytes of starts that a task holds before those of wide anchors go.
+HOLD = 64 << 20
 _U = np.uint64
 _POS = _U(26)  # bits of a word's position in its document
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -128,206 +136,305 @@ class Automaton:
         return out
 
 
-_PACK = np.dtype([("key", "<u8"), ("seg", "<u8"), ("rid", "<i8"), ("first", "<u4"), ("more", "<u2")])
+#: A start of an anchor: its hash, a hash of its segment, row and first window, windows after that; 2 times stands for more, too.
+_START = np.dtype([("key", "<u8"), ("seg", "<u8"), ("rid", "<i8"), ("first", "<u4"), ("more", "<u2"), ("times", "u1")])
+#: A window of a wide anchor.
+_WINDOW = np.dtype([("key", "<u8"), ("hash", "<u8"), ("rid", "<i8"), ("at", "<u4"), ("times", "u1")])
+_SPAN = np.dtype([("rid", "<i8"), ("first", "<u4"), ("last", "<u4")])
+#: What a packed row holds.
+STARTS, WIDE_STARTS, SPANS, SEGMENT, WINDOWS = range(5)
+_MORE = 60_000  # windows that "more" can tell; longer runs, as in a text of one word, are sent in pieces
 
 
-def _send(cols: dict[str, np.ndarray], buckets: int) -> tuple[np.ndarray, list[bytes]]:
-    bucket = (cols["key"] >> _U(24)) % _U(buckets)
+def _packed(rows: np.ndarray, bucket: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """(bucket, rows of it as bytes, column by column, so that they compress)."""
+    if not len(rows):
+        return
     order = np.argsort(bucket, kind="stable")
     here, start = np.unique(bucket[order], return_index=True)
-    ends = [*start[1:], len(order)]
-    return here.astype(np.int32), [b"".join(np.ascontiguousarray(cols[c][order[a:b]].astype(_PACK[c])).tobytes() for c in _PACK.names) for a, b in zip(start, ends, strict=True)]
+    for b, part in zip(here.tolist(), np.split(rows[order], start[1:]), strict=True):
+        yield b, b"".join(np.ascontiguousarray(part[c]).tobytes() for c in rows.dtype.names)
 
 
-def _receive(blob: bytes) -> np.ndarray:
-    n = len(blob) // _PACK.itemsize
-    out, at = np.empty(n, _PACK), 0
-    for c in _PACK.names:
-        out[c] = np.frombuffer(blob, _PACK[c], n, at)
-        at += n * _PACK[c].itemsize
+def _unpacked(blob: bytes, kind: np.dtype) -> np.ndarray:
+    n = len(blob) // kind.itemsize
+    out, at = np.empty(n, kind), 0
+    for c in kind.names:
+        out[c] = np.frombuffer(blob, kind[c], n, at)
+        at += n * kind[c].itemsize
     return out
 
 
+def _filled(kind: np.dtype, **columns: np.ndarray) -> np.ndarray:
+    out = np.empty(len(next(iter(columns.values()))), kind)
+    for c, x in columns.items():
+        out[c] = x
+    return out
+
+
+def _runs(*columns: np.ndarray) -> np.ndarray:
+    """For sorted rows, whether each is the first with its values."""
+    new = np.ones(len(columns[0]), bool)
+    if len(new):
+        new[1:] = False
+        for c in columns:
+            new[1:] |= c[1:] != c[:-1]
+    return new
+
+
+def _merged(rid: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Runs of windows of rows, joined where they meet."""
+    order = np.lexsort((last, first, rid))
+    rid, first, last = rid[order], first[order].astype(np.int64), last[order].astype(np.int64)
+    # rows are laid one after the other, so that one running maximum serves all
+    base = (np.cumsum(_runs(rid)) - 1) << 32
+    reach = np.maximum.accumulate(base + last) if len(rid) else base
+    start = np.ones(len(rid), bool)
+    start[1:] = (base + first)[1:] > reach[:-1] + 1
+    at = np.flatnonzero(start)
+    end = np.append(at[1:], len(rid)) - 1
+    return _filled(_SPAN, rid=rid[at], first=first[at], last=reach[end] - base[end]) if len(rid) else np.empty(0, _SPAN)
+
+
+def _bucket(x: np.ndarray, buckets: int) -> np.ndarray:
+    return ((x.view(_U) >> _U(24)) % _U(buckets)).astype(np.int32)
+
+
 def _anchors_of(buckets: int, width: int):
+    """Anchors' starts to the buckets of their hashes. Within a group of texts a segment that comes twice or more is decided: all of its windows
+    repeat, one start goes on for all of them. Of an anchor with more than LOCAL different segments in a group, the rest goes on as wide."""
+
+    def flush(parts: list[np.ndarray]) -> Iterator[tuple[int, int, bytes]]:
+        x = np.concatenate(parts)
+        x = x[np.lexsort((x["first"], x["rid"], x["seg"], x["key"]))]
+        new = _runs(x["key"], x["seg"])
+        start = np.flatnonzero(new)
+        times = np.minimum(np.diff(np.append(start, len(x))), 2)
+        known = x[times[np.cumsum(new) - 1] > 1]
+        spans = _merged(known["rid"], known["first"], known["first"].astype(np.int64) + known["more"])
+        x = x[start]
+        key = _runs(x["key"])
+        at = np.flatnonzero(key)
+        place = np.arange(len(x)) - np.repeat(at, np.diff(np.append(at, len(x))))
+        x["times"] = times
+        x["times"][place == LOCAL - 1] |= 128  # tells the anchor's bucket that there may be more
+        more = x[place >= LOCAL]
+        x = x[place < LOCAL]
+        for kind, rows, by in ((STARTS, x, x["key"]), (WIDE_STARTS, more, more["rid"].view(_U)), (SPANS, spans, spans["rid"].copy().view(_U))):
+            for b, blob in _packed(rows, _bucket(np.ascontiguousarray(by), buckets)):
+                yield b, kind, blob
+
+    def starts(words: Words, rids: np.ndarray) -> Iterator[np.ndarray]:
+        for i, rid in enumerate(rids):
+            h = words.of(i)
+            key, first, last = anchors(h, width)
+            if not len(key):
+                continue
+            n = (last - first) // _MORE + 1
+            if n.max() > 1:
+                piece = np.concatenate([np.arange(x) for x in n])
+                key, first, last = np.repeat(key, n), np.repeat(first, n) + _MORE * piece, np.repeat(last, n)
+                last = np.minimum(last, first + _MORE - 1)
+            yield _filled(_START, key=key, seg=RunHash(h).of(first, last + width), rid=np.full(len(key), rid), first=first, more=last - first, times=np.ones(len(key)))
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(batches, "text"):
-            parts: dict[str, list[np.ndarray]] = {c: [] for c in _PACK.names}
-            words = Words(raw(batch["text"]))
-            for i, rid in enumerate(batch["rid"].to_numpy()):
-                h = words.of(i)
-                key, first, last = anchors(h, width)
-                if len(key):
-                    # "more" has 16 bits: longer runs of windows, as in a text of one word, are sent in pieces
-                    n = (last - first) // 60_000 + 1
-                    if n.max() > 1:
-                        piece = np.concatenate([np.arange(x) for x in n])
-                        key, first, last = np.repeat(key, n), np.repeat(first, n) + 60_000 * piece, np.repeat(last, n)
-                        last = np.minimum(last, first + 59_999)
-                    parts["key"].append(key)
-                    parts["seg"].append(RunHash(h).of(first, last + width))
-                    parts["rid"].append(np.full(len(key), rid))
-                    parts["first"].append(first)
-                    parts["more"].append(last - first)
-            if parts["key"]:
-                b, blobs = _send({c: np.concatenate(x) for c, x in parts.items()}, buckets)
-                yield pa.RecordBatch.from_arrays([pa.array(b), pa.array(blobs, pa.binary())], ["bucket", "blob"])
+        for group in _groups(batches, GROUP):
+            parts = [x for words, batch in group for x in starts(words, batch["rid"].to_numpy())]
+            if parts:
+                yield from _rows(flush(parts))
 
     return run
 
 
-_FOUND = ["kind", "key", "seg", "rid", "first", "last", "times"]
+def _groups(batches: Iterable[pa.RecordBatch], most: int) -> Iterator[Iterator[tuple[Words, pa.RecordBatch]]]:
+    """Words of batches, in groups of about so many bytes of text."""
+    rest = by_bytes(batches, "text")
+    while (first := next(rest, None)) is not None:
 
+        def group(batch=first):
+            size = 0
+            while batch is not None:
+                words = Words(raw(batch["text"]))
+                yield words, batch
+                size += len(words.data)
+                batch = next(rest, None) if size < most else None
 
-def _repeated(wide: int):
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of anchors with two or more starts: kind 0, windows known to repeat; 1, a segment to fetch for the automaton (a copy
-        of each); 2, another copy of such a segment; 3, a segment of an anchor that is to be split by window."""
-        held: dict[int, list[np.ndarray]] = {}
-        for batch in batches:
-            for b, blob in zip(batch["bucket"].to_pylist(), batch["blob"].to_pylist(), strict=True):
-                held.setdefault(b, []).append(_receive(blob))
-        for b in sorted(held):
-            x = np.concatenate(held.pop(b))
-            x = x[np.lexsort((x["first"], x["rid"], x["seg"], x["key"]))]
-            new_key = np.concatenate(([True], x["key"][1:] != x["key"][:-1]))
-            new_seg = new_key | np.concatenate(([True], x["seg"][1:] != x["seg"][:-1]))
-            of_key, of_seg = np.cumsum(new_key) - 1, np.cumsum(new_seg) - 1
-            starts = np.bincount(of_key)[of_key]
-            segs = np.bincount(of_key, weights=new_seg).astype(np.int64)[of_key]
-            times = np.bincount(of_seg)[of_seg]
-            kind = np.where(segs == 1, 0, np.where(segs > wide, 3, np.where(new_seg, 1, 2)))
-            # equal rows have equal places: one asks for windows, and the question finds each of the rows
-            fresh = new_seg | np.concatenate(([True], (x["rid"][1:] != x["rid"][:-1]) | (x["first"][1:] != x["first"][:-1])))
-            keep = np.flatnonzero((starts > 1) & (fresh | (kind != 3)))
-            for lo in range(0, len(keep), 100_000):
-                i = keep[lo : lo + 100_000]
-                cols = (kind[i], x["key"][i].view(np.int64), x["seg"][i].view(np.int64), x["rid"][i], x["first"][i].astype(np.int64), x["first"][i].astype(np.int64) + x["more"][i], times[i])
-                yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols], _FOUND)
+        yield group()
 
-    return run
 
+def _rows(rows: Iterable[tuple[int, int, bytes]], most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    held, size = [], 0
+    for r in rows:
+        held.append(r)
+        size += len(r[2])
+        if size > most:
+            yield _batch(held)
+            held, size = [], 0
+    if held:
+        yield _batch(held)
 
-def _fetch(width: int):
-    """Segments as word hashes, from texts and what is asked of them."""
-    kinds = pa.schema([("key", pa.int64()), ("seg", pa.int64()), ("times", pa.int64()), ("words", pa.binary())])
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(batches, "text"):
-            texts = Words(raw(batch["text"]))
-            rows: list[tuple] = []
-            for i, asks in enumerate(batch["asks"].to_pylist()):
-                low = texts.of(i).astype("<u8")
-                rows.extend((a["key"], a["seg"], a["times"], low[a["first"] : a["last"] + width].tobytes()) for a in asks)
-            for lo in range(0, len(rows), 5000):
-                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows[lo : lo + 5000], strict=True), kinds, strict=True)], kinds.names)
+def _batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    b, kind, blob = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(kind, pa.int32()), pa.array(blob, pa.binary())], ["bucket", "kind", "blob"])
 
-    return run
 
+_FOUND = ["kind", "key", "seg", "rid", "first", "last", "times"]
 
-_COUNT = np.dtype([("key", "<i8"), ("seg", "<u8"), ("times", "<u4")])
 
+def _found(kind: int, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows of what anchors tell: SPANS, windows that repeat; SEGMENT, a segment for its anchor's automaton; WINDOWS, one to be split by window."""
+    for lo in range(0, len(rows), 100_000):
+        x = rows[lo : lo + 100_000]
+        first = x["first"].astype(np.int64)
+        if kind == SPANS:
+            zero = np.zeros(len(x), np.int64)
+            cols = (zero, zero, x["rid"], first, x["last"].astype(np.int64), zero)
+        else:
+            cols = (x["key"].copy().view(np.int64), x["seg"].copy().view(np.int64), x["rid"], first, first + x["more"], x["times"].astype(np.int64) & 127)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), kind, np.int64)), *(pa.array(np.ascontiguousarray(c)) for c in cols)], _FOUND)
 
-def _window_hashes(texts: Words, i: int, asks: list[dict], width: int) -> list[np.ndarray]:
-    run = RunHash(texts.of(i)) if asks else None
-    out = []
-    for a in asks:
-        at = np.arange(a["first"], a["last"] + 1)
-        out.append(run.of(at, at + width))
-    return out
 
+def _by_bucket(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[tuple[int, bytes]]]]:
+    """(bucket, its (kind, blob)s) of rows sorted by bucket, as they come."""
+    from itertools import groupby
 
-def _split(width: int, buckets: int):
-    """The windows of wide anchors' segments, packed by bucket with the number of their starts in the batch."""
+    rows = (r for batch in batches for r in zip(batch["bucket"].to_pylist(), batch["kind"].to_pylist(), batch["blob"].to_pylist(), strict=True))
+    for b, group in groupby(rows, key=lambda r: r[0]):
+        yield b, ((k, blob) for _, k, blob in group)
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(batches, "text"):
-            texts = Words(raw(batch["text"]))
-            parts = [np.zeros(0, _COUNT)]
-            for i, asks in enumerate(batch["asks"].to_pylist()):
-                for a, h in zip(asks, _window_hashes(texts, i, asks, width), strict=True):
-                    x = np.empty(len(h), _COUNT)
-                    x["key"], x["seg"], x["times"] = a["key"], h, 1
-                    parts.append(x)
-            x = np.concatenate(parts)
-            bucket = ((x["seg"] >> _U(24)) % _U(buckets)).astype(np.int32)
-            x = x[order := np.argsort(bucket)]
-            here, start = np.unique(bucket[order], return_index=True)
-            if len(here):
-                yield pa.RecordBatch.from_arrays([pa.array(here), pa.array([p.tobytes() for p in np.split(x, start[1:])], pa.binary())], ["bucket", "blob"])
 
-    return run
+def _repeated(wide: int):
+    """Anchors of a bucket: of those with two or more starts, which windows are known to repeat and which segments must be compared."""
+
+    def told(x: np.ndarray, known: np.ndarray, last: bool) -> tuple[list[pa.RecordBatch], np.ndarray, np.ndarray]:
+        """(rows, starts to hold on to, anchors known to be wide). Only starts of wide anchors go while more can come."""
+        x = x[np.lexsort((x["rid"], x["seg"], x["key"]))]
+        new_key = _runs(x["key"])
+        new_seg = new_key | _runs(x["seg"])
+        of_key, of_seg = np.cumsum(new_key) - 1, np.cumsum(new_seg) - 1
+        segs = np.bincount(of_key, weights=new_seg)
+        full = (segs > wide) | (np.bincount(of_key, weights=x["times"] >= 128) > 0) | np.isin(x["key"][new_key], known)
+        known = np.union1d(known, x["key"][new_key][full])
+        plain = (x["times"] & 127).astype(np.int64)
+        starts, times = np.bincount(of_key, weights=plain)[of_key], np.bincount(of_seg, weights=plain)[of_seg]
+        out: list[pa.RecordBatch] = []
+        go = np.ones(len(x), bool) if last else full[of_key]
+        again = go & (times > 1) & (plain == 1)  # its segment starts elsewhere too
+        out += _found(SPANS, _merged(x["rid"][again], x["first"][again], x["first"][again].astype(np.int64) + x["more"][again]))
+        one = x.copy()
+        one["times"] = np.minimum(times, 2)
+        out += _found(WINDOWS, one[go & new_seg & full[of_key]])
+        out += _found(SEGMENT, one[go & new_seg & ~full[of_key] & (starts > 1) & (segs[of_key] > 1)])
+        return out, x[~go], known
 
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in _by_bucket(batches):
+            held, size, limit, known = [], 0, HOLD, np.zeros(0, _U)
+            for kind, blob in rows:
+                if kind == SPANS:
+                    yield from _found(SPANS, _unpacked(blob, _SPAN))
+                elif kind == WIDE_STARTS:
+                    yield from _found(WINDOWS, _unpacked(blob, _START))
+                else:
+                    held.append(_unpacked(blob, _START))
+                    size += len(blob)
+                    if size > limit:  # what wide anchors hold goes now; the rest is bounded by the bucket's other anchors
+                        out, rest, known = told(np.concatenate(held), known, False)
+                        yield from out
+                        held, size = [rest], rest.nbytes
+                        limit = max(HOLD, 2 * size)
+            if held:
+                yield from told(np.concatenate(held), known, True)[0]
 
-def _starts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The windows with two or more starts, each once."""
-    held: dict[int, list[np.ndarray]] = {}
-    for batch in batches:
-        for b, blob in zip(batch["bucket"].to_pylist(), batch["blob"].to_pylist(), strict=True):
-            held.setdefault(b, []).append(np.frombuffer(blob, _COUNT))
-    for b in sorted(held):
-        x = np.concatenate(held.pop(b))
-        x = x[np.lexsort((x["seg"], x["key"]))]
-        start = np.flatnonzero(np.concatenate(([True], (x["key"][1:] != x["key"][:-1]) | (x["seg"][1:] != x["seg"][:-1]))))
-        got = x[start[np.add.reduceat(x["times"].astype(np.int64), start) > 1]]
-        yield pa.RecordBatch.from_arrays([pa.array(got["key"]), pa.array(got["seg"].view(np.int64))], ["key", "seg"])
+    return run
 
 
-def _wide_spans(width: int):
-    """(rid, first, last) of runs of windows of wide anchors that repeat."""
+def _fetch(width: int, buckets: int):
+    """Segments as word hashes to their anchors' buckets; windows of wide anchors to the buckets of their hashes. Windows that a group of texts holds
+    twice or more are decided, and one of them goes on for all."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(batches, "text"):
-            texts = Words(raw(batch["text"]))
-            out = []
+        for group in _groups(batches, GROUP):
+            yield from _rows(of(group))
+
+    def of(group: Iterator[tuple[Words, pa.RecordBatch]]) -> Iterator[tuple[int, int, bytes]]:
+        parts = [np.empty(0, _WINDOW)]
+        for words, batch in group:
             for i, (rid, asks) in enumerate(zip(batch["rid"].to_pylist(), batch["asks"].to_pylist(), strict=True)):
-                for a, h in zip(asks, _window_hashes(texts, i, asks, width), strict=True):
-                    hit = np.isin(h.view(np.int64), np.array(a["segs"], np.int64))
-                    edge = np.flatnonzero(np.diff(np.concatenate(([False], hit, [False])).astype(np.int8)))
-                    out.extend((rid, a["first"] + p, a["first"] + q - 1) for p, q in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
-            cols = list(zip(*out, strict=True)) or [[], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["rid", "first", "last"])
+                h, run = words.of(i), None
+                for a in asks:
+                    if a["kind"] == SEGMENT:
+                        head = np.array([(a["key"], a["seg"], rid, a["first"], a["times"])], _HEAD)
+                        yield int(_bucket(head["key"].view(_U), buckets)[0]), SEGMENT, head.tobytes() + h[a["first"] : a["last"] + width].astype("<u8").tobytes()
+                        continue
+                    run = run or RunHash(h)
+                    at = np.arange(a["first"], a["last"] + 1)
+                    same = np.full(len(at), 1)
+                    parts.append(_filled(_WINDOW, key=np.full(len(at), a["key"], np.int64).view(_U), hash=run.of(at, at + width), rid=same * rid, at=at, times=same * a["times"]))
+        x, spans = _counted(np.concatenate(parts))
+        for kind, rows, by in ((WINDOWS, x, x["hash"]), (SPANS, spans, spans["rid"])):
+            for b, blob in _packed(rows, _bucket(np.ascontiguousarray(by), buckets)):
+                yield b, kind, blob
 
     return run
 
 
-def _automata(width: int):
-    """Rows sorted by anchor: one automaton for each; the spans of each segment that have other starts."""
+_HEAD = np.dtype([("key", "<i8"), ("seg", "<i8"), ("rid", "<i8"), ("first", "<i8"), ("times", "<i8")])
+
+
+def _counted(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(one window for all that are equal, spans of those that have equals here). Windows sent with 2 times are decided already."""
+    x = x[np.lexsort((x["hash"], x["key"]))]
+    new = _runs(x["key"], x["hash"])
+    of = np.cumsum(new) - 1
+    times = np.bincount(of, weights=x["times"], minlength=0)
+    again = x[(times[of] > 1) & (x["times"] == 1)] if len(x) else x
+    x = x[new].copy()
+    x["times"] = np.minimum(times, 2)
+    return x, _merged(again["rid"], again["at"], again["at"])
+
+
+def _decide(width: int):
+    """(rid, first, last) of runs of windows that have other starts: by an automaton of each anchor's segments, or by the window's count."""
 
-    def spans(group: list[tuple[int, int, bytes]]) -> Iterator[tuple[int, int, list[int]]]:
+    def automaton(group: list[bytes]) -> Iterator[tuple[int, int, int]]:
+        rows = {}
+        for blob in group:  # equal rows fetch a segment more than once
+            head = np.frombuffer(blob, _HEAD, 1)[0]
+            rows.setdefault(int(head["seg"]), (head, np.frombuffer(blob, "<u8", offset=_HEAD.itemsize).tolist()))
         number: dict[int, int] = {}
-        seqs = [[number.setdefault(w, len(number)) for w in np.frombuffer(x[2], "<u8").tolist()] for x in group]
-        auto = Automaton(seqs, [x[1] for x in group])
-        for (seg, _, _), seq in zip(group, seqs, strict=True):
-            ends = [i for i, m in enumerate(auto.matches(seq)) if m >= width]
-            if ends:
-                yield seg, ends
+        seqs = [[number.setdefault(w, len(number)) for w in words] for _, words in rows.values()]
+        auto = Automaton(seqs, [int(head["times"]) for head, _ in rows.values()])
+        for (head, _), seq in zip(rows.values(), seqs, strict=True):
+            if head["times"] > 1:
+                continue  # known to repeat
+            e = np.flatnonzero(np.array(auto.matches(seq)) >= width) - width + 1
+            cut = np.flatnonzero(np.diff(e) > 1)
+            for a, b in zip(e[np.append(0, cut + 1)], e[np.append(cut, len(e) - 1)], strict=True) if len(e) else ():
+                yield int(head["rid"]), int(head["first"] + a), int(head["first"] + b)
+
+    def spans_of(rows: Iterable[tuple[int, bytes]]) -> Iterator[np.ndarray]:
+        windows, size, groups = [], 0, {}
+        for kind, blob in rows:
+            if kind == SPANS:
+                yield _unpacked(blob, _SPAN)
+            elif kind == WINDOWS:
+                windows.append(_unpacked(blob, _WINDOW))
+            else:
+                groups.setdefault(blob[:8], []).append(blob)
+        for group in groups.values():
+            if found := list(automaton(group)):
+                yield np.array(found, _SPAN)
+        if windows:
+            yield _counted(np.concatenate(windows))[1]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, group, out = None, [], []
-
-        def flush():
-            for seg, ends in spans(group):
-                # runs of windows: first and last start within the segment
-                e = np.array(ends) - width + 1
-                cut = np.flatnonzero(np.diff(e) > 1)
-                out.extend((key, seg, int(a), int(b)) for a, b in zip(e[np.append(0, cut + 1)], e[np.append(cut, len(e) - 1)], strict=True))
-
-        def batch_of(rows):
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["key", "seg", "a", "b"])
-
-        for batch in batches:
-            for k, s, t, w in zip(*(batch[c].to_pylist() for c in ("key", "seg", "times", "words")), strict=True):
-                if k != key:
-                    flush()
-                    group, key = [], k
-                    if len(out) > 5000:
-                        yield batch_of(out)
-                        out = []
-                if not group or group[-1][0] != s:  # equal rows fetch a segment more than once
-                    group.append((s, t, w))
-        flush()
-        if out:
-            yield batch_of(out)
+        for _, rows in _by_bucket(batches):
+            for x in spans_of(rows):
+                for lo in range(0, len(x), 100_000):
+                    y = x[lo : lo + 100_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(y[c]).astype(np.int64)) for c in _SPAN.names], list(_SPAN.names))
 
     return run
 
@@ -370,32 +477,31 @@ def _without(text: bytes, keep: np.ndarray) -> bytes:
 
 
 def substring_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = WINDOW, with_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
-    """(key, carried columns, n_words, n_removed, kept_sha256[, kept_text]) of each row."""
-    spark = tuned(docs.sparkSession)
-    src = docs.select(docs[key].alias(key), docs[text].cast("string").alias("text"), *(docs[c] for c in carry if c not in (key, "text")), F.xxhash64(docs[key], docs[text].cast("string")).alias("rid"))
-    n = max(32, 4 * src.rdd.getNumPartitions())
-    each = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
-    buckets = n * max(1, each // (16 << 20))
-    sent = src.select("rid", "text").mapInArrow(_anchors_of(buckets, width), "bucket int, blob binary")
-    found = stash(sent.repartition(buckets, "bucket").mapInArrow(_repeated(WIDE), ", ".join(f"{c} long" for c in _FOUND)))
-
-    texts = src.select("rid", "text")
-    asked = lambda rows, *more: rows.groupBy("rid").agg(F.collect_list(F.struct("key", "first", "last", *more)).alias("asks"))
-    got = texts.join(asked(found.where("kind = 1"), "seg", "times"), "rid").mapInArrow(_fetch(width), "key long, seg long, times long, words binary")
-    inner = got.repartition(buckets, "key").sortWithinPartitions("key", "seg").mapInArrow(_automata(width), "key long, seg long, a long, b long")
-    spans = found.where("kind IN (1, 2)").join(inner, ["key", "seg"]).select("rid", (F.col("first") + F.col("a")).alias("first"), (F.col("first") + F.col("b")).alias("last"))
-    wide = found.where("kind = 3").select("rid", "key", "first", "last")
-    split = texts.join(asked(wide), "rid").mapInArrow(_split(width, buckets), "bucket int, blob binary")
-    often = split.repartition(buckets, "bucket").mapInArrow(_starts, "key long, seg long").groupBy("key").agg(F.collect_set("seg").alias("segs"))
-    again = texts.join(asked(wide.join(often, "key"), "segs"), "rid").mapInArrow(_wide_spans(width), "rid long, first long, last long")
-    spans = found.where("kind = 0").select("rid", "first", "last").unionByName(spans).unionByName(again)
+    """(key, carried columns, n_words, n_removed, kept_sha256[, kept_text]) of each row.
+
+    Raises ValueError where a carried column or the key has the name of a result column. Other columns are not read.
+    """
+    tuned(docs.sparkSession)
+    kept = [key, *(c for c in carry if c != key)]
+    no_clash(kept, ["n_words", "n_removed", "kept_sha256", *["kept_text"] * with_text])
+    body = docs[text].cast("string").alias("text")
+    rid = F.xxhash64(docs[key], docs[text].cast("string")).alias("rid")
+    texts = docs.select(rid, body)
+    buckets = buckets_for(texts, 8 << 20)
+    packed = "bucket int, kind int, blob binary"
+    found = stash(dealt(texts.mapInArrow(_anchors_of(buckets, width), packed), buckets).mapInArrow(_repeated(WIDE), ", ".join(f"{c} long" for c in _FOUND)))
+    asks = found.where(f"kind != {SPANS}").groupBy("rid").agg(F.collect_list(F.struct("kind", "key", "seg", "first", "last", "times")).alias("asks"))
+    fetched = texts.join(asks, "rid").mapInArrow(_fetch(width, buckets), packed)
+    spans = dealt(fetched, buckets).mapInArrow(_decide(width), "rid long, first long, last long")
+    spans = found.where(f"kind = {SPANS}").select("rid", "first", "last").unionByName(spans)
     per_doc = stash(spans.groupBy("rid").agg(F.collect_set(F.struct("first", "last")).alias("spans")))
     unstash(found)
-    kinds = {f.name: f.dataType.simpleString() for f in src.schema.fields}
-    keys = [key, *(c for c in carry if c not in (key, "text"))]
-    joined = src.join(per_doc, "rid", "left").select(*keys, "text", "spans")
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in keys) + ", n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
-    return joined.mapInArrow(_cut(width, with_text), schema)
+    # columns by place: the kept ones may have any name
+    src = docs.select(body, rid, *(docs[c].alias(f"c{i}") for i, c in enumerate(kept)))
+    joined = src.join(per_doc, "rid", "left").select(*(f"c{i}" for i in range(len(kept))), "text", "spans")
+    made = "n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
+    out = joined.mapInArrow(_cut(width, with_text), ", ".join([*(f"c{i} {joined.schema[f'c{i}'].dataType.simpleString()}" for i in range(len(kept))), made]))
+    return out.withColumnsRenamed({f"c{i}": c for i, c in enumerate(kept)})
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -122,9 +122,10 @@ def brute_repeats(rows, width):
     return out
 
 
-@pytest.mark.parametrize("wide", [1000, 1])
-def test_substring_dedup(docs, corpus, monkeypatch, wide):
-    monkeypatch.setattr(substring_dedup, "WIDE", wide)
+@pytest.mark.parametrize(("wide", "local", "group", "hold"), [(1000, 64, 16 << 20, 64 << 20), (1, 64, 16 << 20, 1), (3, 2, 1, 1), (1000, 1, 1, 64 << 20), (1000, 64, 1, 1)])
+def test_substring_dedup(docs, corpus, monkeypatch, wide, local, group, hold):
+    for name, value in (("WIDE", wide), ("LOCAL", local), ("GROUP", group), ("HOLD", hold)):
+        monkeypatch.setattr(substring_dedup, name, value)
     got = substring_dedup.substring_dedup(docs, with_text=True).collect()
     want = [(r[0], *x) for r, x in zip(corpus, brute_repeats(corpus, 35), strict=True)]
     assert sorted((r["doc_id"] or -1, r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got) == sorted((w[0] or -1, *w[1:]) for w in want)
