@@ -87,6 +87,16 @@ def unstash(*dfs: DataFrame) -> None:
             _delete(df.sparkSession, path)
 
 
+def stashed(df: DataFrame | None = None) -> set[str]:
+    """Folders of stashed rows that are not deleted: all, or that of df."""
+    return set(_STASHED) if df is None else {df._glossweave_path}
+
+
+def drop_stashes(paths: Iterable[str]) -> None:
+    for path in paths:
+        _delete(_STASHED[path], path)
+
+
 def clear_stashes() -> None:
     """Delete what results still read: call it when they are written. The end of the driver's Python does, where Spark still runs."""
     for path, spark in list(_STASHED.items()):

@@ -11,12 +11,16 @@ in which two sketches differ are then never more than members in which the sets
 
 What passes is verified on the texts. Sets that are equal form one class beforehand. To not emit all pairs of a group
 of near copies, each key first proposes only pairs with its least member. Keys whose members are then in different
-components propose a spanning forest of the nearest across components by their sketches; once that is verified, all pairs
-across what are still different components whose sketches allow a link. Keys with more than HOT members do so for documents
-alone that need them: a document whose other non-empty blocks still exceed d meets each partner at one of these.
+components propose a spanning forest of the nearest across components by their sketches; once that is verified, keys with more such pairs propose all
+across what are still different components. Keys with more than HOT members do so for documents
+alone that need them: a document whose other non-empty blocks still exceed d meets each partner at one of these. A document
+with at most d non-empty blocks needs all of its keys, as its partner can have more blocks and then no shingle keys.
+
+Texts are asked for once a document and sent to the tasks of their pairs' centres, whose own text is sent once for many pairs.
 
 Rows without words link with nothing; rows that share an id count as one document in links. A null id is never an id of
-a component: such rows have the component of their text's other rows, else null.
+a component: such rows have the component of their text's other rows, else null. Null and empty texts have n_shingles 0 and are their own
+component; repeated rows stay repeated. Other columns are not read; ValueError where the key has the name of a result column.
 """
 
 from __future__ import annotations
@@ -30,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, by_bytes, components, mix, raw, stash, table, tuned, windows
+from .common import Words, buckets_for, by_bytes, components, dealt, mix, no_clash, raw, stash, table, tuned, unstash, windows
 
 WIDTH = 5
 #: A similarity of NUM / DEN or more links.
@@ -38,6 +42,12 @@ NUM, DEN = 8, 10
 GROWTH = 1.6
 LEAST_BITS, MOST_BITS = 256, 1 << 16
 HOT = 32
+#: Bytes of keys that a task holds before the members of keys with HELD_MEMBERS or more go on.
+HOLD, HELD_MEMBERS = 64 << 20, 100_000
+#: Members of a key that are compared with each other in one task; more are split into blocks, and pairs of blocks dealt out.
+BLOCK = 512
+#: Pairs with one centre that are verified together, each time with a copy of the centre's text.
+SHARE = 200
 _U = np.uint64
 
 
@@ -121,7 +131,7 @@ def block_keys(sets: list[np.ndarray], all_bands: list[tuple[int, int, int, int]
             s = sets[take[j]]
             keys.append(mix(s ^ mix(np.full(1, 0x51DE << 16 | int(band[j]), _U))))
             owners.append(np.full(len(s), take[j]))
-            left[j] = len(s) - all_bands[band[j]][2]
+            left[j] = 0  # it needs its blocks, too, where they are keys of many
         room[shift, take] = left
         shifts += [np.full(len(k), shift) for k in keys[len(shifts) :]]
     if not keys:
@@ -166,52 +176,90 @@ def _sketches(docs: DataFrame, buckets: int) -> DataFrame:
 
 
 def _members(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Document rows as they are; of each key with two or more sets every member, with the key's least and number of members."""
-    held: dict[int, list[bytes]] = {}
+    """Document rows as they are; of each key with two or more sets every member, with a member that is the key's centre and the number of members.
+
+    Rows come sorted by bucket. The least member is the centre; of a key with very many the least of those that came first.
+    """
+    names = ["doc_id", *_ROW, "g", "shift", "centre", "size"]
     kind = pa.int64()
+
+    def rows(bucket: int, key: np.ndarray, node: np.ndarray, centre: np.ndarray, size: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for lo in range(0, len(key), 100_000):
+            i = slice(lo, lo + 100_000)
+            m = len(key[i])
+            cols = {"node": node[i] & ~1, "g": key[i].astype(np.int64) | (np.int64(bucket) << 32), "shift": node[i] & 1, "centre": centre[i], "size": size[i]}
+            yield pa.RecordBatch.from_arrays([pa.nulls(m, kind), *(pa.array(cols[c]) if c in cols else pa.nulls(m, _ARROW[_KINDS[c]]) for c in _ROW), *(pa.array(cols[c]) for c in ("g", "shift", "centre", "size"))], names)
+
+    def told(bucket: int, held: list[np.ndarray], centres: dict[int, int], last: bool) -> tuple[list[pa.RecordBatch], np.ndarray]:
+        """(rows, keys to hold on to). Before the last call only members of very common keys go."""
+        x = np.concatenate(held)
+        x = x[np.lexsort((x["node"], x["key"]))]
+        fresh = np.ones(len(x), bool)
+        fresh[1:] = (x["key"][1:] != x["key"][:-1]) | (x["node"][1:] != x["node"][:-1])
+        x = x[fresh]
+        start = np.flatnonzero(np.concatenate(([True], x["key"][1:] != x["key"][:-1])))
+        count, least = np.diff(np.append(start, len(x))), x["node"][start] & ~1
+        own = x["key"][start]
+        for k in np.flatnonzero((count >= HELD_MEMBERS) & (not last)).tolist():
+            centres.setdefault(int(own[k]), int(least[k]))
+        if centres:
+            for k in np.flatnonzero(np.isin(own, np.array(list(centres), np.uint32))).tolist():
+                least[k], count[k] = centres[int(own[k])], max(count[k], HELD_MEMBERS)
+            go = np.isin(own, np.array(list(centres), np.uint32)) | last
+        else:
+            go = np.full(len(own), last)
+        per = np.diff(np.append(start, len(x)))
+        size, centre, go = np.repeat(count, per), np.repeat(least, per), np.repeat(go, per)
+        out = go & (size > 1)
+        return list(rows(bucket, x["key"][out], x["node"][out], centre[out], size[out])), x[~go]
+
+    now, held, size, limit, centres = None, [], 0, HOLD, {}
     for batch in batches:
         kind = batch["doc_id"].type
         is_row = pa.compute.is_null(batch["blob"])
-        rows = batch.filter(is_row)
-        m = rows.num_rows
-        if m:
-            yield pa.RecordBatch.from_arrays([rows["doc_id"], *(rows[c] for c in _ROW), *(pa.nulls(m, pa.int64()) for _ in range(4))], ["doc_id", *_ROW, "g", "shift", "centre", "size"])
+        docs = batch.filter(is_row)
+        if m := docs.num_rows:
+            yield pa.RecordBatch.from_arrays([docs["doc_id"], *(docs[c] for c in _ROW), *(pa.nulls(m, pa.int64()) for _ in range(4))], names)
         keys = batch.filter(pa.compute.invert(is_row))
         for b, blob in zip(keys["bucket"].to_pylist(), keys["blob"].to_pylist(), strict=True):
-            held.setdefault(b, []).append(blob)
-    for b in sorted(held):
-        blobs = held.pop(b)
-        cut = [len(x) // _PACK.itemsize for x in blobs]
-        key = np.concatenate([np.frombuffer(x, "<u4", n) for x, n in zip(blobs, cut, strict=True)])
-        node = np.concatenate([np.frombuffer(x, "<i8", n, 4 * n) for x, n in zip(blobs, cut, strict=True)])
-        order = np.lexsort((node, key))
-        key, node = key[order], node[order]
-        fresh = np.ones(len(key), bool)
-        fresh[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
-        key, node = key[fresh], node[fresh]
-        start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-        count = np.diff(np.append(start, len(key)))
-        size, centre = np.repeat(count, count), np.repeat(node[start] & ~1, count)
-        many = np.flatnonzero(size > 1)
-        for lo in range(0, len(many), 100_000):
-            i = many[lo : lo + 100_000]
-            cols = {"node": node[i] & ~1, "g": key[i].astype(np.int64) | (np.int64(b) << 32), "shift": node[i] & 1, "centre": centre[i], "size": size[i]}
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(i), kind), *(pa.array(cols[c]) if c in cols else pa.nulls(len(i), _ARROW[_KINDS[c]]) for c in _ROW), *(pa.array(cols[c]) for c in ("g", "shift", "centre", "size"))], ["doc_id", *_ROW, "g", "shift", "centre", "size"])
+            if b != now:
+                if held:
+                    yield from told(now, held, centres, True)[0]
+                now, held, size, limit, centres = b, [], 0, HOLD, {}
+            n = len(blob) // _PACK.itemsize
+            x = np.empty(n, _PACK)
+            x["key"], x["node"] = np.frombuffer(blob, "<u4", n), np.frombuffer(blob, "<i8", n, 4 * n)
+            held.append(x)
+            size += len(blob)
+            if size > limit:
+                out, rest = told(b, held, centres, False)
+                yield from out
+                held, size = [rest], rest.nbytes
+                limit = max(HOLD, 2 * size)
+    if held:
+        yield from told(now, held, centres, True)[0]
 
 
 def _fits(a: str, b: str):
     return (F.least(a, b) * DEN >= F.greatest(a, b) * NUM) & (F.col(a) + F.col(b) > 8)
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Pairs (a, b) of nodes that link, as ids (u, v): dense sketches first, then the texts."""
+def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, buckets: int) -> DataFrame:
+    """Pairs (a, b) of nodes that link, as ids (u, v), stashed: dense sketches first, then the texts."""
     side = lambda c: classes.select(F.col("node").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in ("id", "n", "fp", "sketch")))
     kind = docs.schema["doc_id"].dataType.simpleString()
     both = pairs.join(side("a"), "a").join(side("b"), "b").where(_fits("n_a", "n_b"))
-    kept = both.mapInArrow(_near_sketches, f"u {kind}, v {kind}, fp_a binary, fp_b binary")
-    texts = docs.select("doc_id", "text")
-    kept = kept.join(texts.withColumnsRenamed({"doc_id": "u", "text": "text_a"}), "u").join(texts.withColumnsRenamed({"doc_id": "v", "text": "text_b"}), "v")
-    return kept.select("u", "v", "fp_a", "fp_b", "text_a", "text_b").mapInArrow(_similar, f"u {kind}, v {kind}")
+    kept = stash(both.mapInArrow(_near_sketches, f"u {kind}, v {kind}, fp_a binary, fp_b binary"))
+    # pairs of one centre go to tasks of about SHARE pairs, each with a copy of the centre's text
+    shares = kept.groupBy("u", "fp_a").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("shares"))
+    own = shares.select(F.col("u").alias("doc_id"), "u", "fp_a", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(0).alias("place"), F.col("fp_a").alias("fp"))
+    other = kept.join(shares, ["u", "fp_a"]).select(F.col("v").alias("doc_id"), "u", "fp_a", F.pmod(F.xxhash64("v"), F.col("shares")).cast("int").alias("share"), F.lit(1).alias("place"), F.col("fp_b").alias("fp"))
+    asks = own.unionByName(other).groupBy("doc_id").agg(F.collect_list(F.struct("u", "fp_a", "share", "place", "fp")).alias("asks"))
+    got = docs.join(asks, "doc_id").select("doc_id", "text", F.explode("asks").alias("ask"))
+    got = got.select(F.pmod(F.xxhash64("ask.u", "ask.share"), F.lit(buckets)).cast("int").alias("bucket"), "ask.u", "ask.fp_a", "ask.share", "ask.place", F.col("doc_id").alias("v"), "ask.fp", "text")
+    out = stash(dealt(got, buckets, "u", "fp_a", "share", "place").mapInArrow(_similar, f"u {kind}, v {kind}").distinct())
+    unstash(kept)
+    return out
 
 
 def _near_sketches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,11 +272,15 @@ def _near_sketches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([got["id_a"], got["id_b"], got["fp_a"], got["fp_b"]], ["u", "v", "fp_a", "fp_b"])
 
 
-def _across(node: list[int], n: list[int], part: list[str], sketches: list[bytes], forest: bool) -> list[tuple[int, int]]:
-    """Pairs of one key's members in different components whose sketches allow a link: all, or a spanning forest of the nearest."""
-    x, size = folded(sketches), np.array(n, np.int64)
+def _across(node: list[int], n: list[int], part: list[str], sketches: list[bytes], block: list[int], forest: bool) -> tuple[list[tuple[int, int]], bool]:
+    """Pairs of one key's members in different components whose sketches allow a link: all, or a spanning forest of the nearest; and whether these are all.
+
+    Members of two blocks are compared across the blocks alone; those of one with each other.
+    """
+    x, size, where = folded(sketches), np.array(n, np.int64), np.array(block)
     code: dict[str, int] = {}
     own = np.array([code.setdefault(p, len(code)) for p in part])
+    split = where.min() != where.max()
     m, words = x.shape
     step = max(1, (2 << 20) // (m * words))
     found = []
@@ -237,10 +289,13 @@ def _across(node: list[int], n: list[int], part: list[str], sketches: list[bytes
         a, b = size[lo : lo + step, None], size[None]
         ok = (apart * (DEN + NUM) <= (a + b) * (DEN - NUM)) & (np.minimum(a, b) * DEN >= np.maximum(a, b) * NUM) & (own[lo : lo + step, None] != own[None])
         ok &= np.arange(lo, min(lo + step, m))[:, None] < np.arange(m)[None]
+        if split:
+            ok &= where[lo : lo + step, None] != where[None]
         i, j = np.nonzero(ok)
         found.append(np.stack([apart[i, j], i + lo, j], axis=1))
     pairs = np.concatenate(found)
-    if forest and len(pairs):
+    all_ = len(pairs)
+    if forest and all_:
         pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
         top = list(range(len(code)))
 
@@ -260,75 +315,94 @@ def _across(node: list[int], n: list[int], part: list[str], sketches: list[bytes
                 if not open_:
                     break
         pairs = pairs[kept]
-    return [(min(node[i], node[j]), max(node[i], node[j])) for _, i, j in pairs.tolist()]
+    return [(min(node[i], node[j]), max(node[i], node[j])) for _, i, j in pairs.tolist()], len(pairs) == all_
 
 
 def _propose(forest: bool):
+    """(a, b, g): pairs, and with null pairs the keys that have more."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, group, out = None, ([], [], [], []), set()
+        now, group, out, more = None, tuple([] for _ in range(5)), set(), set()
+
+        def told() -> None:
+            if len(group[0]) > 1:
+                pairs, whole = _across(*group, forest)
+                out.update(pairs)
+                if not whole:
+                    more.add(now[0])
+
+        def made() -> pa.RecordBatch:
+            rows = [(a, b, None) for a, b in sorted(out)] + [(None, None, g) for g in sorted(more)]
+            out.clear()
+            more.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["a", "b", "g"])
+
         for batch in batches:
-            for g, *row in zip(*(batch[c].to_pylist() for c in ("g", "node", "n", "part", "sketch")), strict=True):
-                if g != now:
-                    if len(group[0]) > 1:
-                        out.update(_across(*group, forest))
-                    now, group = g, ([], [], [], [])
+            for g, x, y, *row in zip(*(batch[c].to_pylist() for c in ("g", "x", "y", "node", "n", "part", "sketch", "block")), strict=True):
+                if (g, x, y) != now:
+                    told()
+                    now, group = (g, x, y), tuple([] for _ in range(5))
+                    if len(out) > 50_000:
+                        yield made()
                 for c, v in zip(group, row, strict=True):
                     c.append(v)
-        if len(group[0]) > 1:
-            out.update(_across(*group, forest))
-        pairs = np.array(sorted(out), np.int64).reshape(-1, 2)
-        for lo in range(0, len(pairs), 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[lo : lo + 50_000, 0]), pa.array(pairs[lo : lo + 50_000, 1])], ["a", "b"])
+        told()
+        if out or more:
+            yield made()
 
     return run
 
 
 def _similar(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    memo: dict[bytes, np.ndarray | None] = {}
-    for batch in by_bytes(batches, "text_a"):
-        prints = batch["fp_a"].to_pylist(), batch["fp_b"].to_pylist()
-        texts = {}
-        for side, c in zip(prints, ("text_a", "text_b"), strict=True):
-            for fp, t in zip(side, raw(batch[c]), strict=True):
-                if fp not in memo:
-                    texts[fp, t] = None
-        if len(memo) > 500:
-            keep = set(prints[0]) | set(prints[1])
-            memo = {k: v for k, v in memo.items() if k in keep}
-        for (fp, _), s in zip(texts, shingle_sets([t for _, t in texts]), strict=True):
-            if xxhash.xxh3_128_digest(s.tobytes()) == fp:  # else another row with this id
-                memo[fp] = s
+    """Pairs that link, from rows sorted so that each centre's text stands before those of its partners."""
+    now, centre = None, None
+    for batch in by_bytes(batches, "text"):
+        texts = raw(batch["text"])
+        fps = batch["fp"].to_pylist()
+        sets = shingle_sets(texts)
         ok = []
-        for fa, fb in zip(*prints, strict=True):
-            a, b = memo.get(fa), memo.get(fb)
-            i = len(np.intersect1d(a, b, assume_unique=True)) if a is not None and b is not None else -1
-            ok.append(i >= 0 and DEN * i >= NUM * (len(a) + len(b) - i))
+        for u, own, share, place, fp, x in zip(*(batch[c].to_pylist() for c in ("u", "fp_a", "share", "place")), fps, sets, strict=True):
+            if (u, own, share) != now:
+                now, centre = (u, own, share), None
+            right = xxhash.xxh3_128_digest(x.tobytes()) == fp  # else another row with this id
+            if place == 0 and right:
+                centre = x
+            i = -1
+            if place and right and centre is not None:
+                at = np.minimum(np.searchsorted(centre, x), len(centre) - 1)
+                i = int((centre[at] == x).sum())
+            ok.append(i >= 0 and DEN * i >= NUM * (len(centre) + len(x) - i))
         got = batch.filter(pa.array(ok, pa.bool_()))
         yield pa.RecordBatch.from_arrays([got["u"], got["v"]], ["u", "v"])
 
 
-def buckets_for(docs: DataFrame) -> int:
-    """So many buckets that each gets the keys of about 2 MB of stored text, from the number of input partitions."""
-    spark = docs.sparkSession
-    each = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
-    return max(32, docs.rdd.getNumPartitions() * max(8, -(-each // (2 << 20))))
-
-
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, n_shingles, component_id, class_id) of each row; class_id is the least id with the same shingle set."""
-    spark = tuned(docs.sparkSession)
+    tuned(docs.sparkSession)
+    no_clash([key], ["n_shingles", "component_id", "class_id"])
     src = docs.select(docs[key].alias("doc_id"), docs[text].cast("string").alias("text"))
     kind = src.schema["doc_id"].dataType.simpleString()
     shape = ", ".join(f"{c} {_KINDS[c]}" for c in _ROW)
-    buckets = buckets_for(src)
-    found = stash(_sketches(src, buckets).repartition(buckets, "bucket").mapInArrow(_members, f"doc_id {kind}, {shape}, g long, shift long, centre long, size long"))
-    rows = found.where("g IS NULL").select("doc_id", *_ROW)
+    buckets = buckets_for(src, 2 << 20)
+    found = stash(dealt(_sketches(src, buckets), buckets).mapInArrow(_members, f"doc_id {kind}, {shape}, g long, shift long, centre long, size long"))
+    of_row = found.where("g IS NULL").select("doc_id", *_ROW)
     members = found.where("g IS NOT NULL").select("g", "node", "shift", "centre", "size")
-    classes = stash(rows.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("id"), *(F.first(c).alias(c) for c in _ROW if c != "fp")))
+    rows = stash(of_row.select("doc_id", "n", "fp"))
+    classes = stash(of_row.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("id"), *(F.first(c).alias(c) for c in _ROW if c != "fp")))
     named = classes.where("id IS NOT NULL")
     tried = stash(members.where("node != centre").select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b")).distinct())
-    edges = stash(_verified(tried, named, src))
-    roots = stash(components(edges).join(named.select(F.col("id").alias("node"), F.col("node").alias("code")), "node").select(F.col("code").alias("node"), "root"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        return _verified(pairs, named, src, buckets)
+
+    def roots_of(edges: DataFrame) -> DataFrame:
+        found = components(edges)
+        out = stash(found.join(named.select(F.col("id").alias("node"), F.col("node").alias("code")), "node").select(F.col("code").alias("node"), "root", F.col("node").alias("id")))
+        unstash(found)
+        return out
+
+    edges = verified(tried)
+    roots = roots_of(edges)
 
     # pairs across components, at keys of three or more whose members are not all in one
     of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
@@ -339,31 +413,33 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     needs = hot.where("hot >= CASE WHEN shift = 0 THEN room0 ELSE room1 END").select("node", "shift")
     left = wide.join(mixed, "g", "left_semi").select("g", "node", "shift", "size")
     left = left.where(f"size <= {HOT}").unionByName(left.where(f"size > {HOT}").join(needs, ["node", "shift"], "left_semi"))
-    left = stash(left.select("g", "node"))
+    left = stash(left.select("g", "node").distinct())
+    unstash(found)
 
-    def proposals(roots: DataFrame, forest: bool) -> DataFrame:
+    def proposals(left: DataFrame, roots: DataFrame, forest: bool) -> DataFrame:
         part = F.coalesce(F.concat(F.lit("r"), F.col("root").cast("string")), F.concat(F.lit("n"), F.col("node").cast("string")))
-        rows = left.join(roots, "node", "left").select("g", "node", part.alias("part"))
+        at = left.join(roots, "node", "left").select("g", "node", part.alias("part"))
         # keys with the same members propose the same pairs: one of them does
-        keys = rows.groupBy("g").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"), F.min("part").alias("p"), F.max("part").alias("q")).where("p != q")
-        keys = keys.groupBy("m", "x", "y").agg(F.min("g").alias("g")).select("g")
-        rows = rows.join(keys, "g", "left_semi").join(named.select("node", "n", "sketch"), "node")
-        return rows.repartition(buckets, "g").sortWithinPartitions("g").mapInArrow(_propose(forest), "a long, b long").distinct()
-
-    def roots_of(edges: DataFrame) -> DataFrame:
-        return stash(components(edges).join(named.select(F.col("id").alias("node"), F.col("node").alias("code")), "node").select(F.col("code").alias("node"), "root", F.col("node").alias("id")))
-
-    near = stash(proposals(roots, True).join(tried, ["a", "b"], "left_anti"))
-    edges = edges.union(stash(_verified(near, named, src)))
-    roots = roots_of(edges)
-    rest = proposals(roots, False).join(tried, ["a", "b"], "left_anti").join(near, ["a", "b"], "left_anti")
-    more = stash(_verified(rest, named, src))
-    if more.limit(1).count():
-        roots = roots_of(edges.union(more))
-    final = roots.select(F.col("id").alias("node"), "root")
-    least = classes.select("fp", "id").join(final.withColumnRenamed("node", "id"), "id", "left").select("fp", F.col("id").alias("class_id"), F.coalesce("root", "id").alias("component_id"))
+        keys = at.groupBy("g").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"), F.min("part").alias("p"), F.max("part").alias("q")).where("p != q")
+        keys = keys.groupBy("m", "x", "y").agg(F.min("g").alias("g")).select("g", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+        at = at.join(keys, "g").join(named.select("node", "n", "sketch"), "node").withColumn("block", F.pmod(F.xxhash64("node", F.lit(2)), F.col("blocks")).cast("int"))
+        at = at.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"x": F.least("block", "with"), "y": F.greatest("block", "with")})
+        at = at.withColumn("bucket", F.pmod(F.xxhash64("g", "x", "y"), F.lit(buckets)).cast("int"))
+        return dealt(at, buckets, "g", "x", "y").mapInArrow(_propose(forest), "a long, b long, g long").distinct()
+
+    told = stash(proposals(left, roots, True).join(tried, ["a", "b"], "left_anti"))
+    near = told.where("g IS NULL").select("a", "b")
+    more = verified(near)
+    after = roots_of(edges.union(more))
+    more_of = left.join(told.where("g IS NOT NULL").select("g").distinct(), "g", "left_semi")
+    rest = proposals(more_of, after, False).select("a", "b").join(tried, ["a", "b"], "left_anti").join(near, ["a", "b"], "left_anti")
+    last = verified(rest)
+    final = roots_of(edges.union(more).union(last)) if last.limit(1).count() else after
+    least = classes.select("fp", "id").join(final.select("id", "root"), "id", "left").select("fp", F.col("id").alias("class_id"), F.coalesce("root", "id").alias("component_id"))
     out = rows.select("doc_id", F.col("n").alias("n_shingles"), "fp").join(least, "fp", "left")
-    return out.select(F.col("doc_id").alias(key), "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id"))
+    out = stash(out.select(F.col("doc_id").alias(key), "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id")))
+    unstash(rows, classes, tried, edges, roots, left, told, more, after, last, *([final] if final is not after else []))
+    return out
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
