@@ -1,9 +1,19 @@
-"""Text functions as columns: tokens, trigrams, normalisers, cleaning of extracted text."""
+"""Text functions as columns: tokens, trigrams, normalisers, cleaning of extracted text, replies of models.
+
+Three normalisers are told apart: collapse() for verbatim checks, nfkc_key() for dedup, nfkc_words() for the comparison of runs.
+"""
 
 from __future__ import annotations
 
+import json
+import re
+import unicodedata
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DataType, StringType
 
 #: Words of letters, digits and low lines, or single other signs.
 TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"
@@ -52,6 +62,33 @@ def word_slug(text: Column, default: str) -> Column:
     return F.when(s == "", F.lit(default)).otherwise(s)
 
 
+def dash_slug(text: Column) -> Column:
+    """For names of files of reports: case stays; `unknown` where nothing is left."""
+    s = F.regexp_replace(F.regexp_replace(text, "[^A-Za-z0-9]+", "-"), "^-+|-+$", "")
+    return F.when(s == "", F.lit("unknown")).otherwise(s)
+
+
+def match_key(text: Column) -> Column:
+    """Lower case, marks and spaces as single spaces: by which titles and authors are compared."""
+    return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
+
+
+def _plain(make: Callable[[str], object], kind: DataType) -> Callable[[Column], Column]:
+    """A column function from one on strings; null stays null."""
+
+    @F.pandas_udf(kind)
+    def apply(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else make(t))
+
+    return apply
+
+
+#: Compatibility characters as their plain ones (NFKC), no outer white space, lower case: for dedup.
+nfkc_key = _plain(lambda t: unicodedata.normalize("NFKC", t).strip().lower(), StringType())
+#: The same with inner white space collapsed: for the comparison of runs.
+nfkc_words = _plain(lambda t: " ".join(unicodedata.normalize("NFKC", t).split()).lower(), StringType())
+
+
 def sanitize_field(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, r"[^\p{L}\p{N}_]+", "_"), "^_+|_+$", "")
 
@@ -98,15 +135,85 @@ def find_span(tokens: Column, span: Column) -> Column:
     return F.when(first.isNotNull(), F.sequence(first, first + F.size(want) - 1))
 
 
+def _bare(reply: str) -> str:
+    """A reply without the code fence around it."""
+    text = reply.strip()
+    if text.startswith("```"):
+        text = text.split("\n", 1)[1] if "\n" in text else text.lstrip("`")
+        text = text.rstrip().removesuffix("```")
+    return text.strip()
+
+
+_JSON = json.JSONDecoder(strict=False)  # raw control characters in strings
+
+
+def _first_value(reply: str) -> str:
+    text = _bare(reply)
+    try:
+        value, _ = _JSON.raw_decode(text)
+    except ValueError:
+        # prose before the value: it begins at the first bracket. What is within a value that was cut off is none
+        start = re.search(r"[\[{]", text)
+        try:
+            value, _ = _JSON.raw_decode(text, start.start()) if start else _JSON.raw_decode("")
+        except ValueError:
+            return text
+    return json.dumps(value, ensure_ascii=False)
+
+
+#: The first complete JSON value of a reply: code fences, prose around it and what follows are dropped. Where there is none the text stays.
+first_value = _plain(_first_value, StringType())
+
+
+def _cut_off(reply: str) -> bool:
+    text = _bare(reply)
+    if not text:
+        return True
+    try:
+        _JSON.raw_decode(text)
+    except json.JSONDecodeError as e:
+        return "Unterminated string" in e.msg or e.pos >= len(text) - 1
+    return False
+
+
+#: Whether a reply looks as if the model had stopped before its end: empty, within a string, or an error at the very end.
+cut_off = _plain(_cut_off, BooleanType())
+
+
 def parse_reply(reply: Column, schema: str) -> Column:
-    """A model's JSON reply: code fence stripped, raw control characters allowed, one object taken as a list of one."""
-    bare = F.trim(F.regexp_replace(reply, r"(?s)^\s*```[a-zA-Z]*\s*|\s*```\s*$", ""))
+    """A model's JSON reply: the first complete value, raw control characters allowed, one object taken as a list of one. Null if it can't be read."""
+    bare = first_value(reply)
     return F.from_json(F.when(bare.startswith("{"), F.concat(F.lit("["), bare, F.lit("]"))).otherwise(bare), schema, {"allowUnquotedControlChars": "true"})
 
 
-def annotation_note(form: Column, note: Column, check: Column) -> Column:
-    return F.concat_ws(" — self-check: ", F.concat_ws(". ", form, note), F.nullif(check, F.lit("")))
+def numbered_lines(items: Column) -> Column:
+    """`0. first`, `1. second` … on a line each, as prompts list units."""
+    return F.array_join(F.transform(items, lambda x, i: F.concat(i.cast("string"), F.lit(". "), x)), "\n")
+
+
+def annotation_note(note: Column, check: Column, passed: Column) -> Column:
+    """A form's note; where the sentence failed its check with a note, that too."""
+    n, c = F.coalesce(note, F.lit("")), F.concat(F.lit("self-check: "), check)
+    said = ~F.coalesce(passed, F.lit(False)) & (F.coalesce(check, F.lit("")) != "")
+    return F.when(~said, n).when(n == "", c).otherwise(F.concat(n, F.lit(" — "), c))
 
 
 def approved(value: Column) -> Column:
     return F.coalesce(F.lower(F.trim(value.cast("string"))) == "true", F.lit(False))
+
+
+def sentence_method(method: Column, model: str, encoder: str) -> Column:
+    """How a pair was found: the stage and the model it used."""
+    return F.when(method == "embedding", F.lit(f"embedding:{encoder}")).when(method == "lexical", F.lit("lexical:trigram-dice")).when(method == "llm_judge", F.lit(f"llm_judge:{model}")).otherwise(F.lit(f"llm:{model}"))
+
+
+#: What a service says that has no more to give for now.
+LIMIT_MARKS = ("usage limit reached", "credit balance too low", "rate limited", "overloaded", "529")
+
+
+def is_limit_message(message: Column) -> Column:
+    low = F.lower(F.coalesce(message, F.lit("")))
+    found = F.lit(False)
+    for mark in LIMIT_MARKS:
+        found = found | F.contains(low, F.lit(mark))
+    return found

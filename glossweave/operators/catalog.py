@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..sources.corpus_files import plausible_author
+from ..functions.text import match_key
+from ..sources.corpus_files import exists, plausible_author
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str, order: str) -> DataFrame:
@@ -33,30 +35,84 @@ def overwrite_slots(old: DataFrame, new: DataFrame, slot: list[str], author: str
 
 
 def match_work(new: DataFrame, folders: DataFrame) -> DataFrame:
-    """For each new file the first folder, by name, of the same title whose oldest file has a plausible author."""
-    f = folders.select("title", "folder", F.col("author").alias("folder_author"))
-    hit = new.join(f, "title").where(plausible_author(F.col("author"), F.col("folder_author")))
+    """For each new file the first folder, by name, of the same title (case, marks and spaces aside) whose oldest file has a plausible author."""
+    f = folders.select(match_key(F.col("title")).alias("_title"), "folder", F.col("author").alias("folder_author"))
+    hit = new.withColumn("_title", match_key(F.col("title"))).join(f, "_title").where(plausible_author(F.col("author"), F.col("folder_author")))
     return new.join(hit.groupBy("name").agg(F.min("folder").alias("folder")), "name", "left")
 
 
-def crawl(seeds: DataFrame, edges: DataFrame, documents: Column, max_depth: int = 3, max_pages: int = 300, shared: str | None = None) -> DataFrame:
-    """(url, depth, is_document) of what is reached over edges (src, dst): breadth first, each address once.
+def remembered(spark: SparkSession, path: str, fingerprint: str, schema: str) -> DataFrame:
+    """A memo's rows of this run's fingerprint (schema: of its key and result); a missing memo and one of another run count as empty."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(f"{schema}, fingerprint string").parquet(path).where(F.col("fingerprint") == fingerprint).drop("fingerprint")
 
-    Documents are not followed. A round is a join and an anti join; rounds are written to the shared folder. At most
-    max_pages pages are opened, in order of depth and address.
+
+def get_or_compute(wanted: DataFrame, path: str, fingerprint: str, key: str, compute: Callable[[DataFrame], DataFrame], schema: str) -> DataFrame:
+    """Results of all wanted keys: those of the memo, and new ones, which are appended to it before they are returned. A key that compute leaves out stays
+    uncomputed and is asked for again by the next run. The first result of a key counts."""
+    spark = wanted.sparkSession
+    known = remembered(spark, path, fingerprint, schema)
+    new = compute(wanted.join(known.select(key), key, "left_anti"))
+    new.select(*known.columns).withColumn("fingerprint", F.lit(fingerprint)).write.mode("append").parquet(path)
+    return remembered(spark, path, fingerprint, schema).join(wanted.select(key).distinct(), key, "left_semi").dropDuplicates([key])
+
+
+def chunks_to_do(chunks: DataFrame, done: DataFrame, by: str = "doc_id") -> DataFrame:
+    """Chunks (by, chunk_index, …) that still need an answer. done: (by, chunk_index, total_chunks) of an interrupted run; it counts for a document that still
+    has as many chunks, else all of them are to do anew."""
+    n = chunks.groupBy(by).agg(F.count("*").alias("_n"))
+    valid = done.join(n, by).where("total_chunks = _n").select(by, "chunk_index").distinct()
+    return chunks.join(valid, [by, "chunk_index"], "left_anti")
+
+
+def rows_to_do(rows: DataFrame, done: DataFrame, key: str) -> DataFrame:
+    """Rows that an interrupted build has not stored yet: work goes on where it stopped, whatever the order in which tasks stored theirs."""
+    return rows.join(done.select(key), key, "left_anti")
+
+
+def grow_registry(registry: DataFrame, tagged: DataFrame, closed: list[str]) -> DataFrame:
+    """The registry (lang, year, form, upos) with the function words found in tagged tokens (lang, year, token, upos, position): the last tag of a form wins, a new
+    one over an old one."""
+    new = tagged.where(F.col("upos").isin(closed)).groupBy("lang", "year", F.lower("token").alias("form")).agg(F.max_by("upos", "position").alias("upos"))
+    return registry.select("lang", "year", "form", "upos").join(new, ["lang", "year", "form"], "left_anti").unionByName(new)
+
+
+def crawl(seeds: DataFrame, edges: DataFrame, documents: Column, shared: str, max_depth: int = 3, max_pages: int = 300, max_cost: float | None = None) -> DataFrame:
+    """(url, depth, chain, is_document) of what is reached over edges (src, dst[, place[, cost]]): breadth first, each address once.
+
+    An address takes the first way by which it is met, in the order of a queue: that of the pages that lead to it, and of the links on them (`place`, then the address).
+    Documents are not opened. Pages are opened in that order until max_pages are, or until those opened before cost max_cost (an edge's cost is that of
+    opening its source). A round is a join and an anti join, written below `shared` and read from there by the next; places in the queue are the ways
+    themselves, compared link by link, so that no round numbers its rows in one task.
     """
     spark = seeds.sparkSession
-    base = f"{(shared or spark.sparkContext.getConf().get('spark.checkpoint.dir') or 'file:/tmp/glossweave').rstrip('/')}/crawl-{uuid.uuid4().hex}"
-    start = seeds.select("url").distinct().withColumn("depth", F.lit(0)).withColumn("is_document", documents)
-    start.write.parquet(f"{base}/0")
-    opened = 0
-    for depth in range(max_depth):
-        seen = spark.read.parquet(*(f"{base}/{d}" for d in range(depth + 1)))
-        open_now = spark.read.parquet(f"{base}/{depth}").where("NOT is_document").orderBy("url").limit(max(0, max_pages - opened))
-        opened += open_now.count()
-        found = open_now.join(edges, open_now["url"] == edges["src"]).select(F.col("dst").alias("url")).distinct().join(seen.select("url"), "url", "left_anti")
-        found.withColumn("depth", F.lit(depth + 1)).withColumn("is_document", documents).write.parquet(f"{base}/{depth + 1}")
-    return spark.read.parquet(*(f"{base}/{d}" for d in range(max_depth + 1)))
+    base = f"{shared.rstrip('/')}/crawl-{uuid.uuid4().hex}"
+    for c in ("place", "cost"):
+        edges = edges if c in edges.columns else edges.withColumn(c, F.lit(0.0 if c == "cost" else 0))
+    links = edges.select("src", "dst", F.col("place").cast("long").alias("link"))
+    costs = edges.groupBy("src").agg(F.max("cost").cast("double").alias("page_cost"))
+    start = seeds.select("url").distinct().select("url", F.lit(0).alias("depth"), F.array().cast("array<bigint>").alias("way"), F.array("url").alias("chain"))
+    start.withColumn("is_document", documents).write.parquet(f"{base}/0")
+    opened, spent, depth = 0, 0.0, 0
+    while depth < max_depth and opened < max_pages and (max_cost is None or spent < max_cost):
+        # at most max_pages rows: a budget
+        now = spark.read.parquet(f"{base}/{depth}").where("NOT is_document").orderBy("way", "chain").limit(max_pages - opened)
+        now = now.join(costs, now["url"] == costs["src"], "left").select("url", "way", "chain", F.coalesce("page_cost", F.lit(0.0)).alias("page_cost"))
+        if max_cost is not None:
+            before = F.sum("page_cost").over(Window.partitionBy(F.lit(0)).orderBy("way", "chain").rowsBetween(Window.unboundedPreceding, -1))
+            now = now.withColumn("before", F.coalesce(before, F.lit(0.0)) + spent).where(F.col("before") < max_cost).drop("before")
+        now.write.parquet(f"{base}/opened-{depth}")
+        now = spark.read.parquet(f"{base}/opened-{depth}")
+        sums = now.agg(F.count("*").alias("n"), F.sum("page_cost").alias("cost")).first()
+        opened, spent = opened + sums["n"], spent + (sums["cost"] or 0.0)
+        seen = spark.read.parquet(*(f"{base}/{d}" for d in range(depth + 1))).select(F.col("url").alias("dst"))
+        met = now.select(F.col("url").alias("src"), "way", "chain").join(links, "src").join(seen, "dst", "left_anti")
+        first = met.groupBy("dst").agg(F.min(F.struct("way", "chain", "link")).alias("w"))
+        depth += 1
+        found = first.select(F.col("dst").alias("url"), F.lit(depth).alias("depth"), F.concat("w.way", F.array("w.link")).alias("way"), F.concat("w.chain", F.array("dst")).alias("chain"))
+        found.withColumn("is_document", documents).write.parquet(f"{base}/{depth}")
+    return spark.read.parquet(*(f"{base}/{d}" for d in range(depth + 1))).select("url", "depth", "chain", "is_document")
 
 
 def rename_to_oldest(folders: DataFrame, new: DataFrame) -> DataFrame:

@@ -1,10 +1,14 @@
-"""Run comparison: overlap, coverage, confidence, separation."""
+"""Run comparison: overlap, coverage, confidence, separation, drop rates; reports and snapshots."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from datetime import datetime
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import nfkc_words
+
 
 def _ratio(a, b):
     return F.when(b > 0, a / b).otherwise(F.lit(0.0))
@@ -24,6 +28,39 @@ def coverage(pairs: DataFrame, units: DataFrame, text: str, unit: str):
     return p.join(F.broadcast(u)).select("used", "there", _ratio(F.col("used"), F.col("there")).alias("coverage"))
 
 
+def compare_alignment(a: DataFrame, b: DataFrame, source_units: DataFrame, target_units: DataFrame, candidates: tuple[int | None, int | None] = (None, None)) -> DataFrame:
+    """One row on two runs over the same units: pairs; overlap of whole pairs and of source texts (normalised) with precision and recall of b; coverage of the units of
+    either side by either run; and, where the numbers of candidates before verification are told, the shares dropped by it. a, b: (source_text, target_text)."""
+    key = lambda x: x.select(nfkc_words(F.col("source_text")).alias("s"), nfkc_words(F.col("target_text")).alias("t"), F.length("source_text").alias("sl"), F.length("target_text").alias("tl"))
+    x, y = key(a), key(b)
+    whole = overlap(x, y, ["s", "t"]).withColumnsRenamed({"n_a": "keys_a", "n_b": "keys_b", "both": "pair_overlap", "precision": "pair_precision", "recall": "pair_recall"})
+    spans = overlap(x, y, ["s"]).withColumnsRenamed({"n_a": "sources_a", "n_b": "sources_b", "both": "source_overlap", "precision": "source_precision", "recall": "source_recall"})
+    sums = lambda z, n: z.agg(F.count("*").alias(f"pairs_{n}"), F.coalesce(F.sum("sl"), F.lit(0)).alias(f"sl_{n}"), F.coalesce(F.sum("tl"), F.lit(0)).alias(f"tl_{n}"))
+    there = lambda u, n: u.agg(F.coalesce(F.sum(F.length("unit_text")), F.lit(0)).alias(n))
+    one = whole
+    for part in (spans, sums(x, "a"), sums(y, "b"), there(source_units, "source_there"), there(target_units, "target_there")):
+        one = one.join(F.broadcast(part))  # a row each
+    rates = [_ratio(F.col(f"{c}_{n}"), F.col(f"{s}_there")).alias(f"{s}_coverage_{n}") for s, c in (("source", "sl"), ("target", "tl")) for n in "ab"]
+    drops = [(F.lit(1.0) - F.col(f"pairs_{n}") / k if k else F.lit(None).cast("double")).alias(f"drop_rate_{n}") for n, k in zip("ab", candidates, strict=True)]
+    return one.select("pairs_a", "pairs_b", "pair_overlap", "pair_precision", "pair_recall", "source_overlap", "source_precision", "source_recall", *rates, *drops)
+
+
+def usage_totals(calls: DataFrame, *by: str) -> DataFrame:
+    """Calls, tokens and cost of a log of model calls (prompt_tokens, completion_tokens, cost_usd; null counts as 0), in all or by columns."""
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return calls.groupBy(*by).agg(F.count("*").alias("calls"), total("prompt_tokens").alias("prompt_tokens"), total("completion_tokens").alias("completion_tokens"), (total("prompt_tokens") + total("completion_tokens")).alias("total_tokens"), total("cost_usd").cast("double").alias("cost_usd"))
+
+
+def snapshot(spark: SparkSession, path: str, tag: str, at: datetime) -> str:
+    """A copy of a stored table beside it, named after its stem, a tag and the time; the job fails if there is none. Returns its path."""
+    folder, _, name = path.rstrip("/").rpartition("/")
+    stem, dot, suffix = name.rpartition(".")
+    stem, suffix = (stem, dot + suffix) if dot and stem else (name, "")
+    target = f"{folder}/{stem}.baseline_{tag}_{at:%Y%m%dT%H%M%S}{suffix}"
+    spark.read.parquet(path).write.mode("errorifexists").parquet(target)
+    return target
+
+
 def confidence_stats(pairs: DataFrame) -> DataFrame:
     """By method, up to its colon: pairs, mean confidence (null as 0), mean number of links."""
     m = F.split_part(F.coalesce("sentence_method", F.lit("unknown")), F.lit(":"), F.lit(1))

@@ -1,12 +1,11 @@
-"""Attestation, lookup and search over pairs: each answers many queries in one job."""
+"""Attestation, nearest vectors, and what clients make of hits: each answers many queries in one job."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scores import P, Params, bm25_term, decay_rate, dice_threshold, hybrid, max_edits, minmax, semantic_weight, tag_rank
-from ..functions.text import char_trigrams, dice, edit_distance, token_char_length
+from ..functions.scores import P, Params, decay_rate
 
 #: Rows of a query table up to which it is broadcast; a larger one is joined by shuffle.
 SMALL = 10_000
@@ -23,125 +22,67 @@ def attest(rows: DataFrame, lemma: str, iso: str, year: int, window: int = P.att
     return out.where(F.col("ner") == ner) if ner else out
 
 
-def lookup_candidates(queries: DataFrame, postings: DataFrame) -> DataFrame:
-    """Tokens that share enough trigrams with a query: (query_id, query, row_index, side, token_index, shared, dice).
-
-    queries: (query_id, query, side). The query side is the small one; postings are read by gram.
-    """
-    q = queries.withColumn("grams", char_trigrams(F.col("query"))).withColumn("n", F.size("grams"))
-    g = small(q.select("query_id", "query", "side", "n", F.explode("grams").alias("ngram")))
-    c = postings.join(g, ["ngram", "side"]).groupBy("query_id", "query", "n", "row_index", "side", "token_index").agg(F.count("*").alias("shared"), F.max("token_ngram_count").alias("m"))
-    score = 2.0 * F.col("shared") / (F.col("n") + F.col("m"))
-    length = F.length("query") + token_char_length(F.col("m"))
-    return c.where(score >= dice_threshold(length)).select("query_id", "query", "row_index", "side", "token_index", "shared", score.alias("dice"))
-
-
-def lookup_refined(candidates: DataFrame, words: DataFrame) -> DataFrame:
-    """Candidates whose token is within the edits that the lengths allow."""
-    c = candidates.join(words, ["row_index", "side", "token_index"])
-    d = edit_distance(F.col("query"), F.col("token"))
-    return c.withColumn("distance", d).where(F.col("distance") <= max_edits(F.length("query") + F.length("token")))
-
-
-def lookup(refined: DataFrame, linked: DataFrame, upos: str | None = None, ner: str | None = None) -> DataFrame:
-    """One row for each query and pair: matched tokens, the other side's span of the first link that meets them, tag rank."""
-    m = refined.groupBy("query_id", "row_index", "side").agg(F.array_sort(F.collect_set("token_index")).alias("matched"))
-    r = m.join(linked, "row_index")
-    own = lambda x: F.when(F.col("side") == 0, x["source_idx"]).otherwise(x["target_idx"])
-    first = F.try_element_at(F.filter("links", lambda x: F.arrays_overlap(own(x), F.col("matched"))), F.lit(1))
-    r = r.withColumn("link", first)
-    other = F.when(F.col("side") == 0, F.col("target_tokens")).otherwise(F.col("source_tokens"))
-    idx = F.when(F.col("side") == 0, F.col("link.target_idx")).otherwise(F.col("link.source_idx"))
-    r = r.withColumn("span", F.when(F.col("link").isNotNull(), F.array_join(F.transform(idx, lambda i: F.get(other, i)), " ")))
-    return r.select("query_id", "row_index", "side", "matched", "span", F.col("link.upos").alias("matched_upos"), F.col("link.ner").alias("matched_ner"), tag_rank([(upos, F.col("link.upos")), (ner, F.col("link.ner"))]).alias("tag_rank"))
-
-
-def collection(rows: DataFrame) -> DataFrame:
-    """(side, n_rows, mean_length): one small row a side, from token counts."""
-    return rows.groupBy("side").agg(F.count("*").alias("n_rows"), F.avg(F.size("tokens")).alias("mean_length"))
-
-
-def document_frequency(terms: DataFrame) -> DataFrame:
-    return terms.groupBy("side", "term").agg(F.countDistinct("row_index").alias("doc_freq"))
-
-
-def bm25(queries: DataFrame, rows: DataFrame, terms: DataFrame) -> DataFrame:
-    """(query_id, row_index, side, bm25) of rows that hold a query term; query terms are cut at white space alone."""
-    q = queries.select("query_id", "side", F.explode(F.array_distinct(F.filter(F.split(F.lower("query"), r"\s+"), lambda x: x != ""))).alias("term"))
-    hits = terms.join(small(q), ["side", "term"])
-    # frequencies of the asked terms alone
-    asked = terms.join(small(q.select("side", "term").distinct()), ["side", "term"], "left_semi")
-    df = document_frequency(asked)
-    sizes = rows.select("row_index", "side", F.size("tokens").alias("length"))
-    x = hits.join(df, ["side", "term"]).join(sizes, ["row_index", "side"]).join(F.broadcast(collection(rows)), "side")
-    s = bm25_term(F.col("term_frequency"), F.col("doc_freq"), F.col("n_rows"), F.col("length"), F.col("mean_length"))
-    return x.groupBy("query_id", "row_index", "side").agg(F.sum(s).alias("bm25"))
-
-
 def top_k(rows: DataFrame, k: int, score: str, *ties: str, by: str = "query_id") -> DataFrame:
     """Ranked with a total order; each partition keeps k a key before the shuffle (a window group limit)."""
     w = Window.partitionBy(by).orderBy(F.desc(score), *ties)
     return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, k: int, dim: int = 64) -> DataFrame:
-    """Exact top-k inner products: (query_id, similarity, *vector columns); queries (query_id, query_vector) in broadcast blocks.
+#: Bytes of query vectors that a broadcast holds, and places that similarities are rounded to, so that equal vectors tie wherever they stand.
+BLOCK_BYTES, DIGITS = 16 << 20, 9
+
 
-    Vectors stream once a block past a matrix of at most BLOCK queries; a task keeps the best k a query of each Arrow batch.
+def nearest(queries: DataFrame, vectors: DataFrame, k: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """Exact top-k inner products, of each group of vectors `by` some columns: (query_id, similarity, *vector columns, rank); queries (query_id,
+    query_vector), vectors (..., embedding).
+
+    Blocks of queries are broadcast, of a size counted beforehand, and vectors stream past each; a task keeps k a query of each Arrow batch, ties by the
+    vector columns in order. Rows without a vector match nothing; without queries there are no rows.
     """
     import numpy as np
     import pyarrow as pa
+    import pyarrow.compute as pc
 
-    block = 1024
-    rows = queries.select("query_id", "query_vector").orderBy("query_id")
-    n = -(-rows.count() // block)
+    rows = queries.where("query_vector IS NOT NULL").select("query_id", "query_vector")
     spark = queries.sparkSession
     keys = [c for c in vectors.columns if c != "embedding"]
-    shape = ", ".join(f"`{c}` {vectors.schema[c].dataType.simpleString()}" for c in keys)
-    parts = []
-    for b in range(n):
-        got = rows.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == b).toArrow()
-        if not got.num_rows:
-            continue
-        ids = got["query_id"].to_numpy()
-        sent = spark.sparkContext.broadcast((ids, np.array(got["query_vector"].to_pylist(), np.float64)))
-
-        def run(batches, sent=sent):
+    schema = ", ".join([f"query_id {queries.schema['query_id'].dataType.simpleString()}, similarity double", *(f"`{c}` {vectors.schema[c].dataType.simpleString()}" for c in keys)])
+    size = rows.agg(F.sum(F.size("query_vector") * 8 + 16 * k)).first()[0] or 0
+    blocks = -(-size // BLOCK_BYTES)
+    known = vectors.where("embedding IS NOT NULL").select(*keys, "embedding")
+
+    def of(block: int) -> DataFrame:
+        got = rows.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).toArrow()
+        sent = spark.sparkContext.broadcast((got["query_id"].combine_chunks(), np.array(got["query_vector"].to_pylist(), np.float64)))
+
+        def run(batches):
             ids, q = sent.value
             for batch in batches:
-                if not batch.num_rows:
+                if not batch.num_rows or not len(ids):
                     continue
-                v = np.array(batch["embedding"].to_pylist(), np.float64)
-                s = q @ v.T
-                m = min(k, s.shape[1])
-                best = np.argpartition(-s, m - 1, axis=1)[:, :m]
-                # ties with the k-th stay: a total order decides later
-                floor = np.take_along_axis(s, best, 1).min(axis=1)
-                i, j = np.nonzero(s >= floor[:, None])
-                yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(s[i, j]), *(batch[c].take(pa.array(j)) for c in keys)], ["query_id", "similarity", *keys])
-
-        parts.append(vectors.select(*keys, "embedding").mapInArrow(run, f"query_id {queries.schema['query_id'].dataType.simpleString()}, similarity double, {shape}"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return top_k(out, k, "similarity", *keys)
-
-
-def search(queries: DataFrame, hits: DataFrame, rows: DataFrame, terms: DataFrame, now: int, top: int = P.top_k, upos: str | None = None, ner: str | None = None, p: Params = P) -> DataFrame:
-    """Hybrid passage search.
-
-    queries: (query_id, query, side, year, window); hits: (query_id, row_index, side, ip), the nearest vectors of each query. Lexical
-    signals are computed for hits alone and normalised over a query's hits; without a year the inner product alone is the score.
-    """
-    h = hits.join(small(queries), ["query_id", "side"]).join(rows.select("row_index", "side", F.col("year").alias("hit_year"), "text", *(c for c in ("links",) if c in rows.columns)), ["row_index", "side"])
-    h = h.where(F.col("year").isNull() | F.col("window").isNull() | (F.abs(F.col("hit_year") - F.col("year")) <= F.col("window")))
-    h = h.join(bm25(queries, rows, terms), ["query_id", "row_index", "side"], "left").withColumns({"bm": F.coalesce("bm25", F.lit(0.0)), "ng": dice(char_trigrams(F.col("query")), char_trigrams(F.col("text")))})
-    blended = hybrid(semantic_weight(F.col("year"), now, p), minmax(F.col("ip"), "query_id"), minmax(F.col("ng"), "query_id"), minmax(F.col("bm"), "query_id"), p)
-    score = F.when(F.col("year").isNull(), F.col("ip")).otherwise(blended)
-    if upos or ner:
-        fits = lambda x: F.lit(True) & ((x["upos"] == upos) if upos else F.lit(True)) & ((x["ner"] == ner) if ner else F.lit(True))
-        score = score + F.when(F.exists("links", fits), p.tag_boost).otherwise(0.0)
-    return top_k(h.withColumn("score", score), top, "score", "row_index", "side").select("query_id", "row_index", "side", "hit_year", "ip", "ng", "bm", "score", "rank")
+                if keys:
+                    batch = batch.take(pc.sort_indices(pa.Table.from_batches([batch.select(keys)]), [(c, "ascending") for c in (*by, *(c for c in keys if c not in by))]))
+                s = np.round(q @ np.array(batch["embedding"].to_pylist(), np.float64).T, DIGITS)
+                new = np.zeros(batch.num_rows, bool)
+                for c in by:
+                    code = batch[c].dictionary_encode(null_encoding="encode").indices.to_numpy()
+                    new[1:] |= code[1:] != code[:-1]
+                for at in np.split(np.arange(batch.num_rows), np.flatnonzero(new)):
+                    own = s[:, at[0] : at[-1] + 1]
+                    m = min(k, own.shape[1])
+                    floor = np.partition(own, own.shape[1] - m, axis=1)[:, own.shape[1] - m][:, None]
+                    more, same = own > floor, own == floor
+                    # of those equal to the k-th the first in order, as many as there is room for
+                    i, j = np.nonzero(more | (same & (np.cumsum(same, axis=1) <= m - more.sum(axis=1, keepdims=True))))
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(i)), pa.array(own[i, j]), *(batch[c].take(pa.array(at[j])) for c in keys)], ["query_id", "similarity", *keys])
+
+        return known.mapInArrow(run, schema)
+
+    out = of(0) if blocks else spark.createDataFrame([], schema)
+    for b in range(1, blocks):
+        out = out.unionByName(of(b))
+    w = Window.partitionBy("query_id", *by).orderBy(F.desc("similarity"), *keys)
+    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def temporal_rerank(hits: DataFrame, year: Column, p: Params = P) -> DataFrame:

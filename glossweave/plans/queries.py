@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 
-import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores, tags, text
-from ..operators import adapters, align, catalog, contrib, evaluate, sense, serve
+from ..operators import adapters, align, catalog, contrib, evaluate, modes, retrieval, sense, serve
+from ..operators.index import SHARD, build_index, collection, discover_pairs, document_frequency, shards_between
 from ..sources import catalogue, corpus_files, pages
 from . import views
 from .views import SQL as V
@@ -68,12 +69,12 @@ def bm25_postings(s, d):
 
 @query(with_("terms") + " SELECT side, term, count(DISTINCT row_index) AS doc_freq FROM terms GROUP BY ALL")
 def term_doc_freq(s, d):
-    return serve.document_frequency(views.term_postings(views.tokens(s, d)))
+    return document_frequency(views.term_postings(views.tokens(s, d)), "side")
 
 
 @query(with_("sides") + " SELECT side, count(*) AS n_rows, round(avg(len(tokens)), 6) AS mean_length FROM sides GROUP BY ALL")
 def corpus_stats(s, d):
-    return serve.collection(views.sides(s, d)).withColumn("mean_length", r6("mean_length"))
+    return collection(views.sides(s, d), "side").withColumn("mean_length", r6("mean_length"))
 
 
 @query(with_("pairs") + f" SELECT row_index, round({_DICE.format(_GRAMS.format('source_text'), _GRAMS.format('target_text'))}, 6) AS dice FROM pairs")
@@ -82,18 +83,14 @@ def dice_pairs(s, d):
     return views.pairs(s, d).select("row_index", r6(text.dice(g("source_text"), g("target_text"))).alias("dice"))
 
 
-@query(with_("tokens") + " SELECT a.row_index, a.token_index, levenshtein(lower(a.token), lower(b.token))::INT AS distance FROM tokens a JOIN tokens b USING (row_index, token_index) WHERE a.side = 0 AND b.side = 1 AND regexp_full_match(a.token, '[A-Za-z]+') AND regexp_full_match(b.token, '[A-Za-z]+')")
-def edit_distance_pairs(s, d):
-    return _edit_distances(views.tokens(s, d).where(F.col("token").rlike("^[A-Za-z]+$")))
-
+#: SQL's edit distance counts bytes: letters of two bytes are written as capitals, which a lower-cased token has none of.
+_LOW = "translate(lower({0}), 'óéñèíüçêäöß', 'ABCDEFGHIJK')"
+_LEV = "levenshtein(" + _LOW + ", " + _LOW.replace("{0}", "{1}") + ")"
 
-@query()
-def edit_distance_pairs_whole(s, d):
-    """Over all tokens, in characters; SQL's edit distance counts bytes."""
-    return _edit_distances(views.tokens(s, d))
 
-
-def _edit_distances(t):
+@query(with_("tokens") + f" SELECT a.row_index, a.token_index, {_LEV.format('a.token', 'b.token')}::INT AS distance FROM tokens a JOIN tokens b USING (row_index, token_index) WHERE a.side = 0 AND b.side = 1")
+def edit_distance_pairs(s, d):
+    t = views.tokens(s, d)
     b = t.where("side = 1").select("row_index", "token_index", F.col("token").alias("other"))
     return t.where("side = 0").join(b, ["row_index", "token_index"]).select("row_index", "token_index", text.edit_distance(F.col("token"), F.col("other")).alias("distance"))
 
@@ -106,93 +103,91 @@ def lookup_curves(s, d):
     return s.range(80).select(n.alias("pair_length"), r6(scores.dice_threshold(n)).alias("dice_threshold"), scores.max_edits(n).alias("max_edits"), r6(scores.semantic_weight(n * 30, 2025)).alias("semantic_weight"), r6(scores.decay_rate(n)).alias("decay_rate"))
 
 
-# --- lookup and search ---------------------------------------------------------------------------------------------
+# --- index, lookup and search -----------------------------------------------------------------------------------------
 
 
-def _asked(s):
-    return views.word_queries(s).withColumn("side", F.when(F.col("lang") == "a", 0).otherwise(1)).drop("lang")
+@query(with_("ss", "tt", "pp") + """, y AS (SELECT 'l' || conv_id % 3 AS lang_a, min(least(source_year, target_year))::INT AS year_from, max(greatest(source_year, target_year))::INT AS year_to FROM pairs GROUP BY ALL),
+n AS (SELECT 'pairs' AS artifact, 'l' || conv_id % 3 AS lang_a, count(*) AS n_rows, sum(row_index)::BIGINT AS total FROM pairs GROUP BY ALL UNION ALL SELECT 'sides', lang_a, count(*), sum(len(tokens))::BIGINT FROM ss GROUP BY ALL
+  UNION ALL SELECT 'grams', lang_a, count(*), sum(token_ngram_count)::BIGINT FROM pp GROUP BY ALL UNION ALL SELECT 'terms', tt.lang_a, count(*), sum(term_frequency * len(tokens))::BIGINT FROM tt JOIN ss USING (row_index, side) GROUP BY ALL
+  UNION ALL SELECT 'stats', lang_a, 2, sum(len(tokens))::BIGINT FROM ss GROUP BY ALL UNION ALL SELECT 'vectors', lang_a, count(*), sum(row_index)::BIGINT FROM ss GROUP BY ALL)
+SELECT artifact, lang_a, 'eng' AS lang_b, year_from, year_to, n_rows, total FROM n JOIN y USING (lang_a)""")
+def index_build(s, d):
+    """The whole index, built anew and read back: rows and a sum of each artifact and shard."""
+    x = build_index(views.served(s, d), f"{corpus_files.shared_folder(s)}/index-{uuid.uuid4().hex}", vectors=views.side_vectors(s, d))
+    total = {"pairs": "row_index", "sides": F.size("tokens"), "grams": "token_ngram_count", "terms": F.col("term_frequency") * F.col("length"), "stats": "n_tokens", "vectors": "row_index"}
+    out = None
+    for name, value in total.items():
+        part = getattr(x, name).groupBy(*SHARD).agg(F.count("*").alias("n_rows"), F.sum(value).cast("long").alias("total")).select(F.lit(name).alias("artifact"), *SHARD, "n_rows", "total")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
-_CAND = f"""asked AS (SELECT query_id, query, CASE lang WHEN 'a' THEN 0 ELSE 1 END AS side, {_GRAMS.format('query')} AS g FROM queries),
-cand AS (SELECT query_id, query, row_index, p.side, token_index, count(*) AS shared, 2.0 * count(*) / (any_value(len(g)) + max(token_ngram_count)) AS dice, max(token_ngram_count) AS m
-  FROM asked JOIN postings p ON p.side = asked.side AND list_contains(g, p.ngram) GROUP BY query_id, query, row_index, p.side, token_index),
+_CAND = f"""asked AS (SELECT query_id, query, lang_a, side, {_GRAMS.format('query')} AS g FROM words), ag AS (SELECT query_id, query, lang_a, side, len(g) AS n, unnest(g) AS ngram FROM asked),
+cand AS (SELECT query_id, query, row_index, side, token_index, count(*) AS shared, 2.0 * count(*) / (any_value(n) + max(token_ngram_count)) AS dice, max(token_ngram_count) AS m FROM ag JOIN pp USING (lang_a, side, ngram) GROUP BY query_id, query, row_index, side, token_index),
 kept AS (SELECT * FROM cand WHERE dice >= 0.5 * (1 - exp(-(length(query) + greatest(0, m - 2)) / 10.0)))"""
-_REFINED = """refined AS (SELECT k.*, token, levenshtein(lower(query), lower(token)) AS distance FROM kept k JOIN tokens t USING (row_index, side, token_index)
-  WHERE regexp_full_match(token, '[A-Za-z]+') AND levenshtein(lower(query), lower(token)) <= round_even(2.0 * (1 - exp(-(length(query) + length(token)) / 4.5)), 0))"""
+_REFINED = f"""refined AS (SELECT k.*, token, {_LEV.format('query', 'token')} AS distance FROM kept k JOIN tokens t USING (row_index, side, token_index)
+  WHERE {_LEV.format('query', 'token')} <= round_even(2.0 * (1 - exp(-(length(query) + length(token)) / 4.5)), 0))"""
 
 
-@query(with_("postings", "queries") + ",\n" + _CAND + " SELECT query_id, query, row_index, side, token_index, shared, round(dice, 6) AS dice FROM kept")
+@query(with_("pp", "words") + ",\n" + _CAND + " SELECT query_id, query, row_index, side, token_index, shared, round(dice, 6) AS dice FROM kept")
 def lookup_candidates(s, d):
-    return serve.lookup_candidates(_asked(s), views.gram_postings(views.tokens(s, d))).withColumn("dice", r6("dice"))
+    found = retrieval.candidates(views.word_queries(s, d), views.index(s, d))
+    return found.select("query_id", "query", "row_index", "side", "token_index", "shared", r6("dice").alias("dice"))
 
 
-def _refined(s, d, whole=False):
-    words = views.tokens(s, d)
-    # SQL's edit distance counts bytes: ASCII tokens alone where there is SQL
-    return serve.lookup_refined(serve.lookup_candidates(_asked(s), views.gram_postings(words)), words if whole else words.where(F.col("token").rlike("^[A-Za-z]+$")))
-
-
-@query(with_("postings", "queries") + ",\n" + _CAND + ",\n" + _REFINED + " SELECT query_id, row_index, side, token_index, token, distance::INT AS distance FROM refined")
+@query(with_("pp", "words") + ",\n" + _CAND + ",\n" + _REFINED + " SELECT query_id, row_index, side, token_index, token, distance::INT AS distance FROM refined")
 def lookup_refined(s, d):
-    return _refined(s, d).select("query_id", "row_index", "side", "token_index", "token", "distance")
-
-
-@query()
-def lookup_refined_whole(s, d):
-    return _refined(s, d, True).select("query_id", "row_index", "side", "token_index", "token", "distance")
+    found = retrieval.refined(retrieval.candidates(views.word_queries(s, d), views.index(s, d)))
+    return found.select("query_id", "row_index", "side", "token_index", "token", "distance")
 
 
 _LOOKUP = _CAND + ",\n" + _REFINED + """,
 m AS (SELECT query_id, row_index, side, list(DISTINCT token_index ORDER BY token_index) AS matched FROM refined GROUP BY ALL),
-l AS (SELECT query_id, row_index, side, matched, CASE side WHEN 0 THEN target_tokens ELSE source_tokens END AS other, list_filter(links, lambda x: list_contains(matched, x.idx))[1] AS link FROM m JOIN linked USING (row_index))"""
+l AS (SELECT query_id, row_index, m.side, matched, words.upos, words.ner, words.lang_a, CASE m.side WHEN 0 THEN source_tokens ELSE target_tokens END AS own, CASE m.side WHEN 0 THEN target_tokens ELSE source_tokens END AS other,
+  coalesce(CASE m.side WHEN 0 THEN source_text ELSE target_text END, '') AS query_sentence, coalesce(CASE m.side WHEN 0 THEN target_text ELSE source_text END, '') AS target_sentence, list_filter(links, x -> list_contains(matched, x.idx))[1] AS link,
+  coalesce(CASE WHEN row_index % 3 = 0 THEN 'c' || row_index END, '') AS citation, CASE WHEN row_index % 5 <> 0 THEN ((row_index * 7919) % 1000) / 1000.0 ELSE 0.0 END AS confidence FROM m JOIN linked USING (row_index) JOIN words USING (query_id)),
+ranked AS (SELECT *, coalesce(CASE WHEN upos IS NULL THEN 0 WHEN link.upos IS NULL THEN 1 WHEN link.upos <> upos THEN 2 ELSE 0 END, 0) + coalesce(CASE WHEN ner IS NULL THEN 0 WHEN link.ner IS NULL THEN 1 WHEN link.ner <> ner THEN 2 ELSE 0 END, 0) AS tag_rank FROM l),
+placed AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY tag_rank, lang_a, row_index) - 1)::INT AS place FROM ranked)""".replace("x ->", "lambda x:")
 
 
-@query(with_("postings", "linked", "queries") + ",\n" + _LOOKUP + " SELECT query_id, row_index, side, array_to_string(matched, ',') AS matched, other[link.idx + 1] AS span, link.upos AS matched_upos, link.ner AS matched_ner FROM l")
-def lookup_batch(s, d):
-    return serve.lookup(_refined(s, d), views.linked(s, d)).withColumn("matched", F.array_join("matched", ",")).drop("tag_rank")
-
-
-@query()
-def lookup_batch_whole(s, d):
-    return serve.lookup(_refined(s, d, True), views.linked(s, d)).withColumn("matched", F.array_join("matched", ",")).drop("tag_rank")
-
+def _lookup(s, d):
+    return retrieval.lookup(views.word_queries(s, d), views.index(s, d))
 
-@query(with_("postings", "linked", "queries") + ",\n" + _LOOKUP + """ SELECT query_id, row_index, side, CASE WHEN link.upos IS NULL THEN 1 WHEN link.upos <> 'NOUN' THEN 2 ELSE 0 END + CASE WHEN link.ner IS NULL THEN 1 WHEN link.ner <> 'PER' THEN 2 ELSE 0 END AS tag_rank FROM l""")
-def lookup_tag_ranked(s, d):
-    return serve.lookup(_refined(s, d), views.linked(s, d), upos="NOUN", ner="PER").select("query_id", "row_index", "side", "tag_rank")
 
-
-@query()
-def lookup_tag_ranked_whole(s, d):
-    return serve.lookup(_refined(s, d, True), views.linked(s, d), upos="NOUN", ner="PER").select("query_id", "row_index", "side", "tag_rank")
+@query(with_("pp", "linked", "words") + ",\n" + _LOOKUP + " SELECT query_id, place, row_index, side, array_to_string(matched, ',') AS matched, other[link.idx + 1] AS span, link.upos AS matched_upos, link.ner AS matched_ner, lower(CASE side WHEN 0 THEN own[link.idx + 1] ELSE own[link.idx + 1] END) AS matched_lemma, query_sentence, target_sentence, citation, confidence FROM placed")
+def lookup_batch(s, d):
+    """The served answer to each word: passages in order, the span of the first link met, tags, citation and confidence."""
+    x = _lookup(s, d).withColumn("matched", F.array_join("matched", ","))
+    return x.select("query_id", "place", "row_index", "side", "matched", "span", "matched_upos", "matched_ner", "matched_lemma", "query_sentence", "target_sentence", "citation", "confidence")
 
 
-#: Passage queries: id, text, side, year, window (null: none).
-PASSAGES = [(1, "the of and there", 0, 1500, 400), (2, "eaux que la de", 0, 1200, None), (3, "ando que ción", 1, 1990, 50), (4, "und der ist", 1, None, None), (5, "thand with the ention", 0, 1800, 300)]
+@query(with_("pp", "linked", "words") + ",\n" + _LOOKUP + " SELECT query_id, row_index, (row_number() OVER (PARTITION BY query_id ORDER BY confidence DESC, place) - 1)::INT AS place, confidence FROM placed")
+def lookup_by_confidence(s, d):
+    return retrieval.client_lookup(_lookup(s, d)).select("query_id", "row_index", "place", "confidence")
 
 
-def _passages(s):
-    return s.createDataFrame(PASSAGES, "query_id int, query string, side int, year long, window long")
+@query("SELECT 'l' || m AS lang_a, 'eng' AS lang_b FROM (SELECT DISTINCT u.conv_id % 3 AS m FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user' AND a.role = 'assistant')")
+def index_pairs_of_language(s, d):
+    return discover_pairs(views.index(s, d), "eng")
 
 
-_PASSAGES = "passages(query_id, query, side, year, win) AS (VALUES " + ", ".join("({}, '{}', {}, {}, {})".format(*("NULL" if x is None else x for x in p)) for p in PASSAGES) + ")"
-_BM25 = """qt AS (SELECT DISTINCT query_id, side, unnest(list_filter(regexp_split_to_array(lower(query), '\\s+'), lambda x: x <> '')) AS term FROM passages),
-df AS (SELECT side, term, count(DISTINCT row_index) AS df FROM terms GROUP BY ALL),
-cs AS (SELECT side, count(*) AS n, avg(len(tokens)) AS mean FROM sides GROUP BY ALL),
-bm AS (SELECT query_id, terms.row_index, terms.side, sum(greatest(0.0, ln((n - df + 0.5) / (df + 0.5) + 1)) * term_frequency * 2.5 / (term_frequency + 1.5 * (0.25 + 0.75 * len(tokens) / mean))) AS bm25
-  FROM qt JOIN terms USING (side, term) JOIN df USING (side, term) JOIN cs USING (side) JOIN sides s ON s.row_index = terms.row_index AND s.side = terms.side GROUP BY query_id, terms.row_index, terms.side)"""
+_BM25 = """qt AS (SELECT DISTINCT query_id, lang, unnest(list_filter(regexp_split_to_array(lower(query), '\\s+'), lambda x: x <> '')) AS term FROM passages),
+df AS (SELECT lang_a, side, term, count(*) AS df FROM tt GROUP BY ALL),
+cs AS (SELECT lang_a, side, count(*) AS n, avg(len(tokens)) AS mean FROM ss GROUP BY ALL),
+bm AS (SELECT query_id, tt.row_index, tt.side, sum(greatest(0.0, ln((n - df + 0.5) / (df + 0.5) + 1)) * term_frequency * 2.5 / (term_frequency + 1.5 * (0.25 + 0.75 * len(tokens) / mean))) AS bm25
+  FROM qt JOIN tt USING (lang, term) JOIN df USING (lang_a, side, term) JOIN cs USING (lang_a, side) JOIN ss ON ss.row_index = tt.row_index AND ss.side = tt.side GROUP BY query_id, tt.row_index, tt.side)"""
 
 
 def _bm25(s, d):
-    return serve.bm25(_passages(s), views.sides(s, d), views.term_postings(views.tokens(s, d)))
+    return retrieval.bm25(views.passage_queries(s, d), views.index(s, d))
 
 
-@query(with_("terms") + f",\n{_PASSAGES},\n{_BM25}" + " SELECT query_id, row_index, side, round(bm25, 6) AS bm25, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 6) DESC, row_index, side)::INT AS rank FROM bm) WHERE rank <= 10")
+@query(with_("ss", "tt", "passages") + f",\n{_BM25}" + " SELECT query_id, row_index, side, round(bm25, 6) AS bm25, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 6) DESC, row_index, side)::INT AS rank FROM bm) WHERE rank <= 10")
 def bm25_topk(s, d):
-    return serve.top_k(_bm25(s, d).withColumn("bm25", r6("bm25")), 10, "bm25", "row_index", "side")
+    return serve.top_k(_bm25(s, d).withColumn("bm25", r6("bm25")), 10, "bm25", "row_index", "side").select("query_id", "row_index", "side", "bm25", "rank")
 
 
-@query(with_("terms") + f",\n{_PASSAGES},\n{_BM25}" + " SELECT query_id, row_index, side, round(CASE WHEN max(bm25) OVER w = min(bm25) OVER w THEN 1.0 ELSE (bm25 - min(bm25) OVER w) / (max(bm25) OVER w - min(bm25) OVER w) END, 6) AS normalized FROM bm WINDOW w AS (PARTITION BY query_id)")
+@query(with_("ss", "tt", "passages") + f",\n{_BM25}" + " SELECT query_id, row_index, side, round(CASE WHEN max(bm25) OVER w = min(bm25) OVER w THEN 1.0 ELSE (bm25 - min(bm25) OVER w) / (max(bm25) OVER w - min(bm25) OVER w) END, 6) AS normalized FROM bm WINDOW w AS (PARTITION BY query_id)")
 def minmax_normalize(s, d):
     return _bm25(s, d).select("query_id", "row_index", "side", r6(scores.minmax(F.col("bm25"), "query_id")).alias("normalized"))
 
@@ -210,52 +205,39 @@ def cosine_topk(s, d):
     return serve.nearest(q, v.select("vec_id", "label", "embedding"), 5).select("query_id", "vec_id", "label", r6("similarity").alias("similarity"), "rank")
 
 
-def _hits(s, d):
-    """The 100 nearest sides of each passage query; a side's stand-in vector is that of its index modulo the number of vectors."""
-    v = _vectors(s, d).select("vec_id", "embedding")
-    rows = views.sides(s, d).select("row_index", "side", F.pmod(F.col("row_index") * 2 + F.col("side"), F.lit(v.count())).alias("vec_id")).join(v, "vec_id")
-    q = _passages(s).select("query_id", "side", F.col("query_id").cast("long").alias("vec_id"))
-    q = F.broadcast(q).join(v, "vec_id").withColumnRenamed("embedding", "query_vector")
-    k = scores.P.candidates
-    near = [serve.nearest(q.where(F.col("side") == x), rows.where(F.col("side") == x).select("row_index", "side", "embedding"), k).drop("rank") for x in (0, 1)]
-    return serve.top_k(near[0].unionByName(near[1]).withColumn("ip", F.round("similarity", 9)).drop("similarity"), k, "ip", "row_index").drop("rank")
-
-
-_SEARCH = f"""v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
-near AS (SELECT query_id, row_index, s.side, round(list_inner_product(q.e, v.e), 9) AS ip FROM passages p JOIN v q ON q.vec_id = p.query_id JOIN sides s ON s.side = p.side JOIN v ON v.vec_id = (s.row_index * 2 + s.side) % (SELECT count(*) FROM embeddings)),
-hits AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY ip DESC, row_index) AS r FROM near) WHERE r <= 100),
-h AS (SELECT hits.query_id, hits.row_index, hits.side, p.year, s.year AS hit_year, ip, {_DICE.format(_GRAMS.format('p.query'), _GRAMS.format("coalesce(s.text, '')"))} AS ng, coalesce(bm25, 0.0) AS bm
-  FROM hits JOIN passages p USING (query_id) JOIN sides s ON s.row_index = hits.row_index AND s.side = hits.side LEFT JOIN bm ON bm.query_id = hits.query_id AND bm.row_index = hits.row_index AND bm.side = hits.side
-  WHERE p.year IS NULL OR win IS NULL OR abs(s.year - p.year) <= win),
+_SEARCH = f"""v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), size AS (SELECT count(*) AS size FROM embeddings),
+near AS (SELECT query_id, row_index, ss.side, ss.lang_a, round(list_inner_product(q.e, v.e), 9) AS ip FROM size, passages p JOIN v q ON q.vec_id = p.query_id % size JOIN ss ON ss.lang = p.lang JOIN v ON v.vec_id = (ss.row_index * 2 + ss.side) % size),
+hits AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, lang_a ORDER BY ip DESC, row_index, side) AS r FROM near) WHERE r <= 100),
+h AS (SELECT hits.query_id, hits.row_index, hits.side, hits.lang_a, p.year, ss.year AS hit_year, ip, {_DICE.format(_GRAMS.format('p.query'), _GRAMS.format("coalesce(ss.text, '')"))} AS ng, coalesce(bm25, 0.0) AS bm
+  FROM hits JOIN passages p USING (query_id) JOIN ss ON ss.row_index = hits.row_index AND ss.side = hits.side LEFT JOIN bm ON bm.query_id = hits.query_id AND bm.row_index = hits.row_index AND bm.side = hits.side
+  WHERE p.year IS NULL OR win IS NULL OR abs(ss.year - p.year) <= win),
 n AS (SELECT *, CASE WHEN max(ip) OVER w = min(ip) OVER w THEN 1.0 ELSE (ip - min(ip) OVER w) / (max(ip) OVER w - min(ip) OVER w) END AS a, CASE WHEN max(ng) OVER w = min(ng) OVER w THEN 1.0 ELSE (ng - min(ng) OVER w) / (max(ng) OVER w - min(ng) OVER w) END AS b,
   CASE WHEN max(bm) OVER w = min(bm) OVER w THEN 1.0 ELSE (bm - min(bm) OVER w) / (max(bm) OVER w - min(bm) OVER w) END AS c, exp(-greatest(0, 2025 - year) / 200.0) AS sw FROM h WINDOW w AS (PARTITION BY query_id)),
 scored AS (SELECT *, CASE WHEN year IS NULL THEN ip ELSE sw * a + (1 - sw) * (0.5 * b + 0.5 * c) END AS base FROM n)"""
 
 
-def _search(s, d, **more):
-    linked = views.linked(s, d).select("row_index", "links")
-    rows = views.sides(s, d).withColumn("text", F.coalesce("text", F.lit(""))).join(linked, "row_index")
-    return serve.search(_passages(s), _hits(s, d), rows, views.term_postings(views.tokens(s, d)), now=2025, **more)
+def _search(s, d, tags=False, **more):
+    return retrieval.search(views.passage_queries(s, d, tags), views.index(s, d), now=2025, **more)
 
 
 def _rounded(df, *cols):
     return df.withColumns({c: r6(c) for c in cols})
 
 
-@query(with_("terms") + f",\n{_PASSAGES},\n{_BM25},\n{_SEARCH}" + " SELECT query_id, row_index, side, round(ng, 6) AS ng, round(bm, 6) AS bm, round(base, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY base DESC, row_index, side)::INT AS rank FROM scored) WHERE rank <= 5")
+@query(with_("ss", "tt", "passages") + f",\n{_BM25},\n{_SEARCH}" + " SELECT query_id, lang_a, row_index, side, round(ng, 6) AS ng, round(bm, 6) AS bm, round(base, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY base DESC, lang_a, row_index, side)::INT AS rank FROM scored) WHERE rank <= 5")
 def hybrid_search(s, d):
-    return _rounded(_search(s, d), "ng", "bm", "score").drop("hit_year", "ip")
+    return _rounded(_search(s, d), "ng", "bm", "score").select("query_id", "lang_a", "row_index", "side", "ng", "bm", "score", "rank")
 
 
-@query(with_("terms", "linked") + f",\n{_PASSAGES},\n{_BM25},\n{_SEARCH}" + """, boosted AS (SELECT scored.*, base + CASE WHEN len(list_filter(links, lambda x: x.upos = 'ADJ' AND x.ner = 'O')) > 0 THEN 0.1 ELSE 0 END AS score FROM scored JOIN linked USING (row_index))
-SELECT query_id, row_index, side, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, row_index, side)::INT AS rank FROM boosted) WHERE rank <= 5""")
+@query(with_("ss", "tt", "passages", "linked") + f",\n{_BM25},\n{_SEARCH}" + """, boosted AS (SELECT scored.*, list_filter(links, lambda x: x.upos = 'ADJ' AND x.ner = 'O')[1] AS link, CASE side WHEN 0 THEN source_tokens ELSE target_tokens END AS own, base + CASE WHEN len(list_filter(links, lambda x: x.upos = 'ADJ' AND x.ner = 'O')) > 0 THEN 0.1 ELSE 0 END AS score FROM scored JOIN linked USING (row_index))
+SELECT query_id, row_index, side, round(score, 6) AS score, rank, link.upos AS upos, link.ner AS ner, lower(own[link.idx + 1]) AS lemma FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, lang_a, row_index, side)::INT AS rank FROM boosted) WHERE rank <= 5""")
 def hybrid_search_tag_boost(s, d):
-    return _rounded(_search(s, d, upos="ADJ", ner="O"), "score").select("query_id", "row_index", "side", "score", "rank")
+    return _rounded(_search(s, d, tags=True), "score").select("query_id", "row_index", "side", "score", "rank", "upos", "ner", "lemma")
 
 
-@query(with_("terms") + f",\n{_PASSAGES},\n{_BM25},\n{_SEARCH}" + " SELECT query_id, count(*) AS n_hits, min(hit_year) AS first_year, max(hit_year) AS last_year FROM h GROUP BY ALL")
+@query(with_("ss", "tt", "passages") + f",\n{_BM25},\n{_SEARCH}" + " SELECT query_id, count(*) AS n_hits, min(hit_year) AS first_year, max(hit_year) AS last_year FROM h GROUP BY ALL")
 def search_year_window(s, d):
-    return _search(s, d, top=100).groupBy("query_id").agg(F.count("*").alias("n_hits"), F.min("hit_year").alias("first_year"), F.max("hit_year").alias("last_year"))
+    return _search(s, d, top=300).groupBy("query_id").agg(F.count("*").alias("n_hits"), F.min("hit_year").alias("first_year"), F.max("hit_year").alias("last_year"))
 
 
 _RERANK = """, k AS (SELECT query_id, row_index, hit_year, base AS similarity FROM scored), y AS (SELECT *, abs(hit_year - 1500) AS gap, count(*) FILTER (abs(hit_year - 1500) <= 100) OVER (PARTITION BY query_id) AS near FROM k),
@@ -263,36 +245,23 @@ z AS (SELECT *, CASE WHEN near <= 0 THEN 0.0 ELSE 0.01 * (1 - exp(-near / 300.0)
 
 
 def _reranked(s, d):
-    return serve.temporal_rerank(_search(s, d, top=100).withColumnRenamed("score", "similarity"), F.lit(1500))
+    return serve.temporal_rerank(_search(s, d, top=300).withColumnRenamed("score", "similarity"), F.lit(1500))
 
 
-@query(with_("terms") + f",\n{_PASSAGES},\n{_BM25},\n{_SEARCH}" + _RERANK + " SELECT DISTINCT query_id, near, round(rate, 8) AS rate FROM z")
+@query(with_("ss", "tt", "passages") + f",\n{_BM25},\n{_SEARCH}" + _RERANK + " SELECT DISTINCT query_id, near, round(rate, 8) AS rate FROM z")
 def temporal_lambda(s, d):
     return _reranked(s, d).select("query_id", "near", F.round("rate", 8).alias("rate")).distinct()
 
 
-@query(with_("terms") + f",\n{_PASSAGES},\n{_BM25},\n{_SEARCH}" + _RERANK + " SELECT query_id, row_index, round(similarity * exp(-rate * gap), 6) AS reranked, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity * exp(-rate * gap) DESC, row_index)::INT AS rank FROM z) WHERE rank <= 10")
+@query(with_("ss", "tt", "passages") + f",\n{_BM25},\n{_SEARCH}" + _RERANK + " SELECT query_id, row_index, round(similarity * exp(-rate * gap), 6) AS reranked, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity * exp(-rate * gap) DESC, row_index)::INT AS rank FROM z) WHERE rank <= 10")
 def temporal_rerank(s, d):
     return serve.top_k(_reranked(s, d).drop("rank"), 10, "reranked", "row_index").select("query_id", "row_index", r6("reranked").alias("reranked"), "rank")
 
 
-_CONF = "((row_index * 7919) % 1000) / 1000.0"
-
-
-@query(with_("postings", "linked", "queries") + ",\n" + _LOOKUP + f""", h AS (SELECT query_id, row_index, other[link.idx + 1] AS span, {_CONF} AS confidence FROM l), b AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY confidence DESC, row_index) AS r FROM h WHERE span IS NOT NULL)
+@query(with_("pp", "linked", "words") + ",\n" + _LOOKUP + """, h AS (SELECT query_id, row_index, other[link.idx + 1] AS span, confidence FROM placed), b AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY confidence DESC, row_index) AS r FROM h WHERE span IS NOT NULL)
 SELECT query_id, row_index, span, confidence FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY r) AS q FROM b WHERE r <= 5 AND confidence >= 0.75) WHERE q = 1""")
 def fallback_native(s, d):
-    return _native(s, d, False)
-
-
-@query()
-def fallback_native_whole(s, d):
-    return _native(s, d, True)
-
-
-def _native(s, d, whole):
-    hits = serve.lookup(_refined(s, d, whole), views.linked(s, d)).select("query_id", "row_index", "span", ((F.col("row_index") * 7919) % 1000 / 1000.0).alias("confidence"))
-    return serve.fallback_native(hits)
+    return serve.fallback_native(_lookup(s, d).select("query_id", "row_index", "span", "confidence"))
 
 
 # --- attestation, shards ------------------------------------------------------------------------------------------
@@ -350,66 +319,56 @@ def pair_reverse_fallback(s, d):
 # --- contributions -------------------------------------------------------------------------------------------------
 
 
-def _contributions(s, d, first=None):
-    """Contributions made of documents, of all words or the first few: ids decide what is broken about them."""
+def _contributions(s, d):
+    """Contributions made of documents, as JSON: ids decide what is broken about them, so that each rule of the schema is broken by some."""
     w = F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda x: x != "")
-    w = w if first is None else F.slice(w, 1, first)
     i = F.col("doc_id")
-    token = lambda x: F.struct(x.alias("surface"), F.array().cast("array<string>").alias("alt"), F.when(i % 5 == 0, "name").otherwise("word").alias("class"), F.startswith(x, F.lit("E")).alias("gap"))
-    return table(s, d, "documents").select(
-        "doc_id", F.when(i % 7 == 0, "grammar_note").when(i % 11 == 0, "poem").otherwise("gloss").alias("doc_type"),
-        F.struct(F.when(i % 13 != 0, F.col("lang")).alias("lang_code"), F.when(i % 6 == 0, "free").alias("text"), F.when(i % 6 != 0, F.transform(w, token)).alias("tokens")).alias("origin"),
-        F.when(i % 14 != 7, F.struct(F.lit("eng").alias("lang_code"), F.lit("x").alias("text"))).alias("target"),
-        F.struct(F.struct((1000 + i % 900).cast("int").alias("year"), F.lit("exact").alias("precision")).alias("date"), F.lit(None).cast("string").alias("location"), F.when(i % 17 != 0, F.col("source")).alias("source"), F.lit(None).cast("string").alias("author"), F.lit(None).cast("string").alias("contributor"), F.lit(None).cast("string").alias("license"), F.struct(F.when(i % 3 == 0, "submitted").otherwise("validated").alias("status")).alias("validation")).alias("metadata"),
+    no, yes = (lambda n, x: F.when(i % n != 0, x)), (lambda n, x: F.when(i % n == 0, x))
+    token = lambda x: F.struct(x.alias("surface"), F.array().cast("array<string>").alias("alt"), F.when(i % 5 == 0, "name").when(i % 31 == 0, "place").otherwise("common").alias("class"), F.startswith(x, F.lit("E")).alias("gap"))
+    lit = F.lit
+    body = F.struct(
+        F.when(i % 7 == 0, "grammar_note").when(i % 11 == 0, "poem").when(i % 2 == 0, "attestation").otherwise("dictionary_entry").alias("doc_type"),
+        F.struct(no(13, F.col("lang")).alias("lang_code"), F.when((i % 6 == 0) | (i % 29 == 0), "free").alias("text"), no(6, F.transform(w, token)).alias("tokens"), yes(19, lit("x")).alias("note")).alias("origin"),
+        F.struct(F.struct(no(41, (1000 + i % 900).cast("int")).alias("year"), F.when(i % 43 == 0, "about").otherwise("exact").alias("precision")).alias("date"), no(17, F.col("source")).alias("source"), no(23, lit("c")).alias("contributor"), no(47, lit("cc")).alias("license"), F.struct(F.when(i % 53 == 0, "done").when(i % 3 == 0, "pending").otherwise("validated").alias("status")).alias("validation")).alias("metadata"),
     )
+    target = F.when(i % 14 != 7, F.to_json(F.struct(lit("eng").alias("lang_code"), no(37, lit("x")).alias("text")))).otherwise("null")
+    json = F.to_json(body)
+    whole = F.when(i % 28 == 7, json).otherwise(F.concat(lit('{"target":'), target, lit(","), F.substring(json, 2, 1 << 30)))
+    return contrib.read_json(table(s, d, "documents").select("doc_id", whole.alias("json")), "json")
 
 
-@query("""WITH c AS (SELECT doc_id AS i, * FROM documents), v AS (SELECT doc_id, list_filter([CASE WHEN i % 7 <> 0 AND i % 11 = 0 THEN 'doc_type' END, CASE WHEN i % 13 = 0 OR lang IS NULL THEN 'origin' END,
-CASE WHEN i % 7 = 0 AND i % 14 <> 7 THEN 'grammar_note_target' END, CASE WHEN i % 17 = 0 OR source IS NULL THEN 'source' END], lambda x: x IS NOT NULL) AS v FROM c)
-SELECT doc_id, array_to_string(v, ',') AS violations FROM v""")
+@query(r"""WITH c AS (SELECT doc_id AS i, lang, source, len(list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda x: x <> '')) AS n FROM documents),
+v AS (SELECT i, list_filter([CASE WHEN i % 7 <> 0 AND i % 11 = 0 THEN 'doc_type' END, CASE WHEN i % 13 = 0 OR lang IS NULL THEN 'origin' END, CASE WHEN i % 6 <> 0 AND i % 29 = 0 THEN 'tokens_or_text' END, CASE WHEN i % 6 <> 0 AND i % 5 <> 0 AND i % 31 = 0 AND n > 0 THEN 'token_class' END,
+CASE WHEN i % 14 <> 7 AND i % 37 = 0 THEN 'target' END, CASE WHEN i % 7 = 0 AND i % 6 <> 0 AND i % 29 <> 0 THEN 'grammar_note_text' END, CASE WHEN i % 7 = 0 AND i % 14 <> 7 THEN 'grammar_note_target' END, CASE WHEN i % 41 = 0 THEN 'year' END, CASE WHEN i % 43 = 0 THEN 'precision' END,
+CASE WHEN i % 17 = 0 OR source IS NULL THEN 'source' END, CASE WHEN i % 23 = 0 THEN 'contributor' END, CASE WHEN i % 47 = 0 THEN 'license' END, CASE WHEN i % 53 = 0 THEN 'status' END, CASE WHEN i % 28 = 7 THEN 'no_target' END, CASE WHEN i % 19 = 0 THEN 'extra' END], lambda x: x IS NOT NULL) AS v FROM c)
+SELECT i AS doc_id, array_to_string(v, ',') AS violations FROM v""")
 def contribution_validate(s, d):
     return contrib.violations(_contributions(s, d)).select("doc_id", F.array_join("violations", ",").alias("violations"))
 
 
-_ROWS = r"""c AS (SELECT doc_id AS i, lang, source, list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda x: x <> '')[1:4] AS w FROM documents),
-f AS (SELECT *, array_to_string(list_filter(w, lambda x: NOT starts_with(x, 'E')), ' ') AS form FROM c WHERE i % 6 <> 0 AND i % 7 <> 0 AND i % 14 <> 7 AND i % 3 <> 0),
-rows AS (SELECT CASE WHEN i % 13 <> 0 THEN lang END AS iso_code, form, (1000 + i % 900)::INT AS attestation_year, CASE WHEN i % 17 <> 0 THEN source END AS source, CASE WHEN i % 11 = 0 THEN 'poem' ELSE 'gloss' END AS doc_type,
+_ROWS = r"""c AS (SELECT doc_id AS i, lang, source, list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda x: x <> '') AS w FROM documents),
+f AS (SELECT *, array_to_string(list_filter(w, lambda x: NOT starts_with(x, 'E')), ' ') AS form FROM c WHERE i % 6 <> 0 AND i % 7 <> 0 AND i % 3 <> 0 AND i % 53 <> 0),
+rows AS (SELECT CASE WHEN i % 13 <> 0 THEN lang END AS iso_code, form, CASE WHEN i % 41 <> 0 THEN (1000 + i % 900)::INT END AS attestation_year, CASE WHEN i % 17 <> 0 THEN source END AS source, CASE WHEN i % 11 = 0 THEN 'poem' WHEN i % 2 = 0 THEN 'attestation' ELSE 'dictionary_entry' END AS doc_type,
   CASE WHEN i % 5 = 0 AND len(w) > 0 THEN 'PER' ELSE 'O' END AS ner, CASE WHEN i % 5 = 0 AND len(w) > 0 THEN 'name:' || form END AS sense_id FROM f WHERE form <> '')"""
 
 
-_ROWS_WHOLE = _ROWS.replace("[1:4]", "")
-_ROW = "iso_code, form, form AS lemma, sense_id, attestation_year, source, doc_type, ner"
-_RANGES = "iso_code, min(attestation_year) AS year_from, max(attestation_year) AS year_to, count(*) AS n_rows"
-
-
-def _contribution_rows(s, d, first=None):
-    return contrib.relational_rows(_contributions(s, d, first)).select("iso_code", "form", "lemma", "sense_id", "attestation_year", "source", "doc_type", "ner")
-
-
-def _ranges(s, d, first=None):
-    return contrib.relational_rows(_contributions(s, d, first)).groupBy("iso_code").agg(F.min("attestation_year").alias("year_from"), F.max("attestation_year").alias("year_to"), F.count("*").alias("n_rows"))
-
-
-@query(f"WITH {_ROWS} SELECT {_ROW} FROM rows")
+@query(f"WITH {_ROWS} SELECT iso_code, form, form AS lemma, sense_id, attestation_year, source, doc_type, ner FROM rows")
 def contribution_rows(s, d):
-    """Of the first four words; contribution_rows_whole takes all."""
-    return _contribution_rows(s, d, 4)
-
-
-@query(f"WITH {_ROWS_WHOLE} SELECT {_ROW} FROM rows")
-def contribution_rows_whole(s, d):
-    return _contribution_rows(s, d)
+    return contrib.relational_rows(_contributions(s, d)).select("iso_code", "form", "lemma", "sense_id", "attestation_year", "source", "doc_type", "ner")
 
 
-@query(f"WITH {_ROWS} SELECT {_RANGES} FROM rows GROUP BY ALL")
+@query(f"WITH {_ROWS} SELECT iso_code, min(attestation_year) AS year_from, max(attestation_year) AS year_to, count(*) AS n_rows FROM rows GROUP BY ALL")
 def relational_partition_ranges(s, d):
-    """Of the first four words; relational_partition_ranges_whole takes all."""
-    return _ranges(s, d, 4)
+    return contrib.year_ranges(contrib.relational_rows(_contributions(s, d)))
 
 
-@query(f"WITH {_ROWS_WHOLE} SELECT {_RANGES} FROM rows GROUP BY ALL")
-def relational_partition_ranges_whole(s, d):
-    return _ranges(s, d)
+@query(f"WITH {_ROWS}, r AS (SELECT iso_code, min(attestation_year) AS year_from, max(attestation_year) AS year_to FROM rows GROUP BY ALL) SELECT iso_code, year_from, year_to, attestation_year, count(*) AS n FROM rows JOIN r USING (iso_code) WHERE attestation_year BETWEEN 1200 AND 1300 GROUP BY ALL")
+def relational_index(s, d):
+    """Written by language and range of years, and read back for a century."""
+    path = f"{corpus_files.shared_folder(s)}/relational-{uuid.uuid4().hex}"
+    contrib.write_relational(contrib.relational_rows(_contributions(s, d)), path)
+    x = shards_between(s.read.parquet(path), 1200, 1300).where("attestation_year BETWEEN 1200 AND 1300")
+    return x.groupBy("iso_code", "year_from", "year_to", "attestation_year").agg(F.count("*").alias("n"))
 
 
 # --- alignment ---------------------------------------------------------------------------------------------------------
@@ -441,7 +400,7 @@ def band_join(s, d):
 
 
 def _scored(s, d):
-    return align.lexical_scores(*_editions(s, d), "work")
+    return align.lexical_top(*_editions(s, d), "work")
 
 
 @query(f"WITH {_TOP} SELECT work, i, j, round(score, 6) AS score FROM ta")
@@ -494,23 +453,70 @@ def make_blocks(s, d):
     return align.blocks(_sizes(s, d), "work")
 
 
-@query(f"WITH {V['units']} SELECT doc_id, unit_index, unit_text FROM (SELECT *, row_number() OVER (PARTITION BY lower(trim(unit_text)) ORDER BY doc_id, unit_index) AS n FROM units) WHERE n = 1")
-def dedup_first_wins(s, d):
-    return align.first_wins(views.units(s, d), [F.lower(F.trim("unit_text"))], ["doc_id", "unit_index"]).select("doc_id", "unit_index", "unit_text")
+@query()
+def align_algorithmic(s, d):
+    """Whole alignment without a model: anchors, check against the editions, numbers."""
+    x = modes.align_pairs("algorithmic", *_editions(s, d), "work")
+    return x.select("work", "pair_no", "source_text", "target_text", r6("sentence_confidence").alias("sentence_confidence"), "sentence_method")
 
 
-@query(r"""WITH t AS (SELECT doc_id, doc_id % 40 AS item_id, lower(trim(regexp_replace(coalesce(text, ''), '[\s]+', ' ', 'g'))) AS whole FROM documents), b AS (SELECT item_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')[1:2] AS w FROM benchmark)
-SELECT doc_id, item_id, array_to_string(w, ' ') AS part FROM t JOIN b USING (item_id) WHERE contains(whole, lower(array_to_string(w, ' ')))""")
-def verify_verbatim(s, d):
-    """Of each document, whether the first two words of one benchmark item stand in it."""
-    docs = table(s, d, "documents").withColumn("item_id", F.col("doc_id") % 40)
-    b = table(s, d, "benchmark").select("item_id", F.array_join(F.slice(F.filter(F.split("text", r"\s+"), lambda x: x != ""), 1, 2), " ").alias("part"))
-    return align.verbatim(docs.select("doc_id", "item_id").join(F.broadcast(b), "item_id"), docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "doc_id", "part").select("doc_id", "item_id", "part")
+def _encoded(s, d):
+    a, b = _editions(s, d)
+    return (x.withColumn("vector", adapters.hashed_trigrams(F.col("unit_text"))) for x in (a, b))
+
+
+@query()
+def align_hybrid(s, d):
+    """Anchors by vectors; a stand-in for the model answers each gap with the first lines of its two sides."""
+    a, b = _encoded(s, d)
+    asked = modes.requests("hybrid", a, b, "work", modes.anchors("hybrid", a, b, "work"))
+    x = modes.align_pairs("hybrid", a, b, "work", {"blocks": _block_replies(a, b, asked)}, models=("stand-in", "hashed"))
+    return x.select("work", "pair_no", "source_text", "target_text", r6("sentence_confidence").alias("sentence_confidence"), "sentence_method")
+
+
+def _block_replies(a, b, asked):
+    """For each block a reply with a pair of its first lines, one of its last lines, and one that stands in neither edition."""
+    at = lambda u, c, n: u.select("work", F.col("unit_index").alias(c), F.col("unit_text").alias(n))
+    x = asked.select("work", "block", "i_from", "j_from", (F.col("i_to") - 1).alias("i_last"), (F.col("j_to") - 1).alias("j_last"))
+    x = x.join(at(a, "i_from", "a0"), ["work", "i_from"]).join(at(b, "j_from", "b0"), ["work", "j_from"]).join(at(a, "i_last", "a1"), ["work", "i_last"]).join(at(b, "j_last", "b1"), ["work", "j_last"])
+    pair = lambda p, q, c: F.struct(p.alias("source_text"), q.alias("target_text"), F.lit(c).alias("sentence_confidence"))
+    made = F.to_json(F.array(pair(F.col("a0"), F.col("b0"), "0.9"), pair(F.col("a1"), F.col("b1"), "1.7"), pair(F.lit("words that nobody wrote"), F.col("b0"), "0.5")))
+    return x.select("work", "block", F.concat(F.lit("```json\n"), made, F.lit("\n```\nThat is all.")).alias("reply"))
+
+
+@query(f"""WITH {_BAND}, b AS (SELECT work, n_a, n_b, unnest(range(0, n_a, 34)) AS a_from FROM sizes),
+blocks AS (SELECT work, a_from::INT AS i0, least(n_a, a_from + 40)::INT - 1 AS i1, floor(a_from / n_a * n_b)::INT AS j0, least(n_b, greatest(floor(a_from / n_a * n_b) + 1, round_even(least(n_a, a_from + 40) / n_a * n_b, 0)))::INT - 1 AS j1 FROM b WHERE a_from = 0 OR a_from - 34 + 40 < n_a),
+p AS (SELECT work, i0, 0 AS k, i0 AS i, j0 AS j, 0.9 AS c FROM blocks UNION ALL SELECT work, i0, 1, i1, j1, 1.0 FROM blocks),
+t AS (SELECT p.*, trim(ta, ' ') AS s, trim(tb, ' ') AS t FROM p JOIN ea USING (work, i) JOIN eb USING (work, j)),
+u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY work, lower(trim(s, E' \t\n\r\f\x0B\x1C\x1D\x1E\x1F')), lower(trim(t, E' \t\n\r\f\x0B\x1C\x1D\x1E\x1F')) ORDER BY i0, k) AS r FROM t) WHERE r = 1)
+SELECT work, (row_number() OVER (PARTITION BY work ORDER BY i0, k) - 1)::INT AS pair_no, s AS source_text, t AS target_text, c::DOUBLE AS sentence_confidence, 'llm:stand-in' AS sentence_method FROM u""")
+def align_llm(s, d):
+    """All of two editions in overlapping blocks: what two blocks tell alike is one pair, what stands in neither edition is none."""
+    a, b = _editions(s, d)
+    asked = modes.requests("llm", a, b, "work", modes.anchors("llm", a, b, "work"))
+    x = modes.align_pairs("llm", a, b, "work", {"blocks": _block_replies(a, b, asked)}, models=("stand-in", "none"))
+    return x.select("work", "pair_no", "source_text", "target_text", r6("sentence_confidence").alias("sentence_confidence"), "sentence_method")
+
+
+@query()
+def align_llm_judge(s, d):
+    """Anchors by judged scores; a stand-in for the model scores lines by their lengths."""
+    a, b = _editions(s, d)
+    near = align.band_join(a, b, "work")
+    alike = F.least(F.length("unit_a"), F.length("unit_b")) / F.greatest(F.length("unit_a"), F.length("unit_b"), F.lit(1))
+    judged = near.select("work", "i", "j", alike.alias("score_ab"), F.round(alike, 3).alias("score_ba"))
+    x = modes.align_pairs("llm_judge", a, b, "work", {"judgements": judged}, models=("stand-in", "none"))
+    return x.select("work", "pair_no", "source_text", "target_text", r6("sentence_confidence").alias("sentence_confidence"), "sentence_method")
+
+
+@query(f"WITH {V['units']} SELECT doc_id, unit_index, unit_text FROM (SELECT *, row_number() OVER (PARTITION BY lower(trim(unit_text, E' \t\n\r\f\x0B\x1C\x1D\x1E\x1F')) ORDER BY doc_id, unit_index) AS n FROM units) WHERE n = 1")
+def dedup_first_wins(s, d):
+    return align.first_wins(views.units(s, d).withColumn("key", text.nfkc_key(F.col("unit_text"))), [F.col("key")], ["doc_id", "unit_index"]).select("doc_id", "unit_index", "unit_text")
 
 
 @query(r"""WITH t AS (SELECT doc_id, lower(trim(regexp_replace(coalesce(text, ''), '[\s]+', ' ', 'g'))) AS whole FROM documents), b AS (SELECT item_id, text AS part, lower(trim(regexp_replace(text, '[\s]+', ' ', 'g'))) AS item FROM benchmark)
 SELECT doc_id, item_id, part FROM t JOIN b ON contains(whole, item)""")
-def verify_verbatim_whole(s, d):
+def verify_verbatim(s, d):
     """Every benchmark item, whole, against every document. Words inside an item stand whole in a document that holds it, so both meet by equality
     at the run of up to eight words after the item's first; an item of under three words has none and meets every document."""
     docs = table(s, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
@@ -551,11 +557,11 @@ def html_text(s, d):
     return table(s, d, "pages").select("page_id", pages.visible_text(F.col("html")).alias("text"))
 
 
-@query()
+@query("SELECT page_id, 0 AS place, regexp_extract(url, '^[a-z]+://[^/?#]+') || '/p/' || (page_id % 50) AS url, 'page' AS text, 'See page & more' AS context FROM pages")
 def html_links(s, d):
-    # the test pages have links in their navigation alone: it counts as content here
-    html = F.regexp_replace(F.col("html"), "(</?)nav>", "$1div>")
-    x = table(s, d, "pages").select("page_id", F.posexplode(pages.page_links(F.col("url"), html)).alias("place", "link"))
+    """Pages have links in their navigation, which counts as none; a list with one link, met twice, and a script is added."""
+    more = F.concat(F.lit('<ul><li>See <A HREF=" /p/'), (F.col("page_id") % 50).cast("string"), F.lit('"><b>page</b></a> &amp; more</li><li><a href="JavaScript:x()">no</a><a href="#top">top</a><a href="/p/'), (F.col("page_id") % 50).cast("string"), F.lit('">again</a></ul>'))
+    x = table(s, d, "pages").select("page_id", F.posexplode(pages.page_links(F.col("url"), F.concat(F.coalesce("html", F.lit("")), more))).alias("place", "link"))
     return x.select("page_id", "place", "link.*")
 
 
@@ -572,10 +578,41 @@ def chunk_pack(s, d):
     return x.select("doc_id", "chunk_index", F.length("chunk").alias("n_chars"), F.sha2("chunk", 256).alias("sha"))
 
 
-@query(V["units"].join(["WITH ", ""]) + """ SELECT doc_id, (unit_index // 4)::BIGINT AS chunk_index, count(*) AS n_units, sum(count(*)) OVER (PARTITION BY doc_id ORDER BY unit_index // 4)::BIGINT AS upto FROM units GROUP BY doc_id, unit_index // 4""")
+@query(V["units"].join(["WITH ", ""]) + """ SELECT doc_id, (unit_index // 4)::INT AS chunk_index, count(*) AS n_units, sum(count(*)) OVER (PARTITION BY doc_id ORDER BY unit_index // 4)::BIGINT AS upto FROM units GROUP BY doc_id, unit_index // 4""")
 def chunk_unit_counts(s, d):
-    c = views.units(s, d).groupBy("doc_id", F.floor(F.col("unit_index") / 4).alias("chunk_index")).agg(F.count("*").alias("n_units"))
-    return c.withColumn("upto", F.sum("n_units").over(Window.partitionBy("doc_id").orderBy("chunk_index")))
+    """Replies of a cleaning model, four lines a chunk: units in order, and where each chunk's stand."""
+    u = views.units(s, d).withColumn("chunk_index", F.floor(F.col("unit_index") / 4).cast("int"))
+    replies = u.groupBy("doc_id", "chunk_index").agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("unit_index", "unit_text"))), lambda x: x["unit_text"])).alias("reply"))
+    return adapters.chunk_unit_counts(adapters.cleaned_units(replies.select("doc_id", "chunk_index"), replies))
+
+
+@query(V["units"].join(["WITH ", ""]) + """, n AS (SELECT doc_id, unit_index // 40 AS batch, count(*) AS n FROM units GROUP BY ALL)
+SELECT doc_id, unit_index, CASE WHEN (doc_id + batch) % 3 = 0 THEN trim(unit_text || ' !', ' ') ELSE unit_text END AS unit_text FROM units JOIN n USING (doc_id) WHERE unit_index // 40 = batch""")
+def units_reviewed(s, d):
+    """A second reading that adds a mark: batches whose reply is absent or too short keep their units."""
+    u = views.units(s, d).withColumn("batch", F.floor(F.col("unit_index") / 40).cast("int"))
+    told = F.transform(F.array_sort(F.collect_list(F.struct("unit_index", "unit_text"))), lambda x: F.concat(x["unit_text"], F.lit(" !")))
+    r = u.groupBy("doc_id", "batch").agg(told.alias("told")).withColumn("k", (F.col("doc_id") + F.col("batch")) % 3)
+    r = r.where("k < 2").select("doc_id", "batch", F.to_json(F.when(F.col("k") == 0, F.col("told")).otherwise(F.concat("told", F.array(F.lit("one more"))))).alias("reply"))
+    return adapters.reviewed_units(u.select("doc_id", "unit_index", "unit_text"), r)
+
+
+@query("""SELECT l_orderkey AS doc_id, l_linenumber AS chunk_index FROM lineitem WHERE (l_orderkey, l_linenumber) NOT IN (SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_returnflag = 'R' AND l_orderkey % 5 <> 0)""")
+def chunk_resume(s, d):
+    """Chunks still to do after an interrupted run: what it did counts for documents that still have as many chunks."""
+    c = table(s, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("chunk_index"), "l_returnflag")
+    n = c.groupBy("doc_id").agg(F.count("*").alias("n"))
+    done = c.where("l_returnflag = 'R'").join(n, "doc_id").select("doc_id", "chunk_index", F.when(F.col("doc_id") % 5 == 0, F.col("n") + 1).otherwise(F.col("n")).alias("total_chunks"))
+    return catalog.chunks_to_do(c.drop("l_returnflag"), done)
+
+
+@query("SELECT o_orderkey AS key, CASE WHEN o_orderkey % 3 = 0 THEN 'old' ELSE 'new' END AS result FROM orders WHERE o_orderkey % 7 <> 0")
+def checkpoint_write_back(s, d):
+    """A memo that has a third of the keys, and a compute that fails for some of the rest."""
+    o = table(s, d, "orders").select(F.col("o_orderkey").alias("key"))
+    path = f"{corpus_files.shared_folder(s)}/memo-{uuid.uuid4().hex}"
+    o.where("key % 3 = 0 AND key % 7 != 0").select("key", F.lit("old").alias("result"), F.lit("f1").alias("fingerprint")).union(o.select("key", F.lit("other"), F.lit("f0"))).write.parquet(path)
+    return catalog.get_or_compute(o, path, "f1", "key", lambda left: left.where("key % 7 != 0").withColumn("result", F.lit("new")), "key long, result string")
 
 
 # --- names and catalogue ---------------------------------------------------------------------------------------------------
@@ -672,8 +709,7 @@ def slot_overwrite(s, d):
 SELECT url, min(depth)::INT AS depth, url % 10 = 7 AS is_document FROM w GROUP BY ALL""")
 def crawl_frontier(s, d):
     e = table(s, d, "lineitem").select((F.col("l_orderkey") % 97).alias("src"), (F.col("l_partkey") % 1009).alias("dst")).distinct()
-    base = s.sparkContext.getConf().get("spark.checkpoint.dir") or s.sparkContext.getCheckpointDir() or tempfile.mkdtemp()
-    return catalog.crawl(s.createDataFrame([(1,)], "url long"), e, F.col("url") % 10 == 7, max_pages=100_000, shared=base)
+    return catalog.crawl(s.createDataFrame([(1,)], "url long"), e, F.col("url") % 10 == 7, corpus_files.shared_folder(s), max_pages=100_000).select("url", "depth", "is_document")
 
 
 # --- structured catalogues ---------------------------------------------------------------------------------------------------
@@ -752,47 +788,31 @@ def _tag_replies(s, d):
 
 _FUNCTION_WORDS = [("a", 1500, "the", "DET"), ("a", 1500, "of", "ADP"), ("b", 1500, "and", "CCONJ"), ("b", 1500, "la", "DET")]
 _TAGGED = with_("tokens") + """, reg(lang, form, upos) AS (VALUES ('a', 'the', 'DET'), ('a', 'of', 'ADP'), ('b', 'and', 'CCONJ'), ('b', 'la', 'DET')),
-t AS (SELECT row_index * 2 + side AS seq, token_index AS position, token, CASE side WHEN 0 THEN 'a' ELSE 'b' END AS lang, token_index % 7 <> 0 AS same FROM tokens WHERE regexp_full_match(token, '[A-Za-z]+')),
+t AS (SELECT row_index * 2 + side AS seq, token_index AS position, token, CASE side WHEN 0 THEN 'a' ELSE 'b' END AS lang, token_index % 7 <> 0 AS same FROM tokens),
 u AS (SELECT *, CASE WHEN same AND position % 3 = 0 THEN 'NOUN' WHEN same AND position % 3 = 2 THEN 'VERB' ELSE 'X' END AS u, CASE WHEN same AND position % 5 = 0 THEN 'PER' ELSE 'O' END AS ner FROM t)
 SELECT seq, position, token, CASE WHEN u = 'X' THEN coalesce(reg.upos, 'X') ELSE u END AS upos, ner, CASE WHEN same THEN lower(token) END AS lemma FROM u LEFT JOIN reg ON reg.lang = u.lang AND reg.form = lower(token)"""
 
 
 @query(_TAGGED)
 def classify_resolve(s, d):
-    return _resolved(s, _tokens_to_tag(s, d).where(F.col("token").rlike("^[A-Za-z]+$")), d)
-
-
-@query(_TAGGED.replace(" WHERE regexp_full_match(token, '[A-Za-z]+')", ""))
-def classify_resolve_whole(s, d):
-    return _resolved(s, _tokens_to_tag(s, d), d)
-
-
-def _resolved(s, tokens, d):
     reg = s.createDataFrame(_FUNCTION_WORDS, "lang string, year int, form string, upos string")
-    return adapters.resolve_tags(tokens, _tag_replies(s, d), reg).select("seq", "position", "token", "upos", "ner", "lemma")
+    return adapters.resolve_tags(_tokens_to_tag(s, d), _tag_replies(s, d), reg).select("seq", "position", "token", "upos", "ner", "lemma")
 
 
-@query("WITH " + _TAGGED.split("WITH RECURSIVE ", 1)[1].replace("SELECT seq, position, token,", "SELECT lang, form, upos FROM (SELECT u.lang, lower(token) AS form, seq, position,", 1).replace("AS upos, ner, CASE WHEN same THEN lower(token) END AS lemma", "AS upos", 1) + ") WHERE upos IN ('DET', 'ADP', 'CCONJ') GROUP BY ALL")
+@query("WITH " + _TAGGED.split("WITH RECURSIVE ", 1)[1].replace("SELECT seq, position, token,", ", r AS (SELECT u.lang, lower(token) AS form, seq, position,", 1).replace("AS upos, ner, CASE WHEN same THEN lower(token) END AS lemma", "AS upos", 1).replace("FROM t)\n, r AS", "FROM t),\nr AS") + "), n AS (SELECT lang, form, arg_max(upos, (seq, position)) AS upos FROM r WHERE upos IN ('DET', 'ADP', 'CCONJ') GROUP BY ALL) SELECT lang, 1500 AS year, form, coalesce(n.upos, reg.upos) AS upos FROM reg FULL JOIN n USING (lang, form)")
 def registry_fill(s, d):
-    """Function words found, to be added to the registry: one row a form, the last tag wins."""
-    return _filled(classify_resolve(s, d))
-
-
-@query()
-def registry_fill_whole(s, d):
-    return _filled(classify_resolve_whole(s, d))
-
-
-def _filled(t):
-    t = t.withColumn("lang", F.when(F.col("seq") % 2 == 0, "a").otherwise("b")).where(F.col("upos").isin(tags.CLOSED))
-    return t.groupBy("lang", F.lower("token").alias("form")).agg(F.max_by("upos", F.struct("seq", "position")).alias("upos")).select("lang", "form", "upos")
+    """Function words found, added to the registry: one row a form, the last tag wins."""
+    t = classify_resolve(s, d).withColumns({"lang": F.when(F.col("seq") % 2 == 0, "a").otherwise("b"), "year": F.lit(1500), "position": F.struct("seq", "position")})
+    reg = s.createDataFrame(_FUNCTION_WORDS, "lang string, year int, form string, upos string")
+    return catalog.grow_registry(reg, t, tags.CLOSED)
 
 
-@query("""WITH g AS (SELECT vec_id AS gloss_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 20 = 0), n AS (SELECT vec_id AS sense_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 20 <> 0)
-SELECT gloss_id, sense_id, round(sim, 6) AS similarity FROM (SELECT gloss_id, sense_id, list_inner_product(g.e, n.e) AS sim, row_number() OVER (PARTITION BY gloss_id ORDER BY list_inner_product(g.e, n.e) DESC, sense_id) AS r FROM g JOIN n USING (label)) WHERE r = 1""")
+@query("""WITH g AS (SELECT vec_id AS gloss_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 20 = 0), n AS (SELECT 'x.n.' || lpad(vec_id::VARCHAR, 9, '0') AS sense_id, label, embedding::DOUBLE[] AS e FROM embeddings)
+SELECT gloss_id, sense_id, round(sim, 6) AS similarity FROM (SELECT gloss_id, sense_id, list_inner_product(g.e, n.e) AS sim, row_number() OVER (PARTITION BY gloss_id ORDER BY round(list_inner_product(g.e, n.e), 9) DESC, sense_id) AS r FROM g JOIN n USING (label)) WHERE r = 1""")
 def sense_nearest(s, d):
     v = _vectors(s, d).select(F.col("vec_id").alias("id"), F.col("label").alias("pos"), F.col("embedding").alias("vector"))
-    got = sense.nearest_sense(v.where("id % 20 = 0").withColumnRenamed("id", "gloss_id"), v.where("id % 20 != 0").withColumnRenamed("id", "sense_id"))
+    senses = v.select(F.concat(F.lit("x.n."), F.lpad(F.col("id").cast("string"), 9, "0")).alias("sense_id"), "pos", "vector")
+    got = sense.nearest_sense(v.where("id % 20 = 0").withColumnRenamed("id", "gloss_id"), senses)
     return got.withColumn("similarity", r6("similarity"))
 
 
@@ -809,6 +829,17 @@ def sense_mint(s, d):
     return sense.mint(v.where("gloss_id % 50 != 0"), minted, threshold=0.4)
 
 
+@query()
+def sense_resolve(s, d):
+    """Glosses against an inventory and senses minted before: open classes by nearness, closed ones always anew."""
+    tag = F.element_at(F.array(*map(F.lit, ("NOUN", "PROPN", "VERB", "ADJ", "DET", "adv"))), (F.col("vec_id") % 6 + 1).cast("int"))
+    v = _vectors(s, d).select("vec_id", F.col("embedding").alias("vector"), tag.alias("upos"))
+    glosses = v.where("vec_id % 10 != 1").select(F.col("vec_id").alias("gloss_id"), F.concat(F.lit("Lemma "), (F.col("vec_id") % 7).cast("string")).alias("lemma"), "upos", "vector")
+    inventory = v.where("vec_id % 10 = 1").select(F.concat(F.lit("x.n."), F.lpad(F.col("vec_id").cast("string"), 9, "0")).alias("sense_id"), sense.inventory_pos(F.col("upos")).alias("pos"), "vector")
+    minted = v.where("vec_id % 100 = 0").select(F.concat(F.lit("minted:lemma_0.n."), F.lpad(F.col("vec_id").cast("string"), 4, "0")).alias("sense_id"), F.lit("NOUN").alias("upos"), "vector")
+    return sense.resolve(glosses, inventory, minted, threshold=0.5)
+
+
 @query("""WITH c AS (SELECT label, list(embedding::DOUBLE[]) AS e, count(*) AS n FROM embeddings GROUP BY ALL), p AS (SELECT vec_id, label, unnest(embedding::DOUBLE[]) AS x, unnest(range(len(embedding))) AS k FROM embeddings),
 m AS (SELECT label, k, avg(x) AS m FROM p GROUP BY ALL) SELECT vec_id, label, round(sum(x * m), 6) AS similarity FROM p JOIN m USING (label, k) GROUP BY ALL""")
 def cosine_by_label(s, d):
@@ -835,6 +866,26 @@ def alignment_metrics(s, d):
     return _rounded(evaluate.overlap(p.where("row_index % 3 != 0"), p.where("row_index % 3 != 1"), ["source_text", "target_text"]), "precision", "recall")
 
 
+@query(with_("pairs") + """, a AS (SELECT lower(trim(regexp_replace(coalesce(source_text, ''), '\\s+', ' ', 'g'))) AS s, lower(trim(regexp_replace(coalesce(target_text, ''), '\\s+', ' ', 'g'))) AS t, length(source_text) AS sl, length(target_text) AS tl, row_index % 3 AS k FROM pairs),
+x AS (SELECT DISTINCT s, t FROM a WHERE k <> 0), y AS (SELECT DISTINCT s, t FROM a WHERE k <> 1), p AS (SELECT count(*) AS n FROM (SELECT * FROM x INTERSECT SELECT * FROM y)), q AS (SELECT count(*) AS n FROM (SELECT s FROM x INTERSECT SELECT s FROM y)),
+z AS (SELECT count(*) FILTER (k <> 0) AS na, count(*) FILTER (k <> 1) AS nb, sum(sl) FILTER (k <> 0) AS sa, sum(sl) FILTER (k <> 1) AS sb, sum(tl) FILTER (k <> 0) AS ta, sum(tl) FILTER (k <> 1) AS tb, sum(sl) AS s, sum(tl) AS t FROM a)
+SELECT na AS pairs_a, nb AS pairs_b, p.n AS pair_overlap, round(p.n / (SELECT count(*) FROM y), 6) AS pair_precision, round(p.n / (SELECT count(*) FROM x), 6) AS pair_recall, q.n AS source_overlap, round(q.n / (SELECT count(DISTINCT s) FROM y), 6) AS source_precision, round(q.n / (SELECT count(DISTINCT s) FROM x), 6) AS source_recall,
+round(sa / s, 6) AS source_coverage_a, round(sb / s, 6) AS source_coverage_b, round(ta / t, 6) AS target_coverage_a, round(tb / t, 6) AS target_coverage_b, round(1 - na / 100000.0, 6) AS drop_rate_a, NULL::DOUBLE AS drop_rate_b FROM z, p, q""")
+def alignment_comparison(s, d):
+    """Two runs over the same units: overlap of pairs and of source texts, coverage, drop rates."""
+    p = views.pairs(s, d)
+    units = lambda c: p.select(F.col(c).alias("unit_text"))
+    x = evaluate.compare_alignment(p.where("row_index % 3 != 0"), p.where("row_index % 3 != 1"), units("source_text"), units("target_text"), (100_000, None))
+    return _rounded(x, *(c for c, t in x.dtypes if t == "double"))
+
+
+@query("SELECT event_type AS stage, count(*) AS calls, sum(event_id % 100)::BIGINT AS prompt_tokens, coalesce(sum(CASE WHEN event_id % 7 <> 0 THEN event_id % 10 END), 0)::BIGINT AS completion_tokens, (sum(event_id % 100) + coalesce(sum(CASE WHEN event_id % 7 <> 0 THEN event_id % 10 END), 0))::BIGINT AS total_tokens, round(sum(value), 4) AS cost_usd FROM events GROUP BY ALL")
+def usage_totals(s, d):
+    i = F.col("event_id")
+    calls = table(s, d, "events").select(F.col("event_type").alias("stage"), (i % 100).alias("prompt_tokens"), F.when(i % 7 != 0, i % 10).alias("completion_tokens"), F.col("value").alias("cost_usd"))
+    return evaluate.usage_totals(calls, "stage").withColumn("cost_usd", F.round("cost_usd", 4))
+
+
 @query(with_("pairs") + " SELECT p.used, u.there, round(p.used / u.there, 6) AS coverage FROM (SELECT sum(length(source_text))::BIGINT AS used FROM pairs) p, (SELECT sum(length(text))::BIGINT AS there FROM conversations) u")
 def coverage_ratio(s, d):
     return _rounded(evaluate.coverage(views.pairs(s, d), table(s, d, "conversations"), "source_text", "text"), "coverage")
@@ -865,9 +916,9 @@ def reply_parse(s, d):
 
 
 @query("""WITH t AS (SELECT row_index, regexp_extract_all(coalesce(source_text, ''), '[\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_\\s]') AS t FROM (SELECT u.conv_id * 4096 + u.turn AS row_index, u.text AS source_text FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user' AND a.role = 'assistant'))
-SELECT row_index, list_filter(range(0, len(t) - 1), lambda i: lower(t[i + 1]) = lower(t[4]) AND lower(t[i + 2]) = lower(t[5]))[1]::INT AS first_index FROM t WHERE len(t) >= 5""")
+SELECT row_index, list_filter(range(0, len(t) - 1), lambda i: lower(t[i + 1]) = lower(t[4]) AND lower(t[i + 2]) = lower(t[5]))[1]::INT AS first_index FROM t""")
 def find_span(s, d):
-    p = views.pairs(s, d).select("row_index", text.tokenize(F.col("source_text")).alias("t")).where("size(t) >= 5")
+    p = views.pairs(s, d).select("row_index", text.tokenize(F.col("source_text")).alias("t"))
     return p.select("row_index", F.get(text.find_span(F.col("t"), F.slice("t", 4, 2)), F.lit(0)).alias("first_index"))
 
 
@@ -879,10 +930,7 @@ def stream_incremental_postings(s, d):
     """The term postings, built by a file stream in several batches: the same rows as in one batch."""
     from ..streaming.incremental import index_stream
 
-    base = s.sparkContext.getConf().get("spark.checkpoint.dir") or s.sparkContext.getCheckpointDir() or tempfile.mkdtemp()
-    import uuid
-
-    root = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    root = f"{corpus_files.shared_folder(s)}/stream-{uuid.uuid4().hex}"
     views.pairs(s, d).select("row_index", "source_text", "target_text").repartition(4).write.json(f"{root}/in")
     q = index_stream(s, f"{root}/in", f"{root}/out", f"{root}/state", files_per_batch=1)
     q.awaitTermination()

@@ -2,11 +2,27 @@
 
 from __future__ import annotations
 
+import tempfile
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..functions.text import sanitize_field
+from ..functions.text import fix_mojibake, match_key, sanitize_field
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: spark.checkpoint.dir. In local mode a temporary folder serves where it is unset; a cluster must name one."""
+    sc = spark.sparkContext
+    base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not base:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="glossweave-")
+        sc.setCheckpointDir(base)
+    return base.rstrip("/")
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -28,10 +44,69 @@ def read_jsonl(spark: SparkSession, path: str, schema: StructType | str) -> Data
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
+#: Suffixes of files that are texts of the corpus.
+SUFFIXES = (".txt", ".pdf")
+
+
+def _failed(message: Column, dies: Column) -> Column:
+    """True, or the job's end with a message."""
+    return F.when(dies, F.raise_error(message).cast("boolean")).otherwise(F.lit(True))
+
+
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
-    """(path, content) of whole text files: UTF-8, else Latin-1."""
-    raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path)
-    return raw.select("path", decode_bytes(F.col("content")).alias("content"))
+    """(path, content) of whole text files in UTF-8; what is none is replaced. The job fails at a file of another suffix."""
+    raw = spark.read.format("binaryFile").load(path)
+    other = ~F.lower("path").endswith(".txt")
+    return raw.where(_failed(F.concat(F.lit("not a text file: "), "path"), other)).select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
+
+
+def read_pdfs(spark: SparkSession, path: str, pages_of: Callable[[bytes], list[str]], most: int | None = None) -> DataFrame:
+    """(path, content): the texts of a document's pages (of the first ones, for a preview), a blank line between, and characters of fonts without a map mended.
+
+    pages_of reads a document; it is given, as no library for it is assumed.
+    """
+
+    @F.pandas_udf("string")
+    def text(data: pd.Series) -> pd.Series:
+        return data.map(lambda x: "\n\n".join(p or "" for p in pages_of(bytes(x))[:most]))
+
+    raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.[pP][dD][fF]").load(path)
+    return raw.select("path", fix_mojibake(text(F.col("content"))).alias("content"))
+
+
+def read_yaml(spark: SparkSession, path: str, schema: StructType | str, key: str | None = None) -> DataFrame:
+    """A worklist or manifest as rows: a list of mappings, or the list below a key. An empty or missing file has no rows; unknown entries are dropped, absent ones null."""
+    try:
+        import yaml
+    except ImportError as e:
+        raise ImportError("reading YAML needs the yaml package") from e
+    if not exists(spark, path):
+        return spark.createDataFrame([], schema)
+    loaded = yaml.safe_load("\n".join(r["value"] for r in spark.read.text(path).collect()))  # a worklist is written by hand
+    rows = (loaded or {}).get(key) if key else loaded
+    empty = spark.createDataFrame([], schema)
+    return spark.createDataFrame([tuple((r or {}).get(c) for c in empty.columns) for r in rows or []], schema)
+
+
+def discover(files: DataFrame) -> DataFrame:
+    """(folder, place, name, lang_code, year, title, author, source) of a listing (path): files of the corpus' suffixes, told by their names, in order of year and
+    name within their folder. The job fails at a name that can't be told and at a folder with fewer than two files."""
+    name = F.element_at(F.split("path", "/"), -1)
+    stem = F.regexp_replace(name, r"\.[^.]*$", "")
+    known = F.lit(False)
+    for suffix in SUFFIXES:
+        known = known | F.lower("path").endswith(suffix)
+    x = files.where(known).select(F.regexp_replace("path", "/[^/]*$", "").alias("folder"), name.alias("name"), parse_name(stem).alias("f"))
+    x = x.where(_failed(F.concat(F.lit("a name without its five fields: "), "name"), F.col("f").isNull()))
+    few = F.count("*").over(Window.partitionBy("folder")) < 2
+    x = x.withColumn("few", few).where(_failed(F.concat(F.lit("fewer than two editions in "), "folder"), F.col("few"))).drop("few")
+    place = F.row_number().over(Window.partitionBy("folder").orderBy("f.year", "name")) - 1
+    return x.withColumn("place", place).select("folder", "place", "name", "f.*")
+
+
+def write_jsonl(rows: DataFrame, path: str) -> None:
+    """One record a line, in UTF-8; null fields stay."""
+    rows.write.mode("overwrite").option("ignoreNullFields", "false").option("encoding", "UTF-8").json(path)
 
 
 def decode_bytes(data: Column) -> Column:
@@ -50,8 +125,17 @@ def parse_name(stem: Column) -> Column:
 
 
 def build_name(lang: Column, year: Column, title: Column, author: Column, source: Column) -> Column:
+    """The name that parse_name reads; the job fails at a field that is empty once it is made safe, and at one that would be read otherwise."""
     y = F.when(year < 0, F.concat(F.lit("BC"), (-year).cast("string"))).otherwise(year.cast("string"))
-    return F.concat_ws("-", lang, y, *(sanitize_field(c) for c in (title, author, source)))
+    fields = [sanitize_field(c) for c in (title, author, source)]
+    name = F.concat_ws("-", lang, y, *fields)
+    empty = F.coalesce(lang, F.lit("")) == ""
+    for f in fields:
+        empty = empty | (F.coalesce(f, F.lit("")) == "")
+    back = parse_name(name)
+    spaced = lambda c: F.replace(c, F.lit("_"), F.lit(" "))
+    same = (back["lang_code"] == lang) & (back["year"] == year) & (back["title"] == fields[0]) & (back["author"] == spaced(fields[1])) & (back["source"] == spaced(fields[2]))
+    return F.when(empty, F.raise_error(F.concat(F.lit("a name needs all fields: "), name))).when(~F.coalesce(same, F.lit(False)), F.raise_error(F.concat(F.lit("a name that reads otherwise: "), name))).otherwise(name)
 
 
 def pair_slug(lang_a: Column, year_a: Column, lang_b: Column, year_b: Column) -> Column:
@@ -60,8 +144,7 @@ def pair_slug(lang_a: Column, year_a: Column, lang_b: Column, year_b: Column) ->
 
 def plausible_author(a: Column, b: Column) -> Column:
     """Equal or, from three characters on, one within the other; `unknown` matches itself alone; empty matches nothing."""
-    norm = lambda c: F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", " "))
-    x, y = norm(a), norm(b)
+    x, y = match_key(a), match_key(b)
     short, long = F.when(F.length(x) <= F.length(y), x).otherwise(y), F.when(F.length(x) <= F.length(y), y).otherwise(x)
     return F.when((x == "") | (y == ""), False).when((x == "unknown") | (y == "unknown"), x == y).otherwise((x == y) | ((F.length(short) >= 3) & F.contains(long, short)))
 
@@ -96,13 +179,6 @@ def file_pairs(files: DataFrame, work: str = "work", year: str = "year", name: s
     return f.join(g, work).where("rank < rank_b").drop("rank", "rank_b")
 
 
-def write_shards(pairs: DataFrame, path: str) -> None:
-    """Pairs by language pair and year range, over both sides' years, as partition columns: years before Christ stay readable."""
-    w = Window.partitionBy("lang_a", "lang_b")
-    ranged = pairs.withColumns({"year_from": F.min(F.least("source_year", "target_year")).over(w), "year_to": F.max(F.greatest("source_year", "target_year")).over(w)})
-    ranged.write.mode("overwrite").partitionBy("lang_a", "lang_b", "year_from", "year_to").parquet(path)
-
-
 def overlapping(shards: DataFrame, start: int | None, end: int | None) -> DataFrame:
     """Shards whose range meets [start, end]; an absent bound is open."""
     out = shards

@@ -17,63 +17,131 @@ from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 CHROME = ("script", "style", "nav", "header", "footer")
 
 
-def visible_text(html: Column) -> Column:
-    """Text nodes outside page furniture, stripped, a line each. Native: patterns for elements, comments and tags, then entities."""
-    t = F.coalesce(html, F.lit(""))
-    t = F.regexp_replace(t, r"(?is)<!--.*?-->", "")
-    for tag in CHROME:
-        t = F.regexp_replace(t, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", "\n")
-    t = F.regexp_replace(t, r"(?is)<[^>]+>", "\n")
-    for name, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        t = F.replace(t, F.lit(name), F.lit(char))
-    lines = F.filter(F.transform(F.split(t, "\n"), F.trim), lambda x: x != "")
-    return F.array_join(lines, "\n")
-
-
-class _Links(HTMLParser):
-    def __init__(self, base: str) -> None:
+#: Elements that have no content and no end tag.
+VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
+
+
+class Node:
+    """An element: its tag, attributes, the element around it, and its content in order (elements and texts)."""
+
+    def __init__(self, tag: str, attrs: dict[str, str], parent: Node | None) -> None:
+        self.tag, self.attrs, self.parent, self.content = tag, attrs, parent, []
+
+    def elements(self) -> Iterator[Node]:
+        """This element and those within, in document order."""
+        todo = [self]
+        while todo:
+            e = todo.pop()
+            yield e
+            todo += [c for c in reversed(e.content) if isinstance(c, Node)]
+
+    def texts(self) -> Iterator[str]:
+        todo: list[Node | str] = [self]
+        while todo:
+            e = todo.pop()
+            if isinstance(e, str):
+                yield e
+            else:
+                todo += reversed(e.content)
+
+    def text(self, between: str) -> str:
+        """Stripped texts that aren't empty, joined."""
+        return between.join(x for t in self.texts() if (x := t.strip()))
+
+    def around(self, *tags: str) -> Node | None:
+        e = self.parent
+        while e is not None and e.tag not in tags:
+            e = e.parent
+        return e
+
+
+class _Tree(HTMLParser):
+    """Elements as written: an end tag closes the last open element of its name, and what is open within; without one it means nothing.
+    All entities are decoded. A text of white space alone is one line feed if it has any, else one space, but not in preformatted elements."""
+
+    def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.base, self.skip, self.near, self.open, self.found = base, 0, [], None, []
+        self.root = self.open = Node("", {}, None)
+        self.data: list[str] = []
+
+    def _text(self) -> None:
+        if not self.data:
+            return
+        text, self.data = "".join(self.data), []
+        if not text.strip(" \t\n\r\f") and self.open.tag not in ("pre", "textarea") and self.open.around("pre", "textarea") is None:
+            text = "\n" if "\n" in text else " "
+        self.open.content.append(text)
 
     def handle_starttag(self, tag, attrs):
-        if tag in CHROME:
-            self.skip += 1
-        elif tag in ("li", "tr", "p"):
-            self.near.append([tag, "", []])
-        elif tag == "a" and not self.skip:
-            href = (dict(attrs).get("href") or "").strip()
-            self.open = [href, "", self.near[-1] if self.near else None]
+        self._text()
+        own: dict[str, str] = {}
+        for k, v in attrs:
+            own[k] = v or ""
+        e = Node(tag, own, self.open)
+        self.open.content.append(e)
+        if tag not in VOID:
+            self.open = e
+
+    def handle_startendtag(self, tag, attrs):
+        self.handle_starttag(tag, attrs)
+        if tag not in VOID:
+            self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
-        if tag in CHROME and self.skip:
-            self.skip -= 1
-        elif tag == "a" and self.open:
-            href, text, near = self.open
-            if href and not href.startswith(("#", "javascript:")):
-                link = [urljoin(self.base, href), " ".join(text.split()), None]
-                self.found.append((link, near))
-            self.open = None
-        elif self.near and tag == self.near[-1][0]:
-            self.near.pop()
+        self._text()
+        e: Node | None = self.open
+        while e is not None and e.tag != tag:
+            e = e.parent
+        if e is not None and e.parent is not None:
+            self.open = e.parent
 
     def handle_data(self, data):
-        if self.skip:
-            return
-        for n in self.near:
-            n[1] += data
-        if self.open:
-            self.open[1] += data
+        self.data.append(data)
 
+    def close(self):
+        super().close()
+        self._text()
 
-def links(base: str | None, html: str | None) -> list[tuple[str, str, str]]:
-    """(url, text, context) of the first link to each address outside page furniture; links without text and context don't count."""
-    p = _Links(base or "")
+
+def tree(html: str | None) -> Node:
+    """The page without script, style and furniture."""
+    p = _Tree()
     p.feed(html or "")
     p.close()
+    for e in list(p.root.elements()):
+        e.content = [c for c in e.content if isinstance(c, str) or c.tag not in CHROME]
+    return p.root
+
+
+def text_of(html: str | None) -> str:
+    return "\n".join(tree(html).texts())
+
+
+@F.pandas_udf(StringType())
+def visible_text(html: pd.Series) -> pd.Series:
+    """Text nodes outside scripts, styles and page furniture, as they are, with a line feed between them; empty for null."""
+    return html.map(text_of)
+
+
+def links(base: str | None, html: str | None) -> list[tuple[str, str, str]]:
+    """(url, text, context) of the first link to each address outside page furniture. The context is the text of the nearest list item, row or
+    paragraph around the link, else the link's own; links without either don't count, nor do places in the page, scripts, and addresses that are none."""
     out: dict[str, tuple[str, str, str]] = {}
-    for (url, text, _), near in p.found:
-        context = " ".join(near[1].split()) if near else ""
-        if (text or context) and url not in out:
+    for e in tree(html).elements():
+        if e.tag != "a" or "href" not in e.attrs:
+            continue
+        href = e.attrs["href"].strip()
+        if not href or href.startswith("#") or href.lower().startswith("javascript:"):
+            continue
+        try:
+            url = urljoin(base or "", href)
+        except ValueError:
+            continue
+        if url in out:
+            continue
+        text, near = e.text(" "), e.around("li", "tr", "p")
+        context = near.text(" ") if near is not None else text
+        if text or context:
             out[url] = (url, text, context)
     return list(out.values())
 
@@ -84,6 +152,23 @@ def page_links(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Se
         yield pd.Series([[{"url": u, "text": t, "context": c} for u, t, c in links(b, h)] for b, h in zip(base, html, strict=True)])
 
 
+def page_scope(html: str | None, url: str | None, chars: int = 500) -> tuple[str, str]:
+    """(title, excerpt) by which a page is judged to be of one work or a listing: the title element's text, else the address."""
+    root = tree(html)
+    title = next((e for e in root.elements() if e.tag == "title"), None)
+    return ("".join(x.strip() for x in title.texts()) if title is not None else url or ""), root.text(" ")[:chars]
+
+
+def is_document(url: Column) -> Column:
+    """Whether an address that nobody has fetched yet looks like a document: by its path's suffix."""
+    return F.coalesce(F.lower(F.try_parse_url(url, F.lit("PATH"))).rlike(r"[^/]\.(txt|pdf)$"), F.lit(False))
+
+
+def is_author_listing(url: Column) -> Column:
+    """A page that lists all works of an author is not followed."""
+    return F.coalesce(F.startswith(F.try_parse_url(url, F.lit("PATH")), F.lit("/browse/authors/")), F.lit(False))
+
+
 #: Elements whose content makes a line, and elements whose content is dropped.
 TEI_BLOCKS = ("l", "p", "head", "ab", "item", "speaker")
 TEI_SKIP = ("note", "milestone", "pb", "cb", "gap", "del", "figure")

@@ -1,45 +1,10 @@
 import pytest
 from pyspark.sql import functions as F
 
-from glossweave.functions.text import tokenize
-from glossweave.operators import adapters, align, catalog, contrib, evaluate, sense, serve
-from glossweave.plans import views
+from glossweave.operators import adapters, align, catalog, contrib, evaluate, sense
+from glossweave.operators.index import shards_between, with_shards
 from glossweave.sources import corpus_files
 
-LINKS = "array<struct<source_idx:array<int>,target_idx:array<int>,upos:string,ner:string>>"
-
-
-@pytest.fixture(scope="module")
-def corpus(spark):
-    rows = [(1, "gladly would I see him", "Gladly I would see that hero", []), (2, "Gladly sir for sothe", "Gladly, sir, for sooth", [([0], [0], "ADV", None), ([3], [5], "NOUN", None)])]
-    pairs = spark.createDataFrame(rows, f"row_index long, source_text string, target_text string, links {LINKS}")
-    linked = pairs.withColumns({"source_tokens": tokenize(F.col("source_text")), "target_tokens": tokenize(F.col("target_text"))})
-    side = F.explode(F.array(*(F.struct(F.lit(s).alias("side"), F.col(f"{n}_tokens").alias("tokens")) for s, n in ((0, "source"), (1, "target")))))
-    sides = linked.select("row_index", side.alias("s")).select("row_index", "s.*")
-    words = sides.select("row_index", "side", F.posexplode("tokens").alias("token_index", "token"))
-    return linked, words
-
-
-def found(spark, corpus, word, side, **more):
-    linked, words = corpus
-    q = spark.createDataFrame([(1, word, side)], "query_id int, query string, side int")
-    r = serve.lookup(serve.lookup_refined(serve.lookup_candidates(q, views.gram_postings(words)), words), linked, **more)
-    return {x["row_index"]: x for x in r.collect()}
-
-
-def test_lookup(spark, corpus):
-    got = found(spark, corpus, "gladly", 0)
-    assert set(got) == {1, 2} and got[1]["span"] is None and got[2]["span"] == "Gladly"
-    assert found(spark, corpus, "sooth", 1)[2]["span"] == "sothe"
-    assert set(found(spark, corpus, "soothe", 1)) == {2}
-    assert found(spark, corpus, "zzzz", 0) == {}
-
-
-def test_lookup_tags(spark, corpus):
-    got = found(spark, corpus, "gladly", 0, upos="ADV", ner="")
-    assert got[2]["tag_rank"] == 0 and got[1]["tag_rank"] == 1
-
-
 def test_alignment(spark):
     u = lambda x: spark.createDataFrame([("w", i, t) for i, t in enumerate(x)], "work string, unit_index int, unit_text string")
     m = align.monotone(align.mutual_best(align.lexical_scores(u(["alpha beta", "gamma delta", "omega"]), u(["alpha betas", "gamma deltas", "omegas"]), "work"), "work"), "work")
@@ -61,34 +26,83 @@ def test_pack(spark):
     assert [r["x"] for r in t.collect()] == [["aa\n\nbb", "cccccccccccc"], []]
 
 
-def test_contributions(spark):
-    rows = [
-        ("gloss", ("ang", None, [("lēoht", [], "word", False), ("x", [], "word", True), ("bēam", [], "word", False)]), ("eng", "ray of light"), "validated"),
-        ("grammar_note", ("ang", "t", None), None, "validated"),
-        ("gloss", ("ang", "t", [("a", [], "word", False)]), ("eng", "x"), "validated"),
-    ]
-    d = spark.createDataFrame([(a, b, c, ((1000, None), None, "src", None, None, None, (s,))) for a, b, c, s in rows], contrib.SCHEMA)
-    assert [r["violations"] for r in contrib.violations(d).collect()] == [[], [], ["tokens_or_text"]]
+def contribution(**changes):
+    """A valid contribution, with fields changed: keys are paths, a value of None takes the field away."""
+    import copy
+    import json
+
+    base = {"doc_type": "attestation", "origin": {"lang_code": "ang", "tokens": [{"surface": "lēoht", "alt": [], "class": "common", "gap": False}, {"surface": None, "gap": True}, {"surface": "bēam"}]}, "target": {"lang_code": "eng", "text": "ray of light"},
+            "metadata": {"date": {"year": 1000, "precision": "circa"}, "location": None, "source": "src", "author": None, "contributor": "c", "license": "cc", "validation": {"status": "validated"}}}
+    doc = copy.deepcopy(base)
+    for path, value in changes.items():
+        *to, last = path.split("__")
+        at = doc
+        for k in to:
+            at = at[k]
+        if value is None:
+            del at[last]
+        else:
+            at[last] = value
+    return json.dumps(doc).replace('"<null>"', "null")
+
+
+def test_contribution_rules(spark):
+    """Each rule of the schema, broken once."""
+    cases = {
+        "valid": (contribution(), []),
+        "free text": (contribution(origin={"lang_code": "ang", "text": "t"}), []),
+        "no target": (contribution(target="<null>"), []),
+        "note": (contribution(doc_type="grammar_note", origin={"lang_code": "ang", "text": "t"}, target="<null>"), []),
+        "pending": (contribution(metadata__validation__status="pending", metadata__date={"year": -490}), []),
+        "type": (contribution(doc_type="gloss"), ["doc_type"]),
+        "no type": (contribution(doc_type=None), ["doc_type"]),
+        "language": (contribution(origin__lang_code=None), ["origin"]),
+        "both": (contribution(origin__text="t"), ["tokens_or_text"]),
+        "neither": (contribution(origin__tokens=None), ["tokens_or_text"]),
+        "class": (contribution(origin__tokens=[{"surface": "a", "class": "word"}]), ["token_class"]),
+        "target's text": (contribution(target__text=None), ["target"]),
+        "note's text": (contribution(doc_type="grammar_note", target="<null>"), ["grammar_note_text"]),
+        "note's target": (contribution(doc_type="grammar_note", origin={"lang_code": "ang", "text": "t"}), ["grammar_note_target"]),
+        "year": (contribution(metadata__date={"precision": "exact"}), ["year"]),
+        "precision": (contribution(metadata__date__precision="about"), ["precision"]),
+        "source": (contribution(metadata__source=None), ["source"]),
+        "contributor": (contribution(metadata__contributor=None), ["contributor"]),
+        "license": (contribution(metadata__license=None), ["license"]),
+        "status": (contribution(metadata__validation__status="submitted"), ["status"]),
+        "no key": (contribution(target=None), ["no_target"]),
+        "extra": (contribution(metadata__more=1), ["extra"]),
+        "token's extra": (contribution(origin__tokens=[{"surface": "a", "pos": "x"}]), ["extra"]),
+        "no object": ("[1]", ["doc_type", "origin", "tokens_or_text", "year", "source", "contributor", "license", "status", "no_target"]),
+    }
+    d = contrib.read_json(spark.createDataFrame([(k, j) for k, (j, _) in cases.items()], "name string, json string"), "json")
+    assert {r["name"]: r["violations"] for r in contrib.violations(d).collect()} == {k: v for k, (_, v) in cases.items()}
     with pytest.raises(Exception, match="invalid contribution"):
         contrib.require_valid(d).collect()
-    got = contrib.relational_rows(d.limit(2)).collect()
-    assert [(r["form"], r["lemma"], r["ner"]) for r in got] == [("lēoht bēam", "lēoht bēam", "O")]
 
 
-def test_shards_before_christ(spark, tmp_path):
-    p = spark.createDataFrame([("grc", "eng", -490, 1914, "x")], "lang_a string, lang_b string, source_year int, target_year int, t string")
-    corpus_files.write_shards(p, str(tmp_path / "s"))
-    back = spark.read.parquet(str(tmp_path / "s"))
-    assert corpus_files.overlapping(back, -500, -480).count() == 1 and corpus_files.overlapping(back, 1950, None).count() == 0
-    assert corpus_files.with_reversed(back, "eng", "grc").count() == 1
+def test_attestation_rows(spark, tmp_path):
+    docs = [contribution(), contribution(doc_type="grammar_note", origin={"lang_code": "ang", "text": "t"}, target="<null>"), contribution(target="<null>"), contribution(origin={"lang_code": "ang", "text": "t"}),
+            contribution(metadata__validation__status="proofread"), contribution(origin__tokens=[{"surface": "Ælfred", "class": "name"}, {"surface": "x", "gap": True}], metadata__date={"year": -5})]
+    d = spark.createDataFrame([(j,) for j in docs], "json string")
+    tags = spark.createDataFrame([("ang", "lēoht bēam", 0, ".", "PUNCT", "O", None), ("ang", "lēoht bēam", 2, "beam", "NOUN", "MISC", "s.n.01"), ("ang", "lēoht bēam", 1, "leoht", "NOUN", None, "s.n.02")], "iso_code string, form string, position int, lemma string, upos string, ner string, sense_id string")
+    ranges = contrib.build_relational_index(d, str(tmp_path / "r"), tags=tags)
+    assert [tuple(r) for r in ranges.collect()] == [("ang", -5, 1000, 2)]
+    got = spark.read.parquet(str(tmp_path / "r"))
+    assert sorted((r["form"], r["lemma"], r["sense_id"], r["ner"], r["iso_code"], r["year_from"], r["year_to"]) for r in got.collect()) == [("lēoht bēam", "leoht", "s.n.02", "O", "ang", -5, 1000), ("Ælfred", "Ælfred", "name:Ælfred", "PER", "ang", -5, 1000)]
+    assert shards_between(got, -10, -5).count() == 2 and shards_between(got, 1001, None).count() == 0
+
+
+def test_shards_before_christ(spark):
+    p = spark.createDataFrame([(("grc", -490), ("eng", 1914)), (("grc", -300), ("eng", 1990))], "source struct<lang_code:string,year:int>, target struct<lang_code:string,year:int>")
+    x = with_shards(p)
+    assert {(r["lang_a"], r["year_from"], r["year_to"]) for r in x.collect()} == {("grc", -490, 1990)}
+    assert corpus_files.overlapping(x, -500, -480).count() == 2 and corpus_files.overlapping(x, 1991, None).count() == 0
+    assert corpus_files.with_reversed(x, "eng", "grc").count() == 2
 
 
 def test_missing_sources_are_empty(spark, tmp_path):
     assert corpus_files.read_parquet(spark, str(tmp_path / "none"), "a int").count() == 0
     assert corpus_files.read_jsonl(spark, str(tmp_path / "none"), "a int").count() == 0
-    (tmp_path / "a.txt").write_bytes("þe".encode())
-    (tmp_path / "b.txt").write_bytes("þe".encode("latin-1"))
-    assert [r["content"] for r in corpus_files.read_texts(spark, str(tmp_path)).collect()] == ["þe", "þe"]
 
 
 def test_judged(spark):
@@ -109,7 +123,7 @@ def test_mint_reuses(spark):
 
 def test_crawl_stops_at_documents_and_depth(spark, tmp_path):
     e = spark.createDataFrame([("a", "b"), ("b", "c.txt"), ("c.txt", "d"), ("b", "a"), ("b", "e"), ("e", "f")], "src string, dst string")
-    got = catalog.crawl(spark.createDataFrame([("a",)], "url string"), e, F.col("url").endswith(".txt"), max_depth=2, shared=str(tmp_path))
+    got = catalog.crawl(spark.createDataFrame([("a",)], "url string"), e, F.col("url").endswith(".txt"), str(tmp_path), max_depth=2)
     assert {(r["url"], r["depth"]) for r in got.collect()} == {("a", 0), ("b", 1), ("c.txt", 2), ("e", 2)}
 
 

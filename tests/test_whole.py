@@ -9,12 +9,12 @@ def saved(spark, folder, **tables):
     return str(folder)
 
 
-def test_verbatim_all_items_whole(spark, tmp_path):
+def test_verbatim_all_items(spark, tmp_path):
     long = "One two three four five six seven eight nine ten eleven"
     items = [(0, "alpha beta gamma"), (55, long), (70, "x"), (71, "two words"), (99, None)]
     docs = [(1, f"so  {long.upper()}\nend"), (2, "alpha beta delta"), (3, "xalpha\tbeta gammay"), (4, None), (5, long[:-7]), (6, "a two  Words b")]
     d = saved(spark, tmp_path, documents=(docs, "doc_id long, text string"), benchmark=(items, "item_id long, text string"))
-    got = {(r["doc_id"], r["item_id"]) for r in q.verify_verbatim_whole(spark, d).collect()}
+    got = {(r["doc_id"], r["item_id"]) for r in q.verify_verbatim(spark, d).collect()}
     flat = lambda t: " ".join((t or "").lower().split())
     assert got == {(i, k) for i, t in docs for k, p in items if p and flat(p) in flat(t)}
     assert {(1, 55), (3, 0), (6, 71)} <= got and (2, 0) not in got
@@ -24,11 +24,10 @@ def test_contributions_of_all_words(spark, tmp_path):
     text = "Eins zwei drei vier fünf Ende sechs"
     docs = [(1, text, "de", "s"), (2, "Ea Eb Ec Ed five", "de", "s"), (3, "x", "de", "s")]
     d = saved(spark, tmp_path, documents=(docs, "doc_id long, text string, lang string, source string"))
-    got = {r["attestation_year"]: r["form"] for r in q.contribution_rows_whole(spark, d).collect()}
+    got = {r["attestation_year"]: r["form"] for r in q.contribution_rows(spark, d).collect()}
     assert got == {1001: "zwei drei vier fünf sechs", 1002: "five"}
-    assert [tuple(r) for r in q.relational_partition_ranges_whole(spark, d).collect()] == [("de", 1001, 1002, 2)]
-    origins = q._contributions(spark, d).where("doc_id = 1").selectExpr("size(origin.tokens) AS n").first()
-    assert origins["n"] == 7
+    assert [tuple(r) for r in q.relational_partition_ranges(spark, d).collect()] == [("de", 1001, 1002, 2)]
+    assert q._contributions(spark, d).where("doc_id = 1").selectExpr("size(origin.tokens) AS n").first()["n"] == 7
 
 
 def levenshtein(a, b):
@@ -41,14 +40,10 @@ def levenshtein(a, b):
     return row[-1]
 
 
-def test_all_tokens_refined_compared_and_tagged(spark, tmp_path):
+def test_all_tokens_compared_and_tagged(spark, tmp_path):
     talk = [(1, 0, "user", "the tión größe, tion 12"), (1, 1, "assistant", "ande ändé grösse. Ande 13")]
     d = saved(spark, tmp_path, conversations=(talk, "conv_id long, turn long, role string, text string"))
     a, b = ["the", "tión", "größe", ",", "tion", "12"], ["ande", "ändé", "grösse", ".", "Ande", "13"]
-    got = {r["token_index"]: r["distance"] for r in q.edit_distance_pairs_whole(spark, d).collect()}
+    got = {r["token_index"]: r["distance"] for r in q.edit_distance_pairs(spark, d).collect()}
     assert got == {i: levenshtein(x.lower(), y.lower()) for i, (x, y) in enumerate(zip(a, b, strict=True))}
-    found = {(r["query_id"], r["token"]): r["distance"] for r in q.lookup_refined_whole(spark, d).collect()}
-    assert found[2, "tión"] == 1 and found[2, "tion"] == 0
-    matched = {r["query_id"]: r["matched"] for r in q.lookup_batch_whole(spark, d).collect()}
-    assert matched[2] == "1,4"
-    assert sorted(r["token"] for r in q.classify_resolve_whole(spark, d).collect()) == sorted(a + b)
+    assert sorted(r["token"] for r in q.classify_resolve(spark, d).collect()) == sorted(a + b)
