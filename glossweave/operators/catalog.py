@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import match_key
 from ..sources.corpus_files import exists, plausible_author
+from ..sources.pages import is_author_listing, is_document
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str, order: str) -> DataFrame:
@@ -115,6 +116,37 @@ def crawl(seeds: DataFrame, edges: DataFrame, documents: Column, shared: str, ma
     return spark.read.parquet(*(f"{base}/{d}" for d in range(depth + 1))).select("url", "depth", "chain", "is_document")
 
 
+def followed(decisions: DataFrame) -> DataFrame:
+    """Edges (src, dst, place) of decided links (page, place, url, decision, …) that a crawl goes along: those to follow but for listings of an author's works, and
+    candidates that don't look like documents yet."""
+    along = ((F.col("decision") == "follow") & ~is_author_listing(F.col("url"))) | ((F.col("decision") == "candidate") & ~is_document(F.col("url")))
+    return decisions.where(along).select(F.col("page").alias("src"), F.col("url").alias("dst"), "place")
+
+
+def survey_results(crawled: DataFrame, decisions: DataFrame, visits: DataFrame, max_depth: int = 3) -> DataFrame:
+    """(document_url, chain, title, category, reasoning, related_to): what a survey found, from the pages crawled, the decisions about their links and the visits
+    (url, kind, reasoning): `document`, `links`, `no_links` or `broad_listing`.
+
+    Documents met, candidates that look like documents, and, for somebody to look at, pages without links, broad listings, listings of an author, uncertain links and what would
+    have been followed beyond the last round. Irrelevant links leave nothing.
+    """
+    none = F.lit(None).cast("string")
+    row = lambda x, url, chain, title, category, why, related: x.select(url.alias("document_url"), chain.alias("chain"), title.alias("title"), F.coalesce(category, F.lit("uncertain")).alias("category"), F.coalesce(why, F.lit("")).alias("reasoning"), F.coalesce(related, F.lit("")).alias("related_to"))
+    v = crawled.join(visits.select("url", "kind", F.col("reasoning").alias("why")), "url")
+    led = decisions.where("decision = 'candidate'").select(F.col("page").alias("_page"), F.col("url").alias("_url"), "category", "reasoning", "related_to").dropDuplicates(["_page", "_url"])
+    docs = v.where("kind = 'document'").withColumn("_from", F.try_element_at("chain", F.lit(-2))).join(led, (F.col("_from") == F.col("_page")) & (F.col("url") == F.col("_url")), "left")
+    out = row(docs, F.col("url"), F.col("chain"), F.col("url"), F.col("category"), F.col("reasoning"), F.col("related_to"))
+    odd = v.where("kind IN ('no_links', 'broad_listing')")
+    out = out.unionByName(row(odd, none, F.col("chain"), F.col("url"), none, F.when(F.col("kind") == "no_links", "a page without links: it may be a document itself").otherwise(F.concat(F.lit("a broad listing, not opened further. "), F.coalesce("why", F.lit("")))), none))
+    x = v.where("kind = 'links'").select(F.col("url").alias("page"), "depth", F.col("chain").alias("upto")).join(decisions, "page").withColumn("way", F.concat("upto", F.array("url")))
+    last, listing, document = F.col("depth") >= max_depth, is_author_listing(F.col("url")), is_document(F.col("url"))
+    follow, candidate = F.col("decision") == "follow", F.col("decision") == "candidate"
+    kept = x.where((follow & (listing | last)) | (candidate & (document | last)) | (F.col("decision") == "uncertain"))
+    why = F.when(follow & listing, F.concat(F.lit("a listing of an author's works, not followed: "), "reasoning")).when(follow, F.concat(F.lit("beyond the last round: "), "reasoning")).otherwise(F.col("reasoning"))
+    links = row(kept, F.when(candidate & document, F.col("url")), F.col("way"), F.col("text"), F.when(candidate, F.col("category")), why, F.when(candidate, F.col("related_to")))
+    return out.unionByName(links)
+
+
 def rename_to_oldest(folders: DataFrame, new: DataFrame) -> DataFrame:
     """(folder, new_folder): a work's folder takes the name of the oldest new file where that is strictly older than its oldest file.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scores import P
 from ..functions.text import word_slug
+from .catalog import get_or_compute
 
 #: Parts of speech that an inventory of senses knows, by universal tag; others are closed classes.
 INVENTORY_POS = {"NOUN": "n", "PROPN": "n", "VERB": "v", "ADJ": "a", "ADV": "r"}
@@ -179,3 +180,11 @@ def _numbered(new: DataFrame, minted: DataFrame, namespace: str) -> DataFrame:
     start = next_suffix(minted.where(F.startswith("sense_id", F.lit(f"{namespace}:")))).withColumnRenamed("next", "start")
     n = new.join(start, "stem", "left").withColumn("n", F.row_number().over(Window.partitionBy("stem").orderBy("gloss_id")) - 1 + F.coalesce("start", F.lit(1)))
     return n.select("gloss_id", "group", F.concat(F.lit(f"{namespace}:"), "stem", F.lit("."), F.lpad(F.col("n").cast("string"), F.greatest(F.length(F.col("n").cast("string")), F.lit(2)), F.lit("0"))).alias("sense_id"))
+
+
+def build_inventory(definitions: DataFrame, path: str, embed: Callable[[Column], Column], model: str) -> DataFrame:
+    """(sense_id, pos, definition, vector): the stored vectors of an inventory's definitions (sense_id, pos, definition) by one model. A build that was interrupted goes on with
+    the senses that are not stored yet; another model's vectors don't count."""
+    schema = "sense_id string, pos string, definition string, vector array<float>"
+    make = lambda left: left.withColumn("vector", embed(F.col("definition")))
+    return get_or_compute(definitions.select("sense_id", "pos", "definition"), path, model, "sense_id", make, schema)
