@@ -14,31 +14,35 @@ def logit(p: np.ndarray) -> np.ndarray:
     return np.log(p / (1 - p))
 
 
+def _sums(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Sums of x[at[i]:at[i + 1]]."""
+    upto = np.concatenate(([0.0], np.cumsum(x)))
+    return upto[at[1:]] - upto[at[:-1]]
+
+
 class Rows:
     """Sparse rows of present features: row i has columns col[at[i]:at[i + 1]]; and a few dense columns."""
 
     def __init__(self, at: np.ndarray, col: np.ndarray, width: int, dense: np.ndarray) -> None:
         self.at, self.col, self.width, self.dense = at, col, width, dense
-        self.row = np.repeat(np.arange(len(at) - 1, dtype=np.int32), np.diff(at))
-
-    def take(self, which: np.ndarray) -> Rows:
-        keep = np.isin(self.row, which)
-        sizes = np.diff(self.at)[which]
-        return Rows(np.concatenate(([0], np.cumsum(sizes))), self.col[keep], self.width, self.dense[which])
+        row = np.repeat(np.arange(len(at) - 1, dtype=np.int32), np.diff(at))
+        order = np.argsort(col, kind="stable")
+        self.row_by_col = row[order]
+        self.col_at = np.searchsorted(col[order], np.arange(width + 1))
 
     def dot(self, w: np.ndarray) -> np.ndarray:
-        n = len(self.at) - 1
-        return np.bincount(self.row, weights=w[self.col], minlength=n) + self.dense @ w[self.width :]
+        return _sums(w[self.col], self.at) + self.dense @ w[self.width :]
 
     def back(self, r: np.ndarray) -> np.ndarray:
-        return np.concatenate((np.bincount(self.col, weights=r[self.row], minlength=self.width), self.dense.T @ r))
+        return np.concatenate((_sums(r[self.row_by_col], self.col_at), self.dense.T @ r))
 
 
 def logistic(x: Rows, y: np.ndarray, ridge: float = 2e-4, steps: int = 120) -> np.ndarray:
     """Weights of L2 logistic regression by accelerated gradient steps; the last dense column is the constant one, not penalised."""
     n = max(1, len(y))
-    per_row = np.bincount(x.row, minlength=n) + (x.dense**2).sum(axis=1)
-    rate = 4.0 / max(1.0, float(np.quantile(per_row, 0.95)) + 1)
+    per_row = np.diff(x.at) + (x.dense**2).sum(axis=1)
+    # well above what is safe for the longest rows: a step that is too far is taken back and halved
+    step = 32.0 / max(1.0, float(np.quantile(per_row, 0.95)) + 1)
     w = v = np.zeros(x.width + x.dense.shape[1])
     base = float(np.clip(y.mean() if len(y) else 0.5, 1e-3, 1 - 1e-3))
     w[-1] = np.log(base / (1 - base))
@@ -49,11 +53,11 @@ def logistic(x: Rows, y: np.ndarray, ridge: float = 2e-4, steps: int = 120) -> n
     for _ in range(steps):
         z = x.dot(v)
         g = x.back(sigmoid(z) - y) / n + penalty * v
-        new = v - rate * n / max(1.0, n) * g * 8
+        new = v - step * g
         z = x.dot(new)
         loss = float(np.mean(np.logaddexp(0, z) - y * z) + 0.5 * (penalty * new * new).sum())
         if loss > before:  # too far: begin momentum anew with a smaller step
-            rate /= 2
+            step /= 2
             v, t = best.copy(), 1.0
             continue
         s = (1 + np.sqrt(1 + 4 * t * t)) / 2
@@ -62,6 +66,12 @@ def logistic(x: Rows, y: np.ndarray, ridge: float = 2e-4, steps: int = 120) -> n
     return best
 
 
+def pu_risk(w: np.ndarray, p: np.ndarray, u: np.ndarray, prior: float) -> tuple[float, float]:
+    """(prior * R+(p), R-(u) - prior * R-(p)) with the logistic loss; rows with the constant as last column."""
+    zp, zu = p @ w, u @ w
+    return prior * float(np.logaddexp(0, -zp).mean()), float(np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean())
+
+
 def nn_pu(p: np.ndarray, u: np.ndarray, prior: float, ridge: float = 1e-3, epochs: int = 40, rate: float = 0.02, seed: int = 1) -> np.ndarray:
     """Weights (the constant last) that minimise the non-negative PU risk (Kiryo et al. 2017) with the logistic loss.
 
@@ -75,12 +85,28 @@ def nn_pu(p: np.ndarray, u: np.ndarray, prior: float, ridge: float = 1e-3, epoch
     batches = max(1, min(len(p), len(u)) // 1000)
     for _ in range(epochs):
         for a, b in zip(np.array_split(g.permutation(len(p)), batches), np.array_split(g.permutation(len(u)), batches), strict=True):
-            zp, zu = p[a] @ w, u[b] @ w
-            negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-            up = u[b].T @ sigmoid(zu) / len(b) - prior * (p[a].T @ sigmoid(zp)) / len(a)
-            grad = -up if negative < 0 else up - prior * (p[a].T @ (1 - sigmoid(zp))) / len(a)
-            grad = grad + ridge * np.append(w[:-1], 0)
+            grad = pu_gradient(w, p[a], u[b], prior) + ridge * np.append(w[:-1], 0)
             t += 1
             m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
             w = w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return w
+
+
+def pu_gradient(w: np.ndarray, p: np.ndarray, u: np.ndarray, prior: float) -> np.ndarray:
+    """Of the non-negative risk; where its second part is negative, of that part with the sign turned."""
+    zp, zu = p @ w, u @ w
+    negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+    up = u.T @ sigmoid(zu) / len(u) - prior * (p.T @ sigmoid(zp)) / len(p)
+    return -up if negative < 0 else up - prior * (p.T @ (1 - sigmoid(zp))) / len(p)
+
+
+def mixture_share(p: np.ndarray, u: np.ndarray, delta: float = 0.1, gamma: float = 0.01) -> float:
+    """The share of positives among unlabelled rows from scores of both that a model didn't see (best bin estimation, Garg et al. 2021):
+    the ratio of the two top bins at the threshold where its upper confidence bound is least."""
+    p = np.sort(p)
+    at = np.unique(p)
+    top_p = 1 - np.searchsorted(p, at) / len(p)
+    top_u = 1 - np.searchsorted(np.sort(u), at) / len(u)
+    slack = np.sqrt(np.log(4 / delta) / (2 * len(u))) + np.sqrt(np.log(4 / delta) / (2 * len(p)))
+    best = np.argmin((top_u + (1 + gamma) * slack) / top_p)
+    return float(min(top_u[best] / top_p[best], 1.0))
