@@ -362,12 +362,12 @@ def relational_partition_ranges(s, d):
     return contrib.year_ranges(contrib.relational_rows(_contributions(s, d)))
 
 
-@query(f"WITH {_ROWS}, r AS (SELECT iso_code, min(attestation_year) AS year_from, max(attestation_year) AS year_to FROM rows GROUP BY ALL) SELECT iso_code, year_from, year_to, attestation_year, count(*) AS n FROM rows JOIN r USING (iso_code) WHERE attestation_year BETWEEN 1200 AND 1300 GROUP BY ALL")
+@query(f"WITH {_ROWS}, r AS (SELECT iso_code, min(attestation_year) AS year_from, max(attestation_year) AS year_to FROM rows GROUP BY ALL) SELECT iso_code, year_from, year_to, attestation_year, count(*) AS n FROM rows JOIN r USING (iso_code) WHERE attestation_year BETWEEN 1050 AND 1150 GROUP BY ALL")
 def relational_index(s, d):
     """Written by language and range of years, and read back for a century."""
     path = f"{corpus_files.shared_folder(s)}/relational-{uuid.uuid4().hex}"
     contrib.write_relational(contrib.relational_rows(_contributions(s, d)), path)
-    x = shards_between(s.read.parquet(path), 1200, 1300).where("attestation_year BETWEEN 1200 AND 1300")
+    x = shards_between(s.read.parquet(path), 1050, 1150).where("attestation_year BETWEEN 1050 AND 1150")
     return x.groupBy("iso_code", "year_from", "year_to", "attestation_year").agg(F.count("*").alias("n"))
 
 
