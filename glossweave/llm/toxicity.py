@@ -5,16 +5,21 @@ While training, those are out-of-fold predictions, so that a later model learns
 the presence of words and of their first letters (4 to 6), hashed.
 
 A label table with one flag gives three categories, derived on the training rows: `term` (toxic, with a word that is found in toxic
-texts almost alone), `dense` (toxic, with three or more of them) and `toxic` itself; with more flags, each is a category. The threshold
-of the last category is the one with the fewest errors out of fold.
-Models are fitted on at most SAMPLE labelled rows, those of least id hash. Null and empty texts have no features: their score is the
-models' constant, and they are never rejected. Labels are no features. An empty or one-sided label table rejects nothing.
+texts almost alone), `dense` (toxic, with three or more of them) and `toxic` itself; with more flags, each is a category. Which words
+tell is found anew for each fold from the other folds' rows, so that a row held out shapes neither labels nor features of the model that predicts
+it. The threshold of the last category is the one with the fewest errors out of fold.
+
+Models are fitted on at most SAMPLE labelled rows, those of least id hash. The fits of a category, one for each fold and one of all rows, are tasks;
+the driver holds the sample's features and no model but the results. Null and empty texts have no features: their score is the
+models' constant, and they are never rejected. Repeated rows stay repeated; a label that is repeated counts as its greatest. Labels are no
+features. An empty or one-sided label table rejects nothing. Carried columns stay; ValueError where one has the name of a result column.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -22,13 +27,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MEMO, by_bytes, release_memory, table, tuned
+from .common import MEMO, by_bytes, no_clash, release_memory, table, tuned
 from .linear import Rows, logistic, logit, sigmoid
 
-SAMPLE = 8_000
+SAMPLE = 12_000
 FOLDS = 4
 #: Places for hashed words, and as many for hashed beginnings of words.
-PLACES = 1 << 18
+PLACES = 1 << 20
 #: Features a model has at most: those that tell most about the label.
 WIDTH = 4096
 #: Where training can't tell a threshold.
@@ -80,21 +85,51 @@ class Chain:
     threshold = THRESHOLD
 
     def __init__(self, names: list[str], weights: list[dict[int, float]], earlier: list[np.ndarray], constant: list[float]) -> None:
-        self.names, self.earlier, self.constant = names, earlier, constant
-        self.table = np.zeros((len(names), 2 * PLACES), np.float32)
+        self.names, self.weights, self.earlier, self.constant = names, weights, earlier, constant
+        used = sorted(set().union(*weights))
+        self.place = np.zeros(2 * PLACES, np.int32)  # 0: in no model
+        self.place[used] = np.arange(1, len(used) + 1)
+        self.table = np.zeros((len(names), len(used) + 1))
         for row, w in zip(self.table, weights, strict=True):
-            row[list(w)] = list(w.values())
+            row[self.place[list(w)]] = list(w.values())
 
     def scores(self, features: np.ndarray) -> list[float]:
-        sums, odds = self.table[:, features].sum(axis=1, dtype=np.float64), []
+        sums, odds = self.table[:, self.place[features]].sum(axis=1), []
         for k in range(len(self.names)):
             odds.append(float(np.clip(sums[k] + self.constant[k] + np.dot(self.earlier[k], odds), -14, 14)))
         return sigmoid(np.array(odds)).tolist()
 
 
-def _informative(at: np.ndarray, col: np.ndarray, y: np.ndarray, most: int) -> np.ndarray:
+@dataclass
+class Sample:
+    """Training rows: row i has the features col[at[i]:at[i + 1]], a 0/1 flag for each category, and a fold."""
+
+    at: np.ndarray
+    col: np.ndarray
+    flags: np.ndarray
+    fold: np.ndarray
+
+    def rows(self, of: np.ndarray) -> np.ndarray:
+        """Of each entry of col the number of its row among the rows taken, and -1 for others."""
+        place = np.full(len(self.fold), -1, np.int32)
+        place[of] = np.arange(len(of))
+        return np.repeat(place, np.diff(self.at))
+
+    def labels(self, of: np.ndarray) -> np.ndarray:
+        """A column for each category, from the rows taken alone."""
+        if self.flags.shape[1] > 1:
+            return self.flags[of].astype(float)
+        toxic, row = self.flags[of, 0].astype(float), self.rows(of)
+        col, row = self.col[row >= 0], row[row >= 0]
+        n1, n = np.bincount(col, weights=toxic[row], minlength=2 * PLACES), np.bincount(col, minlength=2 * PLACES)
+        telling = (n >= 3) & (n1 >= 0.95 * n)
+        telling[PLACES:] = False
+        found = np.bincount(row, weights=telling[col], minlength=len(of))
+        return np.stack([toxic * (found >= 1), toxic * (found >= 3), toxic], axis=1)
+
+
+def _informative(col: np.ndarray, row: np.ndarray, y: np.ndarray, most: int) -> np.ndarray:
     """The features whose presence tells most about y (by a signed-root likelihood ratio), sorted."""
-    row = np.repeat(np.arange(len(at) - 1, dtype=np.int32), np.diff(at))
     n1 = np.bincount(col, weights=y[row], minlength=2 * PLACES)
     n = np.bincount(col, minlength=2 * PLACES)
     seen = np.flatnonzero(n >= 3)
@@ -104,65 +139,57 @@ def _informative(at: np.ndarray, col: np.ndarray, y: np.ndarray, most: int) -> n
     return np.sort(seen[np.argsort(-gain, kind="stable")[:most]])
 
 
-def _derived(at: np.ndarray, col: np.ndarray, toxic: np.ndarray) -> tuple[list[str], np.ndarray]:
-    """Categories from one flag."""
-    row = np.repeat(np.arange(len(at) - 1, dtype=np.int32), np.diff(at))
-    n1 = np.bincount(col, weights=toxic[row], minlength=2 * PLACES)
-    n = np.bincount(col, minlength=2 * PLACES)
-    telling = (n >= 3) & (n1 >= 0.95 * n)
-    telling[PLACES:] = False
-    found = np.bincount(row, weights=telling[col], minlength=len(toxic))
-    return ["term", "dense", "toxic"], np.stack([toxic * (found >= 1), toxic * (found >= 3), toxic], axis=1)
+def fit_one(x: Sample, k: int, held: int | None, odds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Category k's model of all rows but those of a fold: (features, weights with those of earlier log-odds and the constant, log-odds of the held rows)."""
+    every = np.arange(len(x.fold))
+    of = every if held is None else every[x.fold != held]
+    out = every[:0] if held is None else every[x.fold == held]
+    y = x.labels(of)[:, k] if len(of) else np.zeros(0)
+    if not 0 < y.sum() < len(y):
+        c = 14.0 if len(y) and y.sum() else -14.0
+        return every[:0], np.append(np.zeros(odds.shape[1]), c), np.full(len(out), c)
+    row = x.rows(of)
+    use = _informative(x.col[row >= 0], row[row >= 0], y, WIDTH)
+    place = np.full(2 * PLACES, -1, np.int32)
+    place[use] = np.arange(len(use))
 
+    def rows(which: np.ndarray) -> Rows:
+        row, col = x.rows(which), place[x.col]
+        kept = (row >= 0) & (col >= 0)
+        at = np.concatenate(([0], np.cumsum(np.bincount(row[kept], minlength=len(which)))))
+        return Rows(at, col[kept], len(use), np.concatenate((odds[which] / 14, np.ones((len(which), 1))), axis=1))
 
-def fit(features: list[np.ndarray], labels: np.ndarray, names: list[str], fold: np.ndarray) -> Chain:
-    """A chain from rows of features and a 0/1 column for each category; one column alone is divided into three."""
+    w = logistic(rows(of), y)
+    return use, w, rows(out).dot(w) if len(out) else np.zeros(0)
+
+
+def fit(features: list[np.ndarray], labels: np.ndarray, names: list[str], fold: np.ndarray, share: Callable | None = None) -> Chain:
+    """A chain from rows of features and a 0/1 column for each category; one column alone is divided into three.
+
+    share(sample) gives a function that does a list of jobs for fit_one, as in tasks; by default they are done here.
+    """
     at = np.concatenate(([0], np.cumsum([len(f) for f in features]))).astype(np.int64)
     col = np.concatenate([*features, np.zeros(0, np.int32)])
-    common = np.bincount(col, minlength=2 * PLACES)[col] >= 3  # rarer ones are used nowhere below
-    at = np.concatenate(([0], np.cumsum(common)))[at]
-    col = col[common]
-    if len(names) == 1 and len(labels):
-        names, labels = _derived(at, col, labels[:, 0].astype(float))
-    n = len(features)
-    weights, earlier, constant, odds = [], [], [], np.zeros((n, 0))
+    common = np.bincount(col, minlength=2 * PLACES)[col] >= 3  # rarer ones are used nowhere
+    sample = Sample(np.concatenate(([0], np.cumsum(common)))[at], col[common], labels, fold)
+    del col, common
+    do = share(sample) if share else lambda jobs: [fit_one(sample, *j) for j in jobs]
+    names = ["term", "dense", "toxic"] if len(names) == 1 else names
+    odds = np.zeros((len(features), 0))
+    weights, earlier, constant = [], [], []
+    folds = np.unique(fold).tolist()
     for k in range(len(names)):
-        y = labels[:, k].astype(float) if n else np.zeros(0)
-        if not 0 < y.sum() < n:
-            weights.append({})
-            earlier.append(np.zeros(odds.shape[1]))
-            constant.append(-14.0 if not y.sum() else 14.0)
-            odds = np.concatenate((odds, np.full((n, 1), constant[-1])), axis=1)
-            continue
-
-        def model(rows: np.ndarray, use: np.ndarray, y: np.ndarray = y, odds: np.ndarray = odds) -> tuple[Rows, np.ndarray]:
-            place = np.full(2 * PLACES, -1, np.int32)
-            place[use] = np.arange(len(use))
-            kept = place[col] >= 0
-            sizes = np.diff(np.concatenate(([0], np.cumsum(kept)))[at])
-            x = Rows(np.concatenate(([0], np.cumsum(sizes))), place[col[kept]], len(use), np.concatenate((odds / 14, np.ones((n, 1))), axis=1))
-            return x, logistic(x.take(rows), y[rows])
-
-        held = np.zeros(n)
-        every = np.arange(n)
-        for f in np.unique(fold):  # a fold's rows play no part in its predictions, the choice of features included
-            rows = every[fold != f]
-            if len(rows) and 0 < y[rows].sum() < len(rows):
-                sub = np.concatenate(([0], np.cumsum(np.diff(at)[rows])))
-                use = _informative(sub, col[np.isin(np.repeat(every.astype(np.int32), np.diff(at)), rows)], y[rows], WIDTH)
-                x, w = model(rows, use)
-                held[fold == f] = x.dot(w)[fold == f]
-            else:
-                held[fold == f] = logit(np.array(y.mean()))
-        use = _informative(at, col, y, WIDTH)
-        _, w = model(every, use)
+        (use, w, _), *held = do([(k, None, odds), *((k, f, odds) for f in folds)])
         weights.append(dict(zip(use.tolist(), w[: len(use)].tolist(), strict=True)))
         earlier.append(w[len(use) : -1] / 14)
         constant.append(float(w[-1]))
-        odds = np.concatenate((odds, np.clip(held, -14, 14)[:, None]), axis=1)
+        own = np.zeros(len(features))
+        for f, (_, _, z) in zip(folds, held, strict=True):
+            own[fold == f] = z
+        odds = np.concatenate((odds, np.clip(own, -14, 14)[:, None]), axis=1)
     chain = Chain(names, weights, earlier, constant)
-    last = labels[:, -1].astype(float) if n else np.zeros(0)
-    if 0 < last.sum() < n:
+    last = labels[:, -1].astype(float)
+    if 0 < last.sum() < len(last):
         chain.threshold = best_threshold(sigmoid(odds[:, -1]), last)
     return chain
 
@@ -177,7 +204,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], text: str =
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features()
-        for batch in batches:
+        for batch in by_bytes(batches, "text"):
             yield pa.RecordBatch.from_arrays([batch["h"], pa.array([features.of(t).tobytes() for t in batch["text"].to_pylist()], pa.binary()), *(batch[f"c{i}"] for i in range(wide))], ["h", "features", *(f"c{i}" for i in range(wide))])
 
     got = rows.mapInArrow(run, "h long, features binary, " + ", ".join(f"c{i} int" for i in range(wide))).toArrow().sort_by("h")
@@ -185,7 +212,16 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], text: str =
     y = np.stack([got[f"c{i}"].to_numpy() for i in range(wide)], axis=1) if len(x) else np.zeros((0, wide))
     fold = got["h"].to_numpy() % FOLDS
     del got
-    chain = fit(x, y, categories, fold)
+    spark = docs.sparkSession
+    sent = []
+
+    def share(sample: Sample) -> Callable:
+        sent.append(one := spark.sparkContext.broadcast(sample))
+        return lambda jobs: spark.sparkContext.parallelize(jobs, len(jobs)).map(lambda j: fit_one(one.value, *j)).collect()
+
+    chain = fit(x, y, categories, fold, share)
+    for one in sent:
+        one.destroy()
     del x
     release_memory()
     return chain
@@ -195,22 +231,23 @@ def score(docs: DataFrame, chain: Chain, text: str = "text", key: str = "doc_id"
     """(key, carried columns, p_<category>..., rejected): rejected where the last category's probability reaches the threshold, by default the chain's."""
     spark = tuned(docs.sparkSession)
     threshold = chain.threshold if threshold is None else threshold
-    taken = {key, "text_", *(f"p_{c}" for c in chain.names), "rejected"}
-    if clash := [c for c in carry if c in taken and c != key]:
-        raise ValueError(f"carried columns {clash} clash with result columns")
-    src = docs.select(docs[key].alias(key), docs[text].cast("string").alias("text_"), *(docs[c] for c in carry if c != key))
-    kinds = {f.name: f.dataType.simpleString() for f in src.schema.fields}
+    made = [*(f"p_{c}" for c in chain.names), "rejected"]
     keys = [key, *(c for c in carry if c != key)]
-    sent = spark.sparkContext.broadcast((chain.names, [{int(i): float(row[i]) for i in np.flatnonzero(row)} for row in chain.table], chain.earlier, chain.constant))
+    no_clash(keys, made)
+    # columns by place: the kept ones may have any name
+    src = docs.select(docs[text].cast("string").alias("text"), *(docs[c].alias(f"c{i}") for i, c in enumerate(keys)))
+    own = [f"c{i}" for i in range(len(keys))]
+    sent = spark.sparkContext.broadcast((chain.names, chain.weights, chain.earlier, chain.constant))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features, own = Features(), Chain(*sent.value)
-        for batch in by_bytes(batches, "text_"):
-            p = [(own.scores(x), len(x)) for x in map(features.of, batch["text_"].to_pylist())]
-            cols = [pa.array([q[0][k] for q in p], pa.float64()) for k in range(len(own.names))]
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in keys), *cols, pa.array([n > 0 and q[-1] >= threshold for q, n in p], pa.bool_())], [*keys, *(f"p_{c}" for c in own.names), "rejected"])
-
-    return src.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in keys) + "".join(f", p_{c} double" for c in chain.names) + ", rejected boolean")
+        features, model = Features(), Chain(*sent.value)
+        for batch in by_bytes(batches, "text"):
+            p = [(model.scores(x), len(x)) for x in map(features.of, batch["text"].to_pylist())]
+            cols = [pa.array([q[0][k] for q in p], pa.float64()) for k in range(len(model.names))]
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in own), *cols, pa.array([n > 0 and q[-1] >= threshold for q, n in p], pa.bool_())], [*own, *made])
+
+    out = src.mapInArrow(run, ", ".join(f"{c} {src.schema[c].dataType.simpleString()}" for c in own) + "".join(f", `{c}` double" for c in made[:-1]) + ", rejected boolean")
+    return out.toDF(*keys, *made)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
