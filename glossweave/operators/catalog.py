@@ -165,9 +165,15 @@ def batches(rows: DataFrame, by: str, order: list[str], size: int) -> DataFrame:
     return rows.withColumn("batch", F.floor((F.row_number().over(w) - 1) / size).cast("int"))
 
 
-def sections(chunks: DataFrame, labels: DataFrame, by: str = "doc_id") -> DataFrame:
-    """The text of each labelled section: its chunks in order, a blank line between. The job fails if a document's labels don't match its chunks."""
+def sections(chunks: DataFrame, labels: DataFrame, by: str = "doc_id", wanted: DataFrame | None = None) -> DataFrame:
+    """The text of each labelled section: its chunks in order, a blank line between. The job fails if a document's labels don't match its chunks, or if a wanted
+    section (by, section) has no text. Chunks of no section (null) are front and back matter."""
     n = chunks.groupBy(by).agg(F.count("*").alias("n")).join(labels.groupBy(by).agg(F.count("*").alias("m")), by, "left")
     bad = F.when(F.coalesce("m", F.lit(0)) != F.col("n"), F.raise_error(F.concat(F.lit("labels don't match chunks of "), F.col(by).cast("string"))).cast("boolean")).otherwise(F.lit(True))
     both = chunks.join(n.where(bad).select(by), by).join(labels, [by, "chunk_index"])
-    return both.groupBy(by, "section").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "chunk"))), lambda x: x["chunk"]), "\n\n").alias("text"))
+    out = both.groupBy(by, "section").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "chunk"))), lambda x: x["chunk"]), "\n\n").alias("text"))
+    if wanted is None:
+        return out
+    found = wanted.select(by, "section").join(out.where("section IS NOT NULL"), [by, "section"], "left")
+    lost = F.coalesce(F.trim("text"), F.lit("")) == ""
+    return found.where(F.when(lost, F.raise_error(F.concat(F.lit("no text for section "), "section")).cast("boolean")).otherwise(F.lit(True)))

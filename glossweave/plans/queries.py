@@ -565,6 +565,16 @@ def html_links(s, d):
     return x.select("page_id", "place", "link.*")
 
 
+@query("SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'http://h/e/' || p_partkey || '.txt' END AS file, 'Author: ' || p_brand || ' & co; Title: ' || p_name AS hint FROM part")
+def library_records(s, d):
+    """Pages of a library's records, made of parts: one download of three is a text, and one row of three says who or what."""
+    k = F.col("p_partkey").cast("string")
+    kind = F.when(F.col("p_partkey") % 3 == 0, "Text/Plain; charset=utf-8").otherwise("application/epub+zip")
+    html = F.concat(F.lit("<p><a class='btn featured-format-link' type='"), kind, F.lit("' href='e/"), k, F.lit(".txt'>get</a></p><table id=bibrec><tr><th>Author</th><td><a>"), _escaped(F.col("p_brand")), F.lit("</a> &amp; co</td></tr><tr><th>Release</th><td>x</td></tr><tr><th> Title </th><td>"), _escaped(F.col("p_name")), F.lit("</td></tr></table>"))
+    x = table(s, d, "part").select("p_partkey", pages.library_records(F.lit("http://h/"), html).alias("r"))
+    return x.select("p_partkey", F.get("r.files", F.lit(0)).alias("file"), "r.hint")
+
+
 @query(r"""SELECT page_id, CASE WHEN lower(regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1)) LIKE '%.pdf' THEN 'pdf' WHEN regexp_matches(lower(regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1)), '\.html?$') THEN 'html' ELSE 'txt' END AS kind FROM pages""")
 def content_type(s, d):
     return table(s, d, "pages").select("page_id", corpus_files.content_type(F.lit(None).cast("string"), F.col("url")).alias("kind"))

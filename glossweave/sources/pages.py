@@ -103,16 +103,21 @@ class _Tree(HTMLParser):
         self._text()
 
 
-def tree(html: str | None) -> Node:
-    """The page without script, style and furniture."""
+def parsed(html: str | None) -> Node:
     p = _Tree()
     p.feed(html or "")
     p.close()
-    for e in list(p.root.elements()):
-        e.content = [c for c in e.content if isinstance(c, str) or c.tag not in CHROME]
     return p.root
 
 
+def tree(html: str | None) -> Node:
+    """The page without script, style and furniture."""
+    root = parsed(html)
+    for e in list(root.elements()):
+        e.content = [c for c in e.content if isinstance(c, str) or c.tag not in CHROME]
+    return root
+
+
 def text_of(html: str | None) -> str:
     return "\n".join(tree(html).texts())
 
@@ -206,45 +211,33 @@ def tei_text(xml: pd.Series) -> pd.Series:
     return xml.map(tei_lines)
 
 
-class _Marked(HTMLParser):
-    """Download links by class, and the cells of one table by id."""
-
-    def __init__(self, table: str) -> None:
-        super().__init__(convert_charrefs=True)
-        self.table, self.depth, self.cell, self.formats, self.rows = table, 0, None, [], []
-
-    def handle_starttag(self, tag, attrs):
-        a = dict(attrs)
-        if tag == "a" and a.get("href") and {"featured-format-link", "other-format-link"} & set((a.get("class") or "").split()):
-            if (a.get("type") or "").split(";")[0].strip().lower() in ("text/plain", "application/pdf"):
-                self.formats.append(a["href"])
-        if tag == "table" and (self.depth or a.get("id") == self.table):
-            self.depth += 1
-        elif self.depth and tag == "tr":
-            self.rows.append({})
-        elif self.depth and tag in ("th", "td") and self.rows and tag not in self.rows[-1]:
-            self.cell = tag
-            self.rows[-1][tag] = []
-
-    def handle_endtag(self, tag):
-        if tag == "table" and self.depth:
-            self.depth -= 1
-        elif tag == self.cell:
-            self.cell = None
-
-    def handle_data(self, data):
-        if self.depth and self.cell and data.strip():
-            self.rows[-1][self.cell].append(" ".join(data.split()))
-
-
 #: Rows of a library record that say who and what.
 RECORD_LABELS = ("Author", "Editor", "Translator", "Title", "Language", "Subject")
 
 
+#: Classes of links to an e-book's files, and kinds of those that are taken.
+FORMAT_CLASSES = ("featured-format-link", "other-format-link")
+FORMAT_KINDS = ("text/plain", "application/pdf")
+
+
 def library_record(base: str, html: str | None, table: str = "bibrec") -> tuple[list[str], str | None]:
     """(text and PDF download links, `label: value` hints of the record table; None without one)."""
-    p = _Marked(table)
-    p.feed(html or "")
-    p.close()
-    hints = [f"{' '.join(r['th'])}: {' '.join(r['td'])}" for r in p.rows if " ".join(r.get("th", ())) in RECORD_LABELS and "td" in r]
-    return [urljoin(base, h) for h in p.formats], "; ".join(hints) or None
+    root = parsed(html)
+    files, record = [], None
+    for e in root.elements():
+        if e.tag == "a" and "href" in e.attrs and set(FORMAT_CLASSES) & set(e.attrs.get("class", "").split()) and e.attrs.get("type", "").split(";")[0].strip().lower() in FORMAT_KINDS:
+            files.append(urljoin(base, e.attrs["href"]))
+        if record is None and e.attrs.get("id") == table:
+            record = e
+    hints = []
+    for row in record.elements() if record is not None else ():
+        cells = [next((c for c in row.elements() if c.tag == tag), None) for tag in ("th", "td")] if row.tag == "tr" else [None]
+        if None not in cells and cells[0].text(" ") in RECORD_LABELS:
+            hints.append(f"{cells[0].text(' ')}: {cells[1].text(' ')}")
+    return files, "; ".join(hints) or None
+
+
+@F.pandas_udf(StructType([StructField("files", ArrayType(StringType())), StructField("hint", StringType())]))
+def library_records(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    for base, html in batches:
+        yield pd.DataFrame([library_record(b or "", h) for b, h in zip(base, html, strict=True)], columns=["files", "hint"])

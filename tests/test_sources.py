@@ -227,3 +227,15 @@ def test_shared_folder_must_be_named_on_a_cluster():
 
     with pytest.raises(ValueError, match="checkpoint"):
         corpus_files.shared_folder(Session())
+
+
+def test_local_models_and_sections(spark):
+    rows = [("ollama", None), (None, "http://localhost:1/v1"), ("openai", "http://10.1.2.3"), ("openai", "https://api.host.com"), ("x", "http://[::1]/"), (None, None), ("x", "http://[bad")]
+    d = spark.createDataFrame(rows, "p string, b string").select(adapters.is_local(F.col("p"), F.col("b")).alias("x")).collect()
+    assert [r["x"] for r in d] == [True, True, True, False, True, False, False]
+    c = spark.createDataFrame([(1, 0, "a"), (1, 1, "b")], "doc_id int, chunk_index int, chunk string")
+    lab = spark.createDataFrame([(1, 0, "x"), (1, 1, None)], "doc_id int, chunk_index int, section string")
+    want = lambda *n: spark.createDataFrame([(1, x) for x in n], "doc_id int, section string")
+    assert [(r["section"], r["text"]) for r in catalog.sections(c, lab, wanted=want("x")).collect()] == [("x", "a")]
+    with pytest.raises(Exception, match="no text for section"):
+        catalog.sections(c, lab, wanted=want("x", "y")).collect()
