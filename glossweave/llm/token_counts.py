@@ -3,7 +3,7 @@
 No piece of the vocabulary holds a word mark after its first other character, and none holds a line feed. A text can therefore
 be cut before each run of spaces and around each line feed without changing a merge: the count of a text is the sum of
 the counts of its cuts. Cuts met before come from a memo; new ones go to the library in batches balanced by bytes.
-A null text counts as empty; an empty text has no tokens.
+A null text counts as empty; an empty text has no tokens. A run without spaces and line feeds has no safe boundary: it is one cut, of any length.
 """
 
 from __future__ import annotations
@@ -15,10 +15,12 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import MEMO, by_bytes, table, tuned
+from .common import MEMO, by_bytes, no_clash, table, tuned
 
 MODEL = "piece_bpe_32k.model"
 LIMIT = 4096
+#: Cuts up to so many characters are remembered.
+SHORT = 64
 _CUT = re.compile(r" +[^ \n]*|\n|[^ \n]+")
 _MARK = "▁"
 
@@ -37,7 +39,7 @@ class PieceMemo:
         self.bare = self.lib.piece_to_id(_MARK)
         self.ids, self.most, self.memo = ids, most, {}
 
-    def _encode(self, cuts: list[str], most: int = 1 << 20) -> None:
+    def _encode(self, cuts: list[str], into: dict, most: int = 1 << 20) -> None:
         start, total = 0, 0
         for i, c in enumerate([*cuts, ""]):
             if i == len(cuts) or total > most:
@@ -46,7 +48,7 @@ class PieceMemo:
                 got = self.lib.encode([c[1:] if c[0] == " " else "\n" + c for c in some], num_threads=1)
                 for c, x in zip(some, got, strict=True):
                     x = [self.bare] if c == " " else x if c[0] == " " else x[2:]
-                    self.memo[c] = self.take(x)
+                    into[c] = self.take(x)
                 start, total = i, 0
             total += len(c)
 
@@ -55,17 +57,24 @@ class PieceMemo:
         cuts = [_CUT.findall(" " + t.replace(_MARK, " ")) if t else [] for t in texts]
         if len(self.memo) > self.most:
             self.memo.clear()
-        if new := set().union(*cuts).difference(self.memo):
-            self._encode(sorted(new))
+        new = sorted(set().union(*cuts).difference(self.memo))
+        self._encode([c for c in new if len(c) <= SHORT], self.memo)
+        long: dict[str, int | list] = {}
+        self._encode([c for c in new if len(c) > SHORT], long)
+        if long:
+            return [[long[x] if x in long else self.memo[x] for x in c] for c in cuts]
         get = self.memo.__getitem__
         return [list(map(get, c)) for c in cuts]
 
 
 def token_counts(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id", limit: int = LIMIT) -> DataFrame:
-    """(key, n_bytes, n_tokens, over_limit) for each row; repeated rows stay repeated. Other columns are not read."""
+    """(key, n_bytes, n_tokens, over_limit) for each row; repeated rows stay repeated. Other columns are not read; ValueError where the key has
+    the name of a result column."""
     tuned(docs.sparkSession)
-    src = docs.select(docs[key].alias(key), docs[text].cast("string").alias("text"))
-    kind = src.schema[key].dataType.simpleString()
+    names = ["n_bytes", "n_tokens", "over_limit"]
+    no_clash([key], names)
+    src = docs.select(docs[key].alias("id"), docs[text].cast("string").alias("text"))
+    kind = src.schema["id"].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = PieceMemo(path)
@@ -73,9 +82,9 @@ def token_counts(docs: DataFrame, path: str, text: str = "text", key: str = "doc
             texts = batch["text"].to_pylist()
             n = [sum(x) for x in memo.of(texts)]
             size = [len(t.encode()) if t else 0 for t in texts]
-            yield pa.RecordBatch.from_arrays([batch[key], pa.array(size, pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], [key, "n_bytes", "n_tokens", "over_limit"])
+            yield pa.RecordBatch.from_arrays([batch["id"], pa.array(size, pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], ["id", *names])
 
-    return src.mapInArrow(run, f"`{key}` {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    return src.mapInArrow(run, f"id {kind}, n_bytes long, n_tokens long, over_limit boolean").withColumnRenamed("id", key)
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
