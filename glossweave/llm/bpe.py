@@ -19,7 +19,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import MEMO, by_bytes, table, tuned
+from .common import MEMO, by_bytes, no_clash, table, tuned
 
 FILE = "byte_bpe_50k.json"
 #: Cuts up to so many characters are remembered.
@@ -111,11 +111,16 @@ class Bpe:
 
 
 def bpe_columns(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id", ids: bool = True, decoded: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
-    """(key, n_tokens, ids_sha256, decoded_sha256), with the ids and the decoded text themselves where asked for, and carried columns."""
+    """(key, carried columns, n_tokens, ids_sha256, decoded_sha256), with the ids and the decoded text themselves where asked for.
+
+    Repeated rows stay repeated. Other columns are not read; ValueError where a kept column has the name of a result column.
+    """
     tuned(docs.sparkSession)
-    src = docs.select(docs[key].alias(key), docs[text].cast("string").alias("text"), *(docs[c] for c in carry if c not in (key, "text")))
-    kinds = {f.name: f.dataType.simpleString() for f in src.schema.fields}
-    kept = [key, *(c for c in carry if c not in (key,))]
+    names = ["n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * ids, *["decoded"] * decoded]
+    keys = [key, *(c for c in carry if c != key)]
+    no_clash(keys, names)
+    kept = [f"c{i}" for i in range(len(keys))]
+    src = docs.select(docs[text].cast("string").alias("text"), *(docs[c].alias(k) for c, k in zip(keys, kept, strict=True)))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = Bpe(path)
@@ -133,11 +138,10 @@ def bpe_columns(docs: DataFrame, path: str, text: str = "text", key: str = "doc_
                 if decoded:
                     out.append(d)
             more = ([pa.array(rows, pa.list_(pa.int32()))] if ids else []) + ([pa.array(out, pa.string())] if decoded else [])
-            names = (["ids"] if ids else []) + (["decoded"] if decoded else [])
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in kept), pa.array(n, pa.int64()), pa.array(a), pa.array(b), *more], [*kept, "n_tokens", "ids_sha256", "decoded_sha256", *names])
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in kept), pa.array(n, pa.int64()), pa.array(a), pa.array(b), *more], [*kept, *names])
 
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in kept) + ", n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids + ", decoded string" * decoded
-    return src.mapInArrow(run, schema)
+    schema = ", ".join(f"{c} {src.schema[c].dataType.simpleString()}" for c in kept) + ", n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids + ", decoded string" * decoded
+    return src.mapInArrow(run, schema).toDF(*keys, *names)
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

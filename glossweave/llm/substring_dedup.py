@@ -501,7 +501,7 @@ def substring_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", wi
     joined = src.join(per_doc, "rid", "left").select(*(f"c{i}" for i in range(len(kept))), "text", "spans")
     made = "n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
     out = joined.mapInArrow(_cut(width, with_text), ", ".join([*(f"c{i} {joined.schema[f'c{i}'].dataType.simpleString()}" for i in range(len(kept))), made]))
-    return out.withColumnsRenamed({f"c{i}": c for i, c in enumerate(kept)})
+    return out.toDF(*kept, *out.columns[len(kept) :])
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
