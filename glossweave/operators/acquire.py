@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.corpus_files import build_name, content_type, decode_bytes
@@ -65,7 +65,3 @@ def merge_structured(existing: DataFrame, documents: DataFrame) -> DataFrame:
     left = left.join(editions.select("folder", "lang_code"), ["folder", "lang_code"], "left_anti")
     return left.unionByName(new)
 
-
-def kept_name(text: Column) -> Column:
-    """What a stored text's name is made of when its file is renamed: nothing but its five fields counts."""
-    return F.regexp_replace(text, r"\.[^./]*$", "")

@@ -6,7 +6,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scores, tags, text
@@ -517,17 +517,8 @@ def dedup_first_wins(s, d):
 @query(r"""WITH t AS (SELECT doc_id, lower(trim(regexp_replace(coalesce(text, ''), '[\s]+', ' ', 'g'))) AS whole FROM documents), b AS (SELECT item_id, text AS part, lower(trim(regexp_replace(text, '[\s]+', ' ', 'g'))) AS item FROM benchmark)
 SELECT doc_id, item_id, part FROM t JOIN b ON contains(whole, item)""")
 def verify_verbatim(s, d):
-    """Every benchmark item, whole, against every document. Words inside an item stand whole in a document that holds it, so both meet by equality
-    at the run of up to eight words after the item's first; an item of under three words has none and meets every document."""
-    docs = table(s, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    items = table(s, d, "benchmark").where("text IS NOT NULL").select("item_id", F.col("text").alias("part"), F.split(text.collapse(F.col("text")), " ").alias("w")).withColumn("width", F.least(F.lit(8), F.size("w") - 2))
-    run = lambda i: F.xxhash64(F.array_join(F.slice("w", i, F.col("width")), " "))
-    keys = items.where("width > 0").select("item_id", "part", "width", run(F.lit(2)).alias("run"))
-    w = docs.select("doc_id", F.split(text.collapse(F.col("text")), " ").alias("w")).join(F.broadcast(keys.select("width").distinct()), F.size("w") >= F.col("width") + 2)
-    runs = w.select("doc_id", "width", F.explode(F.transform(F.sequence(F.lit(2), F.size("w") - F.col("width")), run)).alias("run")).distinct()
-    met = runs.join(keys, ["width", "run"]).select("doc_id", "item_id", "part")
-    short = docs.select("doc_id").crossJoin(F.broadcast(items.where("width <= 0").select("item_id", "part")))
-    return align.verbatim(met.union(short), docs, "doc_id", "part").select("doc_id", "item_id", "part")
+    """Every benchmark item, whole, against every document."""
+    return align.containing(table(s, d, "documents"), table(s, d, "benchmark").select("item_id", F.col("text").alias("part")))
 
 
 @query(with_("pairs") + " SELECT row_index, 'a-' || source_year || '_b-1999_' || lpad((row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::VARCHAR, 5, '0') AS pair_id FROM pairs")
@@ -580,7 +571,11 @@ def content_type(s, d):
     return table(s, d, "pages").select("page_id", corpus_files.content_type(F.lit(None).cast("string"), F.col("url")).alias("kind"))
 
 
-@query()
+@query(r"""WITH RECURSIVE q AS (SELECT doc_id, list_filter(string_split(replace(coalesce(text, ''), chr(10), chr(10) || chr(10)), chr(10) || chr(10)), lambda x: trim(x, E' \t\n\r\f\x0B\x1C\x1D\x1E\x1F\u0085') <> '') AS l FROM documents),
+p AS (SELECT doc_id, unnest(range(1, len(l) + 1)) AS i, unnest(l) AS t FROM q),
+r AS (SELECT doc_id, i, t, 0 AS chunk, length(t) + 2 AS size FROM p WHERE i = 1 UNION ALL SELECT p.doc_id, p.i, p.t, CASE WHEN size + length(p.t) + 2 > 600 THEN chunk + 1 ELSE chunk END, CASE WHEN size + length(p.t) + 2 > 600 THEN length(p.t) + 2 ELSE size + length(p.t) + 2 END FROM r JOIN p ON p.doc_id = r.doc_id AND p.i = r.i + 1),
+c AS (SELECT doc_id, chunk AS chunk_index, string_agg(t, chr(10) || chr(10) ORDER BY i) AS c FROM r GROUP BY ALL)
+SELECT doc_id, chunk_index::INT AS chunk_index, length(c)::INT AS n_chars, sha256(c) AS sha FROM c""")
 def chunk_pack(s, d):
     """Documents with every second line end doubled, packed into chunks of at most 600 characters."""
     t = F.regexp_replace(F.coalesce("text", F.lit("")), "\n", "\n\n")
