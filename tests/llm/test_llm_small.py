@@ -173,7 +173,7 @@ def test_bpe_and_counts(docs, corpus):
 
 
 def test_fertility_base(docs, corpus):
-    got = sorted((r["doc_id"] or -1, r["n_words"], r["base_failed"], r["kept"]) for r in fertility.quality_rules(docs, public_tokenizers.path(token_counts.MODEL)).collect())
+    got = sorted((r["doc_id"] or -1, r["n_words"], r["base_failed"], r["kept"]) for r in fertility.quality_rules(docs, {"piece": public_tokenizers.path(token_counts.MODEL)}).collect())
     assert len(got) == len(corpus)
     assert all(not k for _, n, _, k in got if n < 50)
 
@@ -250,7 +250,7 @@ def test_empty_tables(spark, none):
     assert substring_dedup.substring_dedup(none).count() == 0
     assert bpe.bpe_columns(none, public_tokenizers.path(bpe.FILE)).count() == 0
     assert token_counts.token_counts(none, path).count() == 0
-    assert fertility.quality_rules(none, path).count() == 0
+    assert fertility.quality_rules(none, {"piece": path}).count() == 0
     assert decontaminate.find_leaks(none, spark.createDataFrame([], "item_id int, text string")).count() == 0
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert toxicity.score(none, toxicity.train(none, labels, ["toxic"])).count() == 0
