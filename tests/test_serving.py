@@ -98,6 +98,9 @@ def test_lookup_against_plain_python(spark, index, rows):
     for i, *rest in asked:
         assert got.get(i, []) == [x[1:] for x in plain_lookup(rows, *rest)]
     assert got[1] and got[2] and got[3] and got[4]
+    same = spark.createDataFrame([(1, "sir", "eng", "eng")], "query_id int, query string, lang string, target_lang string")
+    either = {(r["row_index"], r["side"]) for r in retrieval.lookup(same, index, both_sides=True).collect()}
+    assert {i for i, s in either if s == 0} == {x[1] for x in plain_lookup(rows, "sir", "eng", "eng", None, None)} and any(s for _, s in either)
     by = retrieval.client_lookup(retrieval.lookup(q, index)).where("query_id = 1").orderBy("place").collect()
     assert [r["confidence"] for r in by] == sorted((r["confidence"] for r in by), reverse=True) and [r["place"] for r in by] == list(range(len(by)))
 
