@@ -3,7 +3,8 @@ documents with benchmark passages out, the rest encoded.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows of docs; what it returns is written and read again as the next one's
 docs. All but the last return the columns of docs, others than the usual ones included, unchanged but for text and n_chars.
-Rows without an id pass the near-duplicate stage, as no group can name them; of rows that share an id one stays.
+Rows are told apart by id and text: rows that share an id but not the text are documents of their own, of equal rows one stays.
+Null and empty texts pass all stages; rows without an id are like others.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glossweave.llm import bpe, decontaminate, jaccard_join, substring_dedup, toxicity
-from glossweave.llm.common import stash, table
+from glossweave.llm.common import drop_stashes, stash, stashed, table, unstash
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,12 +25,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by similar shingle sets the document with the least id."""
-    kept = jaccard_join.near_duplicates(docs.select("doc_id", "text")).where("doc_id = component_id").select("doc_id").distinct()
-    rows = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi")
-    mark = "_row_" + "_".join(docs.columns)
-    first = rows.withColumn(mark, F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))).where(F.col(mark) == 1)
-    return first.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    """Of each group linked by similar shingle sets the document with the least id (one with an id, if any has)."""
+    rid = "_rid_" + "_".join(docs.columns)
+    rows = docs.withColumn(rid, F.xxhash64("doc_id", "text"))
+    groups = jaccard_join.near_duplicates(rows.select(rid, "text"), key=rid).select(rid, "component_id").distinct()
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", rid)
+    first = rows.select(rid, "doc_id").distinct().join(groups, rid).groupBy("component_id").agg(F.min_by(rid, order).alias(rid))
+    kept = rows.join(first.select(rid), rid, "left_semi")
+    place = "_n" + rid
+    one = kept.withColumn(place, F.row_number().over(Window.partitionBy(rid, "doc_id", F.xxhash64("text", F.lit(1))).orderBy("text"))).where(F.col(place) == 1)
+    return one.select(*docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,14 +66,17 @@ STAGES = [
     ("bpe", encode),
 ]
 
-#: The stages can't be expressed in SQL; tests hold them against plain Python.
+#: The stages can't be expressed in SQL; tests/llm/test_pipeline.py holds run() against plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages; what a stage stashes goes once its result is written."""
     docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = stash(docs)
-    return docs
+    for _, stage in STAGES[:-1]:
+        before = stashed()
+        after = stash(stage(spark, docs, sf_dir))
+        unstash(docs)
+        drop_stashes(stashed() - before - stashed(after))
+        docs = after
+    return STAGES[-1][1](spark, docs, sf_dir)
