@@ -394,6 +394,14 @@ tb AS (SELECT work, i, j, score FROM (SELECT *, row_number() OVER w AS r, lead(s
 mutual AS (SELECT ta.work, ta.i, ta.j, ta.score FROM ta JOIN tb ON ta.work = tb.work AND ta.i = tb.i AND ta.j = tb.j)"""
 
 
+#: The longest rising chain of `mutual` by piles: a match goes on the pile of its length; the chain ends with the last one on the last pile, and each
+#: member follows the one last put on the pile before when it was put on its own.
+_CHAIN = """chain AS (SELECT work, i, j, 1 AS n FROM mutual UNION SELECT m.work, m.i, m.j, c.n + 1 FROM chain c JOIN mutual m ON m.work = c.work AND m.i > c.i AND m.j > c.j),
+piles AS (SELECT work, i, j, max(n) AS n FROM chain GROUP BY ALL), ends AS (SELECT work, max(n) AS n FROM piles GROUP BY ALL),
+walk AS (SELECT work, max(i) AS i, n FROM piles JOIN ends USING (work, n) GROUP BY work, n UNION ALL SELECT w.work, max(p.i), p.n FROM walk w JOIN piles p ON p.work = w.work AND p.n = w.n - 1 AND p.i < w.i GROUP BY w.work, p.n),
+lis AS (SELECT m.* FROM mutual m JOIN walk USING (work, i))"""
+
+
 @query(f"WITH {_BAND} SELECT work, i, j, in_a, in_b FROM banded")
 def band_join(s, d):
     return align.band_join(*_editions(s, d), "work").select("work", "i", "j", "in_a", "in_b")
@@ -417,7 +425,7 @@ def _matches(s, d):
     return align.monotone(align.mutual_best(_scored(s, d), "work"), "work")
 
 
-@query()
+@query(f"WITH RECURSIVE {_TOP}, {_CHAIN} SELECT work, i, j, round(score, 6) AS score FROM lis")
 def lexical_align_lis(s, d):
     return _rounded(_matches(s, d), "score")
 
@@ -453,7 +461,8 @@ def make_blocks(s, d):
     return align.blocks(_sizes(s, d), "work")
 
 
-@query()
+@query(f"""WITH RECURSIVE {_TOP}, {_CHAIN} SELECT work, (row_number() OVER (PARTITION BY work ORDER BY i) - 1)::INT AS pair_no, ta AS source_text, tb AS target_text, round(score, 6) AS sentence_confidence, 'lexical:trigram-dice' AS sentence_method
+FROM lis JOIN ea USING (work, i) JOIN eb USING (work, j)""")
 def align_algorithmic(s, d):
     """Whole alignment without a model: anchors, check against the editions, numbers."""
     x = modes.align_pairs("algorithmic", *_editions(s, d), "work")
@@ -498,7 +507,12 @@ def align_llm(s, d):
     return x.select("work", "pair_no", "source_text", "target_text", r6("sentence_confidence").alias("sentence_confidence"), "sentence_method")
 
 
-@query()
+_JUDGED = _TOP.replace(f"{_DICE.format('ga', 'gb')} AS score FROM banded JOIN ga USING (work, i) JOIN gb USING (work, j)", "least(length(ta), length(tb)) / greatest(length(ta), length(tb), 1) AS score, round(least(length(ta), length(tb)) / greatest(length(ta), length(tb), 1), 3) AS back FROM banded")
+_JUDGED = _JUDGED[: _JUDGED.index("tb AS (")] + _JUDGED[_JUDGED.index("tb AS (") :].replace("lead(score) OVER w AS second", "lead(back) OVER w AS second", 1).replace("score DESC, i", "back DESC, i", 1).replace("score - second", "back - second", 1)
+
+
+@query(f"""WITH RECURSIVE {_JUDGED}, {_CHAIN}, t AS (SELECT lis.*, ta, tb, row_number() OVER (PARTITION BY work, lower(trim(ta, E' \\t\\n\\r\\f\\x0B\\x1C\\x1D\\x1E\\x1F')), lower(trim(tb, E' \\t\\n\\r\\f\\x0B\\x1C\\x1D\\x1E\\x1F')) ORDER BY i) AS r FROM lis JOIN ea USING (work, i) JOIN eb USING (work, j))
+SELECT work, (row_number() OVER (PARTITION BY work ORDER BY i) - 1)::INT AS pair_no, ta AS source_text, tb AS target_text, round(score, 6) AS sentence_confidence, 'llm_judge:stand-in' AS sentence_method FROM t WHERE r = 1""")
 def align_llm_judge(s, d):
     """Anchors by judged scores; a stand-in for the model scores lines by their lengths."""
     a, b = _editions(s, d)
