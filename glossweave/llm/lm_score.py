@@ -165,7 +165,8 @@ class _Chunk:
         self.words = words = Words(raw(docs.field("text")), lower=True)
         self.now = words.hashes
         self.before = np.concatenate(([_BEGIN], self.now[:-1])) if len(self.now) else self.now
-        self.before[words.at[:-1][np.diff(words.at) > 0]] = _BEGIN
+        self.starts = words.at[:-1][np.diff(words.at) > 0]
+        self.before[self.starts] = _BEGIN
         with np.errstate(over="ignore"):
             pair = mix(self.before * _U(0x9FB21C651E98DF25) + self.now)
         self.pairs, self.pair = np.unique(pair, return_inverse=True)
@@ -174,8 +175,16 @@ class _Chunk:
         self.weights = [np.repeat(x.astype(np.float64), np.diff(words.at)) for x in (counted, trusted)]
 
     def number_words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        codes, where = np.unique(np.concatenate((self.now, self.before)), return_inverse=True)
-        return codes, where[: len(self.now)], where[len(self.now) :]
+        """(sorted codes of words and of the beginning, the place of each word among them, that of the word before)."""
+        codes, now = np.unique(self.now, return_inverse=True)
+        if not len(now):
+            return codes, now, now
+        at = int(np.searchsorted(codes, _BEGIN))
+        if at == len(codes) or codes[at] != _BEGIN:
+            codes, now = np.insert(codes, at, _BEGIN), now + (now >= at)
+        before = np.concatenate((now[:1], now[:-1]))
+        before[self.starts] = at
+        return codes, now, before
 
 
 def _chunks(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, _Chunk, dict[str, list[dict]]]]:
