@@ -28,7 +28,7 @@ from .common import by_bytes, shared_dir, stash, table, tuned
 
 MIN_REVISIT = 100
 #: Bytes of records that a task gathers for one archive; it holds them until the dictionary is trained.
-ARCHIVE_BYTES = 32 << 20
+ARCHIVE_BYTES = 16 << 20
 DICT_BYTES = 64 << 10
 #: Bytes of records that a dictionary is trained on, spread over the archive; and of one of them.
 TRAIN_BYTES, TRAIN_RECORD = 2 << 20, 64 << 10
@@ -168,17 +168,17 @@ def with_targets(pages: DataFrame, key: str = "page_id", html: str = "html", url
     """(page_id, url, payload, digest, first): first is the response that a revisit refers to, else null.
 
     What repeats is found by digests alone: payloads are not dealt by digest, as one payload can have a third of all rows, but by page
-    and digest. Keys of digests are salted; AQE splits what is still too large.
+    and digest. Keys of digests are salted; AQE splits what is still too large. The narrow sides of both joins are hashed, so that no payload is sorted.
     """
     payload = F.coalesce(pages[html].cast("string").cast("binary"), F.lit(b""))
     narrow = pages.select(pages[key].alias("page_id"), payload.alias("payload")).where(F.length("payload") >= MIN_REVISIT).select("page_id", F.sha2("payload", 256).alias("digest"))
     firsts = narrow.groupBy("digest").agg(F.min("page_id").alias("least"), F.count("*").alias("n")).where("n > 1")
     firsts = firsts.select("digest", "least", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     salt = F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")
-    again = narrow.withColumn("salt", salt).join(firsts, ["digest", "salt"]).where(F.col("page_id").isNull() | (F.col("page_id") != F.col("least")))
+    again = narrow.withColumn("salt", salt).join(firsts.hint("shuffle_hash"), ["digest", "salt"]).where(F.col("page_id").isNull() | (F.col("page_id") != F.col("least")))
     again = again.select(F.col("page_id").alias("p"), F.col("digest").alias("d"), F.col("least").alias("first")).distinct()
     rows = pages.select(pages[key].alias("page_id"), pages[url].cast("string").alias("url"), payload.alias("payload")).withColumn("digest", F.sha2("payload", 256))
-    return rows.join(again, rows["page_id"].eqNullSafe(again["p"]) & (rows["digest"] == again["d"]), "left").select("page_id", "url", "payload", "digest", "first")
+    return rows.join(again.hint("shuffle_hash"), rows["page_id"].eqNullSafe(again["p"]) & (rows["digest"] == again["d"]), "left").select("page_id", "url", "payload", "digest", "first")
 
 
 def write_archives(pages: DataFrame, folder: str, key: str = "page_id", html: str = "html", url: str = "url") -> DataFrame:
