@@ -29,7 +29,8 @@ def read_json(rows: DataFrame, json: str) -> DataFrame:
     """Contributions from a column of JSON texts: their fields, `extra` (paths of properties that the schema doesn't know) and `no_target`
     (the key itself is absent, where null is allowed). A text that is no JSON object has null fields and breaks the rules."""
     text = F.col(json)
-    parsed = rows.withColumn("_c", F.from_json(text, SCHEMA))
+    # parsed as a generated row: what uses its fields doesn't parse again
+    parsed = rows.select("*", F.inline(F.array(F.from_json(text, SCHEMA))))
 
     def others(path: str, keys: Column, names: list[str]) -> Column:
         return F.transform(F.array_except(keys, F.array(*map(F.lit, names))), lambda k: F.concat(F.lit(path + "."), k))
@@ -38,7 +39,7 @@ def read_json(rows: DataFrame, json: str) -> DataFrame:
     unknown = [others(path, F.coalesce(F.json_object_keys(text if path == "$" else F.get_json_object(text, path)), none), names) for path, names in PROPERTIES.items()]
     token_keys = F.flatten(F.transform(F.coalesce(F.from_json(F.get_json_object(text, "$.origin.tokens"), "array<map<string,string>>"), F.array().cast("array<map<string,string>>")), F.map_keys))
     unknown.append(others("$.origin.tokens", token_keys, TOKEN_PROPERTIES))
-    return parsed.withColumns({"extra": F.concat(*unknown), "no_target": ~F.coalesce(F.array_contains(F.json_object_keys(text), "target"), F.lit(False))}).select("*", "_c.*").drop("_c")
+    return parsed.withColumns({"extra": F.concat(*unknown), "no_target": ~F.coalesce(F.array_contains(F.json_object_keys(text), "target"), F.lit(False))})
 
 
 def _in(value: Column, allowed: list[str]) -> Column:

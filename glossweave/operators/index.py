@@ -97,8 +97,8 @@ def build_index(pairs: DataFrame, path: str, embed: Callable[[Column], Column] |
 
 
 def _write(rows: DataFrame, path: str, *order: str) -> None:
-    # by range of the first key: a gram's or term's rows are together, and a common one is split over files
-    rows.repartitionByRange(*SHARD, *order).sortWithinPartitions(*SHARD, *order).write.mode("overwrite").partitionBy(*SHARD).parquet(path)
+    # a gram's or term's rows are together, small partitions are joined and those of a common one split, by their sizes when they are known
+    rows.hint("rebalance", *SHARD, order[0]).sortWithinPartitions(*SHARD, *order).write.mode("overwrite").partitionBy(*SHARD).parquet(path)
 
 
 _LINK = "struct<source_idx:array<int>,target_idx:array<int>," + ",".join(f"{s}_{t}:string" for s in ("source", "target") for t in ("upos", "ner", "lemma")) + ">"

@@ -324,7 +324,7 @@ def _contributions(s, d):
     w = F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda x: x != "")
     i = F.col("doc_id")
     no, yes = (lambda n, x: F.when(i % n != 0, x)), (lambda n, x: F.when(i % n == 0, x))
-    token = lambda x: F.struct(x.alias("surface"), F.array().cast("array<string>").alias("alt"), F.when(i % 5 == 0, "name").when(i % 31 == 0, "place").otherwise("common").alias("class"), F.startswith(x, F.lit("E")).alias("gap"))
+    token = lambda x: F.struct(x.alias("surface"), F.when(i % 5 == 0, "name").when(i % 31 == 0, "place").alias("class"), F.when(F.startswith(x, F.lit("E")), True).alias("gap"))
     lit = F.lit
     body = F.struct(
         F.when(i % 7 == 0, "grammar_note").when(i % 11 == 0, "poem").when(i % 2 == 0, "attestation").otherwise("dictionary_entry").alias("doc_type"),
