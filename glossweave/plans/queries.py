@@ -235,7 +235,7 @@ def hybrid_search_tag_boost(s, d):
     return _rounded(_search(s, d, tags=True), "score").select("query_id", "row_index", "side", "score", "rank", "upos", "ner", "lemma")
 
 
-@query(with_("ss", "tt", "passages") + f",\n{_BM25},\n{_SEARCH}" + " SELECT query_id, count(*) AS n_hits, min(hit_year) AS first_year, max(hit_year) AS last_year FROM h GROUP BY ALL")
+@query(with_("ss", "tt", "passages") + f",\n{_BM25},\n{_SEARCH}" + " SELECT query_id, count(*) AS n_hits, min(hit_year)::INT AS first_year, max(hit_year)::INT AS last_year FROM h GROUP BY ALL")
 def search_year_window(s, d):
     return _search(s, d, top=300).groupBy("query_id").agg(F.count("*").alias("n_hits"), F.min("hit_year").alias("first_year"), F.max("hit_year").alias("last_year"))
 

@@ -131,7 +131,7 @@ SQL = {
   FROM (SELECT *, regexp_extract_all(coalesce(source_text, ''), '{_TOKEN}') AS source_tokens, regexp_extract_all(coalesce(target_text, ''), '{_TOKEN}') AS target_tokens FROM pairs))""",
     "units": r"""units AS (SELECT doc_id, lang, unnest(range(len(l)))::INT AS unit_index, unnest(l) AS unit_text FROM (SELECT doc_id, lang, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x) <> '') AS l FROM documents))""",
     "asking": f"""asking AS (SELECT conv_id AS query_id, coalesce(text, '') AS query, regexp_extract_all(coalesce(text, ''), '{_TOKEN}') AS t, (conv_id // 20) % 4 AS k, 'l' || conv_id % 3 AS own FROM conversations WHERE conv_id % 20 = 0 AND turn = 0)""",
-    "words": "words AS (SELECT query_id, t[3] AS query, own AS lang_a, k % 2 AS side, CASE WHEN k < 2 THEN 'NOUN' END AS upos, CASE WHEN k = 1 THEN 'PER' END AS ner FROM asking WHERE len(t) >= 3)",
+    "words": "words AS (SELECT query_id, t[3] AS query, own AS lang_a, (k % 2)::INT AS side, CASE WHEN k < 2 THEN 'NOUN' END AS upos, CASE WHEN k = 1 THEN 'PER' END AS ner FROM asking WHERE len(t) >= 3)",
     "passages": "passages AS (SELECT query_id, query, CASE WHEN k % 2 = 0 THEN own ELSE 'eng' END AS lang, CASE WHEN k <> 3 THEN 1000 + (query_id * 37) % 1000 END AS year, CASE WHEN k <> 1 THEN 200 + 100 * k END AS win FROM asking)",
     "ss": "ss AS (SELECT *, 'l' || conv_id % 3 AS lang_a, CASE side WHEN 0 THEN 'l' || conv_id % 3 ELSE 'eng' END AS lang FROM sides)",
     "tt": "tt AS (SELECT *, 'l' || (row_index // 4096) % 3 AS lang_a, CASE side WHEN 0 THEN 'l' || (row_index // 4096) % 3 ELSE 'eng' END AS lang FROM terms)",
