@@ -4,19 +4,19 @@ from pyspark.sql import functions as F
 from glossweave.operators import catalog, evaluate
 from glossweave.sources import catalogue, pages
 
-CTS = """<ti:work xmlns:ti="http://chs.harvard.edu/xmlns/cts" xml:lang="grc"><ti:title xml:lang="lat">Hymni</ti:title><ti:title xml:lang="eng">Hymns</ti:title>
+CTS = """<ti:work xmlns:ti="http://example.org/cts" xml:lang="grc"><ti:title xml:lang="lat">Carmina</ti:title><ti:title xml:lang="eng">Songs</ti:title>
 <ti:edition urn="u1"><ti:label>L</ti:label></ti:edition><ti:edition/><ti:translation urn="u2" xml:lang="ger"><ti:description>D &mdash;</ti:description></ti:translation></ti:work>"""
 
 
 def test_entries():
     got = catalogue.work_entries(CTS)
-    assert [(e["title"], e["role"], e["urn"], e["lang"], e["label"], e["description"]) for e in got] == [("Hymns", "edition", "u1", "grc", "L", ""), ("Hymns", "translation", "u2", "deu", "", "D —")]
+    assert [(e["title"], e["role"], e["urn"], e["lang"], e["label"], e["description"]) for e in got] == [("Songs", "edition", "u1", "grc", "L", ""), ("Songs", "translation", "u2", "deu", "", "D —")]
     assert catalogue.work_entries("<x/>") == [] and catalogue.work_entries("<broken") == [] and catalogue.work_entries(None) == []
 
 
 @pytest.mark.parametrize(
     "text,name",
-    [("Edited by Hugh Evelyn, London: Heinemann", "Hugh Evelyn"), ("Greenough, J.B., editor. Boston: Ginn", "Greenough, J.B."), ("Translated by A. B.;", "A. B."), ("nothing", None), ("", None)],
+    [("Edited by Nora Field, Leeds: Moss", "Nora Field"), ("Quill, P.R., editor. Oslo: Birk", "Quill, P.R."), ("Translated by A. B.;", "A. B."), ("nothing", None), ("", None)],
 )
 def test_role_name(spark, text, name):
     assert spark.createDataFrame([(text,)], "t string").select(catalogue.role_name(F.col("t")).alias("x")).first()["x"] == name

@@ -63,7 +63,7 @@ def test_survey(spark, tmp_path, capsys):
 
 
 def test_catalogued_documents(spark):
-    cts = """<work xmlns="c" xml:lang="grc"><title xml:lang="eng">Hymns</title><edition urn="u:1"/><edition urn="u:2" xml:lang="eng"><description>Glossary. Jane Roe, editor. Boston: Ginn, 1888</description></edition>
+    cts = """<work xmlns="c" xml:lang="grc"><title xml:lang="eng">Songs</title><edition urn="u:1"/><edition urn="u:2" xml:lang="eng"><description>Glossary. Jane Roe, editor. Oslo: Birk, 1888</description></edition>
     <translation urn="u:3" xml:lang="eng"/><translation urn="u:4" xml:lang="eng"><label>x AI draft (Bot 2, 2024)</label></translation><translation urn="u:5" xml:lang="fre"/><commentary urn="u:6"/><translation urn="u:7" xml:lang="eng"/></work>"""
     tei = lambda head, date, body: f"<TEI><teiHeader><titleStmt>{head}</titleStmt><sourceDesc><biblStruct><monogr><imprint><date>{date}</date></imprint></monogr></biblStruct></sourceDesc></teiHeader><text><body><p>{body}</p></body></text></TEI>"
     files = [("u:1", tei("<author>Homer</author>", "1900", "a")), ("u:2", tei("", "", "g")), ("u:3", tei("<author>Homer</author><editor role='translator'>Tr</editor>", "1890-1914", "t")), ("u:4", tei("<author>Homer</author>", "", "d")), ("u:5", tei("", "none", "f")), ("u:6", tei("", "1900", "c"))]

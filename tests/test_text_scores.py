@@ -72,8 +72,8 @@ def test_tags(spark):
 
 
 def test_names(spark):
-    f = one(spark, corpus_files.parse_name(F.col("t")), t="grc-BC490-Hymn-19_to_Pan-Anon_Y-Perseus_Library")
-    assert (f["lang_code"], f["year"], f["title"], f["author"], f["source"]) == ("grc", -490, "Hymn-19_to_Pan", "Anon Y", "Perseus Library")
+    f = one(spark, corpus_files.parse_name(F.col("t")), t="grc-BC490-Song-7_of_Ships-Anon_Y-Some_Library")
+    assert (f["lang_code"], f["year"], f["title"], f["author"], f["source"]) == ("grc", -490, "Song-7_of_Ships", "Anon Y", "Some Library")
     assert one(spark, corpus_files.parse_name(F.col("t")), t="a-b-c") is None
     assert one(spark, corpus_files.plausible_author(F.col("a"), F.col("b")), a="Vergil", b="P. Vergilius Maro") is True
     assert one(spark, corpus_files.plausible_author(F.col("a"), F.col("b")), a="Unknown", b="Vergil") is False
