@@ -14,10 +14,21 @@ def logit(p: np.ndarray) -> np.ndarray:
     return np.log(p / (1 - p))
 
 
-def _sums(x: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Sums of x[at[i]:at[i + 1]]."""
-    upto = np.concatenate(([0.0], np.cumsum(x)))
-    return upto[at[1:]] - upto[at[:-1]]
+#: Entries of sparse rows that a step takes at a time: they bound the memory beside the rows.
+CHUNK = 1 << 20
+
+
+def _sums(w: np.ndarray, take: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Sums of w[take[at[i]:at[i + 1]]]. Prefix sums go on from chunk to chunk, so that the result doesn't depend on CHUNK."""
+    upto, total = np.zeros(len(at)), 0.0
+    for lo in range(0, len(take), CHUNK):
+        part = w[take[lo : lo + CHUNK]]
+        part[0] += total
+        np.cumsum(part, out=part)
+        i, j = np.searchsorted(at, (lo, lo + len(part)), side="right")
+        upto[i:j] = part[at[i:j] - lo - 1]
+        total = part[-1]
+    return upto[1:] - upto[:-1]
 
 
 class Rows:
@@ -25,16 +36,21 @@ class Rows:
 
     def __init__(self, at: np.ndarray, col: np.ndarray, width: int, dense: np.ndarray) -> None:
         self.at, self.col, self.width, self.dense = at, col, width, dense
-        row = np.repeat(np.arange(len(at) - 1, dtype=np.int32), np.diff(at))
-        order = np.argsort(col, kind="stable")
-        self.row_by_col = row[order]
-        self.col_at = np.searchsorted(col[order], np.arange(width + 1))
+        rows = max(1, len(at) - 1)
+        # sorted in place as numbers column * rows + row
+        key = np.repeat(np.arange(len(at) - 1, dtype=np.uint32 if rows * width < 1 << 32 else np.uint64), np.diff(at))
+        for lo in range(0, len(col), CHUNK):
+            key[lo : lo + CHUNK] += col[lo : lo + CHUNK].astype(key.dtype) * key.dtype.type(rows)
+        key.sort()
+        self.col_at = np.searchsorted(key, np.arange(width + 1, dtype=key.dtype) * key.dtype.type(rows))
+        key %= key.dtype.type(rows)
+        self.row_by_col = key
 
     def dot(self, w: np.ndarray) -> np.ndarray:
-        return _sums(w[self.col], self.at) + self.dense @ w[self.width :]
+        return _sums(w, self.col, self.at) + self.dense @ w[self.width :]
 
     def back(self, r: np.ndarray) -> np.ndarray:
-        return np.concatenate((_sums(r[self.row_by_col], self.col_at), self.dense.T @ r))
+        return np.concatenate((_sums(r, self.row_by_col, self.col_at), self.dense.T @ r))
 
 
 def logistic(x: Rows, y: np.ndarray, ridge: float = 2e-4, steps: int = 120) -> np.ndarray:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import MEMO, by_bytes, no_clash, release_memory, table, tuned
-from .linear import Rows, logistic, logit, sigmoid
+from .linear import CHUNK, Rows, logistic, logit, sigmoid
 
 SAMPLE = 12_000
 FOLDS = 4
@@ -109,29 +109,40 @@ class Sample:
     flags: np.ndarray
     fold: np.ndarray
 
-    def rows(self, of: np.ndarray) -> np.ndarray:
-        """Of each entry of col the number of its row among the rows taken, and -1 for others."""
+    def parts(self, of: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Of the rows taken each entry's number of its row among them, and its feature; about CHUNK entries at a time."""
         place = np.full(len(self.fold), -1, np.int32)
         place[of] = np.arange(len(of))
-        return np.repeat(place, np.diff(self.at))
+        cuts = np.unique(np.concatenate(([0], np.searchsorted(self.at, np.arange(CHUNK, int(self.at[-1]), CHUNK)), [len(self.fold)])))
+        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            row = np.repeat(place[lo:hi], np.diff(self.at[lo : hi + 1]))
+            taken = row >= 0
+            yield row[taken], self.col[self.at[lo] : self.at[hi]][taken]
+
+    def counts(self, of: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(sum of y, number) of the rows taken that have each feature."""
+        n1, n = np.zeros(2 * PLACES), np.zeros(2 * PLACES, np.int64)
+        for row, col in self.parts(of):
+            n1 += np.bincount(col, weights=y[row], minlength=2 * PLACES)
+            n += np.bincount(col, minlength=2 * PLACES)
+        return n1, n
 
     def labels(self, of: np.ndarray) -> np.ndarray:
         """A column for each category, from the rows taken alone."""
         if self.flags.shape[1] > 1:
             return self.flags[of].astype(float)
-        toxic, row = self.flags[of, 0].astype(float), self.rows(of)
-        col, row = self.col[row >= 0], row[row >= 0]
-        n1, n = np.bincount(col, weights=toxic[row], minlength=2 * PLACES), np.bincount(col, minlength=2 * PLACES)
+        toxic = self.flags[of, 0].astype(float)
+        n1, n = self.counts(of, toxic)
         telling = (n >= 3) & (n1 >= 0.95 * n)
         telling[PLACES:] = False
-        found = np.bincount(row, weights=telling[col], minlength=len(of))
+        found = np.zeros(len(of))
+        for row, col in self.parts(of):
+            found += np.bincount(row, weights=telling[col], minlength=len(of))
         return np.stack([toxic * (found >= 1), toxic * (found >= 3), toxic], axis=1)
 
 
-def _informative(col: np.ndarray, row: np.ndarray, y: np.ndarray, most: int) -> np.ndarray:
+def _informative(n1: np.ndarray, n: np.ndarray, y: np.ndarray, most: int) -> np.ndarray:
     """The features whose presence tells most about y (by a signed-root likelihood ratio), sorted."""
-    n1 = np.bincount(col, weights=y[row], minlength=2 * PLACES)
-    n = np.bincount(col, minlength=2 * PLACES)
     seen = np.flatnonzero(n >= 3)
     base = y.mean()
     p = (n1[seen] + base) / (n[seen] + 1)
@@ -148,16 +159,19 @@ def fit_one(x: Sample, k: int, held: int | None, odds: np.ndarray) -> tuple[np.n
     if not 0 < y.sum() < len(y):
         c = 14.0 if len(y) and y.sum() else -14.0
         return every[:0], np.append(np.zeros(odds.shape[1]), c), np.full(len(out), c)
-    row = x.rows(of)
-    use = _informative(x.col[row >= 0], row[row >= 0], y, WIDTH)
+    use = _informative(*x.counts(of, y), y, WIDTH)
     place = np.full(2 * PLACES, -1, np.int32)
     place[use] = np.arange(len(use))
+    kind = np.min_scalar_type(len(use))
 
     def rows(which: np.ndarray) -> Rows:
-        row, col = x.rows(which), place[x.col]
-        kept = (row >= 0) & (col >= 0)
-        at = np.concatenate(([0], np.cumsum(np.bincount(row[kept], minlength=len(which)))))
-        return Rows(at, col[kept], len(use), np.concatenate((odds[which] / 14, np.ones((len(which), 1))), axis=1))
+        sizes, cols = np.zeros(len(which), np.int64), [place[:0].astype(kind)]
+        for row, col in x.parts(which):
+            col = place[col]
+            sizes += np.bincount(row[col >= 0], minlength=len(which))
+            cols.append(col[col >= 0].astype(kind))
+        at = np.concatenate(([0], np.cumsum(sizes)))
+        return Rows(at, np.concatenate(cols), len(use), np.concatenate((odds[which] / 14, np.ones((len(which), 1))), axis=1))
 
     w = logistic(rows(of), y)
     return use, w, rows(out).dot(w) if len(out) else np.zeros(0)
@@ -217,7 +231,13 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], text: str =
 
     def share(sample: Sample) -> Callable:
         sent.append(one := spark.sparkContext.broadcast(sample))
-        return lambda jobs: spark.sparkContext.parallelize(jobs, len(jobs)).map(lambda j: fit_one(one.value, *j)).collect()
+
+        def task(job: tuple) -> tuple:
+            out = fit_one(one.value, *job)
+            release_memory()  # the worker goes on with other tasks
+            return out
+
+        return lambda jobs: spark.sparkContext.parallelize(jobs, len(jobs)).map(task).collect()
 
     chain = fit(x, y, categories, fold, share)
     for one in sent:

@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -312,6 +313,26 @@ def test_held_rows_shape_nothing():
     assert sample(features, flags).labels(keep).astype(int).tolist() == want
 
 
+def test_fit_holds_little_beside_its_sample(monkeypatch):
+    """Fits share an executor with the JVM: beside the sample's features a fit holds a small multiple of them, and chunks change no result."""
+    g = np.random.default_rng(11)
+    rows, each = 6000, 1000
+    col = (np.arange(each) * 2000 + g.integers(0, 5, (rows, each))).astype(np.int32).ravel()
+    flags = (g.random((rows, 1)) < 0.1).astype(int)
+    x = toxicity.Sample(np.arange(rows + 1) * each, col, flags, np.arange(rows) % 4)
+    tracemalloc.start()
+    toxicity.fit_one(x, 2, 0, np.zeros((rows, 2)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 6 * col.nbytes
+    few = toxicity.Sample(x.at[:301], x.col[: 300 * each], x.flags[:300], x.fold[:300])
+    want = toxicity.fit_one(few, 2, 0, np.zeros((300, 2)))
+    for module in (toxicity, linear):
+        monkeypatch.setattr(module, "CHUNK", 3333)
+    for a, b in zip(want, toxicity.fit_one(few, 2, 0, np.zeros((300, 2))), strict=True):
+        assert np.array_equal(a, b)
+
+
 def test_logistic_reaches_the_minimum():
     g = np.random.default_rng(9)
     rows = [np.sort(g.choice(30, 6, replace=False)) for _ in range(400)]
