@@ -8,6 +8,7 @@ in which two sketches differ are then never more than members in which the sets
    non-empty block of a document with more than d of them is the same in each partner (pigeonhole): blocks are the join
    keys. A document with fewer also sends each shingle by itself. Keys travel packed by bucket, a few bytes each.
 2. A second, dense sketch of about four bits a shingle bounds the difference of a candidate pair from below before texts are fetched.
+   Folded to a quarter it does so more loosely: that part travels with all candidates, the rest with those alone that pass it.
 
 What passes is verified on the texts. Sets that are equal form one class beforehand. To not emit all pairs of a group
 of near copies, each key first proposes only pairs with its least member. Keys whose members are then in different
@@ -17,6 +18,8 @@ alone that need them: a document whose other non-empty blocks still exceed d mee
 with at most d non-empty blocks needs all of its keys, as its partner can have more blocks and then no shingle keys.
 
 Texts are asked for once a document and sent to the tasks of their pairs' centres, whose own text is sent once for many pairs.
+Rows that no pair asks for are told, for the most part, by a bitmap of BITS hashes of the ids asked for, and stay where they are; the join
+that follows is exact, so that a bitmap that is full costs shuffle alone.
 
 Rows without words link with nothing; rows that share an id count as one document in links. A null id is never an id of
 a component: such rows have the component of their text's other rows, else null. Null and empty texts have n_shingles 0 and are their own
@@ -48,6 +51,8 @@ HOLD, HELD_MEMBERS = 64 << 20, 100_000
 BLOCK = 512
 #: Pairs with one centre that are verified together, each time with a copy of the centre's text.
 SHARE = 200
+#: Bits of the bitmap of ids asked for; it is broadcast in words of 64.
+BITS = 1 << 24
 _U = np.uint64
 
 
@@ -85,6 +90,17 @@ def dense_sketch(members: np.ndarray) -> bytes:
     return np.packbits((np.bincount((members % _U(bits)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
 
 
+def packed(sketch: bytes) -> tuple[bytes, bytes]:
+    """(the sketch folded to a quarter, its last three quarters): together as long as the sketch, which they give back."""
+    x = np.frombuffer(sketch, _U).reshape(4, -1)
+    return np.bitwise_xor.reduce(x, axis=0).tobytes(), x[1:].tobytes()
+
+
+def unpacked(coarse: bytes, rest: bytes) -> bytes:
+    x = np.frombuffer(coarse + rest, _U).reshape(4, -1)
+    return np.bitwise_xor.reduce(x, axis=0).tobytes() + rest
+
+
 def folded(sketches: list[bytes]) -> np.ndarray:
     """Sketches as rows of 64-bit words, all folded to the length of the shortest."""
     least = min(map(len, sketches))
@@ -142,8 +158,8 @@ def block_keys(sets: list[np.ndarray], all_bands: list[tuple[int, int, int, int]
 
 #: A key's low bits; a set's number, of which the last bit tells the shift.
 _PACK = np.dtype([("key", "<u4"), ("node", "<i8")])
-_ROW = ("n", "fp", "node", "sketch", "room0", "room1")
-_KINDS = {"n": "long", "fp": "binary", "node": "long", "sketch": "binary", "room0": "long", "room1": "long"}
+_ROW = ("n", "fp", "node", "coarse", "rest", "room0", "room1")
+_KINDS = {"n": "long", "fp": "binary", "node": "long", "coarse": "binary", "rest": "binary", "room0": "long", "room1": "long"}
 _ARROW = {"long": pa.int64(), "binary": pa.binary()}
 
 
@@ -161,7 +177,8 @@ def _sketches(docs: DataFrame, buckets: int) -> DataFrame:
             some = [sets[i] for i in first]
             key, owner, shift, room = block_keys(some, bands(max(map(len, some), default=0)))
             m = len(sets)
-            cols = [pa.array(n), pa.array(prints, pa.binary()), pa.array(node), pa.array([dense_sketch(s) if len(s) else None for s in sets], pa.binary()), pa.array(room[0][which]), pa.array(room[1][which])]
+            dense = [packed(dense_sketch(s)) if len(s) else (None, None) for s in sets]
+            cols = [pa.array(n), pa.array(prints, pa.binary()), pa.array(node), *(pa.array([d[i] for d in dense], pa.binary()) for i in (0, 1)), pa.array(room[0][which]), pa.array(room[1][which])]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], *cols, pa.array(((node.view(_U) >> _U(1)) % _U(buckets)).astype(np.int32)), pa.nulls(m, pa.binary())], ["doc_id", *_ROW, "bucket", "blob"])
             bucket = ((key >> _U(32)) % _U(buckets)).astype(np.int32)
             order = np.argsort(bucket)
@@ -244,36 +261,59 @@ def _fits(a: str, b: str):
     return (F.least(a, b) * DEN >= F.greatest(a, b) * NUM) & (F.col(a) + F.col(b) > 8)
 
 
+def _likely(rows: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """Rows whose value in a column may be among those of ids, which has one column: all that are, and some others."""
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(BITS))
+    words = ids.select(place(ids.columns[0]).alias("_place")).groupBy(F.expr("_place div 64").alias("_word")).agg(F.expr("bit_or(shiftleft(1L, int(_place % 64)))").alias("_bits"))
+    placed = rows.withColumn("_place", place(column)).withColumn("_word", F.expr("_place div 64"))
+    return placed.join(F.broadcast(words), "_word").where("shiftright(_bits, int(_place % 64)) & 1 = 1").select(*rows.columns)
+
+
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, buckets: int) -> DataFrame:
-    """Pairs (a, b) of nodes that link, as ids (u, v), stashed: dense sketches first, then the texts."""
-    side = lambda c: classes.select(F.col("node").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in ("id", "n", "fp", "sketch")))
+    """Pairs (a, b) of nodes that link, as ids (u, v), stashed: folded sketches first, then the whole ones, then the texts."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    both = pairs.join(side("a"), "a").join(side("b"), "b").where(_fits("n_a", "n_b"))
-    kept = stash(both.mapInArrow(_near_sketches, f"u {kind}, v {kind}, fp_a binary, fp_b binary"))
+
+    def beside(pairs: DataFrame, *columns: str) -> DataFrame:
+        asked = _likely(classes.select("node", *columns), "node", pairs.select(F.explode(F.array("a", "b"))))
+        for c in ("a", "b"):
+            pairs = pairs.join(asked.select(F.col("node").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in columns)), c)
+        return pairs
+
+    close = stash(beside(pairs, "n", "coarse").where(_fits("n_a", "n_b")).mapInArrow(_near(["a", "b"], False), "a long, b long"))
+    kept = stash(beside(close, "id", "n", "fp", "coarse", "rest").mapInArrow(_near(["id_a", "id_b", "fp_a", "fp_b"], True), f"u {kind}, v {kind}, fp_a binary, fp_b binary"))
+    unstash(close)
     # pairs of one centre go to tasks of about SHARE pairs, each with a copy of the centre's text
     shares = kept.groupBy("u", "fp_a").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("shares"))
     own = shares.select(F.col("u").alias("doc_id"), "u", "fp_a", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(0).alias("place"), F.col("fp_a").alias("fp"))
     other = kept.join(shares, ["u", "fp_a"]).select(F.col("v").alias("doc_id"), "u", "fp_a", F.pmod(F.xxhash64("v"), F.col("shares")).cast("int").alias("share"), F.lit(1).alias("place"), F.col("fp_b").alias("fp"))
     asks = own.unionByName(other).groupBy("doc_id").agg(F.collect_list(F.struct("u", "fp_a", "share", "place", "fp")).alias("asks"))
-    got = docs.join(asks, "doc_id").select("doc_id", "text", F.explode("asks").alias("ask"))
+    got = _likely(docs, "doc_id", kept.select(F.explode(F.array("u", "v")))).join(asks, "doc_id").select("doc_id", "text", F.explode("asks").alias("ask"))
     got = got.select(F.pmod(F.xxhash64("ask.u", "ask.share"), F.lit(buckets)).cast("int").alias("bucket"), "ask.u", "ask.fp_a", "ask.share", "ask.place", F.col("doc_id").alias("v"), "ask.fp", "text")
     out = stash(dealt(got, buckets, "u", "fp_a", "share", "place").mapInArrow(_similar, f"u {kind}, v {kind}").distinct())
     unstash(kept)
     return out
 
 
-def _near_sketches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ok = []
-        for a, b, m in zip(batch["sketch_a"].to_pylist(), batch["sketch_b"].to_pylist(), (batch["n_a"].to_numpy() + batch["n_b"].to_numpy()).tolist(), strict=True):
-            x = folded([a, b])
-            ok.append(int(np.bitwise_count(x[0] ^ x[1]).sum()) * (DEN + NUM) <= m * (DEN - NUM))
-        got = batch.filter(pa.array(ok, pa.bool_()))
-        yield pa.RecordBatch.from_arrays([got["id_a"], got["id_b"], got["fp_a"], got["fp_b"]], ["u", "v", "fp_a", "fp_b"])
+def _near(columns: list[str], whole: bool):
+    """These columns of the pairs whose sketches, whole or folded, allow a link; by place."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sides = [batch[f"coarse_{c}"].to_pylist() for c in "ab"]
+            if whole:
+                sides = [map(unpacked, side, batch[f"rest_{c}"].to_pylist()) for side, c in zip(sides, "ab", strict=True)]
+            ok = []
+            for a, b, m in zip(*sides, (batch["n_a"].to_numpy() + batch["n_b"].to_numpy()).tolist(), strict=True):
+                x = folded([a, b])
+                ok.append(int(np.bitwise_count(x[0] ^ x[1]).sum()) * (DEN + NUM) <= m * (DEN - NUM))
+            got = batch.filter(pa.array(ok, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([got[c] for c in columns], [c.replace("id_a", "u").replace("id_b", "v") for c in columns])
+
+    return run
 
 
 def _across(node: list[int], n: list[int], part: list[str], sketches: list[bytes], block: list[int], forest: bool) -> tuple[list[tuple[int, int]], bool]:
-    """Pairs of one key's members in different components whose sketches allow a link: all, or a spanning forest of the nearest; and whether these are all.
+    """Pairs of one key's members in different components whose folded sketches allow a link: all, or a spanning forest of the nearest; and whether these are all.
 
     Members of two blocks are compared across the blocks alone; those of one with each other.
     """
@@ -338,7 +378,7 @@ def _propose(forest: bool):
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["a", "b", "g"])
 
         for batch in batches:
-            for g, x, y, *row in zip(*(batch[c].to_pylist() for c in ("g", "x", "y", "node", "n", "part", "sketch", "block")), strict=True):
+            for g, x, y, *row in zip(*(batch[c].to_pylist() for c in ("g", "x", "y", "node", "n", "part", "coarse", "block")), strict=True):
                 if (g, x, y) != now:
                     told()
                     now, group = (g, x, y), tuple([] for _ in range(5))
@@ -422,7 +462,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
         # keys with the same members propose the same pairs: one of them does
         keys = at.groupBy("g").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"), F.min("part").alias("p"), F.max("part").alias("q")).where("p != q")
         keys = keys.groupBy("m", "x", "y").agg(F.min("g").alias("g")).select("g", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-        at = at.join(keys, "g").join(named.select("node", "n", "sketch"), "node").withColumn("block", F.pmod(F.xxhash64("node", F.lit(2)), F.col("blocks")).cast("int"))
+        at = at.join(keys, "g").join(named.select("node", "n", "coarse"), "node").withColumn("block", F.pmod(F.xxhash64("node", F.lit(2)), F.col("blocks")).cast("int"))
         at = at.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"x": F.least("block", "with"), "y": F.greatest("block", "with")})
         at = at.withColumn("bucket", F.pmod(F.xxhash64("g", "x", "y"), F.lit(buckets)).cast("int"))
         return dealt(at, buckets, "g", "x", "y").mapInArrow(_propose(forest), "a long, b long, g long").distinct()
@@ -432,13 +472,13 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     more = verified(near)
     after = roots_of(edges.union(more))
     more_of = left.join(told.where("g IS NOT NULL").select("g").distinct(), "g", "left_semi")
-    rest = proposals(more_of, after, False).select("a", "b").join(tried, ["a", "b"], "left_anti").join(near, ["a", "b"], "left_anti")
+    rest = stash(proposals(more_of, after, False).select("a", "b").join(tried, ["a", "b"], "left_anti").join(near, ["a", "b"], "left_anti"))
     last = verified(rest)
     final = roots_of(edges.union(more).union(last)) if last.limit(1).count() else after
     least = classes.select("fp", "id").join(final.select("id", "root"), "id", "left").select("fp", F.col("id").alias("class_id"), F.coalesce("root", "id").alias("component_id"))
     out = rows.select("doc_id", F.col("n").alias("n_shingles"), "fp").join(least, "fp", "left")
     out = stash(out.select(F.col("doc_id").alias(key), "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id")))
-    unstash(rows, classes, tried, edges, roots, left, told, more, after, last, *([final] if final is not after else []))
+    unstash(rows, classes, tried, edges, roots, left, told, more, after, rest, last, *([final] if final is not after else []))
     return out
 
 

@@ -107,6 +107,35 @@ def test_parity_bounds_difference():
         assert np.bitwise_count(x[0] ^ x[1]).sum() <= len(np.setxor1d(a, b))
 
 
+def test_folded_part_of_a_sketch():
+    g = np.random.default_rng(12)
+    for n in (1, 3, 64, 65, 700, 40_000):
+        a = g.integers(0, 1 << 63, n, np.uint64)
+        b = np.concatenate((a[n // 10 :], g.integers(0, 1 << 63, n // 7, np.uint64)))
+        whole = [jaccard_join.dense_sketch(x) for x in (a, b)]
+        parts = [jaccard_join.packed(x) for x in whole]
+        assert [jaccard_join.unpacked(*x) for x in parts] == whole and [len(c) * 4 for c, _ in parts] == [len(c) + len(r) for c, r in parts]
+        x, y = (jaccard_join.folded(z) for z in ([c for c, _ in parts], whole))
+        assert np.bitwise_count(x[0] ^ x[1]).sum() <= np.bitwise_count(y[0] ^ y[1]).sum() <= len(np.setxor1d(a, b))
+
+
+def test_rows_not_asked_for_stay(spark):
+    """Of texts that no candidate pair needs nearly none go on to a join, and of the others all."""
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text")).union(spark.createDataFrame([(None, "y")], "doc_id long, text string"))
+    ids = spark.range(0, 20_000, 20)
+    got = [r["doc_id"] for r in jaccard_join._likely(docs, "doc_id", ids.union(ids)).collect()]
+    assert len(got) == len(set(got)) < 1100 and set(range(0, 20_000, 20)) <= set(got)
+    names = docs.select(F.col("doc_id").cast("string").alias("doc_id"))
+    assert jaccard_join._likely(names, "doc_id", names.where("doc_id < 'b'").limit(0)).count() == 0
+    assert jaccard_join._likely(names, "doc_id", names).count() >= 20_000
+
+
+def test_a_full_bitmap_loses_no_row(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BITS", 64)
+    docs = spark.range(2000).select(F.col("id").alias("doc_id"))
+    assert jaccard_join._likely(docs, "doc_id", docs).count() == 2000
+
+
 def brute_repeats(rows, width):
     words = [WORD.findall(t or "") for _, t, *_ in rows]
     seen = {}
