@@ -27,19 +27,21 @@ def misses(wanted: DataFrame, memo: DataFrame, key: str, fingerprint: str) -> Da
 
 def overwrite_slots(old: DataFrame, new: DataFrame, slot: list[str], author: str = "author") -> DataFrame:
     """Old rows but for those whose slot a new row of a plausible author takes, and all new rows."""
-    n = new.select(*(F.col(c).alias(f"n_{c}") for c in (*slot, author)))
-    same = F.lit(True)
-    for c in slot:
-        same = same & (F.col(c) == F.col(f"n_{c}"))
-    taken = old.join(n, same & plausible_author(F.col(author), F.col(f"n_{author}")), "left_anti")
-    return taken.unionByName(new)
+    # authors are compared once for each two that meet in a slot, however many rows have them
+    name = lambda rows, c: rows.where(F.col(author).isNotNull()).select(*slot, F.col(author).alias(c)).distinct()
+    met = name(old, "_old").join(name(new, "_new"), slot).where(plausible_author(F.col("_old"), F.col("_new")))
+    taken = met.select(*slot, F.col("_old").alias(author)).distinct()
+    return old.join(taken, [*slot, author], "left_anti").select(*old.columns).unionByName(new)
 
 
 def match_work(new: DataFrame, folders: DataFrame) -> DataFrame:
     """For each new file the first folder, by name, of the same title (case, marks and spaces aside) whose oldest file has a plausible author."""
-    f = folders.select(match_key(F.col("title")).alias("_title"), "folder", F.col("author").alias("folder_author"))
-    hit = new.withColumn("_title", match_key(F.col("title"))).join(f, "_title").where(plausible_author(F.col("author"), F.col("folder_author")))
-    return new.join(hit.groupBy("name").agg(F.min("folder").alias("folder")), "name", "left")
+    # titles and authors are compared once for each two that meet, however many files and folders have them
+    f = folders.groupBy(match_key(F.col("title")).alias("_title"), match_key(F.col("author")).alias("folder_author")).agg(F.min("folder").alias("folder"))
+    files = new.withColumns({"_title": match_key(F.col("title")), "_author": match_key(F.col("author"))})
+    hit = files.select("_title", "_author").distinct().join(f, "_title").where(plausible_author(F.col("_author"), F.col("folder_author")))
+    named = files.select("name", "_title", "_author").join(hit.groupBy("_title", "_author").agg(F.min("folder").alias("folder")), ["_title", "_author"]).groupBy("name").agg(F.min("folder").alias("folder"))
+    return new.join(named, "name", "left")
 
 
 def remembered(spark: SparkSession, path: str, fingerprint: str, schema: str) -> DataFrame:
