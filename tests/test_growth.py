@@ -53,3 +53,23 @@ def test_file_pairs_of_a_large_work(spark, monkeypatch):
     plan = corpus_files.file_pairs(f)._jdf.queryExecution().optimizedPlan().toString()
     # a work's pairs are dealt by two blocks, not by the work alone
     assert "block_b" in plan
+
+
+def test_lookup_of_common_words(spark, tmp_path):
+    from glossweave.operators import retrieval
+    from glossweave.operators.index import build_index
+
+    side = lambda c: F.struct(F.lit(c).alias("lang_code"), F.lit(1900).alias("year"))
+    links = F.array().cast("array<struct<source_idx:array<int>,target_idx:array<int>," + ",".join(f"{s}_{t}:string" for s in ("source", "target") for t in ("upos", "ner", "lemma")) + ">>")
+    pairs = spark.range(200).select(F.col("id").alias("row_index"), F.concat(F.lit("p"), "id").alias("pair_id"), side("ang").alias("source"), side("eng").alias("target"), F.lit("the sun the moon").alias("source_text"), F.lit("x").alias("target_text"), links.alias("alignment_links"))
+    index = build_index(pairs, str(tmp_path / "i"))
+    # grams are stored for each different token; a posting for each place is a view
+    assert index.words.count() == 4 and index.places.count() == 800
+    assert index.grams.where("ngram = 'the'").count() == 400 and index.grams.count() == 200 * (2 * 5 + 5 + 6 + 3)
+    q = spark.range(50).select(F.col("id").alias("query_id"), F.lit("the").alias("query"), F.lit("ang").alias("lang"), F.lit("eng").alias("target_lang"))
+    rows, most = joined(retrieval.lookup_native(q, index))
+    assert rows == [] and most <= 500
+    rows, most = joined(retrieval.lookup(q, index))
+    # all 50 ask the same: 200 rows are answered once, and stand for each at the end
+    assert len(rows) == 10_000 and {tuple(r["matched"]) for r in rows} == {(0, 2)} and sorted(r["place"] for r in rows if r["query_id"] == 7) == list(range(200))
+    assert retrieval.candidates(q, index).count() == 50 * 400
