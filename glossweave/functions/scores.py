@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -68,10 +68,18 @@ def max_edits(length: Column, p: Params = P) -> Column:
 def minmax(x: Column, *by: str) -> Column:
     """(x - least) / (most - least) over all rows of a key; 1 where all are equal."""
     w = Window.partitionBy(*by)
-    low, high = F.min(x).over(w), F.max(x).over(w)
+    return between(x, F.min(x).over(w), F.max(x).over(w))
+
+
+def between(x: Column, low: Column, high: Column) -> Column:
     return F.when(high == low, F.lit(1.0)).otherwise((x - low) / (high - low))
 
 
+def ends(rows: DataFrame, x: str, by: str) -> DataFrame:
+    """(by, low, high), for broadcast: what minmax needs of many rows a key, which then stay where they are."""
+    return F.broadcast(rows.groupBy(by).agg(F.min(x).alias("low"), F.max(x).alias("high")))
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 

@@ -28,53 +28,78 @@ def top_k(rows: DataFrame, k: int, score: str, *ties: str, by: str = "query_id")
     return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-#: Bytes of query vectors that a broadcast holds, and places that similarities are rounded to, so that equal vectors tie wherever they stand.
-BLOCK_BYTES, DIGITS = 16 << 20, 9
+#: Bytes of query vectors that a broadcast holds, vectors that a task compares at a time, similarities that it holds at once, and places that they are rounded to, so that
+#: equal vectors tie wherever they stand.
+BLOCK_BYTES, CHUNK, CELLS, DIGITS = 16 << 20, 1 << 16, 1 << 21, 9
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, k: int, by: tuple[str, ...] = ()) -> DataFrame:
+def nearest(queries: DataFrame, vectors: DataFrame, k: int, by: tuple[str, ...] = (), on: str | None = None) -> DataFrame:
     """Exact top-k inner products, of each group of vectors `by` some columns: (query_id, similarity, *vector columns, rank); queries (query_id,
-    query_vector), vectors (..., embedding).
+    query_vector), vectors (..., embedding). With `on`, one of `by` that queries have too, a query meets the vectors that have its value alone.
 
-    Blocks of queries are broadcast, of a size counted beforehand, and vectors stream past each; a task keeps k a query of each Arrow batch, ties by the
-    vector columns in order. Rows without a vector match nothing; without queries there are no rows.
+    Blocks of queries are broadcast, of a size counted beforehand, and vectors stream past each in chunks; a task keeps k a query and group of each chunk, ties by the
+    vector columns in order, and holds no more than CELLS similarities at once. Rows without a vector match nothing; without queries there are no rows.
     """
     import numpy as np
     import pyarrow as pa
     import pyarrow.compute as pc
 
-    rows = queries.where("query_vector IS NOT NULL").select("query_id", "query_vector")
+    rows = queries.where("query_vector IS NOT NULL").select("query_id", "query_vector", *([on] if on else []))
     spark = queries.sparkSession
     keys = [c for c in vectors.columns if c != "embedding"]
     schema = ", ".join([f"query_id {queries.schema['query_id'].dataType.simpleString()}, similarity double", *(f"`{c}` {vectors.schema[c].dataType.simpleString()}" for c in keys)])
     size = rows.agg(F.sum(F.size("query_vector") * 8 + 16 * k)).first()[0] or 0
     blocks = -(-size // BLOCK_BYTES)
     known = vectors.where("embedding IS NOT NULL").select(*keys, "embedding")
+    cells = CELLS
+
+    def matrix(lists: pa.Array) -> np.ndarray:
+        return lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(lists), -1)
 
     def of(block: int) -> DataFrame:
-        got = rows.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).toArrow()
-        sent = spark.sparkContext.broadcast((got["query_id"].combine_chunks(), np.array(got["query_vector"].to_pylist(), np.float64)))
+        got = rows.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).toArrow().combine_chunks()
+        sent = spark.sparkContext.broadcast((got["query_id"].combine_chunks(), matrix(got["query_vector"].combine_chunks()) if got.num_rows else None, np.array(got[on].to_pylist(), object) if on else None))
 
-        def run(batches):
-            ids, q = sent.value
+        def chunks(batches):
+            held, n = [], 0
             for batch in batches:
-                if not batch.num_rows or not len(ids):
-                    continue
+                held, n = [*held, batch], n + batch.num_rows
+                if n >= CHUNK:
+                    yield pa.Table.from_batches(held)
+                    held, n = [], 0
+            if n:
+                yield pa.Table.from_batches(held)
+
+        def run(batches):
+            ids, q, asks = sent.value
+            if not len(ids):
+                return
+            for table in chunks(batches):
                 if keys:
-                    batch = batch.take(pc.sort_indices(pa.Table.from_batches([batch.select(keys)]), [(c, "ascending") for c in (*by, *(c for c in keys if c not in by))]))
-                s = np.round(q @ np.array(batch["embedding"].to_pylist(), np.float64).T, DIGITS)
+                    table = table.take(pc.sort_indices(table.select(keys), [(c, "ascending") for c in (*by, *(c for c in keys if c not in by))]))
+                [batch] = table.combine_chunks().to_batches()
+                v = matrix(batch["embedding"])
                 new = np.zeros(batch.num_rows, bool)
                 for c in by:
                     code = batch[c].dictionary_encode(null_encoding="encode").indices.to_numpy()
                     new[1:] |= code[1:] != code[:-1]
                 for at in np.split(np.arange(batch.num_rows), np.flatnonzero(new)):
-                    own = s[:, at[0] : at[-1] + 1]
-                    m = min(k, own.shape[1])
-                    floor = np.partition(own, own.shape[1] - m, axis=1)[:, own.shape[1] - m][:, None]
-                    more, same = own > floor, own == floor
-                    # of those equal to the k-th the first in order, as many as there is room for
-                    i, j = np.nonzero(more | (same & (np.cumsum(same, axis=1) <= m - more.sum(axis=1, keepdims=True))))
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(i)), pa.array(own[i, j]), *(batch[c].take(pa.array(at[j])) for c in keys)], ["query_id", "similarity", *keys])
+                    who = np.arange(len(ids)) if on is None else np.flatnonzero(asks == batch[on][int(at[0])].as_py())
+                    part = v[at[0] : at[-1] + 1].T
+                    m = min(k, part.shape[1])
+                    step = max(1, cells // part.shape[1])
+                    for lo in range(0, len(who), step):
+                        own = np.round(q[who[lo : lo + step]] @ part, DIGITS)
+                        floor = np.partition(own, own.shape[1] - m, axis=1)[:, own.shape[1] - m][:, None]
+                        i, j = np.nonzero(own >= floor)
+                        same = own[i, j] == floor[i, 0]
+                        # of those equal to the k-th the first in order, as many as there is room for
+                        start = np.searchsorted(i, np.arange(len(own)))
+                        before = np.cumsum(same) - same
+                        room = m - np.bincount(i[~same], minlength=len(own))
+                        keep = ~same | (before - before[start[i]] < room[i])
+                        i, j = i[keep], j[keep]
+                        yield pa.RecordBatch.from_arrays([ids.take(pa.array(who[lo + i])), pa.array(own[i, j]), *(batch[c].take(pa.array(at[j])) for c in keys)], ["query_id", "similarity", *keys])
 
         return known.mapInArrow(run, schema)
 

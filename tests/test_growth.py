@@ -73,3 +73,35 @@ def test_lookup_of_common_words(spark, tmp_path):
     # all 50 ask the same: 200 rows are answered once, and stand for each at the end
     assert len(rows) == 10_000 and {tuple(r["matched"]) for r in rows} == {(0, 2)} and sorted(r["place"] for r in rows if r["query_id"] == 7) == list(range(200))
     assert retrieval.candidates(q, index).count() == 50 * 400
+
+
+def test_nearest_holds_few_similarities(spark, monkeypatch):
+    import numpy as np
+
+    from glossweave.operators import serve
+
+    monkeypatch.setattr(serve, "CELLS", 64, raising=False)
+    g = np.random.default_rng(7)
+    x = np.round(g.normal(size=(300, 4)), 1)
+    v = spark.createDataFrame([(i, i % 2, r.tolist()) for i, r in enumerate(x)], "vec_id long, g long, embedding array<double>")
+    q = v.where("vec_id < 40").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"), "g")
+    got = {(r["query_id"], r["vec_id"]) for r in serve.nearest(q, v, 5, by=("g",), on="g").collect()}
+    want = {(i, j) for i in range(40) for j in sorted(range(i % 2, 300, 2), key=lambda j: (-round(float(x[i] @ x[j]), 9), j))[:5]}  # noqa: B023
+    assert got == want
+
+
+def test_bm25_of_common_terms(spark, tmp_path):
+    from glossweave.operators import retrieval
+    from glossweave.operators.index import build_index
+
+    side = lambda c: F.struct(F.lit(c).alias("lang_code"), F.lit(1900).alias("year"))
+    pairs = spark.range(200).select(F.col("id").alias("row_index"), F.concat(F.lit("p"), "id").alias("pair_id"), side("ang").alias("source"), side("eng").alias("target"), F.concat(F.lit("the sun "), F.when(F.col("id") % 50 == 3, "moon").otherwise("")).alias("source_text"), F.lit("the").alias("target_text"))
+    index = build_index(pairs, str(tmp_path / "i"))
+    q = spark.range(30).select(F.col("id").alias("query_id"), F.lit("The sun moon").alias("query"), F.lit("ang").alias("lang"))
+    rows, most = joined(retrieval.bm25(q, index))
+    # every query meets every row, but no term of a pair is a row of a join
+    assert len(rows) == 6000 and most <= 600
+    best = {r["row_index"] for r in rows if r["bm25"] == max(x["bm25"] for x in rows)}
+    assert best == {3, 53, 103, 153}
+    few = retrieval.bm25(q, index, top=4).collect()
+    assert best <= {r["row_index"] for r in few if r["query_id"] == 5}
