@@ -105,3 +105,11 @@ def test_bm25_of_common_terms(spark, tmp_path):
     assert best == {3, 53, 103, 153}
     few = retrieval.bm25(q, index, top=4).collect()
     assert best <= {r["row_index"] for r in few if r["query_id"] == 5}
+
+
+def test_costly_steps_of_one_small_file(spark, sf):
+    from glossweave.plans import queries
+
+    for name in ("library_records", "catalogue_names"):
+        df = queries.QUERIES[name](spark, sf)
+        assert df.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism, name
